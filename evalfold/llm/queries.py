@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from evalfold.llm import exact_dedup, sharding
+from evalfold.llm import decontaminate, exact_dedup, line_dedup, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
