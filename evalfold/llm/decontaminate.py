@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
 from evalfold.llm.common import read, staged
+from evalfold.llm.words import Words, word_bytes
 
 WINDOW = 10
 #: Words of the items that one broadcast part may hold (a longer item is a part of its own).
@@ -32,49 +33,10 @@ PART_WORDS = 2_000_000
 #: Bytes searched at once, end positions of a stretch, slots of a shift table.
 BLOCK_BYTES, STRETCH, SLOTS = 8 << 20, 256, 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.zeros(256, dtype=bool)
-_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
-_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _S = np.uint64(29)
-
-
-class Words:
-    """The words of a run of texts: lower-cased bytes, each word's start and end, each text's first word."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        self.data = np.concatenate([np.zeros(8, np.uint8), _LOWER[data], np.zeros(8, np.uint8)])
-        flag = _WORD[data]
-        inner = offsets[(offsets > 0) & (offsets < len(data))]
-        start, end = flag.copy(), flag.copy()
-        start[1:] &= ~flag[:-1]
-        end[:-1] &= ~flag[1:]
-        start[inner], end[inner - 1] = flag[inner], flag[inner - 1]
-        self.starts = np.flatnonzero(start) + 8
-        self.ends = np.flatnonzero(end) + 9
-        self.first = np.searchsorted(self.starts, offsets + 8)
-        self._long = np.ndarray(shape=(len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
-
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the words with these numbers, from their first and last eight bytes and their length."""
-        s, e = self.starts[at], self.ends[at]
-        n = e - s
-        head = self._long[s] & _MASKS[np.minimum(n, 8)]
-        tail = self._long[e - 8] >> (np.uint64(8) * (8 - np.minimum(n, 8)).astype(np.uint64) % np.uint64(64))
-        h = (head ^ (head >> _S)) * _A + tail * _B + n.astype(np.uint64) * _C
-        return h ^ (h >> _S)
-
-    def span(self, first: int, last: int) -> bytes:
-        """The words from `first` to `last` with single spaces between."""
-        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[first : last + 1], self.ends[first : last + 1]))
-
-    def span_hash(self, last: np.ndarray, m: int) -> np.ndarray:
-        h = np.zeros(len(last), dtype=np.uint64)
-        for j in range(m - 1, -1, -1):
-            h = (h ^ (h >> _S)) * _C + self.hashes(last - j)
-        return h
+#: A word is a run of 0-9, a-z (once lower-cased) and anything beyond ASCII.
+WORD = word_bytes(lambda c: 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,7 +59,7 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Tab
     found: dict[int, dict[bytes, set[str]]] = {}
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        w = Words(data, np.array([0, len(data)]))
+        w = Words(data, np.array([0, len(data)]), WORD)
         n = len(w.starts)
         m = min(n, window)
         for i in range(n - m + 1 if n else 0):
@@ -106,12 +68,12 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Tab
     for m, windows in sorted(found.items()):
         spans = sorted(windows)
         data = np.frombuffer(b" ".join(spans), np.uint8)
-        w = Words(data, np.array([0, len(data)]))
+        w = Words(data, np.array([0, len(data)]), WORD)
         last = np.arange(1, len(spans) + 1) * m - 1
         shift = np.full(SLOTS, max(1, m - 1), dtype=np.int64)
         for back in range(max(1, m - 1)):
             np.minimum.at(shift, block_hash(w, last - back, m).astype(np.int64), back)
-        hashes = w.span_hash(last, m)
+        hashes = w.span_hashes(last, m)
         buckets: dict[int, dict[bytes, list[str]]] = {}
         for h, span in zip(hashes.tolist(), spans):
             buckets.setdefault(h, {})[span] = sorted(windows[span])
@@ -139,7 +101,7 @@ def occurrences(w: Words, t: Table) -> Iterator[tuple[int, list[str]]]:
         shift = t.shift[block_hash(w, at, t.m).astype(np.int64)]
         suspects = at[shift == 0]
         if len(suspects):
-            hashes = w.span_hash(suspects, t.m)
+            hashes = w.span_hashes(suspects, t.m)
             near = np.minimum(np.searchsorted(t.window_hashes, hashes), len(t.window_hashes) - 1)
             same = t.window_hashes[near] == hashes
             for p, h in zip(suspects[same].tolist(), hashes[same].tolist()):
@@ -152,7 +114,7 @@ def occurrences(w: Words, t: Table) -> Iterator[tuple[int, list[str]]]:
 
 def _search(tables: list[Table], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[dict], list[str]]]:
     """Of each text: its words, the spans of words hit (merged, end exclusive), and the items found."""
-    w = Words(data, offsets)
+    w = Words(data, offsets, WORD)
     n = len(offsets) - 1
     spans: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[str]] = {}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evalfold.llm import decontaminate, exact_dedup, line_dedup, sharding
+from evalfold.llm import decontaminate, exact_dedup, line_dedup, near_dedup, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
