@@ -91,23 +91,21 @@ def _bits(ids: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(ids), F.lit(size))
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter of the column doc_id, packed; at most MAX_ID_BITS / 8 bytes."""
-    size = min(MAX_ID_BITS, max(1 << 15, 1 << (ids.count() * ID_BITS).bit_length()))
-    at = ids.select(_bits(F.col("doc_id"), size).alias("at"))
+def _id_filter(ids: DataFrame, size: int) -> np.ndarray:
+    """A one-hash Bloom filter of `size` bits of the column doc_id, packed."""
+    at = ids.select((_bits(F.col("doc_id"), size) + 1).alias("at"))  # the bitmap functions count from 1
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
-    out = np.zeros(size // 8 + 4096, dtype=np.uint8)
+    out = np.zeros(size // 8, dtype=np.uint8)
     for n, bits in zip(rows["n"].to_pylist(), rows["bits"].to_pylist()):
-        # Bucket n (from 1) holds the positions from (n - 1) * 32768; each byte's least bit comes first.
+        # Bucket n holds 32768 positions; each byte's least bit comes first.
         out[(n - 1) * 4096 : n * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
 
 def _candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles) of the documents in `ids`, and of the few others that the filter takes for one of them."""
-    held = _id_filter(ids)
     size = min(MAX_ID_BITS, max(1 << 15, 1 << (ids.count() * ID_BITS).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(held)
+    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
