@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalfold.llm import decontaminate, exact_dedup, line_dedup, near_dedup, secret_scan, sharding, token_counts
+from evalfold.llm import decontaminate, exact_dedup, line_dedup, near_dedup, quality, secret_scan, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }

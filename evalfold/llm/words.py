@@ -27,17 +27,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of texts: lower-cased bytes (A-Z only), each word's start and end, each text's first word.
 
-    data: the texts' bytes; offsets: where each text starts, and the end; table: of each byte, whether it belongs to a word.
+    data: the texts' bytes; offsets: where each text starts, and the end; table: of each byte, whether it belongs to a word
+    (or, as numbers, to which kind of word: a word is then a run of bytes of one kind, and kind 0 is in none).
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
         self.data = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
-        flag = table[data]
+        kind = table[data]
         inner = offsets[(offsets > 0) & (offsets < len(data))]
-        start, end = flag.copy(), flag.copy()
-        start[1:] &= ~flag[:-1]
-        end[:-1] &= ~flag[1:]
-        start[inner], end[inner - 1] = flag[inner], flag[inner - 1]
+        start, end = kind != 0, kind != 0
+        if len(data):
+            change = kind[1:] != kind[:-1]
+            start[1:] &= change
+            end[:-1] &= change
+            start[inner], end[inner - 1] = kind[inner] != 0, kind[inner - 1] != 0
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
