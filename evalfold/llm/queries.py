@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from evalfold.llm import decontaminate, exact_dedup, line_dedup, near_dedup, quality, secret_scan, sentence_pieces, sharding, token_counts
+from evalfold.llm import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, secret_scan, sentence_pieces, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_sentence_pieces": sentence_pieces.op6_sentence_pieces,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_quality": quality.op8_quality,
