@@ -4,11 +4,11 @@
    hashes of its signature's bands. Documents with equal sets form a class; one representative of each goes on, so exact
    copies are never compared, however many there are.
 2. Representatives that share a band are candidates. Buckets are never expanded into all pairs. First each member is
-   verified against one other: of the leaders (least ids) of its buckets, the one that it shares most bands with. The
-   verified links are grouped. Then only pairs are left that share a bucket and lie in different groups; while a bucket
-   would give many of those, further leaders are tried (each time the least by another hash order, in the bucket's largest
-   group), and at last all that are left are verified. No link between candidates is lost: a pair is left out only when
-   its ends are already linked through others.
+   verified against one other: of the leaders of its buckets, the one that it shares most bands with. The verified links
+   are grouped, and from then on only buckets whose members still lie in different groups matter. In buckets up to SMALL
+   all pairs between groups are verified. In larger ones the members outside the largest group are compared with the
+   others in pairs of blocks, inside tasks, so that only links come out. A pair of candidates is left out only when its
+   ends are linked through others.
 3. Verification counts the shingles that the two full sets share. Sets are made for candidates only: a Bloom filter of
    their ids, of bounded size, is held against the table in a second scan, so texts are never shuffled.
 
@@ -37,8 +37,8 @@ SHINGLE, PERCENT = 5, 80
 #: A word is a run of anything but a space, \t, \n, \v, \f and \r.
 WORD = word_bytes(lambda c: c != 32 and not 9 <= c <= 13)
 BLOCK_BYTES = 4 << 20
-#: Pairs left for each candidate beyond which further leaders are tried, and how often at most.
-PAIRS_A_NODE, LEADER_ROUNDS = 2, 6
+#: Members up to which a bucket's pairs between groups are all listed; nodes of a block in larger ones.
+SMALL, BLOCK_NODES = 16, 128
 #: Bits of the Bloom filter of candidate ids, for each and at most.
 ID_BITS, MAX_ID_BITS = 16, 1 << 27
 
@@ -140,6 +140,75 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("x", (-F.col("best.y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _mixed(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (band, node, n, c) of buckets whose nodes lie in several groups, with `label`; and each such bucket's largest
+    group `top`."""
+    placed = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+    mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("size", "label")).alias("top")).filter("k > 1")
+    mixed = staged(mixed.select("band", F.col("top.label").alias("top")), "mixed")
+    return staged(placed.join(mixed.select("band"), "band"), "open"), mixed
+
+
+def _across(rows: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket and lie in different groups: each node outside a bucket's largest group
+    meets the bucket's nodes of other groups."""
+    x = rows.join(mixed, "band").filter(F.col("label") != F.col("top")).select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    y = rows.select("band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"))
+    pairs = x.join(y, "band").filter(F.col("xl") != F.col("yl")).filter(_possible("xn", "yn", percent))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _links_of(percent: int) -> Callable:
+    """Finds, in one pair of blocks, the links between its outside nodes and all its nodes of other groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        outside = table["outside"].to_numpy(zero_copy_only=False)
+        nodes, labels = table["node"].to_numpy(), table["label"].to_numpy()
+        sets = [np.asarray(x, dtype=np.int64) for x in table["shingles"].combine_chunks().to_numpy(zero_copy_only=False)]
+        xs, ys = np.flatnonzero(outside), np.flatnonzero(~outside)
+        out: list[tuple[int, int]] = []
+        if len(xs) and len(ys):
+            sizes = np.array([len(sets[y]) for y in ys])
+            values = np.concatenate([sets[y] for y in ys])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(ys)), sizes)[order]
+            for x in xs:
+                # The places of x's shingles among all shingles of the other nodes.
+                low, high = np.searchsorted(values, sets[x]), np.searchsorted(values, sets[x], side="right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(ys))
+                good = (shared * 100 >= (len(sets[x]) + sizes - shared) * percent) & (labels[ys] != labels[x])
+                out += [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for y in ys[good]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _block_links(rows: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the large buckets' nodes in different groups, verified in pairs of blocks of about BLOCK_NODES nodes.
+
+    Buckets with the same largest group are taken together: the nodes outside it, in blocks, meet all nodes, in blocks.
+    A row is sent once for each block that it meets, and only links come out, never all pairs.
+    """
+    nodes = rows.join(mixed, "band").select("top", "node", "label", (F.col("label") != F.col("top")).alias("out")).distinct()
+    sizes = nodes.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("all"), F.ceil(F.count_if("out") / BLOCK_NODES).alias("outs"))
+    nodes = staged(nodes.join(staged(sizes, "block-counts"), "top"), "block-nodes")
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = nodes.filter("out").select("top", "node", "label", F.lit(True).alias("outside"), block(F.col("outs")).alias("i"), every(F.col("all")).alias("j"))
+    right = nodes.select("top", "node", "label", F.lit(False).alias("outside"), every(F.col("outs")).alias("i"), block(F.col("all")).alias("j"))
+    dealt = left.unionByName(right).join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    return dealt.groupBy("top", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
+
+
+def _more(pairs: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`done` with the pairs that aren't among it yet, verified."""
+    new = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return done.unionByName(staged(_verified(new, sets, percent), "verified"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
@@ -154,40 +223,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
     heads = named.join(classes.select(F.col("class").alias("c"), F.col("node").alias("doc_id")), "doc_id").filter(F.col("class") == F.col("c"))
     banded = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lead")).filter("c > 1")
-    members = staged(banded.join(staged(shared.select("band", "lead"), "buckets"), "band"), "members")
+    shared = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
+    members = staged(banded.join(shared, "band"), "members")
+    # A bucket's leader is its most central member: the one whose buckets are the largest in sum.
+    central = staged(members.groupBy("node").agg(F.sum("c").alias("weight")), "central")
+    leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"), "n")).alias("l"))
+    leads = staged(leads.select("band", F.struct((-F.col("l.m")).alias("node"), F.col("l.n").alias("n")).alias("lead")), "leads")
+    members = members.join(leads, "band")
     sets = staged(_candidate_sets(docs, members.select(F.col("node").alias("doc_id")).distinct(), k), "shingle-sets")
 
     star = members.filter(F.col("node") != F.col("lead.node")).filter(_possible("n", "lead.n", percent))
     done = staged(_verified(_best(star.select(F.col("node").alias("x"), F.col("lead.node").alias("y"))), sets, percent), "verified")
     labels = components(done.filter("linked"))
-
-    bands = members.select("band", "node", "n")
-    for round_ in range(LEADER_ROUNDS + 1):
-        placed = bands.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-        groups = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("o"), "node", "n")).alias("lead"))
-        mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"), F.max(F.struct("c", "label", "lead")).alias("top")).filter("k > 1")
-        mixed = staged(mixed.select("band", "all", F.col("top.c").alias("most"), F.col("top.label").alias("top"), F.col("top.lead.node").alias("lead"), F.col("top.lead.n").alias("lead_n")), "mixed")
-        left = mixed.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.sum("all")).first()
-        if not left[0]:
-            break
-        # Of a bucket that still holds several groups: those outside its largest group.
-        bands = staged(placed.join(mixed.select("band"), "band"), "open-buckets")
-        outside = bands.join(mixed, "band").filter(F.col("label") != F.col("top"))
-        few = left[0] <= PAIRS_A_NODE * left[1] or round_ == LEADER_ROUNDS
-        if few:
-            x = outside.select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-            y = bands.select("band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"))
-            pairs = x.join(y, "band").filter(F.col("xl") != F.col("yl")).filter(_possible("xn", "yn", percent))
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            pairs = _best(outside.filter(_possible("n", "lead_n", percent)).select(F.col("node").alias("x"), F.col("lead").alias("y")))
-        new = staged(_verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "verified")
-        done = done.unionByName(new)
-        labels = components(done.filter("linked"))
-        bands = bands.select("band", "node", "n")
-        if few:
-            break
+    open_, mixed = _mixed(members.select("band", "node", "n", "c"), labels)
+    done = _more(_across(open_.filter(F.col("c") <= SMALL), mixed, percent), done, sets, percent)
+    links = done.filter("linked").select("a", "b").unionByName(_block_links(open_.filter(F.col("c") > SMALL), mixed, sets, percent))
+    labels = components(links)
 
     placed = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left")
     placed = placed.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node", "doc_id").alias("component_id"))
