@@ -109,19 +109,21 @@ def _weights(owner: np.ndarray, at: np.ndarray, times: np.ndarray, chosen: np.nd
 
 
 def log_weights(docs: DataFrame, raw: np.ndarray, target: np.ndarray, target_ids: frozenset[int]) -> DataFrame:
-    """(doc_id, log_weight) of every row; a text without tokens weighs 0, and so does every text where there is no target."""
+    """`docs` with log_weight; a text without tokens weighs 0, and so does every text where there is no target."""
     sent = docs.sparkSession.sparkContext.broadcast((raw, target, target_ids))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, ids = sent.value
         for batch in batches:
             chosen = np.array([i in ids for i in batch.column("doc_id").to_pylist()], dtype=bool)
+            weights = [np.zeros(0)]
             for first, data, offsets in blocks(batch.column("text"), BLOCK_BYTES):
                 n = len(offsets) - 1
-                weights = _weights(*ngrams(data, offsets), chosen[first : first + n], raw, target) if target.any() else np.zeros(n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(weights)], names=["doc_id", "log_weight"])
+                weights.append(_weights(*ngrams(data, offsets), chosen[first : first + n], raw, target) if target.any() else np.zeros(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(weights))], names=[*names, "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double")
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "log_weight double"]))
 
 
 def fit_cutoff(good: np.ndarray, bad: np.ndarray, good_weight: float = GOOD_WEIGHT) -> float:
@@ -157,24 +159,26 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, good_weight: float = GOOD_WEIGHT) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, kept of every row of `docs` (doc_id, text).
+def resample(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, bound: int = LABELLED, good_weight: float = GOOD_WEIGHT) -> DataFrame:
+    """The columns `carry` (doc_id where it isn't given), log_weight, gumbel_key, kept of every row of `docs`.
 
     labels: doc_id, quality (1 good, 0 bad; others and nulls are left out). Without good or without bad labels every
     document is kept. Rows that repeat a doc_id and text have one key and stay or go together; a row without doc_id draws
-    its noise from 0.
+    its noise from 0. Columns of `docs` named as the new ones are replaced.
     """
+    docs = docs.drop("log_weight", "gumbel_key", "kept")
+    carry = ["doc_id"] if carry is None else [c for c in carry if c in docs.columns]
     good, bad = _labelled(labels, 1, bound), _labelled(labels, 0, bound)
     target_ids = frozenset(good)
-    scored = log_weights(docs, *train(docs, target_ids), target_ids)
+    scored = log_weights(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), *train(docs, target_ids), target_ids)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("gumbel")), 11).cast("double") + 0.5) / float(1 << 53)
-    scored = staged(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "importance")
+    scored = staged(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).select(*dict.fromkeys([*carry, "doc_id"]), "log_weight", "gumbel_key"), "importance")
     ids = docs.sparkSession.createDataFrame([(i, q) for q, x in ((1, good), (0, bad)) for i in x], "id long, q int")
     seen = scored.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("q", "log_weight").toArrow()  # at most two times `bound` ids
     q, weight = seen["q"].to_numpy(), seen["log_weight"].to_numpy()
     cutoff = fit_cutoff(weight[q == 1], weight[q == 0], good_weight)
     k = scored.filter(F.col("log_weight") >= cutoff).count()
-    return scored.withColumn("kept", F.col("gumbel_key") >= kth_largest(scored, "gumbel_key", k))
+    return scored.select(*carry, "log_weight", "gumbel_key", (F.col("gumbel_key") >= kth_largest(scored, "gumbel_key", k)).alias("kept"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
