@@ -1,13 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each over all documents that the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. `run`
+applies them one after another; a driver may as well write each result and hand it to the next stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalfold.llm.common import read
+from evalfold.llm.decontaminate import find_contamination
+from evalfold.llm.line_dedup import dedup_lines
+from evalfold.llm.near_dedup import near_duplicates
+from evalfold.llm.quality import resample
+from evalfold.llm.sentence_pieces import sample_pieces
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    return resample(docs, read(spark, sf_dir, "labels"), carry=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines; n_chars is that of the new text."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the one of least doc_id) of each group of near duplicates: five-word shingles, similarity 0.8."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return find_contamination(docs, read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*COLUMNS)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's sampled pieces and, as `text`, what they decode to."""
+    import public_tokenizers
+
+    found = sample_pieces(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "n_chars", "n_pieces", "pieces", lossless.alias("lossless"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("sentence pieces", pieces_stage),
+]
+
+#: SQL can't express the first stage's models nor the last stage's sampling.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`."""
+    docs = read(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
