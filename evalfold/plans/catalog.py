@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from evalfold.plans import aggregation  # noqa: F401
+from evalfold.plans import aggregation, costs, ledgers  # noqa: F401
 from evalfold.plans.registry import ORACLES, QUERIES  # noqa: F401
