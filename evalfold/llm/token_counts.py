@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -112,6 +113,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, entries: int) -> Itera
         yield base + nth, ids, n_bytes, sizes, index, freq, words
 
 
+def _packed(index: list[int], freq: list[int]) -> bytes:
+    """Both lists as 32-bit numbers, laid out byte by byte: the upper bytes are nearly all zero, so they compress to nothing."""
+    return zlib.compress(np.array([index, freq], dtype="<i4").view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpacked(cells: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(cells), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)).view("<i4")[..., 0]
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of `docs` (doc_id, text).
 
@@ -128,8 +138,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, n_bytes, sizes, index, freq, _ in _blocks(batches, path, block_entries):
-            columns = [pa.array([block], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (n_bytes, pa.int64()), (sizes, pa.int32()), (index, pa.int32()), (freq, pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "n_bytes", "sizes", "index", "freq"])
+            columns = [pa.array([block], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (n_bytes, pa.int64()), (sizes, pa.int32()))), pa.array([_packed(index, freq)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "n_bytes", "sizes", "cells"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PreTokens.of(path).pieces
@@ -156,18 +166,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
             for i in range(batch.num_rows):
                 got = lambda name: batch.column(name)[i].values  # noqa: B023, E731
                 sizes = got("sizes").to_numpy()
-                index = got("index").to_numpy()
-                n = np.zeros(int(index.max()) + 1 if len(index) else 1, dtype=np.int64)
+                index, freq = _unpacked(batch.column("cells")[i].as_py())
+                n = np.zeros(int(index.max(initial=0)) + 1, dtype=np.int64)
                 if batch.column("entries")[i].is_valid:
-                    n[got("entries").values.to_numpy()] = got("pieces").values.to_numpy()
-                sums = np.append(0, np.cumsum(got("freq").to_numpy() * n[index]))
+                    n[got("entries").flatten().to_numpy()] = got("pieces").flatten().to_numpy()
+                sums = np.append(0, np.cumsum(freq * n[index]))
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([got("ids"), got("n_bytes"), pa.array(sums[ends] - sums[ends - sizes])], names=["doc_id", "n_bytes", "n_tokens"])
 
     entries = docs.mapInArrow(vocabulary, "word string, at long").repartition("word").sortWithinPartitions("word")
     counts = entries.mapInArrow(count, "block long, entries array<int>, pieces array<int>")
     counts = counts.groupBy("block").agg(F.collect_list("entries").alias("entries"), F.collect_list("pieces").alias("pieces"))
-    matrix = docs.mapInArrow(frequencies, "block long, ids array<long>, n_bytes array<long>, sizes array<int>, index array<int>, freq array<int>")
+    matrix = docs.mapInArrow(frequencies, "block long, ids array<long>, n_bytes array<long>, sizes array<int>, cells binary")
     sums = matrix.join(counts, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
