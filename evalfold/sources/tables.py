@@ -72,7 +72,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured proposals: ordinal, round of ten, instruction, reward."""
     p = read(spark, sf_dir, "part")
-    rows = p.select((F.col("p_partkey") - 1).alias("ordinal"), F.col("p_brand").alias("instruction"), F.col("p_size").cast("double").alias("reward"))
+    rows = p.select(F.col("p_partkey").alias("ordinal"), F.col("p_brand").alias("instruction"), F.col("p_size").cast("double").alias("reward"))
     return rows.withColumn("round_index", F.floor(F.col("ordinal") / 10).cast("long"))
 
 
@@ -116,6 +116,11 @@ def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(rates, "source").select(F.col("doc_id").alias("task_id"), "rate")
 
 
+def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of all documents; a null text is empty."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored trials of a study: trial_number, combination, score, is_full (every sixth)."""
     o = read(spark, sf_dir, "orders")
@@ -140,7 +145,7 @@ _CTE = {
   CASE l_partkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'rate-limit' ELSE 'timeout' END AS outcome, CASE WHEN l_suppkey % 9 <> 0 THEN l_quantity::BIGINT END AS prompt_tokens,
   CASE WHEN l_suppkey % 8 <> 0 THEN round(l_tax * 100)::BIGINT END AS completion_tokens, CASE WHEN l_discount >= 0.01 THEN l_extendedprice END AS cost,
   l_linenumber::DOUBLE AS started_at, l_linenumber + l_discount * 10 - 0.2 AS ended_at FROM lineitem)""",
-    "proposals": "proposals AS (SELECT p_partkey - 1 AS ordinal, p_brand AS instruction, p_size::DOUBLE AS reward, (p_partkey - 1) // 10 AS round_index FROM part)",
+    "proposals": "proposals AS (SELECT p_partkey AS ordinal, p_brand AS instruction, p_size::DOUBLE AS reward, p_partkey // 10 AS round_index FROM part)",
     "claims": """claims AS (SELECT *, row_number() OVER (PARTITION BY intent, generation ORDER BY event_ordinal) - 1 AS heartbeat FROM (
   SELECT intent, event_ordinal, owner, value, event_id, sum(_new) OVER (PARTITION BY intent ORDER BY event_ordinal)::BIGINT AS generation FROM (
     SELECT user_id AS intent, row_number() OVER w AS event_ordinal, event_type AS owner, value, event_id, CASE WHEN event_type <> lag(event_type) OVER w THEN 1 ELSE 0 END AS _new
