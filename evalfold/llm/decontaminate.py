@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
-from evalfold.llm.common import read, staged
+from evalfold.llm.common import free_name, read, staged
 from evalfold.llm.words import Words, word_bytes
 
 WINDOW = 10
@@ -177,12 +177,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     hits = [staged(_pass(narrow, x, window).filter(F.size("hit_items") > 0).select("doc_id", F.xxhash64("text").alias("_h"), "hit_spans", "hit_items"), "hits") for x in parts]
     if hits:
         every = reduce(DataFrame.unionByName, hits)
-        more = every.dropDuplicates().groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.flatten(F.collect_list("hit_spans")).alias("_s"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("_i"))
-        found = found.withColumn("_t", F.xxhash64("text")).join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left")
+        own, hash_, mine, spans, items = (free_name(docs, x) for x in ("own_id", "own_hash", "text_hash", "more_spans", "more_items"))
+        more = every.dropDuplicates().groupBy(F.col("doc_id").alias(own), F.col("_h").alias(hash_)).agg(F.flatten(F.collect_list("hit_spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias(items))
+        found = found.withColumn(mine, F.xxhash64("text")).join(more, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mine) == F.col(hash_)), "left")
         found = found.withColumns({
-            "hit_spans": F.array_sort(F.concat("hit_spans", F.coalesce("_s", F.array().cast("array<struct<start:bigint,end:bigint>>")))),
-            "hit_items": F.array_sort(F.array_distinct(F.concat("hit_items", F.coalesce("_i", F.array().cast("array<string>"))))),
-        }).drop("_id", "_h", "_t", "_s", "_i")
+            "hit_spans": F.array_sort(F.concat("hit_spans", F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")))),
+            "hit_items": F.array_sort(F.array_distinct(F.concat("hit_items", F.coalesce(items, F.array().cast("array<string>"))))),
+        }).drop(own, hash_, mine, spans, items)
     # Spans are sorted by start; those of several parts may overlap.
     n_hit = F.aggregate(
         "hit_spans", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),

@@ -112,7 +112,7 @@ def labelled_paragraphs(samples: int = SAMPLES, seed: int = 1) -> list[tuple[str
             out.append((" ".join(words[: a + 3]) + " " + plain(r.randrange(2, 12)), UNKNOWN))
         elif i % 3 == 1:
             # Single words of templates among ordinary ones.
-            own = r.choice(r.choice([*TEMPLATES.values()])).split()
+            own = [w for w in r.choice(r.choice([*TEMPLATES.values()])).split() if w.strip(".,:;()").isalpha()] or ["license"]
             out.append((plain(r.randrange(2, 9)) + " " + r.choice(own) + " " + plain(r.randrange(2, 9)), UNKNOWN))
         else:
             out.append((plain(r.randrange(1, 30)), UNKNOWN))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import texts, with_columns
-from evalfold.llm.common import read, staged
+from evalfold.llm.common import free_name, read, staged
 
 WHITE = b"\t\n\x0b\x0c\r "
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -191,15 +191,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
         return docs.mapInArrow(run, schema)
 
+    own, gone = free_name(docs, "own_id"), free_name(docs, "gone")
     drops = found.join(lines, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    drops = drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(gone))
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [frozenset(x or ()) for x in batch.column("_drop").to_pylist()]
+            sets = [frozenset(x or ()) for x in batch.column(gone).to_pylist()]
             rows = [_rewrite(t, s.__contains__, min_chars) for s, t in zip(sets, texts(batch.column("text")))]
-            yield _out(batch.drop_columns(["_drop"]), rows)
+            yield _out(batch.drop_columns([gone]), rows)
 
     return joined.mapInArrow(run_joined, schema)
 
