@@ -77,7 +77,7 @@ def faithful_resamples(values: DataFrame, resamples: int, seed: int) -> DataFram
         for batch in batches:
             for group, own in zip(batch["group_id"], batch["values"]):
                 r = random.Random(seed)
-                n = len(own)
+                own, n = own.tolist(), len(own)
                 yield pd.DataFrame({"group_id": group, "resample": range(resamples), "mean": [sum(own[r.randrange(n)] for _ in range(n)) / n for _ in range(resamples)]})
 
     return arrays.mapInPandas(run, "group_id string, resample long, mean double")
