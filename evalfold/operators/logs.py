@@ -38,6 +38,21 @@ def admitted(ledger: DataFrame, capacity: int) -> DataFrame:
     return ledger.withColumn("accepted", ok).withColumn("capacity_ordinal", F.when(ok, F.col("arrival")))
 
 
+def numbered(rows: DataFrame, keys: list[str], chunk, order: list[str], name: str, value: str | None = None) -> DataFrame:
+    """`rows` with `name`: their number from 1 within `keys` by `order` (or, with `value`, the running sum of it).
+
+    chunk: a column that never falls along `order`, such as a day or a range of ids. Rows are numbered within (keys, chunk)
+    and raised by what the key's earlier chunks hold, so a key with a third of all rows is spread over its chunks.
+    """
+    amount = F.lit(1).cast("long") if value is None else F.col(value)
+    r = rows.withColumn("_chunk", chunk)
+    sums = r.groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*keys, "_chunk", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    own = F.sum(amount).over(Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("_own", own).join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_start") + F.col("_own")).drop("_chunk", "_start", "_own")
+
+
 def fan_in(rows: DataFrame, keys: list[str], expected: int) -> DataFrame:
     """The barrier's resolution for each key: waiting, rejected, failed or complete."""
     n = F.count(F.lit(1))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators.logs import numbered
+
 
 def hash_order(*key: Column) -> Column:
     """A hash to order rows by: as good as a shuffle, and the same everywhere."""
@@ -22,11 +24,10 @@ def sample_within(rows: DataFrame, keys: list[str], order: Column, n: int) -> Da
 
 def tail_split(rows: DataFrame, keys: list[str], order: str, share: float, most: int) -> DataFrame:
     """`rows` with `part`: the last `share` of each group (one row to `most`) validates, the others train."""
-    w = Window.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(w)
-    size = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(n * share)))
-    place = F.row_number().over(w.orderBy(order))
-    return rows.withColumn("part", F.when(place > n - size, "val").otherwise("train"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
+    placed = numbered(rows, keys, F.floor(F.col(order) / 10_000), [order], "_place").join(sizes, keys)
+    return placed.withColumn("part", F.when(F.col("_place") > F.col("_n") - size, "val").otherwise("train")).drop("_n", "_place")
 
 
 def fold_attempts(rows: DataFrame, cap: int, errors: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import logs
@@ -57,8 +57,9 @@ def admitted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ctes("ledger") + "SELECT scope, call_id, round(sum(debit) OVER w, 2) AS consumed, round(50000000 - sum(debit) OVER w, 2) AS remaining, sum(debit) OVER w > 50000000 AS overdrawn FROM ledger WINDOW w AS (PARTITION BY scope ORDER BY arrival)")
 def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The budget left after each call of a scope."""
-    total = F.sum("debit").over(Window.partitionBy("scope").orderBy("arrival"))
-    return ledger(spark, sf_dir).select("scope", "call_id", F.round(total, 2).alias("consumed"), F.round(50_000_000 - total, 2).alias("remaining"), (total > 50_000_000).alias("overdrawn"))
+    rows = logs.numbered(ledger(spark, sf_dir), ["scope"], F.floor(F.col("arrival") / 10_000), ["arrival"], "total", "debit")
+    total = F.col("total")
+    return rows.select("scope", "call_id", F.round(total, 2).alias("consumed"), F.round(50_000_000 - total, 2).alias("remaining"), (total > 50_000_000).alias("overdrawn"))
 
 
 @query(ctes("ledger") + "SELECT scope, count(*) AS n, min(arrival) AS first_slot, max(arrival) AS last_slot, count(DISTINCT call_id) AS n_calls, max(arrival) = count(*) AND count(DISTINCT call_id) = count(*) AS contiguous FROM ledger GROUP BY scope")
@@ -158,8 +159,8 @@ def step_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ctes("trials") + "SELECT candidate_id, task_id, seed_index, coalesce(state, 'missing') AS state, row_number() OVER (PARTITION BY candidate_id ORDER BY task_id, seed_index) - 1 AS row_ordinal FROM trials")
 def assemble_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row slices back in plan order: an ordinal by task and seed within each candidate."""
-    w = Window.partitionBy("candidate_id").orderBy("task_id", "seed_index")
-    return trials(spark, sf_dir).select("candidate_id", "task_id", "seed_index", "state", (F.row_number().over(w) - 1).cast("long").alias("row_ordinal"))
+    rows = logs.numbered(trials(spark, sf_dir), ["candidate_id"], F.col("task_id"), ["task_id", "seed_index"], "row_ordinal")
+    return rows.select("candidate_id", "task_id", "seed_index", "state", (F.col("row_ordinal") - 1).alias("row_ordinal"))
 
 
 @query(ctes("study") + "SELECT trial_number, sum(CASE WHEN is_full THEN 4 ELSE 1 END) OVER (ORDER BY trial_number)::BIGINT + 4 AS calls_so_far FROM study")

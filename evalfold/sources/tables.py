@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators.logs import numbered
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`; timestamps as they are stored."""
@@ -88,9 +90,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls in order of arrival for each scope."""
-    o = read(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return o.select(F.col("o_orderpriority").alias("scope"), F.col("o_orderkey").alias("call_id"), F.row_number().over(w).cast("long").alias("arrival"), F.col("o_totalprice").alias("debit"), "o_orderstatus")
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scope"), F.col("o_orderkey").alias("call_id"), F.col("o_totalprice").alias("debit"), "o_orderstatus", F.col("o_orderdate").alias("at"))
+    return numbered(o, ["scope"], F.to_date("at"), ["at", "call_id"], "arrival").drop("at")
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     role = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "val").otherwise("test")
     rows = d.select(F.col("lang").alias("pool_key"), role.alias("role"), F.col("doc_id").alias("task_id"), "source")
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("pool_key", "role").orderBy("task_id")) - 1).cast("long"))
+    return numbered(rows, ["pool_key", "role"], F.floor(F.col("task_id") / 10_000), ["task_id"], "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
