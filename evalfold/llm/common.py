@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows of an Arrow batch: texts are long, so Spark's usual 10,000 would hold much of a task's input in several copies at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering its session's Arrow batches to BATCH_ROWS rows where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back.
 

@@ -20,18 +20,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalfold.llm.common import read
+from evalfold.llm.common import read, small_batches
 from evalfold.llm.words import mix
 
 THETA = 1.0
 #: Characters of texts sampled together.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 #: Code that stands for a literal U+2581 inside the lattice; rank that weighs a byte piece.
 _LITERAL, _SPACE = 0x110000, 0x2581
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -72,15 +73,21 @@ class Pieces:
         self.hashes, self.ids = hashes[order], ids[order]
         # Which hashes may be pieces, and which may end a longer piece: most strings are ruled out by one look.
         self.may_be, self.may_grow = np.zeros(_FLAGS, dtype=bool), np.zeros(_FLAGS, dtype=bool)
-        self.may_be[_flag(hashes)] = True
+        flags, counts = np.unique(_flag(self.hashes), return_counts=True)
+        self.may_be[flags] = True
+        # The piece of each flag; where several share one, the sorted hashes are searched.
+        self.slot = np.zeros(_FLAGS, dtype=np.int32)
+        self.slot[_flag(self.hashes)] = np.arange(len(self.hashes))
+        self.shared = np.zeros(_FLAGS, dtype=bool)
+        self.shared[flags[counts > 1]] = True
         tails = {p[i:] for p in text.values() for i in range(1, len(p))}
         self.may_grow[_flag(np.array([_hash(np.array([*map(ord, p)], dtype=np.uint64)) for p in tails], dtype=np.uint64))] = True
         self.rank = np.array([max(0.0, -sp.get_score(i)) for i in range(self.n)])
-        inner = {c for p in text.values() if len(p) > 1 for c in p} - {"▁"}
-        classed = "".join(re.escape(c) for c in sorted(inner))
-        self.chunk = re.compile(f" +[{classed}]*|[{classed}]+|.", re.DOTALL)
+        # A chunk is a run of spaces with what follows up to the next space, line end (unless pieces hold it) or U+2581.
+        cuts = "▁" if any("\n" in p for p in text.values()) else "\n▁"
+        self.chunk = re.compile(f" +[^ {cuts}]*|[^ {cuts}]+|[{cuts}]")
         ends = np.cumsum([0, *map(len, self.bytes)])
-        self.starts, self.lengths, self.data = ends[:-1], np.diff(ends), np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.starts, self.lengths, self.data = ends[:-1].astype(np.int32), np.diff(ends).astype(np.int32), np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def weights(self, theta: float) -> tuple[np.ndarray, float]:
         """Log weights of the pieces, and of each byte piece of a character without piece."""
@@ -89,13 +96,29 @@ class Pieces:
     def find(self, hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, and those pieces."""
         may = np.flatnonzero(self.may_be[flags])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[may]), len(self.hashes) - 1)
+        at = self.slot[flags[may]]
+        again = np.flatnonzero(self.shared[flags[may]])
+        at[again] = np.minimum(np.searchsorted(self.hashes, hashes[may[again]]), len(self.hashes) - 1)
         held = self.hashes[at] == hashes[may]
         return may[held], self.ids[at[held]]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text whose pieces these are."""
-        return b"".join([self.bytes[i] for i in ids.tolist()])[1:]
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts whose pieces are ids[bounds[i]:bounds[i + 1]]: their bytes one after another, and where each starts."""
+        start, size = self.starts[ids], self.lengths[ids]
+        first = bounds[:-1][bounds[1:] > bounds[:-1]]
+        start[first] += 1  # the space put before the text
+        size[first] -= 1
+        ends = np.append(0, np.cumsum(size))
+        out = self.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1], dtype=np.int32)]
+        return out, ends[bounds]
+
+
+class Numbers(dict):
+    """Numbers strings in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 _FLAGS = 1 << 21
@@ -126,12 +149,12 @@ class Lattice:
         codes = np.where(codes == 32, _SPACE, np.where(codes == _SPACE, _LITERAL, codes))
         total = len(codes)
         first = np.cumsum(sizes) - sizes
-        place = np.arange(total) - np.repeat(first, sizes)
+        place = (np.arange(total) - np.repeat(first, sizes)).astype(np.int32)
         weight, byte_weight = pieces.weights(theta)
         utf8 = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + ((codes > 0xFFFF) & (codes != _LITERAL))
         # Edges by length: the hash of the last n characters of every place, as long as they may end a piece.
         edges = []
-        at = np.arange(total)
+        at = np.arange(total, dtype=np.int32)
         h = np.zeros(total, dtype=np.uint64)
         shifted = codes.astype(np.uint64) + np.uint64(1)
         power = 1
@@ -152,18 +175,19 @@ class Lattice:
             if not len(at):
                 break
         # Every place is the end of an edge (of one character at least): lay the edges out by place in the chunk, then by end.
-        size = np.zeros(total, dtype=np.int64)
+        size = np.zeros(total, dtype=np.int32)
         for _, e, _, _ in edges:
             size[e] += 1
-        rows = np.argsort(place, kind="stable")
-        rank = np.empty(total, dtype=np.int64)
-        rank[rows] = np.arange(total)
-        first_edge = np.append(0, np.cumsum(size[rows]))
+        rows = np.argsort(place, kind="stable").astype(np.int32)
+        rank = np.empty(total, dtype=np.int32)
+        rank[rows] = np.arange(total, dtype=np.int32)
+        first_edge = np.append(0, np.cumsum(size[rows])).astype(np.int32)
         free = first_edge[rank]
         count = int(first_edge[-1])
-        start, piece, w = np.empty(count, dtype=np.int64), np.empty(count, dtype=np.int64), np.empty(count)
+        start, piece, w = np.empty(count, dtype=np.int32), np.empty(count, dtype=np.int32), np.empty(count)
         inside = np.empty(count, dtype=bool)  # else the piece starts the chunk
-        for n, e, found, own in edges:
+        while edges:
+            n, e, found, own = edges.pop(0)
             to = free[e]
             free[e] += 1
             start[to], piece[to], w[to], inside[to] = e - n, found, own, place[e] >= n
@@ -223,21 +247,22 @@ def _expand(pieces: Pieces, owner: np.ndarray, found: np.ndarray) -> tuple[np.nd
     return np.repeat(owner, count), out
 
 
-def encode(texts: list[str], seeds: np.ndarray, pieces: Pieces, theta: float = THETA) -> list[np.ndarray]:
-    """Sampled piece ids of each text; an empty text has none."""
-    known: dict[str, int] = {}
-    split = pieces.chunk.findall
-    lists = [[known.setdefault(c, len(known)) for c in split(" " + t)] if t else [] for t in texts]
-    if not known:
-        return [np.zeros(0, np.int64) for _ in texts]
-    lattice = Lattice([*known], pieces, theta)
+def encode(texts: list[str], seeds: np.ndarray, pieces: Pieces, theta: float = THETA) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of all texts one after another, and the bounds of each text's; an empty text has none."""
+    numbers = Numbers()
+    split, number = pieces.chunk.findall, numbers.__getitem__
+    lists = [[*map(number, split(" " + t))] if t else [] for t in texts]
+    if not numbers:
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     counts = np.array([len(x) for x in lists])
-    flat = np.array([c for x in lists for c in x], dtype=np.int64)
-    doc = np.repeat(np.arange(len(texts)), counts)
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+    del lists
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
     nth = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-    owner, found = _expand(pieces, *lattice.sample(flat, mix(seeds[doc] + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
-    bounds = np.searchsorted(doc[owner], np.arange(len(texts) + 1))
-    return [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    seed = mix(seeds[doc] + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    del nth
+    owner, found = _expand(pieces, *Lattice([*numbers], pieces, theta).sample(flat, seed))
+    return found, np.searchsorted(doc[owner], np.arange(len(texts) + 1))
 
 
 def seeds_of(ids: pa.Array, seed: int) -> np.ndarray:
@@ -251,7 +276,7 @@ def sample_pieces(docs: DataFrame, path: str, theta: float = THETA, seed: int =
     path: a piece file that every executor can open. A null text is encoded as empty; an empty text has no pieces. Rows
     that repeat a doc_id and text have the same pieces. Existing columns of the new names are replaced.
     """
-    docs = docs.drop("pieces", "n_pieces", "decoded")
+    docs = small_batches(docs).drop("pieces", "n_pieces", "decoded")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +290,11 @@ def sample_pieces(docs: DataFrame, path: str, theta: float = THETA, seed: int =
                 while last < len(texts) and (last == first or size + len(texts[last]) <= BLOCK_CHARS):
                     size += len(texts[last])
                     last += 1
-                ids = encode(texts[first:last], seeds[first:last], pieces, theta)
-                decoded = [pieces.decode(x) for x in ids]
-                lengths = np.array([len(x) for x in ids])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, lists, pa.array(lengths, pa.int64()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*names, "pieces", "n_pieces", "decoded"])
+                ids, bounds = encode(texts[first:last], seeds[first:last], pieces, theta)
+                decoded, offsets = pieces.decode(ids, bounds)
+                text = pa.LargeStringArray.from_buffers(last - first, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(decoded)).cast(pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, lists, pa.array(np.diff(bounds), pa.int64()), text], names=[*names, "pieces", "n_pieces", "decoded"])
                 first = last
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "pieces array<int>, n_pieces long, decoded string"]))
