@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
-from evalfold.llm.common import free_name, read, staged
+from evalfold.llm.common import free_name, read, small_batches, staged
 from evalfold.llm.words import Words, word_bytes
 
 WINDOW = 10
 #: Words of the items that one broadcast part may hold (a longer item is a part of its own).
 PART_WORDS = 2_000_000
 #: Bytes searched at once, end positions of a stretch, slots of a shift table.
-BLOCK_BYTES, STRETCH, SLOTS = 8 << 20, 256, 1 << 20
+BLOCK_BYTES, STRETCH, SLOTS = 2 << 20, 256, 1 << 20
 
 _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _S = np.uint64(29)
@@ -170,7 +170,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     is named 'null'; items that share an id count once. Existing columns of the five new names are replaced. Rows that
     repeat are each reported.
     """
-    docs = docs.drop("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
+    docs = small_batches(docs).drop("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
     parts = _parts(benchmark, part_words)
     found = _pass(docs, next(parts), window)
     narrow = docs.select("doc_id", "text")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
-from evalfold.llm.common import read
+from evalfold.llm.common import read, small_batches
 from evalfold.llm.decontaminate import WORD
 from evalfold.llm.words import Words, mix
 
@@ -33,7 +33,7 @@ UNKNOWN = "unknown"
 BUCKETS, LONGEST, SAMPLES, FALSE_RATE = 1 << 14, 3, 160, 0.002
 #: Share of a paragraph's word pairs in one template sentence, or of that sentence's in the paragraph, that confirms a family.
 CONFIRM = 0.6
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Sentences of each family's notices.
@@ -185,7 +185,7 @@ def find_licenses(docs: DataFrame, model: Model) -> DataFrame:
 
     A null or empty text is one empty paragraph and has no license. Existing columns of the two names are replaced.
     """
-    docs = docs.drop("n_paragraphs", "licenses")
+    docs = small_batches(docs).drop("n_paragraphs", "licenses")
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import texts, with_columns
-from evalfold.llm.common import free_name, read, staged
+from evalfold.llm.common import free_name, read, small_batches, staged
 
 WHITE = b"\t\n\x0b\x0c\r "
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -173,7 +173,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
+    docs = small_batches(docs).drop("n_lines", "n_dropped", "kept_sha256")
     bits = 1 << min(max_bits.bit_length() - 1, max(16, (docs.count() * BITS_A_ROW).bit_length()))
     found = staged(suspects(docs, twice_filter(docs, bits, min_chars), min_chars), "line-suspects")
     lines = staged(repeated_lines(found, min_docs), "repeated-lines")

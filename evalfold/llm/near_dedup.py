@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
-from evalfold.llm.common import read, staged
+from evalfold.llm.common import read, small_batches, staged
 from evalfold.llm.components import components
 from evalfold.llm.superminhash import band_hashes, signatures
 from evalfold.llm.words import Words, word_bytes
@@ -36,7 +36,7 @@ BANDS, ROWS = 32, 4
 SHINGLE, PERCENT = 5, 80
 #: A word is a run of anything but a space, \t, \n, \v, \f and \r.
 WORD = word_bytes(lambda c: c != 32 and not 9 <= c <= 13)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Members up to which a bucket's pairs between groups are all listed; nodes of a block in larger ones.
 SMALL, BLOCK_NODES = 16, 128
 #: Bits of the Bloom filter of candidate ids, for each and at most.
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     and no link. Rows that share a doc_id are one document. A row without doc_id is compared with nothing: its
     component_id is null and it is kept.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     signed = staged(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, class binary, bands array<long>"), "signatures")
     named = signed.filter(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
     classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("node")), "classes")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
-from evalfold.llm.common import read, staged
+from evalfold.llm.common import read, small_batches, staged
 from evalfold.llm.words import Words, mix, word_bytes
 
 HASHED = 1 << 14
@@ -38,7 +38,7 @@ LENGTH = 100.0
 #: What a wrongly rejected good document weighs against a wrongly kept bad one when the cutoff is fitted.
 GOOD_WEIGHT = 4.0
 BINS = 4096
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Kinds of bytes: 1 letters, digits and all beyond ASCII; 2 punctuation; 0 white space and controls.
 KINDS = word_bytes(lambda c: 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128).astype(np.uint8) + 2 * word_bytes(lambda c: 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127).astype(np.uint8)
 
@@ -166,7 +166,7 @@ def resample(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     document is kept. Rows that repeat a doc_id and text have one key and stay or go together; a row without doc_id draws
     its noise from 0. Columns of `docs` named as the new ones are replaced.
     """
-    docs = docs.drop("log_weight", "gumbel_key", "kept")
+    docs = small_batches(docs).drop("log_weight", "gumbel_key", "kept")
     carry = ["doc_id"] if carry is None else [c for c in carry if c in docs.columns]
     good, bad = _labelled(labels, 1, bound), _labelled(labels, 0, bound)
     target_ids = frozenset(good)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalfold.llm.common import read
+from evalfold.llm.common import read, small_batches
 
 BLOCK_ENTRIES = 1_000_000
 #: Bits of an entry's number within its block, and of a block's number within its task.
@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
     tokens added; strings of special tokens inside a text count as one token. A null or empty text has 0 bytes and tokens.
     Rows that repeat, or lack a doc_id, are each reported.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *_, words in _blocks(batches, path, block_entries):
