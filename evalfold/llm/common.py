@@ -36,13 +36,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/evalfold-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back.
 
     This cuts the lineage at a place that outlives any executor, keeps the columns compressed and prunable, and lets
     later joins shuffle both of their sides (so that adaptive execution can split a hot key).
     """
-    path = f"{shared_dir(df.sparkSession)}/evalfold/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,3 +57,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes the tables that this application's `staged` left in the shared folder; results not yet written need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

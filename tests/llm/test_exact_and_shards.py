@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,3 +73,13 @@ def test_movement_stays_in_changed_subtrees(spark):
 def test_null_ids_have_a_shard(spark):
     got = S.shard_documents(spark.createDataFrame([(None, "a"), (None, None)], EXTRA.split(",")[0] + ", text string"), S.fleet(8), S.fleet(9)).collect()
     assert len(got) == 2 and sorted(r.slot for r in got) == [0, 1]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from evalfold.llm.common import _own_dir, clear_staged, staged
+
+    assert staged(spark.range(3).toDF("n"), "numbers").count() == 3
+    folder = _own_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    clear_staged(spark)
+    assert not os.path.exists(folder)
