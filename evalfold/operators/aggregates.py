@@ -61,7 +61,7 @@ def task_mean(rows: DataFrame, propagate: bool = True, max_skip: float | None =
     if max_skip is not None:
         skipped = F.try_divide(F.col("n_missing") + F.col("n_failed") + F.col("n_invalid"), F.col("n_planned")) > max_skip
         out = out.withColumn("status", F.when(skipped, MISSING).otherwise(F.col("status"))).withColumn("value", F.when(~F.coalesce(skipped, F.lit(False)), F.col("value")))
-    return out.select("candidate_id", F.round("value", 6).alias("value"), "status", "n_planned", "n_scored", "n_missing", "n_failed", "n_invalid")
+    return out.select("candidate_id", F.round("value", 9).alias("value"), "status", "n_planned", "n_scored", "n_missing", "n_failed", "n_invalid")
 
 
 def row_accounting(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +71,7 @@ def row_accounting(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def per_task_dense(rows: DataFrame, repeats: int) -> DataFrame:
     """Each task's score with rows that aren't scored as 0, over all repeats: not the status-aware mean."""
-    return rows.groupBy("candidate_id", "task_id").agg(F.round(F.sum(F.coalesce("score", F.lit(0.0))) / repeats, 6).alias("score"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("candidate_id", "task_id").agg(F.round(F.sum(F.coalesce("score", F.lit(0.0))) / repeats, 9).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 def finite(x: Column) -> Column:
@@ -88,6 +88,6 @@ def reward(aggregates: DataFrame, terms: DataFrame, policy: str, worst: float =
     joined = aggregates.select("candidate_id").distinct().crossJoin(F.broadcast(terms)).join(aggregates, ["candidate_id", "metric"], "left")
     filled = {"fail": value, "worst_value": F.coalesce(value, F.lit(worst)), "skip": F.coalesce(value, F.lit(0.0))}[policy]
     return joined.groupBy("candidate_id").agg(
-        F.when(F.count(filled) == F.count(F.lit(1)), F.round(F.sum(F.col("weight") * F.col("sign") * filled), 6)).alias("reward"),
+        F.when(F.count(filled) == F.count(F.lit(1)), F.round(F.sum(F.col("weight") * F.col("sign") * filled), 9)).alias("reward"),
         count_if(value.isNull()).alias("n_missing_terms"),
     )

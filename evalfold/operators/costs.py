@@ -54,7 +54,7 @@ def call_telemetry(attempts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_attempts"), F.min_by(latency, F.when(F.col("outcome") == "accepted", F.col("attempt_number"))).alias("_accepted"),
         F.max_by(latency, F.col("attempt_number")).alias("_last"), F.max(F.col("outcome") == "accepted").alias("_any"),
     )
-    out = every.withColumn("latency", F.round(F.greatest(F.lit(0.0), F.when(F.col("_any"), F.col("_accepted")).otherwise(F.col("_last"))), 6)).drop("_accepted", "_last", "_any")
+    out = every.withColumn("latency", F.round(F.greatest(F.lit(0.0), F.when(F.col("_any"), F.col("_accepted")).otherwise(F.col("_last"))), 9)).drop("_accepted", "_last", "_any")
     return out.join(billed, "logical_call_id", "left")
 
 

@@ -31,7 +31,7 @@ def round_stats(attempts: DataFrame, best: int) -> DataFrame:
     An instruction's best so far changes at few rounds, so its records are those changes, joined to the later rounds.
     """
     def summary(prefix: str) -> list:
-        return [F.max("reward").alias(f"{prefix}max"), F.round(F.avg("reward"), 6).alias(f"{prefix}mean"), F.min("reward").alias(f"{prefix}min"), F.round(F.stddev_pop("reward"), 6).alias(f"{prefix}std")]
+        return [F.max("reward").alias(f"{prefix}max"), F.round(F.avg("reward"), 9).alias(f"{prefix}mean"), F.min("reward").alias(f"{prefix}min"), F.round(F.stddev_pop("reward"), 9).alias(f"{prefix}std")]
 
     batch = attempts.groupBy("round_index").agg(F.count(F.lit(1)).alias("n"), *summary("batch_"))
     by_round = attempts.groupBy("instruction", "round_index").agg(F.max("reward").alias("r"), F.min("ordinal").alias("o"))
@@ -78,7 +78,7 @@ def promotion(scores: DataFrame) -> DataFrame:
 
     The highest mean that isn't promoted yet (ties: first seen); where all are promoted, the lowest.
     """
-    by = scores.groupBy("combination").agg(F.round(F.avg(F.when(~F.col("is_full"), F.col("score"))), 6).alias("mean"), F.min("trial_number").alias("first_trial"), F.max("is_full").alias("promoted"))
+    by = scores.groupBy("combination").agg(F.round(F.avg(F.when(~F.col("is_full"), F.col("score"))), 9).alias("mean"), F.min("trial_number").alias("first_trial"), F.max("is_full").alias("promoted"))
     by = ranked(by.filter("mean IS NOT NULL"), [F.col("mean").desc(), "first_trial"])
     first = F.min(F.when(~F.col("promoted"), F.col("rank"))).over(Window.partitionBy(F.lit(0)))
     last = F.max("rank").over(Window.partitionBy(F.lit(0)))

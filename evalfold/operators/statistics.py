@@ -49,9 +49,9 @@ def interval(means: DataFrame, points: DataFrame, keys: list[str], resamples: in
         (F.count_if(F.col("mean") <= 0) / resamples).alias("below"), (F.count_if(F.col("mean") >= 0) / resamples).alias("above"),
     )
     p = F.least(F.lit(1.0), F.greatest(F.lit(1.0 / resamples), 2 * F.least("below", "above")))
-    out = by.join(points, keys).withColumn("p", F.when(F.col("n") == 1, 1.0).otherwise(F.round(p, 6)))
+    out = by.join(points, keys).withColumn("p", F.when(F.col("n") == 1, 1.0).otherwise(F.round(p, 9)))
     out = out.withColumn("low", F.when(F.col("n") == 1, F.col("point")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("n") == 1, F.col("point")).otherwise(F.col("high")))
-    return out.select(*keys, "n", F.round("point", 6).alias("point"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "p", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
+    return out.select(*keys, "n", F.round("point", 9).alias("point"), F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "p", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 
 
 def decompose_variance(pairs: DataFrame, keys: list[str], repeats: int) -> DataFrame:
@@ -63,7 +63,7 @@ def decompose_variance(pairs: DataFrame, keys: list[str], repeats: int) -> DataF
     within = F.col("base_rate") * (1 - F.col("base_rate"))
     between = F.greatest(F.lit(0.0), F.col("v") - F.col("noise") / repeats)
     interaction = F.greatest(F.lit(0.0), F.col("d") - 2 * F.col("noise") / repeats)
-    return by.select(*keys, "n", F.round("base_rate", 6).alias("base_rate"), F.round(within, 6).alias("within"), F.round(between, 6).alias("between"), F.round(interaction, 6).alias("interaction"), (within > between).alias("noisy"))
+    return by.select(*keys, "n", F.round("base_rate", 9).alias("base_rate"), F.round(within, 9).alias("within"), F.round(between, 9).alias("between"), F.round(interaction, 9).alias("interaction"), (within > between).alias("noisy"))
 
 
 def multiplier(alpha: float = 0.05, power: float = 0.80, two_sided: bool = True) -> float:

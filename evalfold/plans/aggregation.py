@@ -42,14 +42,14 @@ n AS (SELECT {per}, count(*) AS n_planned, count(*) FILTER (WHERE state = 'score
 """
 
 
-@query(PLAN + "," + _means(True) + "SELECT candidate_id, CASE WHEN st = 'ok' THEN round(s / p, 6) END AS value, st AS status, n_planned, n_scored, n_missing, n_failed, n_invalid FROM o JOIN n USING (candidate_id)")
+@query(PLAN + "," + _means(True) + "SELECT candidate_id, CASE WHEN st = 'ok' THEN round(s / p, 9) END AS value, st AS status, n_planned, n_scored, n_missing, n_failed, n_invalid FROM o JOIN n USING (candidate_id)")
 def task_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates' task means where any missing trial makes its task, and so the candidate, incomplete."""
     return A.task_mean(planned(spark, sf_dir))
 
 
 @query(PLAN.replace("LEFT JOIN", "JOIN") + "," + _means(False) + f"""
-SELECT candidate_id, CASE WHEN st = 'ok' AND NOT skipped THEN round(s / p, 6) END AS value, CASE WHEN skipped THEN 'missing_data' ELSE st END AS status, n_planned, n_scored, n_missing, n_failed, n_invalid
+SELECT candidate_id, CASE WHEN st = 'ok' AND NOT skipped THEN round(s / p, 9) END AS value, CASE WHEN skipped THEN 'missing_data' ELSE st END AS status, n_planned, n_scored, n_missing, n_failed, n_invalid
 FROM (SELECT *, (n_missing + n_failed + n_invalid) / n_planned > {MAX_SKIP} AS skipped FROM o JOIN n USING (candidate_id))""")
 def task_mean_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates' task means over the observed trials, skipping those without score up to a tolerated share."""
@@ -62,10 +62,10 @@ def row_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.row_accounting(planned(spark, sf_dir), ["candidate_id"])
 
 
-@query(ctes("trials") + "SELECT candidate_id, task_id, count(*) AS n_total, count(*) FILTER (WHERE state <> 'invalid') AS n_applicable, count(score) FILTER (WHERE state <> 'invalid') AS n_present, CASE WHEN n_applicable = 0 THEN 'not_applicable' WHEN n_present < n_applicable THEN 'missing_data' WHEN n_present = 0 THEN 'zero_denominator' ELSE 'ok' END AS status, CASE WHEN status = 'ok' THEN round(sum(score) / n_present, 6) END AS value FROM trials GROUP BY candidate_id, task_id")
+@query(ctes("trials") + "SELECT candidate_id, task_id, count(*) AS n_total, count(*) FILTER (WHERE state <> 'invalid') AS n_applicable, count(score) FILTER (WHERE state <> 'invalid') AS n_present, CASE WHEN n_applicable = 0 THEN 'not_applicable' WHEN n_present < n_applicable THEN 'missing_data' WHEN n_present = 0 THEN 'zero_denominator' ELSE 'ok' END AS status, CASE WHEN status = 'ok' THEN round(sum(score) / n_present, 9) END AS value FROM trials GROUP BY candidate_id, task_id")
 def agg_status_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task means with status; an applicable null makes the task's data missing."""
-    return A.with_status(trials(spark, sf_dir), ["candidate_id", "task_id"], "score", F.col("state") != "invalid").withColumn("value", F.round("value", 6))
+    return A.with_status(trials(spark, sf_dir), ["candidate_id", "task_id"], "score", F.col("state") != "invalid").withColumn("value", F.round("value", 9))
 
 
 @query(ctes("trials") + "SELECT candidate_id, task_id, count(*) AS n_total, count(*) FILTER (WHERE state <> 'invalid') AS n_applicable, count(score) FILTER (WHERE state <> 'invalid') AS n_present, CASE WHEN n_applicable = 0 THEN 'not_applicable' ELSE 'ok' END AS status, CASE WHEN status = 'ok' THEN coalesce(sum(score), 0.0::DOUBLE) END AS value FROM trials GROUP BY candidate_id, task_id")
@@ -74,13 +74,13 @@ def agg_status_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_status(trials(spark, sf_dir), ["candidate_id", "task_id"], "score", F.col("state") != "invalid", "sum", False)
 
 
-@query(ctes("trials") + "SELECT candidate_id, task_id, round(sum(coalesce(score, 0)) / 20, 6) AS score, count(*) AS n FROM trials GROUP BY candidate_id, task_id")
+@query(ctes("trials") + "SELECT candidate_id, task_id, round(sum(coalesce(score, 0)) / 20, 9) AS score, count(*) AS n FROM trials GROUP BY candidate_id, task_id")
 def per_task_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task scores over twenty repeats, rows without score as 0."""
     return A.per_task_dense(trials(spark, sf_dir), 20)
 
 
-@query(PLAN + "," + _means(True, "candidate_id, lang_", "(SELECT *, task_id % 4 AS lang_ FROM rows_)") + "SELECT candidate_id, lang_ AS stratum, CASE WHEN st = 'ok' THEN round(s / p, 6) END AS value, st AS status, n_planned, n_scored FROM o JOIN n USING (candidate_id, lang_)")
+@query(PLAN + "," + _means(True, "candidate_id, lang_", "(SELECT *, task_id % 4 AS lang_ FROM rows_)") + "SELECT candidate_id, lang_ AS stratum, CASE WHEN st = 'ok' THEN round(s / p, 9) END AS value, st AS status, n_planned, n_scored FROM o JOIN n USING (candidate_id, lang_)")
 def stratum_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task means of each candidate within strata of tasks."""
     rows = planned(spark, sf_dir).withColumn("stratum", F.col("task_id") % 4)
@@ -98,14 +98,14 @@ def metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.task_mean(rows, propagate=False).select("candidate_id.candidate_id", "candidate_id.metric", "value", "status", "n_scored")
 
 
-@query(ctes("trials") + "," + _LONG + "," + _means(False, "candidate_id, metric", "m") + "SELECT candidate_id, metric, CASE WHEN st = 'ok' THEN round(s / p, 6) END AS value, st AS status, n_scored FROM o JOIN n USING (candidate_id, metric)")
+@query(ctes("trials") + "," + _LONG + "," + _means(False, "candidate_id, metric", "m") + "SELECT candidate_id, metric, CASE WHEN st = 'ok' THEN round(s / p, 9) END AS value, st AS status, n_scored FROM o JOIN n USING (candidate_id, metric)")
 def multi_metric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task means of three metrics of the same rows, with the metric as one more key."""
     return metric_means(spark, sf_dir)
 
 
 @query(ctes("trials") + "," + _LONG + "," + _means(False, "candidate_id, metric", "m") + """, w AS (SELECT * FROM (VALUES ('above_20', 0.5, 1), ('above_35', 1.0, 1), ('above_50', 0.25, -1)) AS x(metric, weight, sign))
-SELECT candidate_id, round(sum(weight::DOUBLE * sign * coalesce(CASE WHEN st = 'ok' THEN round(s / p, 6) END, 0)), 6) AS reward, count(*) FILTER (WHERE st <> 'ok') AS n_missing_terms FROM o JOIN w USING (metric) GROUP BY candidate_id""")
+SELECT candidate_id, round(sum(weight::DOUBLE * sign * coalesce(CASE WHEN st = 'ok' THEN round(s / p, 9) END, 0)), 9) AS reward, count(*) FILTER (WHERE st <> 'ok') AS n_missing_terms FROM o JOIN w USING (metric) GROUP BY candidate_id""")
 def reward_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewards: weighted, signed sums of the metrics' means; a missing one counts as 0."""
     terms = spark.createDataFrame([("above_20", 0.5, 1), ("above_35", 1.0, 1), ("above_50", 0.25, -1)], "metric string, weight double, sign int")
@@ -118,7 +118,7 @@ def row_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs(spark, sf_dir).select("event_id", attribution.outcome().alias("outcome"), attribution.cell(attribution.outcome()).alias("cell"))
 
 
-@query(ctes("outputs") + """, a AS (SELECT candidate_id, task_id, score, CASE WHEN missing THEN 'missing' WHEN failed THEN CASE WHEN failure_code IN ('provider-rejection', 'blank-provider-generation') THEN 'invalid' ELSE 'failed' END WHEN invalid THEN 'invalid' WHEN score IS NULL THEN 'failed' ELSE 'scored' END AS state FROM outputs),""" + _means(False, source="a") + "SELECT candidate_id, CASE WHEN st = 'ok' THEN round(s / p, 6) END AS value, st AS status, n_planned, n_scored, n_missing, n_failed, n_invalid FROM o JOIN n USING (candidate_id)")
+@query(ctes("outputs") + """, a AS (SELECT candidate_id, task_id, score, CASE WHEN missing THEN 'missing' WHEN failed THEN CASE WHEN failure_code IN ('provider-rejection', 'blank-provider-generation') THEN 'invalid' ELSE 'failed' END WHEN invalid THEN 'invalid' WHEN score IS NULL THEN 'failed' ELSE 'scored' END AS state FROM outputs),""" + _means(False, source="a") + "SELECT candidate_id, CASE WHEN st = 'ok' THEN round(s / p, 9) END AS value, st AS status, n_planned, n_scored, n_missing, n_failed, n_invalid FROM o JOIN n USING (candidate_id)")
 def rollout_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output rows attributed to cells, then aggregated to candidates' means."""
     rows = outputs(spark, sf_dir).withColumn("state", attribution.cell(attribution.outcome()))

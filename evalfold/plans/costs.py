@@ -56,7 +56,7 @@ def proposer_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ctes("attempts") + """,
 b AS (SELECT logical_call_id, CASE WHEN count(prompt_tokens) = count(*) THEN sum(prompt_tokens)::BIGINT END AS prompt_tokens, CASE WHEN count(completion_tokens) = count(*) THEN sum(completion_tokens)::BIGINT END AS completion_tokens,
   CASE WHEN count(cost) = count(*) THEN round(sum(cost), 2) END AS cost FROM attempts WHERE outcome IN ('accepted', 'rejected') GROUP BY ALL),
-l AS (SELECT logical_call_id, count(*) AS n_attempts, round(greatest(0, coalesce(arg_min(ended_at - started_at, attempt_number) FILTER (WHERE outcome = 'accepted'), arg_max(ended_at - started_at, attempt_number))), 6) AS latency FROM attempts GROUP BY ALL)
+l AS (SELECT logical_call_id, count(*) AS n_attempts, round(greatest(0, coalesce(arg_min(ended_at - started_at, attempt_number) FILTER (WHERE outcome = 'accepted'), arg_max(ended_at - started_at, attempt_number))), 9) AS latency FROM attempts GROUP BY ALL)
 SELECT * FROM l LEFT JOIN b USING (logical_call_id)""")
 def call_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billed tokens, cost and latency of every call."""

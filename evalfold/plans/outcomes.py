@@ -33,12 +33,12 @@ def deadline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce(F.greatest(F.lit(0.0), 60 - F.col("started")), F.lit(60.0))), 2).alias("remaining"))
 
 
-@query(ctes("outputs") + "SELECT candidate_id, task_id, CASE WHEN bool_and(failed OR missing) THEN 'failed' WHEN bool_or(invalid) THEN 'rejected' ELSE 'completed' END AS status, CASE WHEN NOT bool_and(failed OR missing) AND NOT bool_or(invalid) THEN round(avg(score), 6) END AS reward FROM outputs GROUP BY ALL")
+@query(ctes("outputs") + "SELECT candidate_id, task_id, CASE WHEN bool_and(failed OR missing) THEN 'failed' WHEN bool_or(invalid) THEN 'rejected' ELSE 'completed' END AS status, CASE WHEN NOT bool_and(failed OR missing) AND NOT bool_or(invalid) THEN round(avg(score), 9) END AS reward FROM outputs GROUP BY ALL")
 def resolution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations as failed, rejected or completed; only completed ones have a reward."""
     gone, invalid = F.min(F.col("failed") | F.col("missing")), F.max("invalid")
     status = F.when(gone, "failed").when(invalid, "rejected").otherwise("completed")
-    return outputs(spark, sf_dir).groupBy("candidate_id", "task_id").agg(status.alias("status"), F.when(~gone & ~invalid, F.round(F.avg("score"), 6)).alias("reward"))
+    return outputs(spark, sf_dir).groupBy("candidate_id", "task_id").agg(status.alias("status"), F.when(~gone & ~invalid, F.round(F.avg("score"), 9)).alias("reward"))
 
 
 @query(ctes("traces") + "SELECT trace_id, count(*) FILTER (WHERE component_id = 'assistant') AS n_component, count(*) FILTER (WHERE component_id = 'assistant' AND trace_index = 1) AS at_index, count(*) FILTER (WHERE component_id = 'assistant') = 1 AND count(*) FILTER (WHERE component_id = 'assistant' AND trace_index = 1) = 1 AS usable FROM traces GROUP BY trace_id")
@@ -79,10 +79,10 @@ def _overlap(output: pd.Series, gold: pd.Series) -> pd.Series:
 
 @query("""WITH p AS (SELECT a.trace_id, a.trace_index, coalesce(a.text, '') AS o, coalesce(b.text, '') AS g FROM (SELECT conv_id AS trace_id, turn::BIGINT AS trace_index, text FROM conversations) a JOIN (SELECT conv_id AS trace_id, turn::BIGINT + 1 AS trace_index, text FROM conversations) b USING (trace_id, trace_index)),
 w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(o, '\\s+'), lambda x: x <> '')) AS ow, list_distinct(list_filter(regexp_split_to_array(g, '\\s+'), lambda x: x <> '')) AS gw FROM p)
-SELECT trace_id, trace_index, CASE WHEN len(gw) > 0 THEN round(len(list_intersect(ow, gw)) / len(gw), 6) END AS score, len(gw) = 0 AS failed FROM w""")
+SELECT trace_id, trace_index, CASE WHEN len(gw) > 0 THEN round(len(list_intersect(ow, gw)) / len(gw), 9) END AS score, len(gw) = 0 AS failed FROM w""")
 def scoring_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn scored by a custom metric against the turn before it."""
     t = traces(spark, sf_dir)
     before = t.select("trace_id", (F.col("trace_index") + 1).alias("trace_index"), F.col("text").alias("gold"))
     scored = t.join(before, ["trace_id", "trace_index"]).withColumn("s", scorer(_overlap)(F.col("text"), F.col("gold")))
-    return scored.select("trace_id", "trace_index", F.round("s.score", 6).alias("score"), "s.failed")
+    return scored.select("trace_id", "trace_index", F.round("s.score", 9).alias("score"), "s.failed")

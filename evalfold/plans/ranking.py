@@ -17,16 +17,16 @@ def rank_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ctes("proposals") + """, r AS (SELECT DISTINCT round_index FROM proposals),
-b AS (SELECT round_index, count(*) AS n, max(reward) AS batch_max, round(avg(reward), 6) AS batch_mean, min(reward) AS batch_min, round(stddev_pop(reward), 6) AS batch_std FROM proposals GROUP BY round_index),
+b AS (SELECT round_index, count(*) AS n, max(reward) AS batch_max, round(avg(reward), 9) AS batch_mean, min(reward) AS batch_min, round(stddev_pop(reward), 9) AS batch_std FROM proposals GROUP BY round_index),
 s AS (SELECT r.round_index, instruction, max(reward) AS reward, min(ordinal) AS o FROM r JOIN proposals p ON p.round_index <= r.round_index GROUP BY ALL),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY round_index ORDER BY reward DESC, o) <= 10)
-SELECT * FROM b JOIN (SELECT round_index, count(*) AS n_best, max(reward) AS best_max, round(avg(reward), 6) AS best_mean, min(reward) AS best_min, round(stddev_pop(reward), 6) AS best_std FROM t GROUP BY round_index) USING (round_index)""")
+SELECT * FROM b JOIN (SELECT round_index, count(*) AS n_best, max(reward) AS best_max, round(avg(reward), 9) AS best_mean, min(reward) AS best_min, round(stddev_pop(reward), 9) AS best_std FROM t GROUP BY round_index) USING (round_index)""")
 def round_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewards of every round and of the ten best instructions so far."""
     return R.round_stats(proposals(spark, sf_dir), 10)
 
 
-_PROMOTE = ctes("study") + """, c AS (SELECT combination, round(avg(score) FILTER (WHERE NOT is_full), 6) AS mean, min(trial_number) AS first_trial, bool_or(is_full) AS promoted FROM study GROUP BY combination),
+_PROMOTE = ctes("study") + """, c AS (SELECT combination, round(avg(score) FILTER (WHERE NOT is_full), 9) AS mean, min(trial_number) AS first_trial, bool_or(is_full) AS promoted FROM study GROUP BY combination),
 k AS (SELECT *, row_number() OVER (ORDER BY mean DESC, first_trial) AS rank FROM c WHERE mean IS NOT NULL)
 SELECT *, rank = coalesce((SELECT min(rank) FROM k WHERE NOT promoted), (SELECT max(rank) FROM k)) AS is_next FROM k"""
 
@@ -44,10 +44,10 @@ def best_full_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study(spark, sf_dir).filter("is_full").groupBy("combination").agg(best).select("combination", F.col("b.score").alias("score"), (-F.col("b.t")).alias("trial_number"))
 
 
-@query(ctes("study") + ", b AS (SELECT combination, is_full, count(*) AS n, round(avg(score), 6) AS mean, min(trial_number) AS f FROM study GROUP BY combination, is_full) SELECT combination, is_full, n, mean, row_number() OVER (PARTITION BY is_full ORDER BY mean DESC, f) AS rank FROM b")
+@query(ctes("study") + ", b AS (SELECT combination, is_full, count(*) AS n, round(avg(score), 9) AS mean, min(trial_number) AS f FROM study GROUP BY combination, is_full) SELECT combination, is_full, n, mean, row_number() OVER (PARTITION BY is_full ORDER BY mean DESC, f) AS rank FROM b")
 def leaderboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaderboards of full and of minibatch evaluations."""
-    by = study(spark, sf_dir).groupBy("combination", "is_full").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("trial_number").alias("_first"))
+    by = study(spark, sf_dir).groupBy("combination", "is_full").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean"), F.min("trial_number").alias("_first"))
     return R.ranked(by, [F.col("mean").desc(), "_first"], within=["is_full"]).drop("_first")
 
 
@@ -70,10 +70,10 @@ def pareto_front_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pareto_front(read(spark, sf_dir, "part").select(F.lit("all").alias("group_id"), F.col("p_partkey").alias("id"), F.col("p_size").alias("quality"), F.col("p_retailprice").alias("price")))
 
 
-@query(ctes("trials") + ", s AS (SELECT task_id, candidate_id, round(avg(score), 6) AS score FROM trials WHERE state = 'scored' GROUP BY ALL) SELECT task_id, candidate_id, score FROM s QUALIFY score = max(score) OVER (PARTITION BY task_id)")
+@query(ctes("trials") + ", s AS (SELECT task_id, candidate_id, round(avg(score), 9) AS score FROM trials WHERE state = 'scored' GROUP BY ALL) SELECT task_id, candidate_id, score FROM s QUALIFY score = max(score) OVER (PARTITION BY task_id)")
 def per_instance_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates that are best at each task, ties included."""
-    s = trials(spark, sf_dir).filter("state = 'scored'").groupBy("task_id", "candidate_id").agg(F.round(F.avg("score"), 6).alias("score"))
+    s = trials(spark, sf_dir).filter("state = 'scored'").groupBy("task_id", "candidate_id").agg(F.round(F.avg("score"), 9).alias("score"))
     return s.withColumn("_best", F.max("score").over(Window.partitionBy("task_id"))).filter("score = _best").drop("_best")
 
 

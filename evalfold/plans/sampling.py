@@ -75,12 +75,12 @@ def bootstrap_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.faithful_resamples(values.withColumnRenamed("candidate_id", "group_id"), 100, 9)
 
 
-@query(ctes("outputs") + ", b AS (SELECT candidate_id, task_id, coalesce(score, 0.0::DOUBLE) AS score, failed OR missing OR invalid AS bad FROM outputs) SELECT candidate_id, task_id, count(*) AS n, round(avg(score), 6) AS score, count(*) FILTER (WHERE bad) AS n_failed, bool_and(NOT bad) AS has_objectives FROM b GROUP BY ALL")
+@query(ctes("outputs") + ", b AS (SELECT candidate_id, task_id, coalesce(score, 0.0::DOUBLE) AS score, failed OR missing OR invalid AS bad FROM outputs) SELECT candidate_id, task_id, count(*) AS n, round(avg(score), 9) AS score, count(*) FILTER (WHERE bad) AS n_failed, bool_and(NOT bad) AS has_objectives FROM b GROUP BY ALL")
 def gepa_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch scores of each candidate and task, failed rows as 0; objectives only where no row failed."""
     bad = F.col("failed") | F.col("missing") | F.col("invalid")
     o = outputs(spark, sf_dir).select("candidate_id", "task_id", F.coalesce("score", F.lit(0.0)).alias("score"), bad.alias("bad"))
-    return o.groupBy("candidate_id", "task_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"), F.count_if("bad").alias("n_failed"), F.min(~F.col("bad")).alias("has_objectives"))
+    return o.groupBy("candidate_id", "task_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("score"), F.count_if("bad").alias("n_failed"), F.min(~F.col("bad")).alias("has_objectives"))
 
 
 @query(ctes("outputs") + "SELECT candidate_id, task_id, event_id, failure_code FROM outputs WHERE NOT missing QUALIFY row_number() OVER (PARTITION BY candidate_id, task_id ORDER BY failure_code <> '' DESC, md5(event_id::VARCHAR)) = 1")

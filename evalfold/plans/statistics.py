@@ -30,7 +30,7 @@ me AS (SELECT {key}, r, round(avg(value), 9) AS mean FROM dr JOIN vals USING ({k
 so AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY mean, r) - 1 AS pos FROM me),
 ag AS (SELECT {key}, max(mean) FILTER (WHERE pos = {low}) AS lo, max(mean) FILTER (WHERE pos = {high}) AS hi, 2 * least(count(*) FILTER (WHERE mean <= 0) / {RESAMPLES}, count(*) FILTER (WHERE mean >= 0) / {RESAMPLES}) AS p2 FROM so GROUP BY {key}),
 po AS (SELECT {key}, count(*) AS n, avg(value) AS point FROM vals GROUP BY {key})
-SELECT {key}, n, round(point, 6) AS point, round(CASE WHEN n = 1 THEN point ELSE lo END, 6) AS low, round(CASE WHEN n = 1 THEN point ELSE hi END, 6) AS high, CASE WHEN n = 1 THEN 1.0 ELSE round(least(1.0, greatest({1.0 / RESAMPLES}, p2)), 6) END::DOUBLE AS p, low > 0 OR high < 0 AS excludes_zero FROM ag JOIN po USING ({key})"""
+SELECT {key}, n, round(point, 9) AS point, round(CASE WHEN n = 1 THEN point ELSE lo END, 9) AS low, round(CASE WHEN n = 1 THEN point ELSE hi END, 9) AS high, CASE WHEN n = 1 THEN 1.0 ELSE round(least(1.0, greatest({1.0 / RESAMPLES}, p2)), 9) END::DOUBLE AS p, low > 0 OR high < 0 AS excludes_zero FROM ag JOIN po USING ({key})"""
 
 
 def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,16 +67,16 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ci(deltas(spark, sf_dir), "candidate_id")
 
 
-@query(_DELTAS + "SELECT candidate_id, count(*) AS n, round(avg(value), 6) AS delta, count(*) FILTER (WHERE value > 0) AS wins, count(*) FILTER (WHERE value < 0) AS losses FROM de GROUP BY candidate_id")
+@query(_DELTAS + "SELECT candidate_id, count(*) AS n, round(avg(value), 9) AS delta, count(*) FILTER (WHERE value > 0) AS wins, count(*) FILTER (WHERE value < 0) AS losses FROM de GROUP BY candidate_id")
 def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean paired differences to the baseline, wins and losses."""
-    return deltas(spark, sf_dir).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("delta"), F.count_if(F.col("value") > 0).alias("wins"), F.count_if(F.col("value") < 0).alias("losses"))
+    return deltas(spark, sf_dir).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("delta"), F.count_if(F.col("value") > 0).alias("wins"), F.count_if(F.col("value") < 0).alias("losses"))
 
 
-@query(_SCORES + "SELECT candidate_id, count(*) AS n, round(avg(value), 6) AS point, round(min(value), 6) AS least, round(max(value), 6) AS most FROM ts GROUP BY candidate_id")
+@query(_SCORES + "SELECT candidate_id, count(*) AS n, round(avg(value), 9) AS point, round(min(value), 9) AS least, round(max(value), 9) AS most FROM ts GROUP BY candidate_id")
 def bootstrap_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point estimates of the means that are resampled."""
-    return task_scores(spark, sf_dir).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("point"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+    return task_scores(spark, sf_dir).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("point"), F.round(F.min("value"), 9).alias("least"), F.round(F.max("value"), 9).alias("most"))
 
 
 @query("""WITH p AS (SELECT p_brand AS family, p_partkey AS id, (('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT % 10000) / 100000.0::DOUBLE AS p FROM part),
@@ -90,7 +90,7 @@ def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT = _DELTAS + """, g AS (SELECT candidate_id, count(*) AS n, least(1.0, greatest(0.0, avg(base)))::DOUBLE AS base_rate, (avg(base * (1 - base)) + avg(arm * (1 - arm))) / 2 AS noise, coalesce(var_samp(base), 0) AS v, coalesce(var_samp(arm - base), 0) AS d FROM de GROUP BY candidate_id),
-vd AS (SELECT candidate_id, n, round(base_rate, 6) AS base_rate, round(base_rate * (1 - base_rate), 6) AS within, round(greatest(0.0, v - noise / 13), 6)::DOUBLE AS between_, round(greatest(0.0, d - 2 * noise / 13), 6)::DOUBLE AS interaction FROM g)"""
+vd AS (SELECT candidate_id, n, round(base_rate, 9) AS base_rate, round(base_rate * (1 - base_rate), 9) AS within, round(greatest(0.0, v - noise / 13), 9)::DOUBLE AS between_, round(greatest(0.0, d - 2 * noise / 13), 9)::DOUBLE AS interaction FROM g)"""
 
 
 @query(_SPLIT + 'SELECT candidate_id, n, base_rate, within, between_ AS "between", interaction, within > between_ AS noisy FROM vd')
@@ -100,37 +100,37 @@ def variance_decomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.decompose_variance(pairs, ["candidate_id"], 13)
 
 
-@query(_DELTAS + "SELECT candidate_id, round(greatest(0, avg(arm) - avg(base)), 6)::DOUBLE AS headroom, round(0.5 * greatest(0, avg(arm) - avg(base)), 6)::DOUBLE AS target FROM de GROUP BY candidate_id")
+@query(_DELTAS + "SELECT candidate_id, round(greatest(0, avg(arm) - avg(base)), 9)::DOUBLE AS headroom, round(0.5 * greatest(0, avg(arm) - avg(base)), 9)::DOUBLE AS target FROM de GROUP BY candidate_id")
 def power_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each candidate lies above the baseline, and half of that as a target."""
     room = F.greatest(F.lit(0.0), F.avg("arm") - F.avg("base"))
-    return deltas(spark, sf_dir).groupBy("candidate_id").agg(F.round(room, 6).alias("headroom"), F.round(room * 0.5, 6).alias("target"))
+    return deltas(spark, sf_dir).groupBy("candidate_id").agg(F.round(room, 9).alias("headroom"), F.round(room * 0.5, 9).alias("target"))
 
 
-@query(_SPLIT + f"SELECT candidate_id, t AS tasks, k AS repeats, t * k AS calls, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / k, 0.0::DOUBLE) / t), 6) AS detectable FROM vd, range(1, 151) AS a(t), range(1, 17) AS b(k)")
+@query(_SPLIT + f"SELECT candidate_id, t AS tasks, k AS repeats, t * k AS calls, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / k, 0.0::DOUBLE) / t), 9) AS detectable FROM vd, range(1, 151) AS a(t), range(1, 17) AS b(k)")
 def power_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least detectable difference for every number of tasks (to 150) and repeats (to 16)."""
     grid = variance_decomp(spark, sf_dir).withColumn("tasks", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(150).cast("long")))).withColumn("repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long"))))
     value = S.detectable(F.col("tasks"), F.col("repeats"), F.col("within"), F.col("interaction"), _MULTIPLIER)
-    return grid.select("candidate_id", "tasks", "repeats", (F.col("tasks") * F.col("repeats")).alias("calls"), F.round(value, 6).alias("detectable"))
+    return grid.select("candidate_id", "tasks", "repeats", (F.col("tasks") * F.col("repeats")).alias("calls"), F.round(value, 9).alias("detectable"))
 
 
 _CALIBRATED = _interval(_DELTA_VALUES, "candidate_id").replace("\nSELECT candidate_id, n,", ",\nci AS (SELECT candidate_id, n,", 1) + ")" + _SPLIT[len(_DELTAS):]
 
 
-@query(_CALIBRATED + f"SELECT candidate_id, ci.n, point, low, high, p, excludes_zero, within, interaction, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / 13, 0.0::DOUBLE) / ci.n), 6) AS detectable FROM ci JOIN vd USING (candidate_id)")
+@query(_CALIBRATED + f"SELECT candidate_id, ci.n, point, low, high, p, excludes_zero, within, interaction, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / 13, 0.0::DOUBLE) / ci.n), 9) AS detectable FROM ci JOIN vd USING (candidate_id)")
 def anchor_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate's interval against the baseline and the difference that this many tasks could detect."""
     ci, vd = bootstrap_ci(spark, sf_dir), variance_decomp(spark, sf_dir).select("candidate_id", "within", "interaction")
     value = S.detectable(F.col("n"), F.lit(13), F.col("within"), F.col("interaction"), _MULTIPLIER)
-    return ci.join(vd, "candidate_id").withColumn("detectable", F.round(value, 6))
+    return ci.join(vd, "candidate_id").withColumn("detectable", F.round(value, 9))
 
 
-@query(_CALIBRATED + f"SELECT candidate_id, ratio, point, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / 13, 0.0::DOUBLE) / (ci.n * ratio)), 6) AS detectable, abs(point) >= detectable AS detected FROM ci JOIN vd USING (candidate_id), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) AS b(ratio)")
+@query(_CALIBRATED + f"SELECT candidate_id, ratio, point, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / 13, 0.0::DOUBLE) / (ci.n * ratio)), 9) AS detectable, abs(point) >= detectable AS detected FROM ci JOIN vd USING (candidate_id), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) AS b(ratio)")
 def anchor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calibration at several ratios of the budget of tasks."""
     a = anchor_calibration(spark, sf_dir).withColumn("ratio", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0)))))
-    value = F.round(S.detectable(F.col("n") * F.col("ratio"), F.lit(13), F.col("within"), F.col("interaction"), _MULTIPLIER), 6)
+    value = F.round(S.detectable(F.col("n") * F.col("ratio"), F.lit(13), F.col("within"), F.col("interaction"), _MULTIPLIER), 9)
     return a.select("candidate_id", "ratio", "point", value.alias("detectable"), (F.abs("point") >= value).alias("detected"))
 
 

@@ -113,7 +113,7 @@ def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, rate): the share of good labels in the task's source."""
     d = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels")
-    rates = d.join(labels, "doc_id").groupBy("source").agg(F.round(F.avg(F.col("quality").cast("double")), 6).alias("rate"))
+    rates = d.join(labels, "doc_id").groupBy("source").agg(F.round(F.avg(F.col("quality").cast("double")), 9).alias("rate"))
     return d.join(rates, "source").select(F.col("doc_id").alias("task_id"), "rate")
 
 
@@ -125,7 +125,7 @@ def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored trials of a study: trial_number, combination, score, is_full (every sixth)."""
     o = read(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("trial_number"), (F.col("o_custkey") % 60).alias("combination"), F.round(F.col("o_totalprice") / 1000, 2).alias("score"), ((F.col("o_orderkey") % 6) == 5).alias("is_full"))
+    return o.select(F.col("o_orderkey").alias("trial_number"), (F.col("o_custkey") % 60).alias("combination"), (F.floor(F.col("o_totalprice") / 10 + 0.5) / 100).alias("score"), ((F.col("o_orderkey") % 6) == 5).alias("is_full"))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +155,8 @@ _CTE = {
     "splits": """splits AS (SELECT doc_id, CASE WHEN doc_id % 10 < 6 THEN 'internal_eval' WHEN doc_id % 10 < 8 THEN 'official' ELSE 'held_out' END AS role, md5(coalesce(text, '')) AS task_hash, source, lang FROM documents)""",
     "manifest": """manifest AS (SELECT lang AS pool_key, role, doc_id AS task_id, source, row_number() OVER (PARTITION BY lang, role ORDER BY doc_id) - 1 AS pos
   FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS role FROM documents))""",
-    "pass_rates": """pass_rates AS (SELECT d.doc_id AS task_id, rate FROM documents d JOIN (SELECT source, round(avg(quality::DOUBLE), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source) USING (source))""",
-    "study": "study AS (SELECT o_orderkey AS trial_number, o_custkey % 60 AS combination, round(o_totalprice / 1000, 2) AS score, o_orderkey % 6 = 5 AS is_full FROM orders)",
+    "pass_rates": """pass_rates AS (SELECT d.doc_id AS task_id, rate FROM documents d JOIN (SELECT source, round(avg(quality::DOUBLE), 9) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source) USING (source))""",
+    "study": "study AS (SELECT o_orderkey AS trial_number, o_custkey % 60 AS combination, floor(o_totalprice / 10 + 0.5) / 100 AS score, o_orderkey % 6 = 5 AS is_full FROM orders)",
     "traces": "traces AS (SELECT conv_id AS trace_id, turn::BIGINT AS trace_index, role AS component_id, text FROM conversations)",
 }
 _NEEDS = {"outputs": ["trials"]}
