@@ -36,9 +36,12 @@ def round_stats(attempts: DataFrame, best: int) -> DataFrame:
     batch = attempts.groupBy("round_index").agg(F.count(F.lit(1)).alias("n"), *summary("batch_"))
     by_round = attempts.groupBy("instruction", "round_index").agg(F.max("reward").alias("r"), F.min("ordinal").alias("o"))
     w = Window.partitionBy("instruction").orderBy("round_index")
-    so_far = by_round.select("instruction", "round_index", F.max("r").over(w).alias("reward"), F.min("o").over(w).alias("first_ordinal"), F.lead("round_index").over(w).alias("until"))
-    rounds = batch.select(F.col("round_index").alias("at"))
-    live = rounds.join(so_far, (F.col("round_index") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    so_far = by_round.select("instruction", "round_index", F.max("r").over(w).alias("reward"), F.min("o").over(w).alias("first_ordinal"))
+    before = F.lag("reward").over(w)
+    changes = so_far.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("reward") > F.col("_before"))).drop("_before")
+    last = attempts.agg(F.max("round_index")).first()[0]
+    until = F.coalesce(F.lead("round_index").over(w) - 1, F.lit(last))
+    live = changes.withColumn("until", until).withColumn("at", F.explode(F.sequence("round_index", "until"))).join(batch.select(F.col("round_index").alias("at")), "at")
     top = ranked(live, [F.col("reward").desc(), "first_ordinal"], within=["at"]).filter(F.col("rank") <= best)
     return batch.join(top.groupBy(F.col("at").alias("round_index")).agg(F.count(F.lit(1)).alias("n_best"), *summary("best_")), "round_index")
 

@@ -168,3 +168,28 @@ def test_records(spark, tmp_path):
     cache = spark.createDataFrame([("k", 1, "old")], "key string, at long, value string")
     got = records.insert_absent(spark.createDataFrame([("k", 0, "x"), ("l", 5, "late"), ("l", 3, "early")], cache.schema), cache)
     assert {(r.key, r.value) for r in got.collect()} == {("k", "old"), ("l", "early")}
+
+
+def test_numbers_within_large_groups(spark):
+    r = random.Random(6)
+    rows = [(r.choice("aab"), i, r.randrange(9)) for i in r.sample(range(5000), 400)]
+    df = spark.createDataFrame(rows, "k string, o long, v long").repartition(4)
+    got = {x.o: (x.n, x.total) for x in logs.numbered(logs.numbered(df, ["k"], F.floor(F.col("o") / 100), ["o"], "n"), ["k"], F.floor(F.col("o") / 70), ["o"], "total", "v").collect()}
+    count, total = {}, {}
+    for k, o, v in sorted(rows, key=lambda x: x[1]):
+        count[k], total[k] = count.get(k, 0) + 1, total.get(k, 0) + v
+        assert got[o] == (count[k], total[k])
+
+
+def test_round_stats_over_rounds(spark):
+    r = random.Random(8)
+    rows = [(i, i // 5, f"i{r.randrange(30)}", float(r.randrange(40))) for i in range(150)]
+    got = {x.round_index: x for x in ranking.round_stats(spark.createDataFrame(rows, "ordinal long, round_index long, instruction string, reward double"), 4).collect()}
+    for at in range(30):
+        best, first = {}, {}
+        for o, rd, name, reward in rows:
+            if rd <= at:
+                first.setdefault(name, o)
+                best[name] = max(best.get(name, -1.0), reward)
+        top = sorted(best, key=lambda n: (-best[n], first[n]))[:4]
+        assert (got[at].n_best, got[at].best_max, got[at].best_min) == (len(top), best[top[0]], best[top[-1]])
