@@ -137,7 +137,7 @@ def check_row_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.not_exclusive(outputs(spark, sf_dir)).select("event_id")
 
 
-@query(PLAN + "SELECT candidate_id, task_id, seed_index FROM rows_ WHERE seed_index > 0 AND state = 'missing' AND score IS NOT NULL")
+@query(PLAN + "SELECT candidate_id, task_id, seed_index FROM trials WHERE (candidate_id, task_id, seed_index) NOT IN (SELECT candidate_id, task_id, seed_index FROM plan) UNION ALL SELECT candidate_id, task_id, seed_index FROM trials GROUP BY ALL HAVING count(*) > 1")
 def check_unplanned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed trials outside the plan, or observed twice (none)."""
     t = trials(spark, sf_dir)
