@@ -249,3 +249,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by distinct 2-word shingles and similarity 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents"), k=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT s.doc_id, n, shingle FROM s JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b
+      ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

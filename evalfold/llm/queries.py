@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
