@@ -22,6 +22,19 @@ def test_index_resolves_every_document(docs):
         assert (r.keep_id, r.group_size) == (max(by[bytes(r.digest)]), len(by[bytes(r.digest)]))
 
 
+def test_latest_stays_through_both_branches(docs, no_docs, spark):
+    got = E.latest_stays(docs).toPandas()
+    by = defaultdict(list)
+    for i, t, *_ in rows():
+        by[hashlib.sha256((t or "").encode()).digest()].append(i)
+    assert len(got) == len(rows()) and 0 < got.historical.sum() < len(got)
+    for r in got.itertuples():
+        assert (r.keep_id, r.group_size) == (max(by[bytes(r.digest)]), len(by[bytes(r.digest)]))
+    assert E.latest_stays(no_docs).count() == 0
+    alone = E.latest_stays(spark.createDataFrame([(None, "a"), (None, "a"), (5, "b"), (None, "b")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in alone) == [(0, 0, 2), (0, 0, 2), (0, 5, 2), (5, 5, 2)]
+
+
 def test_nonmembers_group_apart(spark):
     old = E.digests(spark.createDataFrame([(900, "seen"), (901, "seen too")], "doc_id long, text string"))
     new = E.digests(spark.createDataFrame([(1, "seen"), (2, "new"), (3, "new"), (None, "new"), (None, "alone")], "doc_id long, text string"))
