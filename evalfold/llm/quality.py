@@ -26,8 +26,8 @@ from evalfold.llm.common import read, small_batches, staged
 from evalfold.llm.words import Words, mix, word_bytes
 
 HASHED = 1 << 14
-#: Lengths of runs of one token that have a bucket of their own, and how often one document counts for a bucket in the models.
-RUNS, CAP = 8, 8
+#: Lengths of runs of one token that have a bucket of their own.
+RUNS = 8
 BUCKETS = HASHED + RUNS
 #: Labelled documents of each class that are used (a documented bound; the ones with the least hashes of their ids).
 LABELLED = 20_000
@@ -72,7 +72,7 @@ def _labelled(labels: DataFrame, quality: int, bound: int) -> list[int]:
 
 
 def train(docs: DataFrame, target_ids: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each bucket occurs in all documents, and in the target documents; a document counts CAP times at most."""
+    """How often each bucket occurs in all documents, and in the target documents; every occurrence counts."""
     sent = docs.sparkSession.sparkContext.broadcast(target_ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,6 @@ def train(docs: DataFrame, target_ids: frozenset[int]) -> tuple[np.ndarray, np.n
             chosen = np.array([i in sent.value for i in batch.column("doc_id").to_pylist()], dtype=bool)
             for first, data, offsets in blocks(batch.column("text"), BLOCK_BYTES):
                 owner, at, times = ngrams(data, offsets)
-                times = np.minimum(times, CAP)
                 raw += np.bincount(at, weights=times, minlength=BUCKETS).astype(np.int64)
                 target += np.bincount(at, weights=times * chosen[first:][owner], minlength=BUCKETS).astype(np.int64)
         held = np.flatnonzero(raw)
@@ -98,11 +97,10 @@ def train(docs: DataFrame, target_ids: frozenset[int]) -> tuple[np.ndarray, np.n
 def _weights(owner: np.ndarray, at: np.ndarray, times: np.ndarray, chosen: np.ndarray, raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log weight of each text by the two models without the text itself, so that no text speaks for its own n-grams."""
     n = len(chosen)
-    own = np.minimum(times, CAP)
-    own_total = np.bincount(owner, weights=own, minlength=n)
+    own_total = np.bincount(owner, weights=times, minlength=n)
     raw_total, target_total = np.maximum(raw.sum() - own_total, 1.0), np.maximum(target.sum() - own_total * chosen, 0.0)
-    expected = (raw[at] - own) * (target_total / raw_total)[owner]
-    seen = target[at] - own * chosen[owner]
+    expected = (raw[at] - times) * (target_total / raw_total)[owner]
+    seen = target[at] - times * chosen[owner]
     total = np.bincount(owner, weights=times * np.log((seen + PRIOR) / (expected + PRIOR)), minlength=n)
     sizes = np.bincount(owner, weights=times, minlength=n)
     return total * (np.minimum(sizes, LENGTH) / np.maximum(sizes, 1.0))

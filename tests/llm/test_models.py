@@ -31,6 +31,14 @@ def test_quality_edges(spark, docs, no_docs):
     assert Q.resample(no_docs, labels).count() == 0
 
 
+def test_quality_counts_every_occurrence(spark):
+    docs = spark.createDataFrame([(1, "one two " * 50), (2, "three " * 30), (3, "four")], "doc_id long, text string")
+    raw, target = Q.train(docs, frozenset([1]))
+    assert (raw.sum(), target.sum(), raw.max()) == (100 + 99 + 30 + 29 + 1, 100 + 99, 50)
+    # Without its own text no target is left, so the only target document says nothing for itself.
+    assert Q.log_weights(docs, raw, target, frozenset([1])).filter("doc_id = 1").first().log_weight == 0
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 500, 999, 1000, 2000])
 def test_kth_largest_is_exact(spark, k):
     from pyspark.sql import functions as F
