@@ -51,6 +51,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def repeatable(df: DataFrame) -> bool:
+    """Whether each evaluation of `df` surely gives the same rows in the same order in the same partitions: files, columns, filters only."""
+    execution = df._jdf.queryExecution()
+    nodes = [execution.sparkPlan()]
+    for node in nodes:
+        if node.getClass().getSimpleName() not in ("FileSourceScanExec", "ProjectExec", "FilterExec"):
+            return False
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return execution.optimizedPlan().deterministic()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

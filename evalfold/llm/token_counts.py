@@ -8,7 +8,8 @@ pre-tokens and a sparse matrix: for each document, numbers of pre-tokens in that
 2. The counts go back to their blocks as arrays and meet the matrix there: a document's tokens are the sum of frequency
    times count. Ids of a document are never made, and only distinct entries and small integers are shuffled, not texts.
 
-Blocks are made in the same way whenever a task is run again, so both sides of the join agree on their numbers.
+Blocks are made in the same way whenever a task is run again over the same rows, so both sides of the join agree on their
+numbers. Rows that are not read straight from files may come in another order each time, so they are written first.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalfold.llm.common import read, small_batches
+from evalfold.llm.common import read, repeatable, small_batches, staged
 
 BLOCK_ENTRIES = 1_000_000
 #: Bits of an entry's number within its block, and of a block's number within its task.
@@ -130,6 +131,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
     Rows that repeat, or lack a doc_id, are each reported.
     """
     docs = small_batches(docs).select("doc_id", "text")
+    if not repeatable(docs):
+        docs = staged(docs, "counted")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *_, words in _blocks(batches, path, block_entries):

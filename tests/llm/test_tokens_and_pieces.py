@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from evalfold.llm.common import repeatable
 from evalfold.llm.sentence_pieces import Pieces, encode, sample_pieces
 from evalfold.llm.token_counts import PreTokens, token_counts
 from evalfold.llm.words import mix
@@ -29,6 +30,28 @@ def test_counts_equal_the_library(docs, entries):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text[r.doc_id].encode()), n, n > 1024)
 
 
+def test_counts_of_rows_in_another_order_each_time(spark):
+    import uuid
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    text = {i: "word " * (i % 7) + f"number{i} and internationalisation{i * i}" for i in range(300)}
+    docs = spark.createDataFrame([*text.items()], "doc_id long, text string")
+    # Python's uuid4 gives another order in each evaluation, as fetched blocks of a shuffle may.
+    shuffled = docs.repartition(2).mapInPandas(lambda frames: (x.assign(o=[uuid.uuid4().hex for _ in range(len(x))]).sort_values("o")[["doc_id", "text"]] for x in frames), docs.schema)
+    got = {r.doc_id: r.n_tokens for r in token_counts(shuffled, BPE, block_entries=50).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in text.items()}
+
+
+def test_what_is_repeatable(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert repeatable(files.select("doc_id", "text")) and repeatable(files.filter("doc_id > 3").select("doc_id"))
+    assert not any(map(repeatable, (files.filter(F.rand() > 0.5), files.repartition(3, "doc_id"), files.join(files.limit(3).select("doc_id"), "doc_id", "left_anti"))))
+
+
 def test_splitting_equals_the_library():
     from tokenizers import Tokenizer
 
