@@ -2,7 +2,8 @@
 
 Two first-order Markov models over the characters of tokens are trained from labelled samples. A token's score is the mean
 log-likelihood ratio of its transitions under the two models; tokens over a threshold, calibrated so that at most
-FALSE_RATE of the ordinary samples pass, are added to what the patterns find. A pattern's matches always stay.
+FALSE_RATE of the ordinary samples pass, are added to what the patterns find. Tokens under LONG characters have models
+of their own, whose ordinary samples hold words of any letters too, and a threshold for each length. A pattern's matches always stay.
 
 Everything is column expressions inside the scan: no shuffle, no Python on executors. The model is a table of as many
 numbers as there are pairs of ASCII characters; its training reads the samples only.
@@ -23,13 +24,15 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
-LEAST = {"assign": 12, "access": 18, "hex": 16, "markov": 20}
+LEAST = {"assign": 12, "access": 18, "hex": 16, "markov": 12}
 
 #: Characters and least length of the tokens that the models judge.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Labelled samples of each class that train the models (a documented bound), and the share of ordinary ones let through.
 SAMPLES, FALSE_RATE = 6000, 0.001
+#: Length from which tokens share one threshold.
+LONG = 20
 #: Matches whose lengths are summed together when positions are computed.
 STRIDE = 256
 
@@ -77,12 +80,15 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), let(found, placed)).otherwise(_empty("string"))
 
 
+def _secret() -> Column:
+    """A random string of the row's id in one of four alphabets."""
+    base64 = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit("/a")), 512))), "\r\n", "")
+    return F.when(F.col("id") % 4 == 0, F.translate(base64, "+/", "xY")).when(F.col("id") % 4 == 1, base64).when(F.col("id") % 4 == 2, F.upper(F.translate(base64, "+/=", "q7z"))).otherwise(F.translate(base64, "+/", "-_"))
+
+
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     """(token, random) rows made from hashes of a counter: random strings in several alphabets; identifiers, words, numbers."""
-    h = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{salt}")), 512)
     size = (F.lit(20) + F.pmod(F.xxhash64("id"), F.lit(28))).cast("int")
-    base64 = F.translate(F.base64(F.unhex(h("a"))), "\r\n", "")
-    secret = F.when(F.col("id") % 4 == 0, F.translate(base64, "+/", "xY")).when(F.col("id") % 4 == 1, base64).when(F.col("id") % 4 == 2, F.upper(F.translate(base64, "+/=", "q7z"))).otherwise(F.translate(base64, "+/", "-_"))
     words = F.array(*map(F.lit, _WORDS))
     word = lambda i: F.get(words, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(_WORDS))).cast("int"))
     five = F.array(*map(word, range(5)))
@@ -93,7 +99,27 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         .otherwise(F.concat(F.array_join(five, ""), F.repeat(F.lit("=-"), 3), F.abs(F.xxhash64("id", F.lit(9))).cast("string")))
     )
     ids = spark.range(n)
-    return ids.select(F.substring(secret, F.lit(1), size).alias("token"), F.lit(True).alias("random")).unionByName(ids.select(plain.alias("token"), F.lit(False).alias("random")))
+    return ids.select(F.substring(_secret(), F.lit(1), size).alias("token"), F.lit(True).alias("random")).unionByName(ids.select(plain.alias("token"), F.lit(False).alias("random")))
+
+
+def short_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+    """(token, random) rows, `n` of each class and length under LONG: random strings; identifiers, numbers, dates, and any letters of one case."""
+    words = F.array(*map(F.lit, _WORDS))
+    lengths = LONG - LEAST["markov"]
+    i, size = F.floor(F.col("id") / (4 * lengths)) * 4 + F.col("id") % 4, (F.floor(F.col("id") / 4) % lengths + LEAST["markov"]).cast("int")
+    h = lambda salt: F.abs(F.xxhash64("id", F.lit(salt)))
+    five = F.array(*(F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_WORDS))).cast("int")) for k in range(6)))
+    camel = F.array_join(F.transform(five, lambda w: F.initcap(w)), "")
+    digits = F.lpad(h("digits").cast("string"), LONG, "7")
+    letters = F.regexp_replace(F.lower(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit("/letters")), 512)))), "[^a-z]", "")
+    styles = [
+        letters, F.initcap(letters), F.upper(letters),
+        F.array_join(five, "_"), F.array_join(five, "-"), camel, F.upper(F.array_join(five, "_")), F.array_join(five, "/"), F.array_join(five, ""), F.concat(F.lower(F.substring(camel, 1, 1)), F.substring(camel, 2, LONG)),
+        F.concat(F.get(five, F.lit(0)), digits), F.concat(F.get(five, F.lit(0)), F.get(five, F.lit(1)), F.lit("_"), digits), digits, F.concat(F.date_add(F.lit("2000-01-01").cast("date"), (h("day") % 20_000).cast("int")).cast("string"), F.lit("T"), digits),
+    ]
+    style = F.element_at(F.array(*styles), (i % len(styles) + 1).cast("int"))
+    ids = spark.range(n * lengths)
+    return ids.select(F.substring(_secret(), F.lit(1), size).alias("token"), F.lit(True).alias("random")).unionByName(ids.select(F.substring(style, F.lit(1), size).alias("token"), F.lit(False).alias("random")))
 
 
 def _code(token: Column, i: Column) -> Column:
@@ -127,18 +153,34 @@ def train(samples: DataFrame, false_rate: float = FALSE_RATE) -> tuple[list[floa
     return table, max(0.0, passed) if passed is not None else math.inf
 
 
-def find_secrets(docs: DataFrame, table: list[float], threshold: float) -> DataFrame:
+def train_short(samples: DataFrame, false_rate: float = FALSE_RATE) -> tuple[list[float], list[float]]:
+    """The table of log ratios for tokens under LONG, and the threshold of each length from the least; inf where no ordinary sample has it."""
+    table, _ = train(samples, false_rate)
+    plain = samples.filter(~F.col("random") & F.length("token").between(LEAST["markov"], LONG - 1))
+    passed = dict(plain.groupBy(F.length("token")).agg(F.percentile_approx(score(F.col("token"), table), 1 - false_rate, 100_000)).collect())
+    return table, [max(0.0, passed.get(n, math.inf)) for n in range(LEAST["markov"], LONG)]
+
+
+def find_secrets(docs: DataFrame, table: list[float], threshold: float, short: tuple[list[float], list[float]] | None = None) -> DataFrame:
     """`docs` with `base` and `added`: arrays of (start, kind, end), kind a number in KINDS, each sorted.
 
-    A null or empty text has no span. An added span never overlaps a base span. Existing columns of these names are
-    replaced; other columns pass through.
+    short: what train_short gives for tokens under LONG; without it such tokens aren't judged. A null or empty text has no
+    span. An added span never lies wholly inside a base span. Existing columns of these names are replaced; other columns
+    pass through.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     least = lambda kind: lambda r: F.length(r["text"]) >= LEAST[kind]
     found = F.concat(F.filter(matches(text, ASSIGN, 0, 2), least("assign")), F.filter(matches(text, ACCESS, 1), least("access")), _hex(text))
     bare = lambda rows: F.array_sort(F.transform(rows, lambda r: F.struct(r["start"], r["kind"], r["end"])))
     tokens = matches(text, TOKEN, 3)
-    added = F.filter(tokens, lambda t: (score(t["text"], table) > threshold) & ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    inside = lambda t: F.exists(F.col("base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
+    score_long = lambda t: score(t["text"], table) > threshold
+    if short is not None:
+        passing = F.array(*map(F.lit, short[1]))
+        random = lambda t: F.when(F.length(t["text"]) >= LONG, score_long(t)).otherwise(score(t["text"], short[0]) > F.get(passing, F.length(t["text"]) - LEAST["markov"]))
+    else:
+        random = lambda t: (F.length(t["text"]) >= LONG) & score_long(t)
+    added = F.filter(tokens, lambda t: random(t) & ~inside(t))
     return docs.withColumn("base", bare(found)).withColumn("added", bare(added))
 
 
@@ -155,7 +197,7 @@ def render(spans: Column) -> Column:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
-    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"), *train(labelled_samples(spark)))
+    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"), *train(labelled_samples(spark)), train_short(short_samples(spark)))
     of = lambda c, k: F.size(F.filter(c, lambda r: r["kind"] == k)).cast("long")
     return found.select(
         "doc_id", of("base", 0).alias("n_assign"), of("base", 1).alias("n_access"), of("base", 2).alias("n_hex"), F.size("added").cast("long").alias("n_markov"),

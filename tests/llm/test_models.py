@@ -117,6 +117,24 @@ def test_random_strings_are_added_and_identifiers_not(spark, markov):
     assert sum(got[i] for i in range(40)) >= 38 and sum(got[i] for i in range(40, len(rows_))) == 0
 
 
+def test_short_random_strings_are_added_and_short_words_not(spark, markov):
+    import base64
+
+    short = X.train_short(X.short_samples(spark, 2000))
+    secret = [base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode()[: 12 + i % 8] for i in range(80)]
+    plain = ["configuration", "internationally", "getUserIndex", "max_file_count", "Versicherungen", "2024-01-02T10", "path/to/file", "123456789012", "responsabilidad", "laouauxeuxeux", "ONANLYSHBLEONND", "taasosllgaas", "MAX_OPEN_FILES"]
+    rows_ = [*enumerate([f"here {s} there" for s in secret + plain])]
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in X.find_secrets(spark.createDataFrame(rows_, "doc_id long, text string"), *markov, short).collect()}
+    assert sum(got[i] == [(5, 5 + len(secret[i]))] for i in range(80)) >= 72 and not any(got[i] for i in range(80, len(rows_)))
+
+
+def test_random_token_around_a_base_span_is_added_whole(spark, markov):
+    token = "qX7vT2mK9pL4" + "deadbeef01234567" + "sR8wZ1bN6cJ3"
+    got = X.find_secrets(spark.createDataFrame([(1, f"a {token} b"), (2, f'password = "{token}"')], "doc_id long, text string"), *markov).orderBy("doc_id").collect()
+    assert [(s.start, s.end) for s in got[0].base] == [(13, 30)] and [(s.start, s.end) for s in got[0].added] == [(2, 42)]
+    assert not got[1].added
+
+
 def test_training_without_samples(spark):
     table, threshold = X.train(spark.createDataFrame([], "token string, random boolean"))
     assert not any(table) and threshold == math.inf
