@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +16,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its
+    own, and a cluster fails: its executors could not read a folder of the driver's machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark, "_evalfold_dir", None)
     if own is None:
         own = spark._evalfold_dir = tempfile.mkdtemp(prefix="evalfold-")
@@ -26,16 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of an Arrow batch: texts are long, so Spark's usual 10,000 would hold much of a task's input in several copies at once.
 BATCH_ROWS = 2000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, after lowering its session's Arrow batches to BATCH_ROWS rows where they are larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """`df`, after lowering its session's Arrow batches to BATCH_ROWS rows where they are larger. Spark reads the setting when a
+    result is planned, so it stays until the end of a `workspace`."""
+    if not 0 < int(df.sparkSession.conf.get(_BATCHES)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCHES, str(BATCH_ROWS))
     return df
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Use operators and write their results inside; at the end the staged tables go and the Arrow setting is as it was."""
+    was = spark.conf.get(_BATCHES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCHES, was)
+        clear_staged(spark)
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/evalfold-{spark.sparkContext.applicationId}"
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalfold.llm.common import read, staged
+from evalfold.llm.common import free_name, read, staged
 
 #: Rows aimed at in a bucket of the numbering.
 SLOT_ROWS = 50_000
@@ -73,14 +73,17 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
 def with_slots(rows: DataFrame, by: str, order: list[str], buckets: int) -> DataFrame:
     """`rows` with `slot`: gapless numbers from 0 within each value of `by`, by bucket and `order`.
 
-    No task gets more than a bucket. Rows equal in every column of `order` take neighbouring slots.
+    No task gets more than a bucket, apart from rows that agree in every column of `order`: they take neighbouring slots. A
+    column `slot` is replaced; other columns pass through, whatever their names.
     """
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(by, "_bucket", before.alias("_start"))
-    numbered = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)))
-    return numbered.join(starts, [by, "_bucket"]).withColumn("slot", F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start")
+    rows = rows.drop("slot")
+    bucket, row, n, start = (free_name(rows, x) for x in ("bucket", "row", "rows_in", "start"))
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy(by, bucket).agg(F.count(F.lit(1)).alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(by, bucket, before.alias(start))
+    numbered = dealt.withColumn(row, F.row_number().over(Window.partitionBy(by, bucket).orderBy(*order)))
+    return numbered.join(starts, [by, bucket]).withColumn("slot", F.col(start) + F.col(row) - 1).drop(bucket, row, start)
 
 
 def shard_documents(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf]) -> DataFrame:

@@ -52,6 +52,17 @@ def test_hash_is_minimal_and_perfect(spark):
         assert r.starts[-1] == len(r.slots) and max(b - a for a, b in zip(r.starts, r.starts[1:])) <= E.LEAF_MAX
 
 
+def test_slots_are_numbered_through_the_whole_index(spark, monkeypatch):
+    monkeypatch.setattr(E, "RUN", 4)  # several runs and blocks of runs
+    d = E.digests(spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 2000 AS string) AS text"))
+    strangers = E.digests(spark.range(500).selectExpr("id AS doc_id", "concat('x', id) AS text"))
+    index, buckets = E.build_index(d)
+    got = E.lookup(d.unionByName(strangers), index, buckets).toPandas()
+    known = got[got.slot.notna()]
+    assert len(known) == 3000 and sorted(set(known.slot.astype(int))) == list(range(2000))
+    assert known.groupby("slot").digest.nunique().max() == 1 and known.groupby("digest").slot.nunique().max() == 1
+
+
 def test_empty_table(no_docs):
     d = E.digests(no_docs)
     assert E.resolve(d, *E.build_index(d)).count() == 0
@@ -83,11 +94,71 @@ def test_movement_stays_in_changed_subtrees(spark):
     assert (got[got.a == 5].b == 5).all()
 
 
+def test_draws_equal_a_plain_descent(spark):
+    import math
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    leaves = [S.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 3) for x in S.fleet(10)]
+
+    def draw(key, path, weight):
+        h = xxhash.xxh64_intdigest(path.encode(), seed=xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42))
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+    def descend(key, own, depth, path):
+        by = defaultdict(list)
+        for x in own:
+            by[(x.region, x.rack, x.shard)[depth]].append(x)
+        best = min(sorted(by), key=lambda n: draw(key, f"{path}/{n}", sum(x.weight for x in by[n]))) if len(by) > 1 else [*by][0]
+        return by[best][0].shard if depth == 2 else descend(key, by[best], depth + 1, f"{path}/{best}")
+
+    got = spark.range(700).select("id", S.shard_of(F.col("id"), leaves).alias("shard")).collect()
+    assert [r.shard for r in got] == [descend(r.id, leaves, 0, "") for r in got]
+
+
+def test_slots_leave_other_columns_alone(spark):
+    rows_ = spark.range(300).selectExpr("id", "id % 3 AS shard", "'a' AS bucket", "'b' AS row", "'c' AS start", "'d' AS _bucket", "'e' AS slot", "'f' AS rows_in")
+    got = S.with_slots(rows_, "shard", ["id"], 5).toPandas()
+    assert set(got.columns) == set(rows_.columns)
+    assert (got.bucket == "a").all() and (got.row == "b").all() and (got.start == "c").all()
+    assert all(sorted(own.slot) == list(range(100)) for _, own in got.groupby("shard"))
+
+
 def test_null_ids_have_a_shard(spark):
     got = S.shard_documents(spark.createDataFrame([(None, "a"), (None, None)], EXTRA.split(",")[0] + ", text string"), S.fleet(8), S.fleet(9)).collect()
     assert len(got) == 2 and sorted(r.slot for r in got) == [0, 1]
 
 
+def test_workspace_restores_the_session(spark):
+    from evalfold.llm.common import _own_dir, small_batches, staged, workspace
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    with workspace(spark):
+        staged(small_batches(spark.range(3)), "numbers").count()
+        assert spark.conf.get(name) == "2000"
+    assert spark.conf.get(name) == "10000" and not os.path.exists(_own_dir(spark).removeprefix("file://"))
+    spark.conf.set(name, was)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from evalfold.llm.common import shared_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
 def test_staged_tables_can_be_cleared(spark):
     from evalfold.llm.common import _own_dir, clear_staged, staged
 
