@@ -171,8 +171,8 @@ def resample(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     scored = log_weights(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), *train(docs, target_ids), target_ids)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("gumbel")), 11).cast("double") + 0.5) / float(1 << 53)
     scored = staged(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).select(*dict.fromkeys([*carry, "doc_id"]), "log_weight", "gumbel_key"), "importance")
-    ids = docs.sparkSession.createDataFrame([(i, q) for q, x in ((1, good), (0, bad)) for i in x], "id long, q int")
-    seen = scored.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("q", "log_weight").toArrow()  # at most two times `bound` ids
+    ids = docs.sparkSession.createDataFrame([(i, q) for q, x in ((1, good), (0, bad)) for i in x], "doc_id long, q int")
+    seen = scored.select("doc_id", "log_weight").join(F.broadcast(ids), "doc_id").select("q", "log_weight").toArrow()  # at most two times `bound` ids
     q, weight = seen["q"].to_numpy(), seen["log_weight"].to_numpy()
     cutoff = fit_cutoff(weight[q == 1], weight[q == 0], good_weight)
     k = scored.filter(F.col("log_weight") >= cutoff).count()
