@@ -49,15 +49,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _before(lengths: Column) -> Column:
-    """Of each element, the sum of the elements before it; about STRIDE steps for each, not as many as there are elements."""
-    blocks = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
-    add = lambda a, x: a + x
-    part = lambda b: F.slice(lengths, b * STRIDE + 1, STRIDE)
+def _before(values: Column, add: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """Of each element, the sum (or what `add` makes from 0) of the elements before it; about STRIDE steps for each, not as many
+    as there are elements."""
+    blocks = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    part = lambda b: F.slice(values, b * STRIDE + 1, STRIDE)
     totals = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), add))
     return let(totals, lambda t: F.flatten(F.transform(t, lambda _, b: let(part(b), lambda p: let(
         F.aggregate(F.slice(t, F.lit(1), b), F.lit(0), add),
-        lambda base: F.transform(p, lambda _, i: base + F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), add)),
+        lambda base: F.transform(p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i), base, add)),
     )))))
 
 
@@ -71,7 +71,7 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 
     def placed(z: Column) -> Column:
         lengths = F.transform(z, lambda e: F.length(e["gap"]) + F.coalesce(F.length(e["all"]), F.lit(0)))
-        rows = F.transform(F.arrays_zip(z.alias("e"), let(lengths, _before).alias("at")), lambda r: F.struct(
+        rows = F.transform(F.arrays_zip(z.alias("e"), let(lengths, lambda x: _before(x)).alias("at")), lambda r: F.struct(
             (r["at"] + F.length(r["e"]["gap"])).alias("start"), F.lit(kind).alias("kind"),
             (r["at"] + F.length(r["e"]["gap"]) + F.length(r["e"]["all"])).alias("end"), r["e"]["text"].alias("text"),
         ))
@@ -173,15 +173,26 @@ def find_secrets(docs: DataFrame, table: list[float], threshold: float, short: t
     found = F.concat(F.filter(matches(text, ASSIGN, 0, 2), least("assign")), F.filter(matches(text, ACCESS, 1), least("access")), _hex(text))
     bare = lambda rows: F.array_sort(F.transform(rows, lambda r: F.struct(r["start"], r["kind"], r["end"])))
     tokens = matches(text, TOKEN, 3)
-    inside = lambda t: F.exists(F.col("base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
     score_long = lambda t: score(t["text"], table) > threshold
     if short is not None:
         passing = F.array(*map(F.lit, short[1]))
         random = lambda t: F.when(F.length(t["text"]) >= LONG, score_long(t)).otherwise(score(t["text"], short[0]) > F.get(passing, F.length(t["text"]) - LEAST["markov"]))
     else:
         random = lambda t: (F.length(t["text"]) >= LONG) & score_long(t)
-    added = F.filter(tokens, lambda t: random(t) & ~inside(t))
-    return docs.withColumn("base", bare(found)).withColumn("added", bare(added))
+    return docs.withColumn("base", bare(found)).withColumn("added", _outside(bare(F.filter(tokens, random)), F.col("base")))
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that lie wholly inside no base span, by a sweep: at a span's start, the furthest end of the base spans that
+    start there or before must fall short of its end."""
+    marked = lambda x, is_base: F.transform(x, lambda r: F.struct(r["start"].alias("start"), F.lit(0 if is_base else 1).alias("later"), r["kind"].alias("kind"), r["end"].alias("end")))
+    events = F.array_sort(F.concat(marked(base, True), marked(spans, False)))
+    swept = let(events, lambda e: let(
+        _before(F.transform(e, lambda r: F.when(r["later"] == 0, r["end"]).otherwise(0)), lambda a, x: F.greatest(a, x)),
+        lambda ends: F.filter(F.arrays_zip(e.alias("e"), ends.alias("reached")), lambda z: (z["e"]["later"] == 1) & (z["reached"] < z["e"]["end"])),
+    ))
+    out = F.transform(swept, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["kind"].alias("kind"), z["e"]["end"].alias("end")))
+    return F.when(F.size(spans) > 0, out).otherwise(spans)
 
 
 def _hex(text: Column) -> Column:

@@ -39,6 +39,64 @@ def test_quality_counts_every_occurrence(spark):
     assert Q.log_weights(docs, raw, target, frozenset([1])).filter("doc_id = 1").first().log_weight == 0
 
 
+def test_quality_carries_columns_of_any_name(spark, docs):
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int")
+    got = Q.resample(docs.withColumns({"id": F.col("doc_id") * 2, "q": F.lit("own"), "at": F.lit(1)}), labels, carry=["id", "q", "text", "at"])
+    assert got.columns == ["id", "q", "text", "at", "log_weight", "gumbel_key", "kept"]
+    assert got.count() == len(rows()) and got.filter("q <> 'own'").count() == 0
+
+
+def test_weights_and_noise_equal_a_plain_version(spark):
+    """The models by dictionaries of buckets, one text at a time, and the noise from the id's hash."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from evalfold.llm.words import Words, mix
+
+    texts = {i: t for i, t in enumerate(["", "good good text, of many words", "of many words of many words!", "bad bad bad bad bad", "x " * 300 + "end", "Ünï ¿text? 12 12 12", "good text"])}
+    chosen = frozenset([1, 6])
+
+    def word_hash(token: str) -> int:
+        b = np.frombuffer(token.encode(), np.uint8)
+        return int(Words(b, np.array([0, len(b)]), np.ones(256, np.uint8)).hashes(np.array([0]))[0])
+
+    def counts(text: str) -> Counter:
+        tokens = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        h, out, run = [word_hash(t) for t in tokens], Counter(), 0
+        out.update(x % Q.HASHED for x in h)
+        for a, b in zip(h, h[1:]):
+            run = run + 1 if a == b else 0
+            pair = int(mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], dtype=np.uint64))[0]) % Q.HASHED
+            out[Q.HASHED + min(run, Q.RUNS) - 1 if a == b else pair] += 1
+        return out
+
+    own = {i: counts(t) for i, t in texts.items()}
+    raw, target = (sum((own[i] for i in ids), Counter()) for ids in (texts, chosen))
+
+    def weight(i: int) -> float:
+        mine, n = own[i], sum(own[i].values())
+        share = max(sum(target.values()) - n * (i in chosen), 0) / max(sum(raw.values()) - n, 1)
+        total = sum(k * math.log((target[b] - k * (i in chosen) + Q.PRIOR) / ((raw[b] - k) * share + Q.PRIOR)) for b, k in mine.items())
+        return total * min(n, Q.LENGTH) / max(n, 1)
+
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in chosen)) for i in texts], "doc_id long, quality int")
+    got = {r.doc_id: r for r in Q.resample(docs, labels).collect()}
+    for i in texts:
+        h = xxhash.xxh64_intdigest(b"gumbel", seed=xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42))
+        noise = -math.log(-math.log(((h >> 11) + 0.5) / (1 << 53)))
+        assert math.isclose(got[i].log_weight, weight(i), abs_tol=1e-9) and math.isclose(got[i].gumbel_key, weight(i) + noise, abs_tol=1e-9)
+    cutoff = Q.fit_cutoff(np.array([weight(i) for i in chosen]), np.array([weight(i) for i in texts if i not in chosen]))
+    k = sum(weight(i) >= cutoff for i in texts)
+    assert {i for i in texts if got[i].kept} == set(sorted(texts, key=lambda i: -got[i].gumbel_key)[:k])
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 500, 999, 1000, 2000])
 def test_kth_largest_is_exact(spark, k):
     from pyspark.sql import functions as F
@@ -128,6 +186,61 @@ def test_short_random_strings_are_added_and_short_words_not(spark, markov):
     assert sum(got[i] == [(5, 5 + len(secret[i]))] for i in range(80)) >= 72 and not any(got[i] for i in range(80, len(rows_)))
 
 
+def test_added_spans_equal_brute_force(spark, markov):
+    """Scores by a dictionary of transitions, and containment by trying every base span."""
+    import random
+    import re
+
+    table, threshold = markov
+    short = X.train_short(X.short_samples(spark, 500))
+    r = random.Random(8)
+    part = lambda: r.choice([
+        "".join(r.choice(X.CHARS[:62]) for _ in range(r.randrange(8, 50))), "deadbeef" * r.randrange(1, 4), "token=", 'password: "', " ", "\n", "é", "read_user_index_from_cache", "AKIA" + "Q7" * r.randrange(5, 12), "configuration",
+    ])
+    texts = ["".join(part() for _ in range(r.randrange(1, 60))) for _ in range(60)]
+
+    def score(token, ratios):
+        return sum(float(f"{ratios[ord(a) * 128 + ord(b)]:.5f}") for a, b in zip(token, token[1:])) / (len(token) - 1)
+
+    def want(text):
+        base = brute.secrets(text)
+        for m in re.finditer(X.TOKEN, text):
+            t = m[0]
+            passes = score(t, table) > threshold if len(t) >= X.LONG else score(t, short[0]) > short[1][len(t) - X.LEAST["markov"]]
+            if passes and not any(a <= m.start() and m.end() <= b for a, _, b in base):
+                yield m.start(), 3, m.end()
+
+    got = X.find_secrets(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), table, threshold, short).collect()
+    for row in got:
+        assert [(s.start, s.kind, s.end) for s in row.added] == [*want(texts[row.doc_id])]
+    assert sum(len(row.added) for row in got) > 50
+
+
+def test_markov_training_equals_plain_counts(spark):
+    from collections import Counter
+
+    samples = [(r.token, r.random) for r in X.labelled_samples(spark, 300).collect()]
+    pairs = {label: Counter(t[i : i + 2] for t, x in samples if x == label for i in range(len(t) - 1)) for label in (True, False)}
+    table, _ = X.train(spark.createDataFrame(samples, "token string, random boolean"))
+    known = {label: Counter() for label in pairs}
+    for label, c in pairs.items():
+        known[label].update({p: n for p, n in c.items() if p[0] in X.CHARS and p[1] in X.CHARS})
+    for a in X.CHARS:
+        row = {label: sum(known[label][a + b] + 1 for b in X.CHARS) for label in known}
+        for b in X.CHARS:
+            assert math.isclose(table[ord(a) * 128 + ord(b)], math.log((known[True][a + b] + 1) / row[True] / ((known[False][a + b] + 1) / row[False])), abs_tol=1e-12)
+
+
+def test_a_text_of_many_spans_takes_seconds(spark, markov):
+    import time
+
+    text = " ".join(f'token="{hashlib.sha512(str(i).encode()).hexdigest()[:20]}" {hashlib.sha1(str(i).encode()).hexdigest().upper()[:7]}qX7vT2mK9pL4sR8wZ1bN6' for i in range(4000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = X.find_secrets(docs, *markov).first()
+    assert len(got.base) == 8000 and len(got.added) > 3500 and time.perf_counter() - start < 60
+
+
 def test_random_token_around_a_base_span_is_added_whole(spark, markov):
     token = "qX7vT2mK9pL4" + "deadbeef01234567" + "sR8wZ1bN6cJ3"
     got = X.find_secrets(spark.createDataFrame([(1, f"a {token} b"), (2, f'password = "{token}"')], "doc_id long, text string"), *markov).orderBy("doc_id").collect()
