@@ -57,28 +57,17 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/evalfold-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back.
 
     This cuts the lineage at a place that outlives any executor, keeps the columns compressed and prunable, and lets
     later joins shuffle both of their sides (so that adaptive execution can split a hot key).
     """
     path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def repeatable(df: DataFrame) -> bool:
-    """Whether each evaluation of `df` surely gives the same rows in the same order in the same partitions: files, columns, filters only."""
-    execution = df._jdf.queryExecution()
-    nodes = [execution.sparkPlan()]
-    for node in nodes:
-        if node.getClass().getSimpleName() not in ("FileSourceScanExec", "ProjectExec", "FilterExec"):
-            return False
-        nodes += [node.children().apply(i) for i in range(node.children().size())]
-    return execution.optimizedPlan().deterministic()
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

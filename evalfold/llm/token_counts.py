@@ -1,15 +1,13 @@
 """Token counts: pieces are counted once for each distinct pre-token and joined to per-document pre-token frequencies.
 
-Documents are taken in blocks (what a task reads, up to BLOCK_ENTRIES entries). A block has a vocabulary of its distinct
-pre-tokens and a sparse matrix: for each document, numbers of pre-tokens in that vocabulary and how often each occurs.
-
-1. The vocabularies' entries (pre-token, block, number) are dealt by pre-token and sorted; the tokenizer sees each distinct
+1. One scan splits the texts. Documents are taken in blocks (what a task reads, up to BLOCK_ENTRIES entries): a block is one
+   row with its vocabulary of distinct pre-tokens, most frequent first, and a sparse matrix of the numbers of each document's
+   pre-tokens in it and how often each occurs. The blocks are written to the shared folder, so both sides of the later
+   join read the same rows, in whatever order and however often they came before.
+2. The vocabularies' entries (pre-token, block, number) are dealt by pre-token and sorted; the tokenizer sees each distinct
    pre-token once and reports only how many pieces it has. A very common pre-token comes once a block, not once a row.
-2. The counts go back to their blocks as arrays and meet the matrix there: a document's tokens are the sum of frequency
+3. The counts go back to their blocks as arrays and meet the matrix there: a document's tokens are the sum of frequency
    times count. Ids of a document are never made, and only distinct entries and small integers are shuffled, not texts.
-
-Blocks are made in the same way whenever a task is run again over the same rows, so both sides of the join agree on their
-numbers. Rows that are not read straight from files may come in another order each time, so they are written first.
 """
 
 from __future__ import annotations
@@ -17,20 +15,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalfold.llm.common import read, repeatable, small_batches, staged
+from evalfold.llm.common import read, small_batches, staged
 
-BLOCK_ENTRIES = 1_000_000
-#: Bits of an entry's number within its block, and of a block's number within its task.
-ENTRY_BITS, BLOCK_BITS = 24, 16
+#: Entries of the sparse matrix after which a block ends (with the document that reaches it).
+BLOCK_ENTRIES = 4_000_000
 #: Tokens over which a document is reported as over the limit.
 LIMIT = 1024
 
@@ -88,39 +85,58 @@ class PreTokens:
         return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, entries: int) -> Iterator[tuple[int, list, list[int], list[int], list[int], list[int], dict[str, int]]]:
-    """Block number, doc_ids, byte lengths, entries of each document, their numbers and frequencies, vocabulary."""
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, entries: int) -> Iterator[pa.RecordBatch]:
+    """Rows ids, n_bytes, sizes (entries of each document), words, cells: one for each block."""
     split = PreTokens.of(path).split
-    base, nth = TaskContext.get().partitionId() << BLOCK_BITS, 0
-    ids: list = []
-    n_bytes: list[int] = []
-    sizes: list[int] = []
-    index: list[int] = []
-    freq: list[int] = []
-    words: dict[str, int] = {}
+
+    def block() -> pa.RecordBatch:
+        order, cells = _packed(np.frombuffer(sizes, np.int32), np.frombuffer(index, np.int32), np.frombuffer(freq, np.int32), len(words))
+        names = [*words]
+        columns = [(ids, pa.int64()), (n_bytes, pa.int64()), (np.frombuffer(sizes, np.int32), pa.int32()), ([names[i] for i in order.tolist()], pa.string())]
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.list_(t)) for x, t in columns), pa.array([cells], pa.binary())], names=["ids", "n_bytes", "sizes", "words", "cells"])
+
+    ids, n_bytes, sizes, index, freq, words = [], [], array("i"), array("i"), array("i"), {}
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             counts = Counter(split(text)) if text else {}
             ids.append(doc)
             n_bytes.append(len(text.encode()) if text else 0)
             sizes.append(len(counts))
-            index += [words.setdefault(w, len(words)) for w in counts]
-            freq += counts.values()
+            index.extend([words.setdefault(w, len(words)) for w in counts])
+            freq.extend(counts.values())
             if len(index) >= entries:
-                yield base + nth, ids, n_bytes, sizes, index, freq, words
-                nth += 1
-                ids, n_bytes, sizes, index, freq, words = [], [], [], [], [], {}
+                yield block()
+                ids, n_bytes, sizes, index, freq, words = [], [], array("i"), array("i"), array("i"), {}
     if ids:
-        yield base + nth, ids, n_bytes, sizes, index, freq, words
+        yield block()
 
 
-def _packed(index: list[int], freq: list[int]) -> bytes:
-    """Both lists as 32-bit numbers, laid out byte by byte: the upper bytes are nearly all zero, so they compress to nothing."""
-    return zlib.compress(np.array([index, freq], dtype="<i4").view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes(), 1)
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: the upper bytes are nearly all zero, so they compress to nothing."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpacked(cells: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(cells), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)).view("<i4")[..., 0]
+def _packed(sizes: np.ndarray, index: np.ndarray, freq: np.ndarray, n_words: int) -> tuple[np.ndarray, bytes]:
+    """The words' old numbers by falling number of documents, and the matrix: of each document its words' new numbers in
+    order, as steps from one to the next, and their frequencies."""
+    order = np.argsort(-np.bincount(index, minlength=n_words), kind="stable")
+    rank = np.empty(n_words, np.int64)
+    rank[order] = np.arange(n_words)
+    keys = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * max(n_words, 1) + rank[index]
+    at = np.argsort(keys)
+    number = keys[at] % max(n_words, 1)
+    steps = np.diff(number, prepend=0)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[starts] = number[starts]
+    return order, zlib.compress(_planes(steps) + _planes(freq[at]), 1)
+
+
+def _unpacked(cells: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers and frequencies."""
+    steps, freq = (np.ascontiguousarray(x.T).view("<i4")[:, 0] for x in np.frombuffer(zlib.decompress(cells), np.uint8).reshape(2, 4, -1))
+    number = np.cumsum(steps, dtype=np.int64)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return number - np.repeat(number[starts] - steps[starts], sizes[sizes > 0]), freq
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
@@ -130,19 +146,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
     tokens added; strings of special tokens inside a text count as one token. A null or empty text has 0 bytes and tokens.
     Rows that repeat, or lack a doc_id, are each reported.
     """
-    docs = small_batches(docs).select("doc_id", "text")
-    if not repeatable(docs):
-        docs = staged(docs, "counted")
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, *_, words in _blocks(batches, path, block_entries):
-            at = (block << ENTRY_BITS) + np.arange(len(words), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([*words], pa.string()), pa.array(at)], names=["word", "at"])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, n_bytes, sizes, index, freq, _ in _blocks(batches, path, block_entries):
-            columns = [pa.array([block], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (n_bytes, pa.int64()), (sizes, pa.int32()))), pa.array([_packed(index, freq)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "n_bytes", "sizes", "cells"])
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(batches, path, block_entries)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PreTokens.of(path).pieces
@@ -156,20 +161,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
             starts[first] = 1
             n = counts[np.cumsum(starts)]
             last, n_last = words[-1], int(n[-1])
-            at = batch.column("at").to_numpy()
-            order = np.argsort(at, kind="stable")
-            at, n = at[order], n[order]
-            blocks, begin = np.unique(at >> ENTRY_BITS, return_index=True)
-            offsets = pa.array(np.append(begin, len(at)), pa.int32())
-            entry = pa.array((at & ((1 << ENTRY_BITS) - 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.ListArray.from_arrays(offsets, entry), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["block", "entries", "pieces"])
+            block, entry = batch.column("block").to_numpy(), batch.column("entry").to_numpy()
+            order = np.lexsort((entry, block))
+            blocks, begin = np.unique(block[order], return_index=True)
+            offsets = pa.array(np.append(begin, len(block)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (entry, n))], names=["block", "entries", "pieces"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 got = lambda name: batch.column(name)[i].values  # noqa: B023, E731
                 sizes = got("sizes").to_numpy()
-                index, freq = _unpacked(batch.column("cells")[i].as_py())
+                index, freq = _unpacked(batch.column("cells")[i].as_py(), sizes)
                 n = np.zeros(int(index.max(initial=0)) + 1, dtype=np.int64)
                 if batch.column("entries")[i].is_valid:
                     n[got("entries").flatten().to_numpy()] = got("pieces").flatten().to_numpy()
@@ -177,11 +180,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([got("ids"), got("n_bytes"), pa.array(sums[ends] - sums[ends - sizes])], names=["doc_id", "n_bytes", "n_tokens"])
 
-    entries = docs.mapInArrow(vocabulary, "word string, at long").repartition("word").sortWithinPartitions("word")
+    blocks = small_batches(docs).select("doc_id", "text").mapInArrow(made, "ids array<long>, n_bytes array<long>, sizes array<int>, words array<string>, cells binary")
+    # The number is fixed once it is written; a task that is run again before that may number its blocks anew.
+    blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks", "zstd")
+    entries = blocks.select("block", F.posexplode("words").alias("entry", "word")).repartition("word").sortWithinPartitions("word")
     counts = entries.mapInArrow(count, "block long, entries array<int>, pieces array<int>")
     counts = counts.groupBy("block").agg(F.collect_list("entries").alias("entries"), F.collect_list("pieces").alias("pieces"))
-    matrix = docs.mapInArrow(frequencies, "block long, ids array<long>, n_bytes array<long>, sizes array<int>, cells binary")
-    sums = matrix.join(counts, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    sums = blocks.drop("words").join(counts, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

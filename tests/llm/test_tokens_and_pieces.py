@@ -7,9 +7,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from evalfold.llm.common import repeatable
 from evalfold.llm.sentence_pieces import Pieces, encode, sample_pieces
-from evalfold.llm.token_counts import PreTokens, token_counts
+from evalfold.llm.token_counts import PreTokens, _packed, _unpacked, token_counts
 from evalfold.llm.words import mix
 
 from .conftest import rows
@@ -44,12 +43,17 @@ def test_counts_of_rows_in_another_order_each_time(spark):
     assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in text.items()}
 
 
-def test_what_is_repeatable(spark):
-    from pyspark.sql import functions as F
-
-    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert repeatable(files.select("doc_id", "text")) and repeatable(files.filter("doc_id > 3").select("doc_id"))
-    assert not any(map(repeatable, (files.filter(F.rand() > 0.5), files.repartition(3, "doc_id"), files.join(files.limit(3).select("doc_id"), "doc_id", "left_anti"))))
+def test_blocks_of_any_size_come_back():
+    r = np.random.default_rng(3)
+    for n_docs, n_words in ((1, 1), (7, 40), (200, 70_000)):
+        sizes = r.integers(0, min(n_words, 60) + 1, n_docs).astype(np.int32)
+        index = np.concatenate([r.choice(n_words, k, replace=False) for k in sizes] or [np.zeros(0)]).astype(np.int32)
+        freq = r.integers(1, 2**31, len(index)).astype(np.int32)
+        order, cells = _packed(sizes, index, freq, n_words)
+        number, times = _unpacked(cells, sizes)
+        bounds = np.cumsum(sizes)[:-1]
+        for old, new, f, t in zip(*(np.split(x, bounds) for x in (index, order[number], freq, times))):
+            assert dict(zip(old.tolist(), f.tolist())) == dict(zip(new.tolist(), t.tolist()))
 
 
 def test_splitting_equals_the_library():
