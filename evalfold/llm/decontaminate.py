@@ -7,14 +7,18 @@ of 0 means the pair ends some window; then the hash of the whole span picks its
 compared with the windows of that bucket. So every reported occurrence is confirmed by its words, and a table slot shared
 by two pairs only shortens a jump.
 
+A table is a few arrays over the benchmark's words: one text of all items' words with single spaces, where each window is
+a range of bytes; the windows' hashes, sorted; and the items as numbers. It takes about 40 bytes a window.
+
 Texts are searched in blocks of bytes with numpy: word bounds are found for a whole block, and all stretches of the
-block advance together, each by its own shift. No text is shuffled. The windows are the query set: they are taken in parts
-of at most PART_WORDS words, each broadcast alone; with several parts the hits (narrow rows) are merged by row.
+block advance together, each by its own shift. No text is shuffled. The windows are the query set: items are cut into pieces
+of at most PIECE_WORDS words (that overlap, so that no window is lost) and taken in parts of about PART_BYTES, each broadcast
+alone; with several parts the hits (narrow rows) are merged by row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalfold.llm.arrow import blocks
+from evalfold.llm.arrow import blocks, texts
 from evalfold.llm.common import free_name, read, small_batches, staged
 from evalfold.llm.words import Words, word_bytes
 
 WINDOW = 10
-#: Words of the items that one broadcast part may hold (a longer item is a part of its own).
-PART_WORDS = 2_000_000
+#: Bytes of the pieces that one broadcast part is to hold, and words of a piece.
+PART_BYTES, PIECE_WORDS = 16 << 20, 4096
 #: Bytes searched at once, end positions of a stretch, slots of a shift table.
 BLOCK_BYTES, STRETCH, SLOTS = 2 << 20, 256, 1 << 20
 
@@ -46,38 +50,51 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """The windows of `m` words: shifts by block hash, buckets by the hash of the whole window."""
+    """The windows of `m` words: shifts by block hash; of each window its hash (in order), bytes in `text`, and item in `items`."""
 
     m: int
     shift: np.ndarray
-    window_hashes: np.ndarray
-    buckets: dict[int, dict[bytes, list[str]]]
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+    text: bytes
+    items: list[str]
+
+    def found(self, hash_: int, span: bytes) -> set[str]:
+        """The items that hold this window."""
+        a, b = np.searchsorted(self.hashes, np.array([hash_], np.uint64)), np.searchsorted(self.hashes, np.array([hash_], np.uint64), side="right")
+        return {self.items[self.item[i]] for i in range(int(a[0]), int(b[0])) if self.text[self.start[i] : self.end[i]] == span}
 
 
 def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Table]:
     """A table for each window length among the items (item_id as string, text); items without words have no window."""
-    found: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        w = Words(data, np.array([0, len(data)]), WORD)
-        n = len(w.starts)
-        m = min(n, window)
-        for i in range(n - m + 1 if n else 0):
-            found.setdefault(m, {}).setdefault(w.span(i, i + m - 1), set()).add(item)
+    names = sorted({i for i, _ in items})
+    number = {n: i for i, n in enumerate(names)}
+    held = [(t or "").encode() for _, t in items]
+    w = Words(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]), WORD)
+    counts = np.diff(w.first)
+    # The same words with single spaces between, and where each starts and ends there.
+    length = w.ends - w.starts
+    begin = np.cumsum(length + 1) - length - 1
+    text = np.full(int((length + 1).sum()), 32, np.uint8)
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    text[np.repeat(begin, length) + inside] = w.data[np.repeat(w.starts, length) + inside]
+    blob = text.tobytes()
     out = []
-    for m, windows in sorted(found.items()):
-        spans = sorted(windows)
-        data = np.frombuffer(b" ".join(spans), np.uint8)
-        w = Words(data, np.array([0, len(data)]), WORD)
-        last = np.arange(1, len(spans) + 1) * m - 1
-        shift = np.full(SLOTS, max(1, m - 1), dtype=np.int64)
+    for m in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+        own = np.flatnonzero(np.minimum(counts, window) == m)
+        n = counts[own] - m + 1
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        last = np.repeat(w.first[own], n) + nth + m - 1
+        shift = np.full(SLOTS, max(1, m - 1), dtype=np.int8 if m < 128 else np.int64)
         for back in range(max(1, m - 1)):
             np.minimum.at(shift, block_hash(w, last - back, m).astype(np.int64), back)
         hashes = w.span_hashes(last, m)
-        buckets: dict[int, dict[bytes, list[str]]] = {}
-        for h, span in zip(hashes.tolist(), spans):
-            buckets.setdefault(h, {})[span] = sorted(windows[span])
-        out.append(Table(m, shift, np.unique(hashes), buckets))
+        order = np.argsort(hashes, kind="stable")
+        last = last[order]
+        item = np.repeat(np.array([number[items[i][0]] for i in own.tolist()], np.int32), n)[order]
+        out.append(Table(m, shift, hashes[order], begin[last - m + 1], begin[last] + length[last], item, blob, names))
     return out
 
 
@@ -87,7 +104,7 @@ def block_hash(w: Words, last: np.ndarray, m: int) -> np.ndarray:
     return _pair(own, own) if m == 1 else _pair(w.hashes(last - 1), own)
 
 
-def occurrences(w: Words, t: Table) -> Iterator[tuple[int, list[str]]]:
+def occurrences(w: Words, t: Table) -> Iterator[tuple[int, set[str]]]:
     """(number of the last word, items) of each window occurrence within a text."""
     first, after = w.first[:-1] + t.m - 1, w.first[1:]
     counts = np.maximum(0, -(-(after - first) // STRETCH))
@@ -98,14 +115,14 @@ def occurrences(w: Words, t: Table) -> Iterator[tuple[int, list[str]]]:
     at = first[which] + nth * STRETCH
     end = np.minimum(at + STRETCH, after[which])
     while len(at):
-        shift = t.shift[block_hash(w, at, t.m).astype(np.int64)]
+        shift = t.shift[block_hash(w, at, t.m).astype(np.int64)].astype(np.int64)
         suspects = at[shift == 0]
         if len(suspects):
             hashes = w.span_hashes(suspects, t.m)
-            near = np.minimum(np.searchsorted(t.window_hashes, hashes), len(t.window_hashes) - 1)
-            same = t.window_hashes[near] == hashes
+            near = np.minimum(np.searchsorted(t.hashes, hashes), len(t.hashes) - 1)
+            same = t.hashes[near] == hashes
             for p, h in zip(suspects[same].tolist(), hashes[same].tolist()):
-                if (items := t.buckets[h].get(w.span(p - t.m + 1, p))) is not None:
+                if items := t.found(h, w.span(p - t.m + 1, p)):
                     yield p, items
         at = at + np.maximum(shift, 1)
         live = at < end
@@ -152,18 +169,35 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _ADDED]))
 
 
-def _parts(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in parts of about `part_words` words, each read by itself."""
+def _pieces(window: int, piece_words: int) -> Callable:
+    """Cuts items of more than `piece_words` windows into pieces of as many; neighbours share window - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), texts(batch.column("text"))):
+                w = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), WORD)
+                n = len(w.starts)
+                for i in range(0, max(n - window + 1, 1) if n else 0, piece_words):
+                    rows.append((item, i, text[w.starts[i] : w.ends[min(i + piece_words + window - 1, n) - 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())], names=["item_id", "nth", "text"])
+
+    return run
+
+
+def _parts(benchmark: DataFrame, window: int, part_bytes: int, piece_words: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items' pieces in parts of about `part_bytes`, each read by itself."""
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    words = b.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
-    n = max(1, int(-(-words // part_words)))
+    b = staged(b.mapInArrow(_pieces(window, piece_words), "item_id string, nth long, text string"), "benchmark-pieces")
+    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(-(-size // part_bytes)))
     for i in range(n):
-        own = b if n == 1 else b.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        table = own.toArrow()
+        own = b if n == 1 else b.filter(F.pmod(F.xxhash64("item_id", "nth"), F.lit(n)) == i)
+        table = own.select("item_id", "text").toArrow()
         yield [*zip(table["item_id"].to_pylist(), table["text"].to_pylist())]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
     """`docs` with n_words, n_hit, hit_spans (word numbers, end exclusive), hit_items (sorted strings), contaminated.
 
     A null or empty text, or one without words, has 0 words and no hit. Items without words hit nothing; a null item_id
@@ -171,7 +205,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     repeat are each reported.
     """
     docs = small_batches(docs).drop("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
-    parts = _parts(benchmark, part_words)
+    parts = _parts(benchmark, window, part_bytes, piece_words)
     found = _pass(docs, next(parts), window)
     narrow = docs.select("doc_id", "text")
     hits = [staged(_pass(narrow, x, window).filter(F.size("hit_items") > 0).select("doc_id", F.xxhash64("text").alias("_h"), "hit_spans", "hit_items"), "hits") for x in parts]

@@ -37,10 +37,10 @@ def test_line_keys():
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "Two, words!"), (3, "one"), (4, None), (5, "..."), (6, " ".join(f"w{i}" for i in range(40))), (7, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (10, "größe 日本語")]
 
 
-@pytest.mark.parametrize("part_words", [2_000_000, 20])
-def test_contamination_equals_brute_force(spark, docs, part_words):
+@pytest.mark.parametrize("limits", [{}, {"part_bytes": 60}, {"part_bytes": 60, "piece_words": 3}])
+def test_contamination_equals_brute_force(spark, docs, limits):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = find_contamination(docs, items, part_words=part_words).toPandas()
+    got = find_contamination(docs, items, **limits).toPandas()
     text = {i: t for i, t, *_ in rows()}
     assert len(got) == len(rows())
     for r in got.itertuples():
@@ -59,6 +59,25 @@ def test_contamination_of_random_texts(spark):
         assert (row.n_words, row.n_hit, list(row.hit_items)) == brute.contamination(rows_[row.doc_id][1], items, 4)
 
 
+def test_a_part_is_small_in_memory():
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+
+    from evalfold.llm.decontaminate import build
+
+    r = np.random.default_rng(2)
+    items = [(str(i), " ".join(f"w{x}" for x in r.integers(0, 40_000, 1000))) for i in range(300)]
+    tracemalloc.start()
+    tables = build(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows = 300 * 991
+    assert len(pickle.dumps(tables)) < 45 * windows + 4 * (1 << 20) and peak < 250 * windows + (16 << 20)
+    assert tables[0].found(int(tables[0].hashes[0]), tables[0].text[tables[0].start[0] : tables[0].end[0]]) == {tables[0].items[tables[0].item[0]]}
+
+
 def test_nothing_to_search(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(docs, none).filter("contaminated OR n_hit > 0").count() == 0
