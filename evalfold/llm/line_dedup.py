@@ -1,14 +1,16 @@
 """Line dedup with two Bloom filters, for hashes seen once and seen twice.
 
-1. Each task sets, for the distinct long lines of its documents, bits in a filter of what it saw once and in one of what
-   it saw twice. Filters leave the task as compressed chunks; chunks of one number are merged as they stream in, with
-   twice = twice | other's twice | (once & other's once). The size is fixed by the row count up to MAX_BITS; beyond that
-   the filters fill and more lines count as suspects, and the results stay the same.
-2. The merged twice filter (at most MAX_BITS / 8 bytes, so it can be broadcast) is held against all lines again. Only lines
-   whose bits are all set are suspected repeats: they alone are shuffled, as whole keys, to count their documents exactly
-   and to choose the document that keeps them. The counts are pre-aggregated, so a line in a third of all rows is no hot key.
-3. Documents are rewritten. The chosen keys are broadcast while they are under BROADCAST_BYTES; beyond, each document's
-   keys are joined to it by doc_id.
+1. The filter of hashes seen once is one bit for each hash value below a bound of at least BITS_A_ROW times the rows, so about
+   one line in BITS_A_ROW / (long lines of a row) meets another's bit. It is never whole in one place: each task sends its set bits, sorted, as packed
+   steps (some two bytes a line), to the CHUNKS or more ranges that the bits lie in. Where a range meets a bit again, the bit was
+   seen twice. There are few such bits: those of repeated lines, and of the few that met by chance.
+2. They go into the filter of bits seen twice: two hashes, TWICE_BITS bits for each, at most MAX_BITS, which is small enough to be
+   broadcast. Held against all lines again, it leaves the suspected repeats. They alone are shuffled, as 128-bit digests
+   with their doc_id, to count each line's documents exactly and to choose the one that keeps it; counts are
+   pre-aggregated, so a line in a third of all rows is no hot key. A filter filled beyond its bound lets more lines
+   through; they cost 24 bytes each to confirm, and the results stay the same.
+3. Documents are rewritten. Repeated lines up to BROADCAST_BYTES are broadcast as digests; beyond, only the documents
+   that lose lines (found by a filter of their ids) are joined with what they lose, and the others pass by.
 """
 
 from __future__ import annotations
@@ -18,19 +20,24 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import texts, with_columns
+from evalfold.llm.bloom import Bloom
 from evalfold.llm.common import free_name, read, small_batches, staged
 
 WHITE = b"\t\n\x0b\x0c\r "
 _CONTINUATION = bytes(range(0x80, 0xC0))
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Bits of a filter for each row of the input, and at most; bits of a chunk; hashes that a task holds before it sends its filters.
-BITS_A_ROW, MAX_BITS, CHUNK_BITS, FLUSH = 256, 1 << 28, 1 << 18, 2_000_000
+#: Bits of the once filter for each row of the input; least ranges that it is cut into, and rows of the input for each; hashes
+#: that a task holds before it sends them, and that a range holds before it merges them.
+BITS_A_ROW, CHUNKS, CHUNK_ROWS, FLUSH = 1 << 13, 32, 1 << 14, 2_000_000
+#: Bits of the twice filter for each bit seen twice, and at most.
+TWICE_BITS, MAX_BITS = 16, 1 << 28
 BROADCAST_BYTES = 64 << 20
 
 
@@ -48,113 +55,118 @@ def _keys(text: bytes, min_chars: int) -> set[bytes]:
     return found
 
 
-def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _filters(bits: int, min_chars: int) -> Callable:
-    """Makes chunks (chunk, once, twice) of a task's two filters."""
-    chunk_bits = min(bits, CHUNK_BITS)
+def _places(keys: list[bytes], bits: int) -> np.ndarray:
+    """The bit of each line in the once filter."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)).astype(np.int64) & (bits - 1)
 
-    def chunks(hashes: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-        # A line's two bits may agree; then that line sets the bit once, not twice.
-        a, b = _positions(hashes, bits)
-        once, counts = np.unique(np.concatenate([a, b[a != b]]), return_counts=True)
-        twice = once[counts > 1]
-        for c in np.unique(once // np.uint64(chunk_bits)):
-            out = []
-            for x in (once, twice):
-                own = x[np.searchsorted(x, c * np.uint64(chunk_bits)) : np.searchsorted(x, (c + np.uint64(1)) * np.uint64(chunk_bits))]
-                flags = np.zeros(chunk_bits, dtype=bool)
-                flags[(own - c * np.uint64(chunk_bits)).astype(np.int64)] = True
-                out.append(zlib.compress(np.packbits(flags).tobytes(), 1))
-            yield int(c), *out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        count = 0
+def _pack(places: np.ndarray) -> bytes:
+    """Sorted distinct numbers as steps, byte by byte (the upper bytes are nearly all zero)."""
+    return zlib.compress(np.ascontiguousarray(np.diff(places, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8")[:, 0])
+
+
+def _once(bits: int, chunks: int, min_chars: int) -> Callable:
+    """Rows (chunk, once, twice) of a task: the bits that its documents' lines set once and more than once."""
+    width = bits // chunks
 
-        def flush() -> pa.RecordBatch:
-            rows = [*chunks(np.concatenate(held))]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "once", "twice"])
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        once, times = np.unique(np.concatenate(held), return_counts=True)
+        rows = []
+        for c in np.unique(once // width).tolist():
+            a, b = np.searchsorted(once, [c * width, (c + 1) * width])
+            rows.append((c, _pack(once[a:b] - c * width), _pack(once[a:b][times[a:b] > 1] - c * width)))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "once", "twice"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            digest = xxhash.xxh3_64_intdigest
-            got = np.array([digest(k) for t in texts(batch.column("text")) for k in _keys(t, min_chars)], dtype=np.uint64)
-            if len(got):
-                held.append(got)
-                count += len(got)
+            got = _places([k for t in texts(batch.column("text")) for k in _keys(t, min_chars)], bits)
+            held.append(got)
+            count += len(got)
             if count >= FLUSH:
-                yield flush()
+                yield flush(held)
                 held, count = [], 0
-        if held:
-            yield flush()
+        if count:
+            yield flush(held)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges chunks of one number; holds one pair for each chunk of the partition, however many tasks sent it."""
-    merged: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for c, once, twice in zip(*(batch.column(n).to_pylist() for n in ("chunk", "once", "twice"))):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (once, twice))
-            if c in merged:
-                was = merged[c]
-                was[1] |= t | (was[0] & o)
-                was[0] |= o
-            else:
-                merged[c] = [o.copy(), t.copy()]
-    if merged:
-        yield pa.RecordBatch.from_arrays([pa.array([*merged], pa.int32()), pa.array([zlib.compress(x[1].tobytes(), 1) for x in merged.values()], pa.binary())], names=["chunk", "twice"])
-
-
-def twice_filter(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> np.ndarray:
-    """The packed bits of lines that at least two documents may hold. It has bits / 8 bytes, whatever the input."""
-    sent = docs.select("text").mapInArrow(_filters(bits, min_chars), "chunk int, once binary, twice binary")
-    rows = sent.repartition("chunk").mapInArrow(_merge, "chunk int, twice binary").toArrow()
-    size = min(bits, CHUNK_BITS) // 8
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for c, blob in zip(rows["chunk"].to_pylist(), rows["twice"].to_pylist()):
-        out[c * size : (c + 1) * size] = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return out
-
-
-def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, doc_id) of every distinct long line of a document whose bits are set in the filter."""
-    bits = len(twice) * 8
+def _merge(width: int) -> Callable:
+    """The bits (`place`, once each) of each range that were set twice. Rows of a range come together; what is held of it is
+    merged whenever FLUSH numbers came."""
+
+    def merged(once: list[np.ndarray], twice: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        every, times = np.unique(np.concatenate(once), return_counts=True)
+        return [every], [np.unique(np.concatenate([*twice, every[times > 1]]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, once, twice, count = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(merged(once, twice)[1][0] + chunk * width)], names=["place"])
+
+        for batch in batches:
+            for c, o, t in zip(*(batch.column(n).to_pylist() for n in ("chunk", "once", "twice"))):
+                if c != chunk and once:
+                    yield out()
+                    once, twice, count = [], [], 0
+                chunk = c
+                once.append(_unpack(o))
+                twice.append(_unpack(t))
+                count += len(once[-1])
+                if count >= FLUSH:
+                    (once, twice), count = merged(once, twice), 0
+        if once:
+            yield out()
+
+    return run
+
+
+def twice_filter(docs: DataFrame, bits: int, chunks: int, min_chars: int = MIN_CHARS, max_bits: int = MAX_BITS) -> Bloom:
+    """The filter of the once filter's bits (of `bits`) that lines of two documents, or two documents' lines, set."""
+    sent = docs.select("text").mapInArrow(_once(bits, chunks, min_chars), "chunk long, once binary, twice binary")
+    places = staged(sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge(bits // chunks), "place long"), "seen-twice")
+    return Bloom.of(places, "place", TWICE_BITS, max_bits)
+
+
+def suspects(docs: DataFrame, twice: Bloom, bits: int, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(digest, doc_id) of every distinct long line of a document whose bit may have been seen twice."""
     sent = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
-        is_set = lambda at: (held[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
         for batch in batches:
             rows, keys = [], []
             for i, t in enumerate(texts(batch.column("text"))):
                 own = _keys(t, min_chars)
                 rows += [i] * len(own)
                 keys += own
-            if not keys:
-                continue
-            a, b = _positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64), bits)
-            at = np.flatnonzero(is_set(a) & is_set(b))
+            at = np.flatnonzero(sent.value.holds(_places(keys, bits)))
             if len(at):
                 ids = batch.column("doc_id").take(pa.array(np.array(rows, dtype=np.int64)[at]))
-                yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in at], pa.binary()), ids], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(keys[j]) for j in at], pa.binary()), ids], names=["digest", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key binary, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "digest binary, doc_id long")
 
 
 def repeated_lines(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """key, keep_id of the suspects that at least `min_docs` documents (distinct doc_ids) hold; the largest doc_id keeps it."""
-    counted = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep_id"))
-    return counted.filter(F.col("n") >= min_docs).select("key", "keep_id")
+    """digest, keep_id of the suspects that at least `min_docs` documents (distinct doc_ids) hold; the largest doc_id keeps it."""
+    counted = found.groupBy("digest").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep_id"))
+    return counted.filter(F.col("n") >= min_docs).select("digest", "keep_id")
 
 
 def _rewrite(text: bytes, drops: Callable[[bytes], bool], min_chars: int) -> tuple[int, int, bytes]:
+    """Lines, lines dropped, and the text left; `drops` tells by a line's digest."""
     lines = text.split(b"\n")
-    kept = [x for x in lines if len(x) < min_chars or (k := line_key(x, min_chars)) is None or not drops(k)]
+    kept = [x for x in lines if len(x) < min_chars or (k := line_key(x, min_chars)) is None or not drops(_digest(k))]
     return len(lines), len(lines) - len(kept), text if len(kept) == len(lines) else b"\n".join(kept)
 
 
@@ -174,14 +186,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     spark = docs.sparkSession
     docs = small_batches(docs).drop("n_lines", "n_dropped", "kept_sha256")
-    bits = 1 << min(max_bits.bit_length() - 1, max(16, (docs.count() * BITS_A_ROW).bit_length()))
-    found = staged(suspects(docs, twice_filter(docs, bits, min_chars), min_chars), "line-suspects")
+    n = docs.count()
+    bits = 1 << min(62, max(20, (n * BITS_A_ROW).bit_length()))
+    chunks = 1 << max(CHUNKS, n // CHUNK_ROWS).bit_length() - 1
+    found = staged(suspects(docs, twice_filter(docs, bits, chunks, min_chars, max_bits), bits, min_chars), "line-suspects")
     lines = staged(repeated_lines(found, min_docs), "repeated-lines")
-    size = lines.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, n_dropped long, kept_sha256 string"])
-    if size <= broadcast_bytes:
+    if lines.count() * 96 <= broadcast_bytes:
         table = lines.toArrow()
-        keep = spark.sparkContext.broadcast(dict(zip(table["key"].to_pylist(), table["keep_id"].to_pylist())))
+        keep = spark.sparkContext.broadcast(dict(zip(table["digest"].to_pylist(), table["keep_id"].to_pylist())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = keep.value
@@ -191,10 +204,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
         return docs.mapInArrow(run, schema)
 
-    own, gone = free_name(docs, "own_id"), free_name(docs, "gone")
-    drops = found.join(lines, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    drops = drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(gone))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
+    own, gone, may = (free_name(docs, x) for x in ("own_id", "gone", "may_lose"))
+    drops = found.join(lines, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    drops = staged(drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("digest").alias(gone)), "line-drops")
+    ids = spark.sparkContext.broadcast(Bloom.of(drops.filter(F.col(own).isNotNull()), own, TWICE_BITS, max_bits))
+
+    @F.pandas_udf("boolean")
+    def may_lose(x: pd.Series) -> pd.Series:
+        return pd.Series(ids.value.holds(x.fillna(0).to_numpy(np.int64)))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +219,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             rows = [_rewrite(t, s.__contains__, min_chars) for s, t in zip(sets, texts(batch.column("text")))]
             yield _out(batch.drop_columns([gone]), rows)
 
-    return joined.mapInArrow(run_joined, schema)
+    marked = docs.withColumn(may, F.col("doc_id").isNull() | may_lose("doc_id"))
+    joined = marked.filter(may).drop(may).join(drops, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
+    others = marked.filter(~F.col(may)).drop(may).withColumn(gone, F.lit(None).cast("array<binary>"))
+    return joined.unionByName(others).mapInArrow(run_joined, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,48 @@ def test_lines_without_ids_and_empty_table(spark, no_docs):
     assert dedup_lines(no_docs).count() == 0
 
 
+def test_random_lines_through_many_ranges(spark, monkeypatch):
+    from evalfold.llm import line_dedup as D
+
+    monkeypatch.setattr(D, "FLUSH", 50)
+    monkeypatch.setattr(D, "CHUNK_ROWS", 2)
+    r = random.Random(11)
+    line = lambda: f"a line of number {int(r.expovariate(0.02)):>30}"
+    rows_ = [(i, "\n".join(line() for _ in range(r.randrange(0, 9)))) for i in range(400)]
+    want = brute.lines(rows_)
+    for limits in ({}, {"broadcast_bytes": 0}):
+        got = D.dedup_lines(spark.createDataFrame(rows_, "doc_id long, text string").repartition(5), **limits).collect()
+        assert {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in got} == want
+    assert sum(dropped for _, dropped, _ in want.values()) > 100
+
+
+def test_only_repeats_are_suspects(spark):
+    from pyspark.sql import functions as F
+
+    from evalfold.llm import line_dedup as D
+
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws("\n", *(F.concat(F.lit(f"line {k} of the document of number "), F.lpad(F.col("id").cast("string"), 12, "0")) for k in range(4)), F.when(F.col("id") % 100 == 0, "a line that one document in a hundred holds")).alias("text"))
+    bits = 1 << (n * D.BITS_A_ROW).bit_length()
+    found = D.suspects(docs, D.twice_filter(docs, bits, 32), bits)
+    repeats, every = n // 100, 4 * n + n // 100
+    assert repeats <= found.count() < repeats + 0.01 * every
+
+
+def test_filter_holds_what_it_was_made_of(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from evalfold.llm.bloom import Bloom, xxhash64
+
+    values = spark.range(3000).select((F.col("id") * 7919 - 4_000_000).alias("x"), F.xxhash64(F.col("id") * 7919 - 4_000_000, F.lit(2)).alias("h")).toPandas()
+    assert (xxhash64(values.x.to_numpy(), 2).view(np.int64) == values.h.to_numpy()).all()
+    made = Bloom.of(spark.createDataFrame(values[["x"]]), "x", 16, 1 << 28)
+    others = np.arange(10**7, 10**7 + 50_000)
+    assert made.holds(values.x.to_numpy()).all() and made.holds(others).mean() < 0.03
+    assert not Bloom.of(spark.createDataFrame([], "x long"), "x", 16, 1 << 20).holds(others).any()
+
+
 def test_line_keys():
     assert line_key("é".encode() * 39) is None and line_key("é".encode() * 40) == "é".encode() * 40
     assert line_key(b"\x0b " + b"AbC" * 20 + b"\t\r") == b"abc" * 20 and line_key("É".encode() * 40) == "É".encode() * 40
