@@ -6,10 +6,14 @@
 2. Representatives that share a band are candidates. Buckets are never expanded into all pairs. First each member is
    verified against one other: of the leaders of its buckets, the one that it shares most bands with. The verified links
    are grouped, and from then on only buckets whose members still lie in different groups matter. In buckets up to SMALL
-   all pairs between groups are verified. In larger ones the members outside the largest group are compared with the
-   others in pairs of blocks, inside tasks, so that only links come out. A pair of candidates is left out only when its
-   ends are linked through others.
-3. Verification counts the shingles that the two full sets share. Sets are made for candidates only: a Bloom filter of
+   all pairs between groups are verified.
+3. The members of larger ones are bucketed again, by the rarest shingles of their sets: of n shingles in order of falling rarity the first
+   n - ceil(0.8 n) + 1. Two sets of similarity 0.8 share one of these, while sets that only have a frequent passage in common (which
+   is what fills such bands) share none. These buckets go the same way: leaders, groups, small buckets. Members that lie
+   outside the largest group of a bucket that is large and open even then meet its other members of fitting size in pairs of
+   blocks, inside tasks, so that only links come out. A pair of candidates is left out only when its ends are linked
+   through others.
+4. Verification counts the shingles that the two full sets share. Sets are made for candidates only: a Bloom filter of
    their ids, of bounded size, is held against the table in a second scan, so texts are never shuffled.
 
 With BANDS bands of ROWS values a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32, about 5e-8.
@@ -26,10 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import blocks
+from evalfold.llm.bloom import Bloom
 from evalfold.llm.common import read, small_batches, staged
 from evalfold.llm.components import components
 from evalfold.llm.superminhash import band_hashes, signatures
-from evalfold.llm.words import Words, word_bytes
+from evalfold.llm.words import Words, mix, word_bytes
 
 BANDS, ROWS = 32, 4
 #: Words of a shingle and similarity in percent where nothing else is asked for.
@@ -40,7 +45,9 @@ BLOCK_BYTES = 2 << 20
 #: Members up to which a bucket's pairs between groups are all listed; nodes of a block in larger ones.
 SMALL, BLOCK_NODES = 16, 128
 #: Bits of the Bloom filter of candidate ids, for each and at most.
-ID_BITS, MAX_ID_BITS = 16, 1 << 27
+ID_BITS, MAX_ID_BITS = 16, 1 << 28
+#: Slots of the table that shingles are counted in to tell rare ones from frequent ones.
+RARITY = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,36 +94,57 @@ def _sign(k: int) -> Callable:
     return run
 
 
-def _bits(ids: Column, size: int) -> Column:
-    return F.pmod(F.xxhash64(ids), F.lit(size))
-
-
-def _id_filter(ids: DataFrame, size: int) -> np.ndarray:
-    """A one-hash Bloom filter of `size` bits of the column doc_id, packed."""
-    at = ids.select((_bits(F.col("doc_id"), size) + 1).alias("at"))  # the bitmap functions count from 1
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for n, bits in zip(rows["n"].to_pylist(), rows["bits"].to_pylist()):
-        # Bucket n holds 32768 positions; each byte's least bit comes first.
-        out[(n - 1) * 4096 : n * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles) of the documents in `ids`, and of the few others that the filter takes for one of them."""
-    size = min(MAX_ID_BITS, max(1 << 15, 1 << (ids.count() * ID_BITS).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, size))
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids, "doc_id", ID_BITS, MAX_ID_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-            own = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            own = batch.filter(pa.array(sent.value.holds(batch.column("doc_id").to_numpy())))
             for first, data, offsets in blocks(own.column("text"), BLOCK_BYTES):
                 elements, sizes = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").slice(first, len(sizes)), _lists(elements, sizes)], names=["doc_id", "shingles"])
 
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", _bits(F.col("doc_id"), size).alias("at"))
-    return rows.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.filter(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles.view(np.uint64)) & np.uint64(RARITY - 1)).astype(np.int64)
+
+
+def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, node, n, c): each node with the rarest of its shingles that a similar set must share one of, as buckets of c > 1 nodes.
+
+    The order is by how often a shingle's slot occurs among these sets, then by the shingle; any order would lose nothing.
+    """
+    own = staged(nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node"), "open-sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            times += np.bincount(_slots(batch.column("shingles").flatten().to_numpy()), minlength=RARITY)
+        held = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times[held])], names=["slot", "n"])
+
+    table = own.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # RARITY rows at most
+    times = np.zeros(RARITY, np.int64)
+    times[table["slot"].to_numpy()] = table["n"].to_numpy()
+    sent = own.sparkSession.sparkContext.broadcast(times)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("shingles").flatten().to_numpy()
+            sizes = batch.column("shingles").value_lengths().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, sent.value[_slots(flat)], owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            taken = place < (sizes + (-percent * sizes // 100) + 1)[owner]
+            rows = pa.array(owner[taken])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][taken]), batch.column("node").take(rows), batch.column("n").take(rows)], names=["band", "node", "n"])
+
+    rare = staged(own.select("node", "n", "shingles").mapInArrow(rarest, "band long, node long, n long"), "rare")
+    shared = staged(rare.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
+    return staged(rare.join(shared, "band"), "members")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,18 +217,22 @@ def _links_of(percent: int) -> Callable:
 def _block_links(rows: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the large buckets' nodes in different groups, verified in pairs of blocks of about BLOCK_NODES nodes.
 
-    Buckets with the same largest group are taken together: the nodes outside it, in blocks, meet all nodes, in blocks.
-    A row is sent once for each block that it meets, and only links come out, never all pairs.
+    Buckets with the same largest group are taken together. Sizes fall into classes such that similar sets lie in one class or
+    in neighbours. The nodes of a class outside the largest group, in blocks, meet all nodes of the three classes, in
+    blocks. A row is sent once for each block that it meets, and only links come out, never all pairs.
     """
-    nodes = rows.join(mixed, "band").select("top", "node", "label", (F.col("label") != F.col("top")).alias("out")).distinct()
-    sizes = nodes.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("all"), F.ceil(F.count_if("out") / BLOCK_NODES).alias("outs"))
-    nodes = staged(nodes.join(staged(sizes, "block-counts"), "top"), "block-nodes")
+    size_class = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("long") if 0 < percent < 100 else F.col("n")
+    nodes = rows.join(mixed, "band").select("top", "node", "label", (F.col("label") != F.col("top")).alias("out"), size_class.alias("own")).distinct()
+    nodes = staged(nodes, "block-nodes")
+    every = nodes.withColumn("class", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
+    sizes = every.groupBy("top", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("all"), F.ceil(F.count_if(F.col("out") & (F.col("own") == F.col("class"))) / BLOCK_NODES).alias("outs"))
+    every = every.join(staged(sizes.filter("outs > 0"), "block-counts"), ["top", "class"])
     block = lambda n: F.pmod(F.xxhash64("node"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = nodes.filter("out").select("top", "node", "label", F.lit(True).alias("outside"), block(F.col("outs")).alias("i"), every(F.col("all")).alias("j"))
-    right = nodes.select("top", "node", "label", F.lit(False).alias("outside"), every(F.col("outs")).alias("i"), block(F.col("all")).alias("j"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = every.filter(F.col("out") & (F.col("own") == F.col("class"))).select("top", "class", "node", "label", F.lit(True).alias("outside"), block(F.col("outs")).alias("i"), spread(F.col("all")).alias("j"))
+    right = every.select("top", "class", "node", "label", F.lit(False).alias("outside"), spread(F.col("outs")).alias("i"), block(F.col("all")).alias("j"))
     dealt = left.unionByName(right).join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
-    return dealt.groupBy("top", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
+    return dealt.groupBy("top", "class", "i", "j").applyInArrow(_links_of(percent), "a long, b long").distinct()
 
 
 def _more(pairs: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,6 +241,22 @@ def _more(pairs: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> D
     return done.unionByName(staged(_verified(new, sets, percent), "verified"))
 
 
+def _round(members: DataFrame, done: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verifies, among buckets (band, node, n, c), each node against one leader, then all pairs between the groups of small buckets.
+
+    Gives all pairs verified so far, and the rows and largest groups of the buckets that were left open after the leaders.
+    """
+    # A bucket's leader is its most central member: the one whose buckets are the largest in sum.
+    central = staged(members.groupBy("node").agg(F.sum("c").alias("weight")), "central")
+    leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"), "n")).alias("l"))
+    leads = staged(leads.select("band", F.struct((-F.col("l.m")).alias("node"), F.col("l.n").alias("n")).alias("lead")), "leads")
+    star = members.join(leads, "band").filter(F.col("node") != F.col("lead.node")).filter(_possible("n", "lead.n", percent))
+    best = _best(star.select(F.col("node").alias("x"), F.col("lead.node").alias("y")))
+    done = staged(_verified(best, sets, percent), "verified") if done is None else _more(best, done, sets, percent)
+    open_, mixed = _mixed(members.select("band", "node", "n", "c"), components(done.filter("linked")))
+    return _more(_across(open_.filter(F.col("c") <= SMALL), mixed, percent), done, sets, percent), open_.filter(F.col("c") > SMALL), mixed
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
@@ -225,19 +273,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     banded = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
     members = staged(banded.join(shared, "band"), "members")
-    # A bucket's leader is its most central member: the one whose buckets are the largest in sum.
-    central = staged(members.groupBy("node").agg(F.sum("c").alias("weight")), "central")
-    leads = members.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"), "n")).alias("l"))
-    leads = staged(leads.select("band", F.struct((-F.col("l.m")).alias("node"), F.col("l.n").alias("n")).alias("lead")), "leads")
-    members = members.join(leads, "band")
     sets = staged(_candidate_sets(docs, members.select(F.col("node").alias("doc_id")).distinct(), k), "shingle-sets")
-
-    star = members.filter(F.col("node") != F.col("lead.node")).filter(_possible("n", "lead.n", percent))
-    done = staged(_verified(_best(star.select(F.col("node").alias("x"), F.col("lead.node").alias("y"))), sets, percent), "verified")
-    labels = components(done.filter("linked"))
-    open_, mixed = _mixed(members.select("band", "node", "n", "c"), labels)
-    done = _more(_across(open_.filter(F.col("c") <= SMALL), mixed, percent), done, sets, percent)
-    links = done.filter("linked").select("a", "b").unionByName(_block_links(open_.filter(F.col("c") > SMALL), mixed, sets, percent))
+    done, large, mixed = _round(members, None, sets, percent)
+    links = done.filter("linked").select("a", "b")
+    if not large.isEmpty():
+        done, large, mixed = _round(_rare_buckets(large.select("node", "n").distinct(), sets, percent), done, sets, percent)
+        links = done.filter("linked").select("a", "b").unionByName(_block_links(large, mixed, sets, percent))
     labels = components(links)
 
     placed = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left")

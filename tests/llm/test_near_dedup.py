@@ -37,6 +37,42 @@ def test_large_group_of_edited_copies(spark):
     assert dict(zip(got.doc_id, got.component_id)) == want and len(set(want.values())) > 62
 
 
+@pytest.mark.parametrize("k", [1, 2])
+def test_many_documents_share_a_passage_and_few_are_linked(spark, k, monkeypatch):
+    """Three fifths of each text are a common passage, so bands fill with documents that aren't similar; some have copies with an edit."""
+    from evalfold.llm import near_dedup as N
+
+    compared = []
+    monkeypatch.setattr(N, "_verified", lambda pairs, *a, was=N._verified: compared.append(pairs) or was(pairs, *a))
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [[*passage, *(f"o{r.randrange(10**6)}" for _ in range(60))] for _ in range(500)]
+    texts += [t[:-2] + ["changed"] for t in texts[::9]] + [t[: 149 - i % 40] for i, t in enumerate(texts[::7])]
+    r.shuffle(texts)
+    rows_ = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4), k).toPandas()
+    assert dict(zip(got.doc_id, got.component_id)) == brute.near(rows_, k)
+    assert sum(p.count() for p in compared) < 20 * len(rows_)
+
+
+def test_pairs_of_blocks_lose_no_link(spark, monkeypatch):
+    """All stages before the last find nothing here, so every link comes from pairs of blocks of a few nodes."""
+    from pyspark.sql import functions as F
+
+    from evalfold.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "BLOCK_NODES", 5)
+    r = np.random.default_rng(3)
+    base = r.choice(10**9, 100, replace=False)
+    sets = [sorted({*base[: r.integers(60, 101)].tolist(), *r.integers(10**9, 2 * 10**9, r.integers(0, 25)).tolist()}) for _ in range(70)]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "doc_id long, shingles array<long>")
+    rows_ = frame.select(F.lit(1).cast("long").alias("band"), F.col("doc_id").alias("node"), F.size("shingles").cast("long").alias("n"), F.col("doc_id").alias("label"))
+    mixed = spark.createDataFrame([(1, 69)], "band long, top long")
+    got = {(x.a, x.b) for x in N._block_links(rows_, mixed, frame, 80).collect()}
+    want = {(i, j) for j in range(70) for i in range(j) if 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    assert got == want and want
+
+
 def test_rows_without_id_and_empty_table(spark, no_docs):
     got = near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (4, 4, True)]
