@@ -179,7 +179,7 @@ def find_secrets(docs: DataFrame, table: list[float], threshold: float, short: t
         random = lambda t: F.when(F.length(t["text"]) >= LONG, score_long(t)).otherwise(score(t["text"], short[0]) > F.get(passing, F.length(t["text"]) - LEAST["markov"]))
     else:
         random = lambda t: (F.length(t["text"]) >= LONG) & score_long(t)
-    return docs.withColumn("base", bare(found)).withColumn("added", _outside(bare(F.filter(tokens, random)), F.col("base")))
+    return docs.withColumn("base", bare(found)).withColumn("added", let(bare(F.filter(tokens, random)), lambda spans: F.when(F.size(spans) > 0, _outside(spans, F.col("base"))).otherwise(spans)))
 
 
 def _outside(spans: Column, base: Column) -> Column:
@@ -188,11 +188,10 @@ def _outside(spans: Column, base: Column) -> Column:
     marked = lambda x, is_base: F.transform(x, lambda r: F.struct(r["start"].alias("start"), F.lit(0 if is_base else 1).alias("later"), r["kind"].alias("kind"), r["end"].alias("end")))
     events = F.array_sort(F.concat(marked(base, True), marked(spans, False)))
     swept = let(events, lambda e: let(
-        _before(F.transform(e, lambda r: F.when(r["later"] == 0, r["end"]).otherwise(0)), lambda a, x: F.greatest(a, x)),
+        let(F.transform(e, lambda r: F.when(r["later"] == 0, r["end"]).otherwise(0)), lambda v: _before(v, lambda a, x: F.greatest(a, x))),
         lambda ends: F.filter(F.arrays_zip(e.alias("e"), ends.alias("reached")), lambda z: (z["e"]["later"] == 1) & (z["reached"] < z["e"]["end"])),
     ))
-    out = F.transform(swept, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["kind"].alias("kind"), z["e"]["end"].alias("end")))
-    return F.when(F.size(spans) > 0, out).otherwise(spans)
+    return F.transform(swept, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["kind"].alias("kind"), z["e"]["end"].alias("end")))
 
 
 def _hex(text: Column) -> Column:
