@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalfold.sources.staging import free_name, staged
+
 
 def latest(log: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Each key's last event, by aggregation: one partial row for each key and task is shuffled, not the log."""
@@ -38,19 +40,26 @@ def admitted(ledger: DataFrame, capacity: int) -> DataFrame:
     return ledger.withColumn("accepted", ok).withColumn("capacity_ordinal", F.when(ok, F.col("arrival")))
 
 
-def numbered(rows: DataFrame, keys: list[str], chunk, order: list[str], name: str, value: str | None = None) -> DataFrame:
-    """`rows` with `name`: their number from 1 within `keys` by `order` (or, with `value`, the running sum of it).
+def numbered(rows: DataFrame, keys: list[str], chunk, order: list, name: str, value: str | None = None, combine=F.sum) -> DataFrame:
+    """`rows` with `name`: their number from 1 within `keys` by `order` (or, with `value`, the running sum of it, or what `combine`
+    makes of it: F.sum or F.max).
 
     chunk: a column that never falls along `order`, such as a day or a range of ids. Rows are numbered within (keys, chunk)
-    and raised by what the key's earlier chunks hold, so a key with a third of all rows is spread over its chunks.
+    and raised by what the key's earlier chunks hold, so a key with a third of all rows is spread over its chunks. None
+    cuts the rows, sorted by keys and order, into ranges of about one size. No keys: all rows are one group.
     """
     amount = F.lit(1).cast("long") if value is None else F.col(value)
-    r = rows.withColumn("_chunk", chunk)
-    sums = r.groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_sum"))
-    earlier = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(*keys, "_chunk", F.coalesce(earlier, F.lit(0)).alias("_start"))
-    own = F.sum(amount).over(Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("_own", own).join(starts, [*keys, "_chunk"]).withColumn(name, F.col("_start") + F.col("_own")).drop("_chunk", "_start", "_own")
+    c, total, own, start = (free_name(rows, x) for x in ("chunk", "total_of", "own", "start"))
+    if chunk is None:
+        r = staged(rows.repartitionByRange(*keys, *order).withColumn(c, F.spark_partition_id()), "ranges")
+    else:
+        r = rows.withColumn(c, chunk)
+    sums = r.groupBy(*keys, c).agg(combine(amount).alias(total))
+    earlier = combine(total).over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*keys, c, earlier.alias(start))
+    here = combine(amount).over(Window.partitionBy(*keys, c).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    up = F.coalesce(F.col(start), F.lit(0)) + F.col(own) if combine is F.sum else F.greatest(start, own)
+    return r.withColumn(own, here).join(starts, [*keys, c]).withColumn(name, up).drop(c, start, own)
 
 
 def fan_in(rows: DataFrame, keys: list[str], expected: int) -> DataFrame:

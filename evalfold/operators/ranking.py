@@ -5,12 +5,13 @@ Ties are always broken by the first occurrence, as a stable sort would; every or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators.logs import numbered
+from evalfold.sources.staging import staged
+
 
 def unique_best(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's highest reward, the attempt that first reached it, and where the key first occurred."""
@@ -20,60 +21,63 @@ def unique_best(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranked(rows: DataFrame, by: list, name: str = "rank", within: list[str] | None = None) -> DataFrame:
-    """`rows` with their rank from 1 by a total order, within groups or over the (already reduced) table."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*by)
-    return rows.withColumn(name, F.row_number().over(w).cast("long"))
+    """`rows` with their rank from 1 by a total order, within groups or over the whole table; there without one task for all."""
+    if within:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*by)).cast("long"))
+    return numbered(rows, [], None, by, name)
+
+
+#: Attempts of a run of the history that one task follows.
+HISTORY_RUN = 4096
 
 
 def round_stats(attempts: DataFrame, best: int) -> DataFrame:
     """Each round's batch (max, mean, min, population deviation) and the same of the `best` unique instructions so far.
 
-    An instruction's best so far changes at few rounds, so its records are those changes, joined to the later rounds.
+    The history (round_index, ordinal, instruction, reward; rounds are ranges of ordinals) is cut into runs of whole
+    rounds. A run starts from the best of the runs before it, which are merged from each run's own best, and is followed with no
+    more than `best` instructions in hand: one that falls out can only come back by a higher reward of its own.
     """
     def summary(prefix: str) -> list:
         return [F.max("reward").alias(f"{prefix}max"), F.round(F.avg("reward"), 9).alias(f"{prefix}mean"), F.min("reward").alias(f"{prefix}min"), F.round(F.stddev_pop("reward"), 9).alias(f"{prefix}std")]
 
-    batch = attempts.groupBy("round_index").agg(F.count(F.lit(1)).alias("n"), *summary("batch_"))
-    by_round = attempts.groupBy("instruction", "round_index").agg(F.max("reward").alias("r"), F.min("ordinal").alias("o"))
-    w = Window.partitionBy("instruction").orderBy("round_index")
-    so_far = by_round.select("instruction", "round_index", F.max("r").over(w).alias("reward"), F.min("o").over(w).alias("first_ordinal"))
-    before = F.lag("reward").over(w)
-    changes = so_far.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("reward") > F.col("_before"))).drop("_before")
-    last = attempts.agg(F.max("round_index")).first()[0]
-    until = F.coalesce(F.lead("round_index").over(w) - 1, F.lit(last))
-    live = changes.withColumn("until", until).withColumn("at", F.explode(F.sequence("round_index", "until"))).join(batch.select(F.col("round_index").alias("at")), "at")
-    top = ranked(live, [F.col("reward").desc(), "first_ordinal"], within=["at"]).filter(F.col("rank") <= best)
-    return batch.join(top.groupBy(F.col("at").alias("round_index")).agg(F.count(F.lit(1)).alias("n_best"), *summary("best_")), "round_index")
-
-
-def _skyline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The front of one partition: rows in order of falling quality, kept while their price falls below all before."""
-    held = None
-    for b in batches:
-        both = b if held is None else pd.concat([held, b])
-        both = both.sort_values(["group_id", "quality", "price"], ascending=[True, False, True])
-        top = both.groupby(["group_id", "quality"], sort=False)["price"].transform("min")
-        both = both[both["price"] == top]
-        least = both.groupby("group_id")["price"].transform(lambda p: p.cummin().shift(1))
-        # A row is dominated by a better one of the same or a lower price; ties of both values stay together.
-        same = both.groupby("group_id")["quality"].shift(1) == both["quality"]
-        bar = least.where(~same).groupby([both["group_id"], both["quality"]]).transform("first")
-        held = both[bar.isna() | (both["price"] < bar)]
-    if held is not None:
-        yield held
+    batch = attempts.groupBy("round_index").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), *summary("batch_"))
+    runs = batch.select("round_index", F.floor(F.col("first") / HISTORY_RUN).alias("run"))
+    seen = attempts.groupBy("instruction").agg(F.min("ordinal").alias("first_ordinal"))
+    rows = staged(attempts.select("round_index", "ordinal", "instruction", "reward").join(runs, "round_index").join(seen, "instruction"), "history")
+    top = lambda x, at: ranked(x, [F.col("reward").desc(), "first_ordinal"], within=[at]).filter(F.col("rank") <= best).drop("rank")
+    own = staged(top(rows.groupBy("run", "instruction", "first_ordinal").agg(F.max("reward").alias("reward")), "run"), "run-best")
+    # Of each run, `best` rows go to every later run: runs are few (one for HISTORY_RUN attempts).
+    later = own.withColumnRenamed("run", "_of").join(own.select("run").distinct(), F.col("run") > F.col("_of"))
+    start = top(later.groupBy("run", "instruction", "first_ordinal").agg(F.max("reward").alias("reward")), "run")
+    start = start.select("run", F.lit(None).cast("long").alias("round_index"), F.lit(None).cast("long").alias("ordinal"), "instruction", "first_ordinal", "reward")
+    every = rows.select(*start.columns).unionByName(start)
+
+    def follow(run: pd.DataFrame) -> pd.DataFrame:
+        held = {r.instruction: (r.reward, -r.first_ordinal) for r in run[run.ordinal.isna()].itertuples()}
+        out = []
+        for at, attempts_ in run[run.ordinal.notna()].sort_values("ordinal").groupby("round_index", sort=False):
+            for r in attempts_.itertuples():
+                held[r.instruction] = max(held.get(r.instruction, (float("-inf"), 0)), (r.reward, -r.first_ordinal))
+                if len(held) > best:
+                    del held[min(held, key=held.get)]
+            out += [(int(at), v[0]) for v in held.values()]
+        return pd.DataFrame(out, columns=["round_index", "reward"])
+
+    best_rows = every.groupBy("run").applyInPandas(follow, "round_index long, reward double")
+    return batch.drop("first").join(best_rows.groupBy("round_index").agg(F.count(F.lit(1)).alias("n_best"), *summary("best_")), "round_index")
 
 
 def pareto_front(rows: DataFrame) -> DataFrame:
     """Rows (group_id, id, quality, price) that no other row of the group dominates: quality is maximised, price minimised.
 
-    Exact ties of both stay. Each partition first keeps its own front (a small table), then fronts are compared exactly:
-    a row survives if no row of higher or equal quality has a lower price, and none of higher quality the same price.
+    Exact ties of both stay. A row survives if it has the least price of its quality and that lies below all prices of higher
+    quality; so only the least price of each quality is compared, and rows are joined to it.
     """
-    local = rows.mapInPandas(_skyline, rows.schema)
-    by_quality = local.groupBy("group_id", "quality").agg(F.min("price").alias("best"))
+    by_quality = rows.groupBy("group_id", "quality").agg(F.min("price").alias("best"))
     w = Window.partitionBy("group_id").orderBy(F.col("quality").desc()).rowsBetween(Window.unboundedPreceding, -1)
     bars = by_quality.select("group_id", "quality", "best", F.min("best").over(w).alias("bar"))
-    return local.join(bars, ["group_id", "quality"]).filter((F.col("price") == F.col("best")) & (F.col("bar").isNull() | (F.col("price") < F.col("bar")))).drop("best", "bar")
+    return rows.join(bars, ["group_id", "quality"]).filter((F.col("price") == F.col("best")) & (F.col("bar").isNull() | (F.col("price") < F.col("bar")))).drop("best", "bar")
 
 
 def promotion(scores: DataFrame) -> DataFrame:
@@ -82,7 +86,6 @@ def promotion(scores: DataFrame) -> DataFrame:
     The highest mean that isn't promoted yet (ties: first seen); where all are promoted, the lowest.
     """
     by = scores.groupBy("combination").agg(F.round(F.avg(F.when(~F.col("is_full"), F.col("score"))), 9).alias("mean"), F.min("trial_number").alias("first_trial"), F.max("is_full").alias("promoted"))
-    by = ranked(by.filter("mean IS NOT NULL"), [F.col("mean").desc(), "first_trial"])
-    first = F.min(F.when(~F.col("promoted"), F.col("rank"))).over(Window.partitionBy(F.lit(0)))
-    last = F.max("rank").over(Window.partitionBy(F.lit(0)))
-    return by.withColumn("is_next", F.col("rank") == F.coalesce(first, last))
+    by = staged(ranked(by.filter("mean IS NOT NULL"), [F.col("mean").desc(), "first_trial"]), "combinations")
+    next_ = by.agg(F.coalesce(F.min(F.when(~F.col("promoted"), F.col("rank"))), F.max("rank")).alias("r")).first()["r"]
+    return by.withColumn("is_next", F.col("rank") == F.lit(next_))

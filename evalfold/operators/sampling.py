@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators.logs import numbered
+from evalfold.sources.staging import staged
 
 
 def hash_order(*key: Column) -> Column:
@@ -43,42 +40,67 @@ def fold_attempts(rows: DataFrame, cap: int, errors: int) -> DataFrame:
     return live.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_used"), accepted.alias("n_accepted"), failed.alias("n_errors"), F.when(accepted >= cap, "full").when(failed >= errors, "aborted").otherwise("open").alias("status"))
 
 
-def demo_sets(rows: DataFrame, sets: int, most: int, seed: int) -> DataFrame:
-    """(component, set_index, demos) as Python's own generator draws them.
+def fold_summaries(rows: DataFrame, most: int) -> DataFrame:
+    """(group_id, ordinal, call, outcome, stage) of each group's replies in order of call (from 1), up to the one that ends the fold.
 
-    Set -3 is empty, -2 holds labels in order, -1 the bootstrapped in order, and each later set shuffles the bootstrapped with
-    a generator of its own seed and takes a random number of them, filled up with sampled labels. A component's items
-    (an array, its size bounded by the pool) come in one row, so a task holds one pool at a time.
+    A failed reply ends it; a later reply that only says complete is skipped, and `most` of those end it; the others are
+    accepted. stage is what follows: without a first summary the proposals go on unaware of the data.
     """
-    pools = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("item", "bootstrapped"))).alias("pool"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for component, pool in zip(batch["component"], batch["pool"]):
-                made, labels = [x["item"] for x in pool if x["bootstrapped"]], [x["item"] for x in pool if not x["bootstrapped"]]
-                out += [(component, -3, []), (component, -2, labels[:most]), (component, -1, made[:most])]
-                for k in range(sets):
-                    r = random.Random(seed + k)
-                    drawn = r.sample(made, len(made))[: r.randint(1, most)]
-                    out.append((component, k, drawn + r.sample(labels, min(len(labels), most - len(drawn)))))
-            yield pd.DataFrame(out, columns=["component", "set_index", "demos"])
-
-    return pools.mapInPandas(run, "component string, set_index long, demos array<long>")
+    skip = (F.col("call") > 1) & ~F.col("failed") & F.col("complete")
+    w = Window.partitionBy("group_id").orderBy("call").rowsBetween(Window.unboundedPreceding, -1)
+    r = rows.withColumn("_skips", F.coalesce(F.sum(skip.cast("long")).over(w), F.lit(0))).withColumn("_over", F.coalesce(F.max("failed").over(w), F.lit(False)))
+    live = r.filter((F.col("_skips") < most) & ~F.col("_over"))
+    outcome = F.when(F.col("failed"), "failed").when(skip, "skipped").otherwise("accepted")
+    stage = F.when(F.col("failed") & (F.col("call") == 1), "proposal_select").when(F.col("failed") | (skip & (F.col("_skips") == most - 1)), "dataset_final").otherwise("dataset_followup")
+    return live.select("group_id", "ordinal", "call", outcome.alias("outcome"), stage.alias("stage"))
 
 
-def faithful_resamples(values: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(group_id, resample, mean) with Python's Mersenne Twister, one stream for each group: n draws for each resample in turn.
+def instruction_pools(slots: DataFrame) -> DataFrame:
+    """(component, slot, instruction, pool_index) of proposals (component, slot from 0, original, proposed, failed, invalid).
 
-    A group's values come as one array in order of place; the stream is sequential by definition, so a group is one task's.
+    Slot 0 holds the original whatever was proposed; an invalid proposal leaves no entry; nothing from the first failed
+    slot on counts. Entries are rows, numbered in order of slot.
     """
-    arrays = values.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+    ends = slots.filter("failed").groupBy("component").agg(F.min("slot").alias("_end"))
+    live = slots.join(ends, "component", "left").filter(F.col("_end").isNull() | (F.col("slot") < F.col("_end")))
+    pool = live.filter((F.col("slot") == 0) | ~F.col("invalid")).select("component", "slot", F.when(F.col("slot") == 0, F.col("original")).otherwise(F.col("proposed")).alias("instruction"))
+    return numbered(pool, ["component"], F.floor(F.col("slot") / 10_000), ["slot"], "pool_index").withColumn("pool_index", F.col("pool_index") - 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for group, own in zip(batch["group_id"], batch["values"]):
-                r = random.Random(seed)
-                own, n = own.tolist(), len(own)
-                yield pd.DataFrame({"group_id": group, "resample": range(resamples), "mean": [sum(own[r.randrange(n)] for _ in range(n)) / n for _ in range(resamples)]})
 
-    return arrays.mapInPandas(run, "group_id string, resample long, mean double")
+def demo_plans(rows: DataFrame, sets: int, most: int, seed: int) -> DataFrame:
+    """(component, set_index, nth, item, bootstrapped): the demos of each few-shot plan, as rows.
+
+    rows: component, item, bootstrapped. Set -3 is empty, so it has no row; -2 holds the first `most` labels, -1 the first
+    `most` bootstrapped demos; each later set takes 1 to `most` bootstrapped demos in an order of its own, and labels, sampled in an order
+    of its own, up to `most` in all. Orders and numbers are hashes of seed, set, component and item.
+    """
+    plans = rows.withColumn("set_index", F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(sets - 1).cast("long"))))
+    plans = plans.filter(~((F.col("set_index") == -2) & F.col("bootstrapped")) & ~((F.col("set_index") == -1) & ~F.col("bootstrapped")))
+    own = hash_order(F.lit(seed), F.col("set_index"), F.col("component"), F.col("item"))
+    first = F.when(F.col("set_index") >= 0, own).otherwise(F.lpad(F.col("item").cast("string"), 20, "0"))
+    plans = plans.withColumn("_order", first)
+    kept = plans.withColumn("place", F.row_number().over(Window.partitionBy("component", "set_index", "bootstrapped").orderBy("_order", "item"))).filter(F.col("place") <= most)
+    number = hash_order(F.lit(seed), F.lit("size"), F.col("set_index"), F.col("component"))
+    size = F.when(F.col("set_index") >= 0, 1 + F.conv(F.substring(number, 1, 8), 16, 10).cast("long") % most).otherwise(most)
+    kept = kept.filter(~F.col("bootstrapped") | (F.col("place") <= size))  # at most 2 * most rows of a plan go on
+    nth = F.row_number().over(Window.partitionBy("component", "set_index").orderBy(F.col("bootstrapped").desc(), "place"))
+    return kept.withColumn("nth", nth.cast("long")).filter(F.col("nth") <= most).select("component", "set_index", "nth", "item", "bootstrapped")
+
+
+def narrowing_demo_sets(augmented: DataFrame, labelled: DataFrame, components: list[str], most_augmented: int, most: int, seed: int) -> DataFrame:
+    """(component, nth, item, bootstrapped): each component's first bootstrapped demos, filled up with sampled labels.
+
+    augmented: component, item, in order of item; labelled: item. The first component's labels are sampled from all, each
+    later one's from the sample before it, so the remainder narrows. A component's size is read before the next sample.
+    """
+    out, rest = None, labelled.select("item")
+    for c in components:
+        own = sample_within(augmented.filter(F.col("component") == c), ["component"], F.lpad(F.col("item").cast("string"), 20, "0"), most_augmented)
+        own = staged(own.select("component", "nth", "item", F.lit(True).alias("bootstrapped")), "augmented")
+        n = own.count()  # at most `most_augmented`
+        rest = rest.withColumn("component", F.lit(c))
+        rest = staged(sample_within(rest, ["component"], hash_order(F.lit(seed), F.lit(c), F.col("item")), max(0, most - n)), "labels")
+        both = own.unionByName(rest.select("component", (F.col("nth") + n).alias("nth"), "item", F.lit(False).alias("bootstrapped")))
+        out = both if out is None else out.unionByName(both)
+        rest = rest.select("item")
+    return out

@@ -12,6 +12,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators.logs import numbered
+from evalfold.sources.staging import free_name, staged
+
 
 def hex_number(hash_: Column, digits: int = 8) -> Column:
     """The first `digits` hexadecimal digits of a hash as a number."""
@@ -24,19 +27,35 @@ def draw(n: Column, *key: Column) -> Column:
 
 
 def holm(rows: DataFrame, p: str, order: str, within: list[str]) -> DataFrame:
-    """`rows` with `rank`, and `adjusted`: Holm's step-down p-values within each family; ties keep the order given."""
-    w = Window.partitionBy(*within).orderBy(p, order)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*within))
-    scaled = F.least(F.lit(1.0), F.col(p) * (m - F.col("rank") + 1))
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("adjusted", F.max(scaled).over(w))
+    """`rows` with `rank`, and `adjusted`: Holm's step-down p-values within each family; ties keep the order given.
+
+    A value that is null, NaN or outside [0, 1] fails. A large family is ranked, and its running maximum taken, over ranges of p.
+    """
+    m, scaled = free_name(rows, "family_size"), free_name(rows, "scaled")
+    known = F.when(F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.concat(F.lit("not a p-value: "), F.coalesce(F.col(p).cast("string"), F.lit("null")))).cast("double"))
+    ranked = numbered(rows.withColumn(p, known), within, None, [p, order], "rank")
+    sizes = ranked.groupBy(*within).agg(F.count(F.lit(1)).alias(m))
+    ranked = ranked.join(sizes, within).withColumn(scaled, F.least(F.lit(1.0), F.col(p) * (F.col(m) - F.col("rank") + 1)))
+    return numbered(ranked, within, F.floor(F.col("rank") / 10_000), ["rank"], "adjusted", scaled, F.max).drop(m, scaled)
+
+
+#: Values up to which resampling looks drawn places up in a broadcast table (some 50 bytes each).
+BROADCAST_VALUES = 500_000
+
 
+def resampled_means(values: DataFrame, keys: list[str], resamples: int, seed: int, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """(keys, resample, mean) of `resamples` draws with replacement from each group's values (place 0..n-1, n, value).
 
-def resampled_means(values: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """(keys, resample, mean) of `resamples` draws with replacement from each group's values (place 0..n-1, n, value)."""
+    Each value's row makes its draws, one for each resample, and looks the drawn value up: in a broadcast table up to `broadcast_values`
+    rows, so that only sums of resamples are shuffled; by a join of the draws beyond.
+    """
+    values = staged(values.select(*keys, "place", "n", "value"), "values")
     spread = values.select(*keys, "n", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     drawn = spread.withColumn("place", draw(F.col("n"), F.lit(seed), F.col("resample"), F.col("i")))
-    counts = drawn.groupBy(*keys, "resample", "place").agg(F.count(F.lit(1)).alias("times"))
-    return counts.join(values.select(*keys, "place", "n", "value"), [*keys, "place"]).groupBy(*keys, "resample").agg((F.sum(F.col("times") * F.col("value")) / F.max("n")).alias("mean"))
+    table = values.select(*keys, "place", "value")
+    if values.count() <= broadcast_values:
+        table = F.broadcast(table)
+    return drawn.join(table, [*keys, "place"]).groupBy(*keys, "resample").agg((F.sum("value") / F.max("n")).alias("mean"))
 
 
 def interval(means: DataFrame, points: DataFrame, keys: list[str], resamples: int, level: float = 0.95) -> DataFrame:

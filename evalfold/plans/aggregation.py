@@ -112,7 +112,7 @@ def reward_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.reward(metric_means(spark, sf_dir), terms, "skip")
 
 
-@query(ctes("outputs") + "SELECT event_id, CASE WHEN missing THEN 'vanished' WHEN failed THEN CASE failure_code WHEN 'provider-rejection' THEN 'rejection' WHEN 'blank-provider-generation' THEN 'empty-output' ELSE 'infrastructure' END WHEN invalid THEN 'truncation' WHEN score IS NULL THEN 'infrastructure' ELSE 'scored' END AS outcome, CASE outcome WHEN 'scored' THEN 'scored' WHEN 'vanished' THEN 'missing' WHEN 'infrastructure' THEN 'failed' ELSE 'invalid' END AS cell FROM outputs")
+@query(ctes("outputs") + "SELECT event_id, CASE WHEN missing THEN 'vanished-published-evidence' WHEN failed THEN CASE failure_code WHEN 'provider-rejection' THEN 'semantic-rejection' WHEN 'blank-provider-generation' THEN 'empty-output' ELSE 'infrastructure' END WHEN invalid THEN 'token-limit-truncation' WHEN score IS NULL THEN 'infrastructure' ELSE 'scored' END AS outcome, CASE outcome WHEN 'scored' THEN 'scored' WHEN 'vanished-published-evidence' THEN 'missing' WHEN 'infrastructure' THEN 'failed' ELSE 'invalid' END AS cell FROM outputs")
 def row_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcome of every output row and the accounting cell that it falls into."""
     return outputs(spark, sf_dir).select("event_id", attribution.outcome().alias("outcome"), attribution.cell(attribution.outcome()).alias("cell"))

@@ -56,11 +56,24 @@ def check_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials(spark, sf_dir).withColumn("_before", before).filter("event_id <= _before").select("candidate_id", "task_id", "seed_index")
 
 
-@query()
+_SETS = """WITH a AS (SELECT c, p_partkey AS item, row_number() OVER (PARTITION BY c ORDER BY p_partkey) AS nth FROM (SELECT CASE WHEN p_size > 40 THEN 'plan' WHEN p_size > 35 THEN 'answer' ELSE 'check' END AS c, p_partkey FROM part WHERE p_size > 30)),
+g AS (SELECT c, nth, item FROM a WHERE nth <= 3),
+k AS (SELECT c, count(*) AS k FROM g GROUP BY c),
+l0 AS (SELECT p_partkey AS item FROM part WHERE p_size <= 30),
+l1 AS (SELECT item, row_number() OVER (ORDER BY md5('3|plan|' || item)) AS nth FROM l0 QUALIFY nth <= 8 - coalesce((SELECT k FROM k WHERE c = 'plan'), 0)),
+l2 AS (SELECT item, row_number() OVER (ORDER BY md5('3|answer|' || item)) AS nth FROM l1 QUALIFY nth <= 8 - coalesce((SELECT k FROM k WHERE c = 'answer'), 0)),
+l3 AS (SELECT item, row_number() OVER (ORDER BY md5('3|check|' || item)) AS nth FROM l2 QUALIFY nth <= 8 - coalesce((SELECT k FROM k WHERE c = 'check'), 0))
+SELECT c AS component, nth, item, true AS bootstrapped FROM g UNION ALL SELECT 'plan', nth + coalesce((SELECT k FROM k WHERE c = 'plan'), 0), item, false FROM l1
+UNION ALL SELECT 'answer', nth + coalesce((SELECT k FROM k WHERE c = 'answer'), 0), item, false FROM l2 UNION ALL SELECT 'check', nth + coalesce((SELECT k FROM k WHERE c = 'check'), 0), item, false FROM l3"""
+
+
+@query(_SETS)
 def demo_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demo sets of part types, drawn by Python's generator: one row for each demo."""
-    rows = read(spark, sf_dir, "part").select(F.col("p_type").alias("component"), F.col("p_partkey").alias("item"), (F.col("p_size") > 25).alias("bootstrapped"))
-    return sampling.demo_sets(rows, 4, 6, 3).select("component", "set_index", F.posexplode("demos").alias("pos", "item"))
+    """The demos of three components: bootstrapped ones, then labels from a remainder that narrows from one to the next."""
+    p = read(spark, sf_dir, "part")
+    component = F.when(F.col("p_size") > 40, "plan").when(F.col("p_size") > 35, "answer").otherwise("check")
+    augmented = p.filter("p_size > 30").select(component.alias("component"), F.col("p_partkey").alias("item"))
+    return sampling.narrowing_demo_sets(augmented, p.filter("p_size <= 30").select(F.col("p_partkey").alias("item")), ["plan", "answer", "check"], 3, 8, 3)
 
 
 @query("""WITH s AS (SELECT o_custkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS step_index, o_orderkey, o_orderstatus, o_totalprice FROM orders)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators import ranking as R
+from evalfold.operators.logs import numbered
 from evalfold.plans.registry import query
 from evalfold.sources.tables import ctes, manifest, pass_rates, proposals, read, splits, study, trials
 
@@ -102,7 +103,8 @@ def manifest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subset_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled members of each pool in the caller's order."""
     joined = manifest(spark, sf_dir).join(read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "task_id"), "task_id")
-    return R.ranked(joined, ["role", "pos"], "caller_pos", ["pool_key"]).select("pool_key", "task_id", "pos", (F.col("caller_pos") - 1).alias("caller_pos"), "quality")
+    chunk = F.struct("role", F.floor(F.col("pos") / 10_000).alias("range"))
+    return numbered(joined, ["pool_key"], chunk, ["role", "pos"], "caller_pos").select("pool_key", "task_id", "pos", (F.col("caller_pos") - 1).alias("caller_pos"), "quality")
 
 
 @query(ctes("splits") + "SELECT l.role AS role_a, r.role AS role_b, l.task_hash, count(*) AS n_pairs FROM (SELECT role, task_hash, count(*) AS n FROM splits GROUP BY ALL) l JOIN (SELECT role, task_hash, count(*) AS n FROM splits GROUP BY ALL) r ON l.task_hash = r.task_hash AND l.role < r.role GROUP BY ALL")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators import chains
 from evalfold.operators import sampling as P
 from evalfold.operators import statistics as S
+from evalfold.operators.logs import numbered
 from evalfold.plans.registry import query
-from evalfold.plans.statistics import task_scores
-from evalfold.sources.tables import ctes, outputs, read, traces, trials
+from evalfold.plans.statistics import placed, task_scores
+from evalfold.sources.tables import ctes, outputs, read, traces
 
 
 @query("SELECT trial, p_partkey AS item, nth FROM (SELECT t AS trial, p_partkey, row_number() OVER (PARTITION BY t ORDER BY md5(t || '|' || p_partkey)) AS nth FROM part, range(0, 5) AS x(t)) WHERE nth <= 35")
@@ -61,18 +63,26 @@ def bootstrap_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.when(p == 0, True).when(p < 3, F.col("value") >= 35).otherwise(F.col("value") != 0).alias("accepted"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_brand AS component, p_partkey AS item, p_partkey % 3 = 0 AS bootstrapped, s AS set_index, CASE WHEN s >= 0 THEN md5(concat_ws('|', '9', s::VARCHAR, p_brand, p_partkey::VARCHAR)) ELSE lpad(p_partkey::VARCHAR, 20, '0') END AS o,
+  CASE WHEN s >= 0 THEN 1 + ('0x' || substr(md5(concat_ws('|', '9', 'size', s::VARCHAR, p_brand)), 1, 8))::BIGINT % 4 ELSE 4 END AS size FROM part, range(-2, 6) AS x(s)),
+k AS (SELECT *, row_number() OVER (PARTITION BY component, set_index, bootstrapped ORDER BY o, item) AS place FROM p WHERE NOT (set_index = -2 AND bootstrapped) AND NOT (set_index = -1 AND NOT bootstrapped)),
+n AS (SELECT *, row_number() OVER (PARTITION BY component, set_index ORDER BY bootstrapped DESC, place) AS nth FROM k WHERE place <= 4 AND (NOT bootstrapped OR place <= size))
+SELECT component, set_index, nth, item, bootstrapped FROM n WHERE nth <= 4""")
 def demo_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few-shot demo sets of every component, drawn by Python's generator."""
+    """Few-shot demo sets of every component: labels, bootstrapped in order, and six shuffled ones."""
     rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("item"), (F.col("p_partkey") % 3 == 0).alias("bootstrapped"))
-    return P.demo_sets(rows, 6, 4, 9)
+    return P.demo_plans(rows, 6, 4, 9)
 
 
-@query()
+@query(ctes("trials") + """, ts AS (SELECT candidate_id, task_id, avg(score) AS value FROM trials WHERE state = 'scored' GROUP BY ALL),
+vals AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY task_id) - 1 AS place, count(*) OVER (PARTITION BY candidate_id) AS n FROM ts),
+dr AS (SELECT candidate_id, r, ('0x' || substr(md5(concat_ws('|', '9', r::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT % n AS place FROM (SELECT candidate_id, n, place AS i FROM vals), range(0, 100) AS x(r))
+SELECT candidate_id AS group_id, r AS resample, round(avg(value), 9) AS mean FROM dr JOIN vals USING (candidate_id, place) GROUP BY ALL""")
 def bootstrap_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled means of each candidate by Python's generator."""
-    values = task_scores(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("candidate_id").orderBy("task_id")) - 1)
-    return P.faithful_resamples(values.withColumnRenamed("candidate_id", "group_id"), 100, 9)
+    """Each candidate's resampled means, one row for each resample."""
+    values = placed(task_scores(spark, sf_dir), ["candidate_id"])
+    means = S.resampled_means(values, ["candidate_id"], 100, 9)
+    return means.select(F.col("candidate_id").alias("group_id"), F.col("resample").cast("long").alias("resample"), F.round("mean", 9).alias("mean"))
 
 
 @query(ctes("outputs") + ", b AS (SELECT candidate_id, task_id, coalesce(score, 0.0::DOUBLE) AS score, failed OR missing OR invalid AS bad FROM outputs) SELECT candidate_id, task_id, count(*) AS n, round(avg(score), 9) AS score, count(*) FILTER (WHERE bad) AS n_failed, bool_and(NOT bad) AS has_objectives FROM b GROUP BY ALL")
@@ -91,27 +101,79 @@ def reflective_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("candidate_id", "task_id").agg(first).select("candidate_id", "task_id", "f.event_id", "f.failure_code")
 
 
-@query(ctes("trials") + "SELECT candidate_id, task_id, count(*) AS n_steps, CASE WHEN count(*) FILTER (WHERE state = 'failed') >= 2 THEN 'stopped' WHEN count(*) FILTER (WHERE state = 'scored') = 0 THEN 'empty' ELSE 'done' END AS status FROM trials GROUP BY ALL")
+_REPLIES = """r AS (SELECT user_id AS group_id, event_id AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, event_id % 29 = 0 AS failed, event_id % 3 = 0 AS complete FROM events),
+b AS (SELECT *, coalesce(sum((nth > 1 AND NOT failed AND complete)::INT) OVER w, 0) AS skips, coalesce(bool_or(failed) OVER w, false) AS over_ FROM r WINDOW w AS (PARTITION BY group_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("WITH " + _REPLIES + """ SELECT group_id, ordinal, nth AS call, CASE WHEN failed THEN 'failed' WHEN nth > 1 AND complete THEN 'skipped' ELSE 'accepted' END AS outcome,
+CASE WHEN failed AND nth = 1 THEN 'proposal_select' WHEN failed OR (nth > 1 AND complete AND skips = 4) THEN 'dataset_final' ELSE 'dataset_followup' END AS stage FROM b WHERE skips < 5 AND NOT over_""")
 def summary_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each phase's end: stopped after two failures, empty without any scored step, else done."""
-    failed, scored = F.count_if(F.col("state") == "failed"), F.count_if(F.col("state") == "scored")
-    return trials(spark, sf_dir).groupBy("candidate_id", "task_id").agg(F.count(F.lit(1)).alias("n_steps"), F.when(failed >= 2, "stopped").when(scored == 0, "empty").otherwise("done").alias("status"))
+    """Replies of each dataset summary in order, up to the one that ends it, each with its outcome and the stage after it."""
+    e = read(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = e.select(F.col("user_id").alias("group_id"), F.col("event_id").alias("ordinal"), F.row_number().over(w).cast("long").alias("call"), (F.col("event_id") % 29 == 0).alias("failed"), (F.col("event_id") % 3 == 0).alias("complete"))
+    return P.fold_summaries(rows, 5)
+
+
+_PROPOSED = """p AS (SELECT p_brand AS component, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS slot, p_partkey % 97 = 96 AS failed, p_partkey % 4 = 1 OR p_name = '' AS invalid FROM part),
+u AS (SELECT *, coalesce(bool_or(failed) OVER (PARTITION BY component ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over_ FROM p)"""
 
 
-@query(ctes("trials") + "SELECT candidate_id, count(*) AS n_slots, string_agg(task_id::VARCHAR, ',' ORDER BY task_id) AS pool FROM (SELECT candidate_id, task_id FROM trials GROUP BY ALL HAVING max(score) = 1) GROUP BY candidate_id")
+@query("WITH " + _PROPOSED + " SELECT component, slot, CASE WHEN slot = 0 THEN 'original of ' || component ELSE p_name END AS instruction, row_number() OVER (PARTITION BY component ORDER BY slot) - 1 AS pool_index FROM u WHERE NOT over_ AND NOT failed AND (slot = 0 OR NOT invalid)")
 def instruction_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each component's pool of valid entries in slot order."""
-    valid = trials(spark, sf_dir).groupBy("candidate_id", "task_id").agg(F.max("score").alias("s")).filter("s = 1")
-    return valid.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_slots"), F.array_join(F.transform(F.array_sort(F.collect_list("task_id")), lambda x: x.cast("string")), ",").alias("pool"))
+    """Each component's pool, one row an entry: slot 0 is the original, invalid proposals leave none, a failure ends it."""
+    rows = read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("component"), "p_partkey", F.concat(F.lit("original of "), "p_brand").alias("original"), F.col("p_name").alias("proposed"),
+        (F.col("p_partkey") % 97 == 96).alias("failed"), ((F.col("p_partkey") % 4 == 1) | (F.col("p_name") == "")).alias("invalid"),
+    )
+    return P.instruction_pools(numbered(rows, ["component"], F.floor(F.col("p_partkey") / 10_000), ["p_partkey"], "slot").withColumn("slot", F.col("slot") - 1))
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_partkey AS step, p_partkey // 2 AS prior FROM part), w AS (SELECT step AS leaf, step, prior, 0 AS depth FROM c UNION ALL SELECT w.leaf, c.step, c.prior, depth + 1 FROM w JOIN c ON c.step = w.prior WHERE w.step <> w.prior)
-SELECT leaf, max(depth)::BIGINT AS depth, min(step) AS root FROM w GROUP BY leaf""")
+_CHAIN = """WITH RECURSIVE c AS (SELECT p_partkey AS step, p_partkey // 2 AS prior FROM part), w AS (SELECT step AS leaf, step, prior, 0 AS depth FROM c UNION ALL SELECT w.leaf, c.step, c.prior, depth + 1 FROM w JOIN c ON c.step = w.prior WHERE w.step <> w.prior)"""
+
+
+@query(_CHAIN + " SELECT leaf, max(depth)::BIGINT AS depth, min(step) AS root FROM w GROUP BY leaf")
 def step_chain_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each step's chain of prior steps to its root, by doubling the distance walked in each round."""
-    steps = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("leaf"), F.floor(F.col("p_partkey") / 2).cast("long").alias("at"))
-    walk = steps.withColumn("depth", (F.col("leaf") != F.col("at")).cast("long"))
-    for _ in range(6):  # 2**6 steps reach the root of any chain of halved numbers
-        on = walk.select(F.col("leaf").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        walk = walk.join(on, "at").select("leaf", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
-    return walk.select("leaf", "depth", F.col("at").alias("root"))
+    """Each step's chain of prior steps to its root."""
+    return chains.walk(_steps(spark, sf_dir))[0].select(F.col("step").alias("leaf"), "depth", "root")
+
+
+@query(_CHAIN + """, e AS (SELECT p_partkey AS step, 'e' || (p_partkey % 7) AS evidence FROM part UNION ALL SELECT p_partkey, 'f' || (p_size % 5) FROM part UNION ALL SELECT p_partkey, 'f' || (p_size % 5) FROM part WHERE p_partkey % 2 = 0)
+SELECT DISTINCT e.step, e.evidence FROM e WHERE NOT EXISTS (SELECT 1 FROM w JOIN e a ON a.step = w.step WHERE w.leaf = e.step AND w.step <> e.step AND a.evidence = e.evidence)""")
+def step_owed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of each step that no step before it in its chain has recorded, once each."""
+    p = read(spark, sf_dir, "part")
+    f = F.concat(F.lit("f"), (F.col("p_size") % 5).cast("string"))
+    evidence = p.select(F.col("p_partkey").alias("step"), F.explode(F.array(F.concat(F.lit("e"), (F.col("p_partkey") % 7).cast("string")), f, F.when(F.col("p_partkey") % 2 == 0, f))).alias("evidence")).filter("evidence IS NOT NULL")
+    return chains.owed(_steps(spark, sf_dir), evidence)
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(k.alias("step"), F.when(k > 0, F.floor(k / 2).cast("long")).alias("prior"))
+
+
+@query("""WITH l AS (SELECT p_brand AS stream, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ordinal FROM part),
+d AS (SELECT *, ('0x' || substr(md5(concat_ws('|', '9', stream, ordinal::VARCHAR)), 1, 8))::BIGINT % 1000 AS replayed FROM l)
+SELECT stream, ordinal, replayed + (p_partkey % 50 = 7)::INT AS stored, replayed FROM d WHERE p_partkey % 50 = 7""")
+def rng_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged draws that a replay from the seed doesn't give again."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("stream"), "p_partkey")
+    log = numbered(p, ["stream"], F.floor(F.col("p_partkey") / 10_000), ["p_partkey"], "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
+    log = log.withColumn("stored", S.draw(F.lit(1000), F.lit(9), F.col("stream"), F.col("ordinal")) + (F.col("p_partkey") % 50 == 7).cast("long"))
+    again = log.withColumn("replayed", S.draw(F.lit(1000), F.lit(9), F.col("stream"), F.col("ordinal")))
+    return again.filter("stored <> replayed").select("stream", "ordinal", "stored", "replayed")
+
+
+# The keys of the proposal tips.
+TIPS = ["none", "creative", "simple", "description", "high_stakes", "persona"]
+
+
+@query(f"""WITH l AS (SELECT p_brand AS component, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS proposal FROM part)
+SELECT component, proposal, {TIPS!r}[1 + ('0x' || substr(md5(concat_ws('|', '9', 'tip', component, proposal::VARCHAR)), 1, 8))::BIGINT % 6] AS tip, ('0x' || substr(md5(concat_ws('|', '9', 'id', component, proposal::VARCHAR)), 1, 8))::BIGINT % 1000000001 AS generation_id FROM l""")
+def proposal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tip and the generation id that each proposal draws."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("component"), "p_partkey")
+    rows = numbered(p, ["component"], F.floor(F.col("p_partkey") / 10_000), ["p_partkey"], "proposal").withColumn("proposal", F.col("proposal") - 1)
+    own = lambda n, what: S.draw(F.lit(n), F.lit(9), F.lit(what), F.col("component"), F.col("proposal"))
+    return rows.select("component", "proposal", F.get(F.array(*map(F.lit, TIPS)), own(6, "tip").cast("int")).alias("tip"), own(1_000_000_001, "id").alias("generation_id"))

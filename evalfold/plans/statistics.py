@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import statistics as S
+from evalfold.operators.logs import numbered
 from evalfold.plans.registry import query
 from evalfold.sources.tables import ctes, documents_text, read, trials
 
@@ -33,13 +34,15 @@ po AS (SELECT {key}, count(*) AS n, avg(value) AS point FROM vals GROUP BY {key}
 SELECT {key}, n, round(point, 9) AS point, round(CASE WHEN n = 1 THEN point ELSE lo END, 9) AS low, round(CASE WHEN n = 1 THEN point ELSE hi END, 9) AS high, CASE WHEN n = 1 THEN 1.0 ELSE round(least(1.0, greatest({1.0 / RESAMPLES}, p2)), 9) END::DOUBLE AS p, low > 0 OR high < 0 AS excludes_zero FROM ag JOIN po USING ({key})"""
 
 
-def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("place", (F.row_number().over(w.orderBy("task_id")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
+def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with their place from 0 by task_id within the keys, and the keys' number n of rows."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(rows, keys, F.floor(F.col("task_id") / 10_000), ["task_id"], "place")
+    return placed.withColumn("place", F.col("place") - 1).join(sizes, keys)
 
 
 def _ci(rows: DataFrame, key: str) -> DataFrame:
-    values = _placed(rows, [key])
+    values = placed(rows, [key])
     points = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("point"))
     return S.interval(S.resampled_means(values, [key], RESAMPLES, SEED), points, [key], RESAMPLES)
 

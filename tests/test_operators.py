@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evalfold.functions import texts as T
 from evalfold.operators import aggregates as A
-from evalfold.operators import checks, costs, logs, ranking, sampling
+from evalfold.operators import chains, checks, costs, logs, ranking, sampling
 from evalfold.operators import statistics as S
 from evalfold.sources import records
 
@@ -140,18 +140,63 @@ def test_templates(spark):
     assert [g.e for g in got] == ["a {x} {{y}} {x}", "bad {x", "{x}}}"]
 
 
-def test_demo_sets_are_reproducible(spark):
+def test_demo_plans_do_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([("c", i, i % 2 == 0) for i in range(20)], "component string, item long, bootstrapped boolean")
-    one, two = ({(r.component, r.set_index): list(r.demos) for r in sampling.demo_sets(rows.repartition(n), 3, 4, 7).collect()} for n in (1, 5))
-    assert one == two and one["c", -3] == [] and one["c", -2] == [1, 3, 5, 7] and one["c", -1] == [0, 2, 4, 6] and all(len(v) <= 4 for v in one.values())
-
-
-def test_faithful_resamples_equal_python(spark):
-    values = [0.1, 0.5, 0.9]
-    r = random.Random(9)
-    want = [sum(values[r.randrange(3)] for _ in range(3)) / 3 for _ in range(20)]
-    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "group_id string, place long, value double")
-    assert [x.mean for x in sampling.faithful_resamples(df, 20, 9).orderBy("resample").collect()] == want
+    one, two = (sorted(map(tuple, sampling.demo_plans(rows.repartition(n), 3, 4, 7).collect())) for n in (1, 5))
+    of = lambda k: [item for _, s, _, item, _ in one if s == k]
+    assert one == two and of(-2) == [1, 3, 5, 7] and of(-1) == [0, 2, 4, 6] and all(len(of(k)) == 4 for k in range(3))
+    assert all(b == (item % 2 == 0) for _, _, _, item, b in one)
+
+
+def test_labels_narrow_from_component_to_component(spark):
+    augmented = spark.createDataFrame([("a", 100 + i) for i in range(2)] + [("b", 200 + i) for i in range(5)], "component string, item long")
+    got = sampling.narrowing_demo_sets(augmented, spark.range(50).withColumnRenamed("id", "item"), ["a", "b", "c"], 3, 8, 1).toPandas()
+    labels = {c: {*own[~own.bootstrapped]["item"]} for c, own in got.groupby("component")}
+    assert [len(labels[c]) for c in "abc"] == [6, 5, 5] and labels["b"] <= labels["a"] and labels["c"] <= labels["b"]
+    assert all(sorted(own.nth) == [*range(1, len(own) + 1)] for _, own in got.groupby("component"))
+
+
+def test_long_chains_and_cycles(spark):
+    steps = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)] + [(1000 + i, 1000 + i // 3 if i else None) for i in range(40)], "step long, prior long")
+    got = {r.step: (r.depth, r.root) for r in chains.walk(steps)[0].collect()}
+    assert all(got[i] == (i, 0) for i in range(200)) and all(got[1000 + i][1] == 1000 for i in range(40))
+    evidence = spark.createDataFrame([(i, f"e{i // 3}") for i in range(200)] + [(1000 + i, f"x{i % 4}") for i in range(40)], "step long, evidence string")
+    up = lambda s: (s - 1 if 0 < s < 1000 else 1000 + (s - 1000) // 3 if s > 1000 else None)
+    of, want = {r.step: r.evidence for r in evidence.collect()}, set()
+    for s, e in of.items():
+        at = up(s)
+        while at is not None and of[at] != e:
+            at = up(at)
+        if at is None:
+            want.add((s, e))
+    assert {(r.step, r.evidence) for r in chains.owed(steps, evidence).collect()} == want
+    with pytest.raises(ValueError, match="itself"):
+        chains.walk(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "step long, prior long"))
+    with pytest.raises(ValueError, match="isn't there"):
+        chains.walk(spark.createDataFrame([(1, None), (2, 9)], "step long, prior long"))
+
+
+def test_numbers_over_ranges_made_by_size(spark):
+    r = random.Random(16)
+    rows = [(r.choice("aab"), r.random(), i, "own") for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, p double, i long, chunk string").repartition(4)
+    got = {x.i: x for x in logs.numbered(logs.numbered(df, ["k"], None, ["p", "i"], "n"), ["k"], F.floor(F.col("n") / 50), ["n"], "most", "i", F.max).collect()}
+    count, most = {}, {}
+    for k, _, i, _ in sorted(rows, key=lambda x: (x[1], x[2])):
+        count[k], most[k] = count.get(k, 0) + 1, max(most.get(k, -1), i)
+        assert (got[i].n, got[i].most, got[i].chunk) == (count[k], most[k], "own")
+
+
+def test_holm_refuses_what_is_no_p_value(spark):
+    for bad in (None, 1.5, -0.1, math.nan):
+        with pytest.raises(Exception, match="not a p-value"):
+            S.holm(spark.createDataFrame([("f", 1, 0.5), ("f", 2, bad)], "family string, id long, p double"), "p", "id", ["family"]).collect()
+
+
+def test_resampling_by_broadcast_and_by_join_agree(spark):
+    values = spark.createDataFrame([("g", i, 7, float(i)) for i in range(7)], "k string, place long, n long, value double")
+    one, two = (sorted(map(tuple, S.resampled_means(values, ["k"], 30, 4, n).collect())) for n in (100, 0))
+    assert one == two and len(one) == 30
 
 
 def test_records(spark, tmp_path):
