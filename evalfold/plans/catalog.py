@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from evalfold.plans import aggregation, costs, hashing, ledgers, outcomes, ranking, sampling, statistics, templates  # noqa: F401
+from evalfold.plans import aggregation, contracts, costs, hashing, ledgers, outcomes, ranking, runs, sampling, statistics, templates  # noqa: F401
 from evalfold.plans.registry import ORACLES, QUERIES  # noqa: F401

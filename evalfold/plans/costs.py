@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators import costs as C
+from evalfold.operators import spend as P
+from evalfold.operators.logs import numbered
 from evalfold.plans.registry import query
-from evalfold.sources.tables import attempts, cost_rows, ctes, outputs, read
+from evalfold.sources.staging import staged
+from evalfold.sources.tables import attempts, cost_rows, ctes, outputs, read, trials
 
 _USED = ctes("cost_rows") + """,
 used AS (SELECT *, CASE WHEN cache_hit THEN 'cached' WHEN bare AND missing THEN 'dropped' WHEN bare AND failed AND NOT response_rejected THEN 'dropped' ELSE 'billable' END AS use
@@ -33,10 +36,35 @@ def evidence_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.role_cost(C.classified(cost_rows(spark, sf_dir)), ["evidence_ref"])
 
 
-@query(_USED + ", d AS (SELECT DISTINCT * FROM used)" + _role("d", "run_id"))
+_REFS = """, st AS (SELECT o_orderpriority AS run_id, o_orderkey, o_custkey, CASE WHEN o_custkey % 5 = 0 THEN CASE WHEN o_custkey % 35 = 0 THEN 'no json' ELSE '{"evidence_ref":{"schema":"' || CASE WHEN o_custkey % 11 = 0 THEN 'other' ELSE 'eval_failure' END || '","content_hash":"' || (o_orderkey + 2) || '"}}' END END AS details FROM orders),
+rf AS (SELECT run_id, 'eval_evidence' AS schema, o_orderkey AS k FROM st UNION ALL SELECT run_id, CASE WHEN o_orderkey % 9 = 0 THEN 'note' ELSE 'eval_evidence' END, o_orderkey - 1 FROM st WHERE o_custkey % 3 = 0 UNION ALL SELECT run_id, 'eval_evidence', o_orderkey FROM st WHERE o_custkey % 4 = 0
+  UNION ALL SELECT run_id, 'eval_failure', o_orderkey + 2 FROM st WHERE o_custkey % 5 = 0 AND o_custkey % 35 <> 0 AND o_custkey % 11 <> 0),
+di AS (SELECT DISTINCT run_id, schema, k FROM rf WHERE schema <> 'note'),
+us AS (SELECT di.run_id, u.* EXCLUDE (run_id) FROM di JOIN used u ON u.evidence_ref = di.k WHERE di.k % 13 <> 0),
+pc AS (SELECT o_orderpriority AS run_id, CASE WHEN o_custkey % 4 = 0 THEN CASE WHEN o_custkey % 8 = 0 THEN '' END ELSE o_custkey::VARCHAR END AS call_id, (o_custkey % 100)::BIGINT AS prompt_tokens, CASE WHEN o_custkey % 6 <> 1 THEN (o_custkey % 9)::BIGINT END AS completion_tokens, o_custkey % 17 * 0.25::DOUBLE AS provider_cost, 'billable' AS use FROM orders),
+pd AS (SELECT * FROM pc WHERE coalesce(call_id, '') = '' UNION ALL SELECT DISTINCT * FROM pc WHERE call_id <> '')"""
+
+
+@query(_USED + _REFS + " SELECT 'task_model' AS role, * FROM (" + _role("us", "run_id") + ") UNION ALL SELECT 'proposer', * FROM (" + _role("pd", "run_id") + ")")
 def run_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spend of each run over distinct rows: evidence that is cited twice is paid once."""
-    return C.role_cost(C.classified(cost_rows(spark, sf_dir).distinct()), ["run_id"])
+    """Spend of each run by role: evidence that its steps cite, in whatever channel and however often, and its proposal calls."""
+    ref = lambda schema, k: F.array(F.struct(F.lit(schema).alias("schema") if isinstance(schema, str) else schema.alias("schema"), k.cast("string").alias("content_hash")))
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = read(spark, sf_dir, "orders")
+    schema = F.when(c % 11 == 0, "other").otherwise(P.FAILURE)
+    details = F.when(c % 5 == 0, F.when(c % 35 == 0, "no json").otherwise(F.to_json(F.struct(F.struct(schema.alias("schema"), (key + 2).cast("string").alias("content_hash")).alias("evidence_ref")))))
+    steps = o.select(
+        F.col("o_orderpriority").alias("run_id"), ref(P.EVIDENCE, key).alias("intent_refs"), F.when(c % 3 == 0, ref(F.when(key % 9 == 0, "note").otherwise(P.EVIDENCE), key - 1)).alias("search_refs"),
+        F.when(c % 4 == 0, ref(P.EVIDENCE, key)).alias("tool_refs"), details.alias("tool_details"),
+    )
+    rows = cost_rows(spark, sf_dir)
+    error = F.when(F.col("response_rejected"), '{"rejected_response":{"text":"no"}}').otherwise("{}")
+    row = F.struct("row_ordinal", "prompt_tokens", "completion_tokens", "provider_cost", "cache_hit", "missing", "failed", error.alias("provider_error"))
+    records = staged(rows.groupBy(F.col("evidence_ref").cast("string").alias("k")).agg(F.collect_list(row).alias("outputs")), "outputs")
+    evidence = records.select(F.explode(F.array(F.lit(P.EVIDENCE), F.lit(P.FAILURE))).alias("schema"), F.col("k").alias("content_hash"), F.when(F.col("k").cast("long") % 13 != 0, F.concat(F.lit("outputs:"), "k")).alias("outputs_hash"))
+    call = F.when(c % 4 == 0, F.when(c % 8 == 0, "")).otherwise(c.cast("string"))
+    proposer = o.select(F.col("o_orderpriority").alias("run_id"), call.alias("call_id"), (c % 100).alias("prompt_tokens"), F.when(c % 6 != 1, c % 9).alias("completion_tokens"), ((c % 17) * 0.25).alias("provider_cost"))
+    return P.run_cost(steps, evidence, records.select(F.concat(F.lit("outputs:"), "k").alias("content_hash"), "outputs"), proposer)
 
 
 @query(_USED + "SELECT use, run_id, count(*) AS n FROM used GROUP BY ALL")
@@ -128,11 +156,33 @@ def cache_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(spark, sf_dir).select("cache_key").distinct()
 
 
-@query(ctes("outputs") + "SELECT candidate_id, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS hits, bool_or(failed) AS any_failed, count(DISTINCT task_id) AS n_tasks FROM outputs GROUP BY candidate_id")
+_CACHE = """, lg AS (SELECT candidate_id AS unit, CASE WHEN event_id % 5 = 0 THEN 'official' ELSE 'internal_eval' END AS phase, task_id AS request, event_id AS arrival, event_id % 4 = 0 AS cache_hit, CASE WHEN event_id % 12 <> 0 THEN 'call-' || event_id END AS source, state = 'failed' AS deadline FROM trials),
+pl AS (SELECT DISTINCT candidate_id AS unit, task_id AS request FROM trials WHERE task_id % 3 <> 0),
+ow AS (SELECT lg.* FROM lg SEMI JOIN pl USING (unit, request) WHERE phase = 'internal_eval')"""
+
+
+@query(ctes("trials") + _CACHE + " SELECT unit, count(*) AS partial_rows, count(*) FILTER (WHERE cache_hit) AS cache_hits, count(source) FILTER (WHERE cache_hit) AS n_sources, bool_or(deadline) AS deadline_reached FROM ow GROUP BY unit")
 def cache_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, cache hits and failures behind each candidate's evidence."""
-    o = outputs(spark, sf_dir)
-    return o.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), C.count_if(F.col("event_id") % 4 == 0).alias("hits"), F.max("failed").alias("any_failed"), F.count_distinct("task_id").alias("n_tasks"))
+    """Of each candidate, the logged rows of one phase and its own requests: rows, cache hits, cited sources, and any deadline."""
+    own = _cached(spark, sf_dir)
+    return own.groupBy("unit").agg(F.count(F.lit(1)).alias("partial_rows"), C.count_if(F.col("cache_hit")).alias("cache_hits"), F.count(F.when(F.col("cache_hit"), F.col("source"))).alias("n_sources"), F.max("deadline").alias("deadline_reached"))
+
+
+@query(ctes("trials") + _CACHE + " SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY arrival) AS nth, source FROM ow WHERE cache_hit AND source IS NOT NULL")
+def cache_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls that those cache hits came from, in order of the log, one row each."""
+    hits = _cached(spark, sf_dir).filter(F.col("cache_hit") & F.col("source").isNotNull())
+    return numbered(hits, ["unit"], F.floor(F.col("at") / 100_000), ["at"], "nth").select("unit", "nth", "source")
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trials(spark, sf_dir)
+    log = t.select(
+        F.col("candidate_id").alias("unit"), F.when(F.col("event_id") % 5 == 0, "official").otherwise("internal_eval").alias("phase"), F.col("task_id").alias("request"), F.col("event_id").alias("at"),
+        (F.col("event_id") % 4 == 0).alias("cache_hit"), F.when(F.col("event_id") % 12 != 0, F.concat(F.lit("call-"), F.col("event_id").cast("string"))).alias("source"), (F.col("state") == "failed").alias("deadline"),
+    )
+    planned = t.filter("task_id % 3 <> 0").select(F.col("candidate_id").alias("unit"), F.col("task_id").alias("request")).distinct()
+    return log.filter("phase = 'internal_eval'").join(planned, ["unit", "request"], "left_semi")
 
 
 @query(ctes("attempts") + "SELECT logical_call_id, attempt_number, outcome, cost FROM attempts QUALIFY row_number() OVER (PARTITION BY logical_call_id ORDER BY attempt_number DESC) = 1")
