@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators import logs
 from evalfold.operators.aggregates import count_if
+from evalfold.operators.statistics import hex_number
 from evalfold.plans.registry import query
 from evalfold.sources.tables import claims, ctes, ledger, outputs, read, study, trials
 
@@ -107,14 +108,23 @@ def fanin_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.fan_in(outputs(spark, sf_dir).withColumnRenamed("task_id", "intent"), ["intent", "candidate_id"], 3)
 
 
-@query(ctes("claims") + """, h AS (SELECT intent, max(generation) AS head FROM claims GROUP BY intent)
-SELECT CASE WHEN generation < head - 1 THEN 'stale' WHEN generation = head - 1 THEN 'late' ELSE 'current' END AS status, count(*) AS n FROM claims JOIN h USING (intent) GROUP BY ALL""")
+@query(ctes("claims") + """, h AS (SELECT intent, max(generation) AS head, arg_max(heartbeat, event_ordinal) AS last FROM claims GROUP BY intent),
+j AS (SELECT event_id, generation AS step, head, CASE WHEN event_id % 4 <> 0 THEN heartbeat END AS episode, heartbeat AS resume, CASE WHEN intent % 3 = 0 THEN last END AS origin, last + 1 + (intent % 5 = 0)::INT AS watermark FROM claims JOIN h USING (intent))
+SELECT event_id, CASE WHEN head > step THEN true WHEN head < step THEN false WHEN origin IS NOT NULL THEN coalesce(origin > episode, false) ELSE watermark > resume + 1 END AS stale FROM j""")
 def late_fanin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events against the head that their intent has reached: current, late by one, or stale (to be dropped)."""
+    """Fan-ins that the head of their intent has left behind, which must emit nothing.
+
+    A later step of the head makes them stale; within a step, a head that is parked on a deferral is compared by where the
+    episodes began, any other by whether its stage lies beyond what resuming this fan-in leads to.
+    """
     c = claims(spark, sf_dir)
-    head = c.groupBy("intent").agg(F.max("generation").alias("head"))
-    status = F.when(F.col("generation") < F.col("head") - 1, "stale").when(F.col("generation") == F.col("head") - 1, "late").otherwise("current")
-    return c.join(head, "intent").select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    head = c.groupBy("intent").agg(F.max("generation").alias("head"), F.max_by("heartbeat", "event_ordinal").alias("last"))
+    j = c.join(head, "intent").select(
+        "event_id", F.col("generation").alias("step"), "head", F.when(F.col("event_id") % 4 != 0, F.col("heartbeat")).alias("episode"), F.col("heartbeat").alias("resume"),
+        F.when(F.col("intent") % 3 == 0, F.col("last")).alias("origin"), (F.col("last") + 1 + (F.col("intent") % 5 == 0).cast("int")).alias("watermark"),
+    )
+    stale = F.when(F.col("head") > F.col("step"), True).when(F.col("head") < F.col("step"), False).when(F.col("origin").isNotNull(), F.coalesce(F.col("origin") > F.col("episode"), F.lit(False))).otherwise(F.col("watermark") > F.col("resume") + 1)
+    return j.select("event_id", stale.alias("stale"))
 
 
 @query(ctes("claims") + "SELECT intent, max(generation) AS version, arg_max(event_id, event_ordinal) AS ref FROM claims GROUP BY intent")
@@ -123,12 +133,24 @@ def state_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir).groupBy("intent").agg(F.max("generation").alias("version"), F.max_by("event_id", "event_ordinal").alias("ref"))
 
 
-@query("""SELECT c_custkey AS member, count(o_orderkey) AS n_terminals, CASE WHEN count(o_orderkey) = 0 THEN 'incomplete' ELSE 'complete' END AS status, max(o_orderkey) AS result FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+_DIGEST = "sum(('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT)::BIGINT"
+
+
+@query(f"""WITH m AS (SELECT c_nationkey AS run, count(*) AS n, {_DIGEST} AS digest FROM customer GROUP BY c_nationkey),
+t AS (SELECT o_custkey AS member, max(o_orderkey) AS result FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey)
+SELECT c_nationkey AS run, c_custkey AS member, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, result,
+CASE WHEN c_nationkey % 11 = 0 THEN 'other members than the manifest' WHEN c_nationkey % 7 = 0 THEN 'another number of members' WHEN result IS NULL THEN 'no terminal' END AS problem FROM customer JOIN m ON run = c_nationkey LEFT JOIN t ON member = c_custkey""")
 def run_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of a run with their terminals; one without any leaves the run incomplete."""
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("result"))
-    m = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member")).join(o, "member", "left")
-    return m.select("member", F.coalesce("n", F.lit(0)).cast("long").alias("n_terminals"), F.when(F.col("n").isNull(), "incomplete").otherwise("complete").alias("status"), "result")
+    """Members of each run in order with their terminals. A run whose members don't match its manifest's digest or count fails, and
+    so does a member without a terminal. The digest is a sum of hashes, so it needs no order."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run"), F.col("c_custkey").alias("member"))
+    found = c.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum(hex_number(F.md5(F.col("member").cast("string").cast("binary")))).alias("digest"))
+    # What the manifests claim: every seventh run's count and every eleventh run's digest is off.
+    claimed = found.select("run", (F.col("n") + (F.col("run") % 7 == 0).cast("long")).alias("claimed_n"), (F.col("digest") + (F.col("run") % 11 == 0).cast("long")).alias("claimed"))
+    terminals = read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("member")).agg(F.max("o_orderkey").alias("result"))
+    m = logs.numbered(c, ["run"], F.floor(F.col("member") / 10_000), ["member"], "pos").join(found, "run").join(claimed, "run").join(terminals, "member", "left")
+    problem = F.when(F.col("digest") != F.col("claimed"), "other members than the manifest").when(F.col("n") != F.col("claimed_n"), "another number of members").when(F.col("result").isNull(), "no terminal")
+    return m.select("run", "member", (F.col("pos") - 1).alias("pos"), "result", problem.alias("problem"))
 
 
 @query("SELECT c_custkey AS row_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -168,3 +190,36 @@ def trial_running_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls spent by each trial: a baseline of four, four for a full evaluation, one for another."""
     rows = study(spark, sf_dir).select("trial_number", F.when(F.col("is_full"), 4).otherwise(1).cast("long").alias("calls"))
     return logs.running_total(rows, "trial_number", "calls").select("trial_number", (F.col("total") + 4).alias("calls_so_far"))
+
+
+@query(ctes("ledger") + f""", t AS (SELECT l_orderkey AS call_id, min(l_returnflag) AS outcome FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
+SELECT scope, arrival AS slot, call_id, outcome, arrival <= 5 AS replayed, CASE WHEN outcome IS NULL THEN CASE WHEN arrival <= 5 THEN 'replay not consumed' ELSE 'no terminal' END END AS problem FROM ledger LEFT JOIN t USING (call_id) WHERE arrival <= {CAPACITY}""")
+def issued_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issued calls in order of slot with their terminals; the first five of a scope are replayed and must be consumed."""
+    issued = logs.admitted(ledger(spark, sf_dir), CAPACITY).filter("accepted")
+    t = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.min("l_returnflag").alias("outcome"))
+    replayed = F.col("arrival") <= 5
+    problem = F.when(F.col("outcome").isNull(), F.when(replayed, "replay not consumed").otherwise("no terminal"))
+    return issued.join(t, "call_id", "left").select("scope", F.col("arrival").alias("slot"), "call_id", "outcome", replayed.alias("replayed"), problem.alias("problem"))
+
+
+@query(ctes("ledger") + f"SELECT scope, CASE WHEN scope <> '1-URGENT' THEN count(*) FILTER (WHERE arrival <= {CAPACITY}) END AS tool_calls, round(sum(debit) FILTER (WHERE arrival <= {CAPACITY}), 2) AS debit FROM ledger GROUP BY scope")
+def budget_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step consumed: its debits, and as tool calls the number that the ledger issued, where its budget counts them."""
+    a = logs.admitted(ledger(spark, sf_dir), CAPACITY)
+    by = a.groupBy("scope").agg(count_if(F.col("accepted")).alias("n"), F.round(F.sum(F.when(F.col("accepted"), F.col("debit"))), 2).alias("debit"))
+    return by.select("scope", F.when(F.col("scope") != "1-URGENT", F.col("n")).alias("tool_calls"), "debit")
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, floor(value / 20)::BIGINT AS effect FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY run, effect ORDER BY step) = 1 AS paid FROM e),
+c AS (SELECT *, sum(paid::INT) OVER (PARTITION BY run ORDER BY step)::BIGINT AS consumed FROM f)
+SELECT run, step, effect, paid, consumed, consumed >= 4 AS terminal FROM c WHERE consumed - paid::INT < 4""")
+def incremental_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each run until its budget of four paid effects is used: an effect that an earlier step recorded is replayed."""
+    w = Window.partitionBy("run").orderBy("step")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", F.floor(F.col("value") / 20).alias("effect"))
+    e = e.withColumn("step", F.row_number().over(Window.partitionBy("run").orderBy("event_id")).cast("long") - 1)
+    e = e.withColumn("paid", F.row_number().over(Window.partitionBy("run", "effect").orderBy("step")) == 1)
+    e = e.withColumn("consumed", F.sum(F.col("paid").cast("long")).over(w))
+    return e.filter(F.col("consumed") - F.col("paid").cast("long") < 4).select("run", "step", "effect", "paid", "consumed", (F.col("consumed") >= 4).alias("terminal"))

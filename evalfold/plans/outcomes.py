@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalfold.functions.scoring import scorer
+from evalfold.operators import aggregates as A
 from evalfold.operators import sampling
 from evalfold.plans.registry import query
-from evalfold.sources.tables import ctes, outputs, read, traces, trials
+from evalfold.sources.tables import ctes, ledger, outputs, read, traces, trials
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'missing' WHEN event_id % 17 = 0 THEN 'failed' WHEN event_id % 19 = 0 THEN 'missing' ELSE 'scored' END AS state,
@@ -76,13 +77,65 @@ def demo_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.narrowing_demo_sets(augmented, p.filter("p_size <= 30").select(F.col("p_partkey").alias("item")), ["plan", "answer", "check"], 3, 8, 3)
 
 
-@query("""WITH s AS (SELECT o_custkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS step_index, o_orderkey, o_orderstatus, o_totalprice FROM orders)
-SELECT run_id, count(*) AS n_steps, arg_max(o_orderkey, step_index) AS terminal, arg_max(o_orderstatus, step_index) AS status, count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AS stopped_before, round(sum(o_totalprice), 2) AS spent FROM s GROUP BY run_id""")
+_STEPS = """WITH s AS (SELECT o_custkey AS run_id, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 + (o_orderkey % 41 = 0)::INT AS step_index, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 3 > 0 THEN 'CONTINUE' WHEN o_orderkey % 2 = 0 THEN 'STOP' ELSE 'FAILED' END AS status FROM orders),
+g AS (SELECT run_id, count(*) AS n, max(step_index) AS last, count(DISTINCT step_index) AS d, arg_max(o_orderkey, (step_index, o_orderkey)) AS terminal, arg_max(status, (step_index, o_orderkey)) AS status, count(*) FILTER (WHERE status <> 'CONTINUE') AS ends, round(sum(o_totalprice), 2) AS cost FROM s GROUP BY run_id)"""
+
+
+@query(_STEPS + """ SELECT run_id, n AS n_steps, terminal, cost, CASE WHEN last <> n - 1 OR d <> n THEN 'steps not contiguous' WHEN status = 'CONTINUE' THEN 'still continuing' WHEN ends > 1 THEN 'stopped before its last step' END AS problem,
+CASE WHEN last = n - 1 AND d = n AND status <> 'CONTINUE' AND ends = 1 THEN CASE WHEN status = 'FAILED' THEN 0 ELSE terminal % 4 END END AS n_proposals FROM g""")
 def run_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's terminal: its last step, what it spent, and whether any step asked to stop."""
-    last = F.max(F.struct("o_orderkey", "o_orderstatus")).alias("l")
-    by = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.count(F.lit(1)).alias("n_steps"), last, (F.count_if(F.col("o_orderstatus") == "F") > 0).alias("stopped_before"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
-    return by.select("run_id", "n_steps", F.col("l.o_orderkey").alias("terminal"), F.col("l.o_orderstatus").alias("status"), "stopped_before", "spent")
+    """Each run's terminal: contiguous steps of which only the last stops; its proposals are the last step's, none if that failed."""
+    key = F.col("o_orderkey")
+    status = F.when((F.col("o_orderstatus") == "P") | (key % 3 > 0), "CONTINUE").when(key % 2 == 0, "STOP").otherwise("FAILED")
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    s = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), key, "o_totalprice", (nth - 1 + (key % 41 == 0).cast("int")).alias("step_index"), status.alias("status"))
+    g = s.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_steps"), F.max("step_index").alias("last"), F.count_distinct("step_index").alias("d"), F.max(F.struct("step_index", "o_orderkey", "status")).alias("l"),
+        F.count_if(F.col("status") != "CONTINUE").alias("ends"), F.round(F.sum("o_totalprice"), 2).alias("cost"),
+    )
+    problem = F.when((F.col("last") != F.col("n_steps") - 1) | (F.col("d") != F.col("n_steps")), "steps not contiguous").when(F.col("l.status") == "CONTINUE", "still continuing").when(F.col("ends") > 1, "stopped before its last step")
+    proposals = F.when(problem.isNull(), F.when(F.col("l.status") == "FAILED", 0).otherwise(F.col("l.o_orderkey") % 4)).cast("long")
+    return g.select("run_id", "n_steps", F.col("l.o_orderkey").alias("terminal"), "cost", problem.alias("problem"), proposals.alias("n_proposals"))
+
+
+@query(ctes("trials") + """, m AS (SELECT task_id % 5 AS run_id, candidate_id, round(avg(coalesce(score, 0)), 9) AS mean FROM trials GROUP BY ALL),
+b AS (SELECT run_id, candidate_id AS best, mean FROM m QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY mean DESC, candidate_id) = 1)
+SELECT run_id, best, mean, best = 'click' AS seed_retained, CASE WHEN best <> 'click' THEN best END AS accepted FROM b""")
+def search_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each search's best candidate: the seed is retained where it is the best itself, else the best is the one accepted."""
+    m = trials(spark, sf_dir).groupBy((F.col("task_id") % 5).alias("run_id"), "candidate_id").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), 9).alias("mean"))
+    b = m.groupBy("run_id").agg(F.min(F.struct((-F.col("mean")).alias("m"), "candidate_id", "mean")).alias("b")).select("run_id", F.col("b.candidate_id").alias("best"), "b.mean")
+    seed = F.col("best") == "click"
+    return b.select("run_id", "best", "mean", seed.alias("seed_retained"), F.when(~seed, F.col("best")).alias("accepted"))
+
+
+@query(ctes("ledger") + """, s AS (SELECT c_custkey AS run_id, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey * 7 END AS selected FROM customer),
+j AS (SELECT run_id, selected, call_id IS NOT NULL AS known, arrival <= 50 AS admitted, o_orderstatus = 'F' AS scored, o_custkey % 10 = run_id % 10 AS own, debit < 60000 AS same FROM s LEFT JOIN ledger ON call_id = selected LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders) ON o_orderkey = selected)
+SELECT run_id, CASE WHEN selected IS NULL THEN 'seed retained' WHEN NOT known OR NOT own THEN 'not a call of this run' WHEN NOT admitted THEN 'not admitted' WHEN NOT scored THEN 'not scored' WHEN same THEN 'seed retained' ELSE 'accepted' END AS outcome FROM j""")
+def tool_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run's selected call leads to: it must be the run's own, admitted and scored; none, or one equal to the seed, retains the seed."""
+    k = F.col("c_custkey")
+    s = read(spark, sf_dir, "customer").select(k.alias("run_id"), F.when(k % 6 != 0, k * 7).alias("selected"))
+    owner = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), "o_custkey")
+    calls = ledger(spark, sf_dir).join(owner, "call_id").select(F.col("call_id").alias("selected"), (F.col("arrival") <= 50).alias("admitted"), (F.col("o_orderstatus") == "F").alias("scored"), "o_custkey", (F.col("debit") < 60000).alias("same"))
+    j = s.join(calls, "selected", "left")
+    own = F.coalesce(F.col("o_custkey") % 10 == F.col("run_id") % 10, F.lit(False))
+    outcome = F.when(F.col("selected").isNull(), "seed retained").when(~own, "not a call of this run").when(~F.col("admitted"), "not admitted").when(~F.col("scored"), "not scored").when(F.col("same"), "seed retained").otherwise("accepted")
+    return j.select("run_id", outcome.alias("outcome"))
+
+
+@query(ctes("trials") + """, q AS (SELECT candidate_id, task_id FROM (SELECT DISTINCT candidate_id FROM trials), (SELECT DISTINCT task_id FROM trials WHERE task_id % 2 = 0)),
+o AS (SELECT candidate_id, task_id, min(state) AS state, avg(score) AS score FROM trials WHERE seed_index = 0 GROUP BY ALL)
+SELECT candidate_id, task_id, CASE WHEN candidate_id = 'error' THEN 0.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score, CASE WHEN candidate_id = 'error' THEN 'failure:error' END AS failure_ref, candidate_id <> 'error' AND state IS NULL AS missing FROM q LEFT JOIN o USING (candidate_id, task_id)""")
+def aligned_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores aligned with the batch that was asked for: a failed evaluation gives zero for every row with its failure, a row that
+    isn't there or has no score is zero too."""
+    t = trials(spark, sf_dir)
+    asked = A.plan_expand(t.select("candidate_id").distinct(), t.filter("task_id % 2 = 0").select("task_id").distinct(), 1).drop("seed_index")
+    seen = t.filter("seed_index = 0").groupBy("candidate_id", "task_id").agg(F.min("state").alias("state"), F.avg("score").alias("score"))
+    failed = F.col("candidate_id") == "error"
+    j = asked.join(seen, ["candidate_id", "task_id"], "left")
+    return j.select("candidate_id", "task_id", F.when(failed, 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"), F.when(failed, "failure:error").alias("failure_ref"), (~failed & F.col("state").isNull()).alias("missing"))
 
 
 def _overlap(output: pd.Series, gold: pd.Series) -> pd.Series:

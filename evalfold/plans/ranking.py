@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators import aggregates as A
 from evalfold.operators import ranking as R
 from evalfold.operators.logs import numbered
 from evalfold.plans.registry import query
+from evalfold.sources import records
 from evalfold.sources.tables import ctes, manifest, pass_rates, proposals, read, splits, study, trials
 
 
@@ -127,3 +129,72 @@ def union_distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct items in the order of their first occurrence."""
     by = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("item")).agg(F.min("p_partkey").alias("first_pos"))
     return R.ranked(by, ["first_pos"], "new_pos").withColumn("new_pos", F.col("new_pos") - 1)
+
+
+@query("""WITH c AS (SELECT event_type AS candidate_id, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events)), t AS (SELECT c_custkey AS task_id, row_number() OVER (ORDER BY c_custkey) - 1 AS t, count(*) OVER () AS n FROM customer)
+SELECT candidate_id, task_id, k AS seed_index, (i * n + t) * 3 + k AS row_ordinal FROM c, t, range(0, 3) AS s(k)""")
+def plan_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned rows with one running ordinal over candidates, tasks and seeds, by arithmetic on dense numbers."""
+    c = R.ranked(read(spark, sf_dir, "events").select(F.col("event_type").alias("candidate_id")).distinct(), ["candidate_id"], "i")
+    tasks = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"))
+    t = numbered(tasks, [], F.floor(F.col("task_id") / 10_000), ["task_id"], "t")
+    plan = A.plan_expand(c, t, 3)
+    return plan.select("candidate_id", "task_id", "seed_index", (((F.col("i") - 1) * F.lit(tasks.count()) + F.col("t") - 1) * 3 + F.col("seed_index")).alias("row_ordinal"))
+
+
+@query("""WITH g AS (SELECT doc_id AS pos, CASE WHEN doc_id % 17 = 0 THEN 'x' || doc_id WHEN doc_id % 3 = 0 THEN md5(doc_id::VARCHAR) WHEN doc_id % 5 = 0 THEN '1' ELSE doc_id::VARCHAR END AS given FROM labels),
+r AS (SELECT doc_id::VARCHAR AS id, md5(doc_id::VARCHAR) AS hash FROM documents), h AS (SELECT pos, given, coalesce(a.hash, b.hash) AS hash FROM g LEFT JOIN r a ON a.id = given LEFT JOIN r b ON b.hash = given)
+SELECT pos, given, hash, CASE WHEN hash IS NULL THEN 'unknown' WHEN row_number() OVER (PARTITION BY hash ORDER BY pos) > 1 THEN 'repeated' END AS problem FROM h""")
+def task_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that a caller names by id or by hash, in the caller's order, with their hashes; unknown and repeated ones are reported."""
+    k = F.col("doc_id")
+    given = F.when(k % 17 == 0, F.concat(F.lit("x"), k.cast("string"))).when(k % 3 == 0, F.md5(k.cast("string").cast("binary"))).when(k % 5 == 0, "1").otherwise(k.cast("string"))
+    g = read(spark, sf_dir, "labels").select(k.alias("pos"), given.alias("given"))
+    ids = read(spark, sf_dir, "documents").select(k.cast("string").alias("id"), F.md5(k.cast("string").cast("binary")).alias("hash"))
+    names = ids.select(F.explode(F.array("id", "hash")).alias("given"), "hash")
+    j = g.join(names, "given", "left")
+    first = j.groupBy("hash").agg(F.min("pos").alias("first"))
+    problem = F.when(F.col("hash").isNull(), "unknown").when(F.col("pos") > F.col("first"), "repeated")
+    return j.join(first, "hash", "left").select("pos", "given", "hash", problem.alias("problem"))
+
+
+@query(ctes("manifest") + """, m AS (SELECT pool_key, role, task_id FROM manifest UNION ALL SELECT pool_key, 'test', task_id FROM manifest WHERE task_id % 50 = 0 UNION ALL SELECT pool_key, role, task_id FROM manifest WHERE task_id % 70 = 0)
+SELECT pool_key, task_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM m GROUP BY ALL HAVING count(*) > 1""")
+def pool_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that occur twice in a pool, in one role or in two."""
+    m = manifest(spark, sf_dir).select("pool_key", "role", "task_id")
+    every = m.unionByName(m.filter("task_id % 50 = 0").withColumn("role", F.lit("test"))).unionByName(m.filter("task_id % 70 = 0"))
+    return records.manifest_conflicts(every).select("pool_key", "task_id", "n", F.array_join("roles", ",").alias("roles"))
+
+
+@query(ctes("splits") + """, t AS (SELECT DISTINCT task_hash FROM splits WHERE role = 'internal_eval'), v AS (SELECT DISTINCT task_hash FROM splits WHERE role = 'official' UNION SELECT md5('lost')), r AS (SELECT task_hash, min(doc_id) AS pos FROM splits GROUP BY task_hash)
+SELECT task_hash, pos, CASE WHEN pos IS NULL THEN 'unknown' WHEN a AND b THEN 'both' WHEN a THEN 'train' WHEN b THEN 'val' ELSE 'uncovered' END AS part FROM (SELECT coalesce(r.task_hash, v.task_hash) AS task_hash, pos, t.task_hash IS NOT NULL AS a, v.task_hash IS NOT NULL AS b FROM r LEFT JOIN t USING (task_hash) FULL JOIN v ON v.task_hash = r.task_hash)""")
+def registry_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry's tasks by the training and validation parts that claim them: train, val, both (an overlap), or uncovered; and what
+    a part claims that the registry doesn't know."""
+    s = splits(spark, sf_dir)
+    lost = spark.range(1).select(F.md5(F.lit("lost").cast("binary")).alias("task_hash"))
+    rows = s.select("task_hash", "doc_id", (F.col("role") == "internal_eval").alias("a"), (F.col("role") == "official").alias("b")).unionByName(lost.select("task_hash", F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("a"), F.lit(True).alias("b")))
+    by = rows.groupBy("task_hash").agg(F.min("doc_id").alias("pos"), F.max("a").alias("a"), F.max("b").alias("b"))
+    part = F.when(F.col("pos").isNull(), "unknown").when(F.col("a") & F.col("b"), "both").when(F.col("a"), "train").when(F.col("b"), "val").otherwise("uncovered")
+    return by.select("task_hash", "pos", part.alias("part"))
+
+
+_BEST = ctes("proposals") + ", u AS (SELECT instruction, max(reward) AS reward, min(ordinal) AS f FROM proposals GROUP BY instruction), k AS (SELECT instruction, reward, row_number() OVER (ORDER BY reward DESC, f) AS rank FROM u)"
+
+
+@query(_BEST + " SELECT instruction, reward, row_number() OVER (ORDER BY rank DESC) AS shown FROM k WHERE rank <= 8")
+def prompt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best instructions as a proposal sees them: worst first (a top-k report)."""
+    top = R.ranked(R.unique_best(proposals(spark, sf_dir), ["instruction"]), [F.col("reward").desc(), "first_ordinal"]).filter("rank <= 8")
+    return R.ranked(top.withColumn("all", F.lit(1)), [F.col("rank").desc()], "shown", ["all"]).select("instruction", "reward", "shown")
+
+
+@query(_BEST + ", w AS (SELECT b.n, least(b.n, (SELECT count(*) FROM k)) AS found FROM (VALUES (5), (500000000)) AS b(n)) SELECT w.n::BIGINT AS wanted, found AS found, CASE WHEN found < n THEN 'too few candidates' END AS problem, CASE WHEN found = n THEN (SELECT min(reward) FROM k WHERE rank <= 5) END AS least_reward FROM w")
+def terminal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best so many candidates that a run ends with; where there are too few, a failure instead."""
+    k = R.ranked(R.unique_best(proposals(spark, sf_dir), ["instruction"]), [F.col("reward").desc(), "first_ordinal"]).select("rank", "reward")
+    wanted = spark.createDataFrame([(5,), (500_000_000,)], "wanted long")
+    by = k.join(F.broadcast(wanted), F.col("rank") <= F.col("wanted")).groupBy("wanted").agg(F.count(F.lit(1)).alias("found"), F.min("reward").alias("least"))
+    few = F.col("found") < F.col("wanted")
+    return by.select("wanted", "found", F.when(few, "too few candidates").alias("problem"), F.when(~few, F.col("least")).alias("least_reward"))

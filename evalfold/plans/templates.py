@@ -60,11 +60,18 @@ def dataset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.array_join(F.transform(items, lambda x: x["p_name"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-@query(ctes("traces") + """SELECT trace_id, string_agg(component_id || '=' || coalesce(text, ''), '; ' ORDER BY trace_index DESC) AS demo, count(*) AS n FROM traces GROUP BY trace_id""")
+@query("""SELECT o_orderkey AS demo_id, concat_ws('; ', 'answer: ' || CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END, 'n: ' || CASE WHEN o_custkey % 3 = 0 THEN o_custkey ELSE o_orderkey END, CASE WHEN o_custkey % 5 = 0 THEN 'flags: {"late":' || (o_custkey % 2 = 0) || '}' END) AS demo FROM orders""")
 def demo_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each trace's fields in declared (here: reversed) order."""
-    items = F.reverse(F.array_sort(F.collect_list(F.struct("trace_index", "component_id", "text"))))
-    return traces(spark, sf_dir).groupBy("trace_id").agg(F.array_join(F.transform(items, lambda x: F.concat(x["component_id"], F.lit("="), F.coalesce(x["text"], F.lit("")))), "; ").alias("demo"), F.count(F.lit(1)).alias("n"))
+    """Each demo's fields in declared order (answer, n, flags): inputs and outputs, where outputs win; what isn't a string is JSON."""
+    c = F.col("o_custkey")
+    entries = lambda *kv: F.map_from_entries(F.filter(F.array(*kv), lambda e: e.isNotNull()))
+    pair = lambda key, value, holds: F.when(holds, F.struct(F.lit(key).alias("key"), value.alias("value")))
+    inputs = entries(pair("answer", F.col("o_orderpriority"), F.lit(True)), pair("n", F.col("o_orderkey").cast("string"), F.lit(True)), pair("flags", F.to_json(F.struct((c % 2 == 0).alias("late"))), c % 5 == 0))
+    outputs = entries(pair("answer", F.col("o_orderstatus"), c % 2 == 0), pair("n", c.cast("string"), c % 3 == 0))
+    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("demo_id"), inputs.alias("i"), outputs.alias("o"))
+    both = F.map_concat(F.map_filter("i", lambda k, _: ~F.array_contains(F.map_keys(F.col("o")), k)), F.col("o"))
+    shown = F.filter(F.transform(F.array(*map(F.lit, ("answer", "n", "flags"))), lambda k: F.concat(k, F.lit(": "), both[k])), lambda x: x.isNotNull())
+    return d.select("demo_id", F.array_join(shown, "; ").alias("demo"))
 
 
 @query("""SELECT a.p_partkey AS id, a.p_brand IS DISTINCT FROM b.p_brand AS brand_changed, a.p_type IS DISTINCT FROM b.p_type AS type_changed, a.p_name <> '' AND a.p_name IS DISTINCT FROM b.p_name AND a.p_brand IS NOT DISTINCT FROM b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type AS admissible

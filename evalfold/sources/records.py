@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,39 @@ def get_records(refs: DataFrame, stored: DataFrame, schema_name: str) -> DataFra
     return found.withColumn("problem", problem)
 
 
+#: Names of a log's entries, and of those that a writer hasn't finished.
+ENTRY, TEMPORARY = r"entry-[0-9A-Za-z_-]+\.json", r"\.?_?tmp-.*|\.entry-.*\.crc"
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The log's entries; anything else in its folder but unfinished entries fails."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    if foreign := [n for n in names if not re.fullmatch(f"{ENTRY}|{TEMPORARY}", n)]:
+        raise ValueError(f"not entries of a log: {sorted(foreign)}")
+    return [n for n in names if re.fullmatch(ENTRY, n)]
+
+
+def scan_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a log's entries (one JSON document each), with `entry`, its name, by which and by `at` they are ordered.
+
+    A foreign file or a torn entry fails; unfinished entries are passed over. A log that isn't there is empty.
+    """
+    names = _names(spark, path)
+    if not names:
+        return spark.createDataFrame([], f"{schema}, entry string")
+    rows = spark.read.schema(schema).json([f"{path}/{n}" for n in names], mode="FAILFAST", multiLine=True)
+    return rows.withColumn("entry", F.element_at(F.split(F.input_file_name(), "/"), -1)).orderBy("at", "entry")
+
+
+def truncate_log(spark: SparkSession, path: str) -> None:
+    """Deletes a log's entries, after all names in its folder were checked; a foreign file keeps everything."""
+    _names(spark, path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def insert_absent(new: DataFrame, cache: DataFrame) -> DataFrame:
     """`cache` with the keys of `new` (key, at, value) that it lacks: the earliest writer of a key wins, and stays."""
     first = new.groupBy("key").agg(F.min(F.struct("at", "value")).alias("f")).select("key", "f.at", "f.value")

@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalfold.functions import documents as D
 from evalfold.functions import texts as T
 from evalfold.operators import aggregates as A
-from evalfold.operators import chains, checks, costs, logs, ranking, sampling
+from evalfold.operators import chains, checks, costs, logs, ranking, sampling, spend
 from evalfold.operators import statistics as S
 from evalfold.sources import records
 
@@ -215,6 +216,55 @@ def test_records(spark, tmp_path):
     assert {(r.key, r.value) for r in got.collect()} == {("k", "old"), ("l", "early")}
 
 
+def test_logs_of_entries(spark, tmp_path):
+    log = tmp_path / "log"
+    schema = "at string, unit string"
+    assert records.scan_log(spark, str(log), schema).count() == 0
+    log.mkdir()
+    for name, at in (("b", "2"), ("a", "2"), ("c", "1")):
+        (log / f"entry-{name}.json").write_text(f'{{"at": "{at}", "unit": "{name}"}}')
+    (log / "tmp-1").write_text("half")
+    assert [r.unit for r in records.scan_log(spark, str(log), schema).collect()] == ["c", "a", "b"]
+    (log / "notes.txt").write_text("x")
+    for f in (lambda: records.scan_log(spark, str(log), schema), lambda: records.truncate_log(spark, str(log))):
+        with pytest.raises(ValueError, match="notes.txt"):
+            f()
+    (log / "notes.txt").unlink()
+    (log / "entry-d.json").write_text('{"at": "3", "uni')
+    with pytest.raises(Exception, match="(?i)malformed|corrupt|failfast"):
+        records.scan_log(spark, str(log), schema).collect()
+    records.truncate_log(spark, str(log))
+    assert not log.exists()
+
+
+def test_documents_and_costs(spark):
+    rows = spark.createDataFrame([('{"b":1,"a":[1,{"d":2,"c":null}]}', '{"a" : [1, {"c":null,"d":2}], "b": 1}'), ('{"a":[1,2]}', '{"a":[2,1]}'), ('{"a":NaN}', None)], "x string, y string")
+    got = rows.select((D.canonical(F.col("x")) == D.canonical(F.col("y"))).alias("e"), D.json_problem(F.col("x")).alias("p")).collect()
+    assert [(r.e, r.p) for r in got] == [(True, None), (False, None), (None, "not JSON")]
+    numbers = [0.0, 1.0, 0.5, 0.1, 0.0001, 0.00012, 0.001, 0.00099, 1e-5, 1.25e-7, 0.123456789]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select(D.float_token(F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == [repr(x) for x in numbers]
+    texts = ["plain", "a\\b\n\r\t", "é日😀\x01", "", "x" * 1025, " \x00 "]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", D.escaped(F.col("x")).alias("e"), D.unescaped(D.escaped(F.col("x"))).alias("u"), D.bounded(F.col("x"), "code").alias("b")).collect()
+    assert [r.u for r in got] == texts and [r.e for r in got] == [x.encode("unicode-escape").decode("ascii") for x in texts]
+    assert [len(r.b) for r in got[:3]] == [5, 6, 4] and got[3].b == got[5].b == "<unprintable code>" and len(got[4].b) == 1024
+
+
+def test_evidence_is_paid_once(spark):
+    ref = lambda s, h: {"schema": s, "content_hash": h}
+    steps = spark.createDataFrame([
+        ("r", [ref("eval_evidence", "a")], None, [ref("eval_evidence", "a"), ref("note", "z")], '{"evidence_ref": {"schema": "eval_failure", "content_hash": "f"}}'),
+        ("r", [ref("eval_evidence", "a"), ref("eval_evidence", "lost")], [], None, "not json"), ("s", None, [ref("eval_evidence", "a")], None, '{"evidence_ref": {"schema": "eval_evidence", "content_hash": "b"}}'), ("s", None, None, None, '{"evidence_ref": 5}'),
+    ], f"run_id string, intent_refs array<{spend.REF}>, search_refs array<{spend.REF}>, tool_refs array<{spend.REF}>, tool_details string")
+    evidence = spark.createDataFrame([("eval_evidence", "a", "oa"), ("eval_failure", "f", "of"), ("eval_evidence", "b", None)], "schema string, content_hash string, outputs_hash string")
+    row = "struct<prompt_tokens:long,completion_tokens:long,provider_cost:double,cache_hit:boolean,missing:boolean,failed:boolean,provider_error:string>"
+    rows = [(1, 2, 0.5, False, False, False, None), (None, None, None, False, False, True, '{"rejected_response": {}}'), (None, None, None, False, False, True, "{}")]
+    kept = spark.createDataFrame([("oa", rows), ("of", rows[:1])], f"content_hash string, outputs array<{row}>")
+    calls = spark.createDataFrame([("r", "c1", 1, 1, 1.0), ("r", "c1", 1, 1, 1.0), ("s", "c1", 1, 1, 1.0), ("r", "", 1, 1, 1.0), ("r", "", 1, 1, 1.0), ("r", None, 1, 1, 1.0)], "run_id string, call_id string, prompt_tokens long, completion_tokens long, provider_cost double")
+    got = {(r.role, r.run_id): (r.calls, r.priced, r.usd) for r in spend.run_cost(steps, evidence, kept, calls).collect()}
+    assert got == {("task_model", "r"): (3, 2, None), ("task_model", "s"): (2, 1, None), ("proposer", "r"): (4, 4, 4.0), ("proposer", "s"): (1, 1, 1.0)}
+
+
 def test_numbers_within_large_groups(spark):
     r = random.Random(6)
     rows = [(r.choice("aab"), i, r.randrange(9)) for i in r.sample(range(5000), 400)]
