@@ -70,6 +70,75 @@ def leases(events: DataFrame, lease: float) -> DataFrame:
     )
 
 
+def effect_leases(events: DataFrame, lease: float, redrive: bool, late: str = "0 seconds") -> DataFrame:
+    """(intent, at, owner, outcome, generation) of a stream of (intent, at, owner, request, op: ask, succeed or fail).
+
+    ask: acquired (none holds it), renewed (the holder), busy (another), and after the lease ran out acquired again with the next generation
+    where `redrive` allows it, else recovery-required. succeed and fail end the effect for good if the owner's lease is
+    live, and are fenced otherwise; whoever asks later is told succeeded or failed. Another request than the effect's is a
+    request-conflict and changes nothing. A lease that runs out is reported as expired when the watermark passes its end,
+    without waiting for a next request.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        request, owner, generation, until, ended, told = state.get if state.exists else (None, "", -1, 0, "", False)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], pd.Timestamp(until, unit="us"), owner, "expired", generation))
+            told = True
+        for frame in frames:
+            for r in frame.sort_values("at").itertuples(index=False):
+                at = int(r.at.value // 1000)
+                live = generation >= 0 and at < until
+                if request is not None and r.request != request:
+                    outcome = "request-conflict"
+                elif ended:
+                    outcome = ended
+                elif r.op != "ask":
+                    outcome = ended = ("succeeded" if r.op == "succeed" else "failed") if live and r.owner == owner else ""
+                    outcome = outcome or "fenced"
+                elif live and r.owner != owner:
+                    outcome = "busy"
+                elif not live and generation >= 0 and not redrive:
+                    outcome = "recovery-required"
+                else:
+                    outcome = "renewed" if live else "acquired"
+                    request, owner, generation, until, told = r.request, r.owner, generation + (not live), at + int(lease * 1e6), False
+                out.append((key[0], r.at, r.owner, outcome, generation))
+        state.update((request, owner, generation, until, ended, told))
+        if generation >= 0 and not ended and not told:
+            state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["intent", "at", "owner", "outcome", "generation"])
+
+    return events.withWatermark("at", late).groupBy("intent").applyInPandasWithState(
+        step, "intent long, at timestamp, owner string, outcome string, generation long", "request string, owner string, generation long, until long, ended string, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def deferred_buffer(events: DataFrame) -> DataFrame:
+    """(step, at, intents) at each load of a stream of (step, at, op: persist, load or evict, intents).
+
+    A persist replaces what the step holds back, an eviction empties it; a step's intents are as many as one proposal makes.
+    """
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [*state.get[0]] if state.exists else []
+        out = []
+        for frame in frames:
+            for r in frame.sort_values("at").itertuples(index=False):
+                if r.op == "load":
+                    out.append((key[0], r.at, held))
+                else:
+                    held = [*r.intents] if r.op == "persist" else []
+        if held:
+            state.update((held,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["step", "at", "intents"])
+
+    return events.groupBy("step").applyInPandasWithState(keep, "step string, at long, intents array<string>", "intents array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def fan_in(rows: DataFrame, expected: int) -> DataFrame:
     """(intent, resolution, n_rows) once for each intent, when its `expected` rows of (intent, invalid, failed) are in.
 

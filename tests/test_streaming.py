@@ -33,6 +33,30 @@ def test_leases(spark, tmp_path):
     assert one == [("acquired", 0), ("busy", 0), ("renewed", 0), ("acquired", 1), ("busy", 1), ("renewed", 1), ("succeeded", 1)]
 
 
+def test_effect_leases_expire_by_themselves(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    at = lambda s: t + timedelta(seconds=s)
+    rows = [
+        [(1, at(0), "a", "r", "ask"), (1, at(1), "b", "r", "ask"), (1, at(2), "a", "r", "ask"), (1, at(3), "b", "other", "ask"), (2, at(0), "a", "q", "ask"), (2, at(1), "b", "q", "succeed"), (2, at(2), "a", "q", "succeed"), (2, at(3), "b", "q", "ask")],
+        [(9, at(60), "z", "s", "ask")],  # the watermark moves beyond the end of the lease of 1
+        [(9, at(62), "z", "s", "ask")],
+        [(1, at(63), "b", "r", "ask"), (1, at(64), "a", "r", "fail"), (1, at(65), "b", "r", "fail"), (1, at(66), "a", "r", "ask")],
+    ]
+    schema = "intent long, at timestamp, owner string, request string, op string"
+    got = run(spark, tmp_path, rows, schema, lambda s: S.effect_leases(s, 10.0, True), "effects").filter("intent < 9").collect()
+    one = [(r.outcome, r.generation) for r in sorted((r for r in got if r.intent == 1), key=lambda r: r.at)]
+    assert one == [("acquired", 0), ("busy", 0), ("renewed", 0), ("request-conflict", 0), ("expired", 0), ("acquired", 1), ("fenced", 1), ("failed", 1), ("failed", 1)]
+    assert [r.outcome for r in sorted((r for r in got if r.intent == 2), key=lambda r: r.at)] == ["acquired", "fenced", "succeeded", "succeeded"]
+    kept = run(spark, tmp_path / "no", rows, schema, lambda s: S.effect_leases(s, 10.0, False), "kept").filter("intent = 1 AND outcome = 'recovery-required'")
+    assert kept.count() == 2
+
+
+def test_deferred_intents_are_buffered(spark, tmp_path):
+    batches = [[("s", 1, "persist", ["a", "b"]), ("s", 2, "load", [])], [("s", 3, "load", []), ("s", 4, "evict", []), ("t", 1, "load", [])], [("s", 5, "load", []), ("s", 6, "persist", ["c"]), ("s", 7, "load", [])]]
+    got = run(spark, tmp_path, batches, "step string, at long, op string, intents array<string>", S.deferred_buffer, "buffer").collect()
+    assert {(r.step, r.at): r.intents for r in got} == {("s", 2): ["a", "b"], ("s", 3): ["a", "b"], ("t", 1): [], ("s", 5): [], ("s", 7): ["c"]}
+
+
 def test_fan_in_equals_batch_and_drops_late_rows(spark, tmp_path):
     schema = "intent long, invalid boolean, failed boolean"
     first = [(1, False, False), (2, False, True), (3, False, False), (2, False, False)]
