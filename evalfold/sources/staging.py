@@ -22,13 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` once as Parquet in the shared folder and reads it back; this cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/evalfold-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/evalfold-{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Writes `df` once as Parquet in the shared folder and reads it back.
+
+    This cuts the lineage at a place that outlives any executor, keeps the columns compressed and prunable, and lets
+    later joins shuffle both of their sides (so that adaptive execution can split a hot key).
+    """
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes the tables that this application's `staged` left in the shared folder; results not yet written need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
