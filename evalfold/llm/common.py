@@ -1,34 +1,20 @@
-"""What the operators of this subpackage share: reading tables and tables staged in the shared folder."""
+"""What the operators of this subpackage share: reading tables, small Arrow batches, tables staged in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalfold.sources.staging import clear_staged, free_name, shared_dir, staged  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` under `sf_dir`, read by Spark (so any path that Spark can open works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its
-    own, and a cluster fails: its executors could not read a folder of the driver's machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark, "_evalfold_dir", None)
-    if own is None:
-        own = spark._evalfold_dir = tempfile.mkdtemp(prefix="evalfold-")
-    return own
-
-
 #: Rows of an Arrow batch: texts are long, so Spark's usual 10,000 would hold much of a task's input in several copies at once.
 BATCH_ROWS = 2000
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,32 +37,3 @@ def workspace(spark: SparkSession) -> Iterator[None]:
     finally:
         spark.conf.set(_BATCHES, was)
         clear_staged(spark)
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/evalfold-{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes `df` once as Parquet in the shared folder and reads it back.
-
-    This cuts the lineage at a place that outlives any executor, keeps the columns compressed and prunable, and lets
-    later joins shuffle both of their sides (so that adaptive execution can split a hot key).
-    """
-    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """`name`, lengthened until no column of `df` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Deletes the tables that this application's `staged` left in the shared folder; results not yet written need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -131,7 +131,8 @@ def test_null_ids_have_a_shard(spark):
 
 
 def test_workspace_restores_the_session(spark):
-    from evalfold.llm.common import _own_dir, small_batches, staged, workspace
+    from evalfold.llm.common import small_batches, staged, workspace
+    from evalfold.sources.staging import own_dir
 
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(name)
@@ -139,7 +140,7 @@ def test_workspace_restores_the_session(spark):
     with workspace(spark):
         staged(small_batches(spark.range(3)), "numbers").count()
         assert spark.conf.get(name) == "2000"
-    assert spark.conf.get(name) == "10000" and not os.path.exists(_own_dir(spark).removeprefix("file://"))
+    assert spark.conf.get(name) == "10000" and not os.path.exists(own_dir(spark).removeprefix("file://"))
     spark.conf.set(name, was)
 
 
@@ -160,10 +161,11 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_staged_tables_can_be_cleared(spark):
-    from evalfold.llm.common import _own_dir, clear_staged, staged
+    from evalfold.llm.common import clear_staged, staged
+    from evalfold.sources.staging import own_dir
 
     assert staged(spark.range(3).toDF("n"), "numbers").count() == 3
-    folder = _own_dir(spark).removeprefix("file://")
+    folder = own_dir(spark).removeprefix("file://")
     assert os.path.isdir(folder)
     clear_staged(spark)
     assert not os.path.exists(folder)
