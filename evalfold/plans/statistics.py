@@ -110,10 +110,10 @@ def power_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas(spark, sf_dir).groupBy("candidate_id").agg(F.round(room, 9).alias("headroom"), F.round(room * 0.5, 9).alias("target"))
 
 
-@query(_SPLIT + f"SELECT candidate_id, t AS tasks, k AS repeats, t * k AS calls, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / k, 0.0::DOUBLE) / t), 9) AS detectable FROM vd, range(1, 151) AS a(t), range(1, 17) AS b(k)")
+@query(_SPLIT + f"SELECT candidate_id, t AS tasks, k AS repeats, t * k AS calls, round({_MULTIPLIER} * sqrt(greatest(interaction + 2 * within / k, 0.0::DOUBLE) / t), 9) AS detectable FROM vd, unnest(range(1, n + 1)) AS a(t), range(1, 17) AS b(k)")
 def power_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least detectable difference for every number of tasks (to 150) and repeats (to 16)."""
-    grid = variance_decomp(spark, sf_dir).withColumn("tasks", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(150).cast("long")))).withColumn("repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long"))))
+    """The least detectable difference for every number of tasks (to those of the pool) and repeats (to 16)."""
+    grid = variance_decomp(spark, sf_dir).withColumn("tasks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long"))))
     value = S.detectable(F.col("tasks"), F.col("repeats"), F.col("within"), F.col("interaction"), _MULTIPLIER)
     return grid.select("candidate_id", "tasks", "repeats", (F.col("tasks") * F.col("repeats")).alias("calls"), F.round(value, 9).alias("detectable"))
 

@@ -20,6 +20,7 @@ def status(spark, rows, reduction, propagate):
     return (r.status, r.value) if r else None
 
 
+# Published expectations of the status rules.
 @pytest.mark.parametrize("rows, reduction, propagate, want", [
     ([(None, False)], "mean", True, ("not_applicable", None)), ([(1.0, False)], "sum", False, ("not_applicable", None)), ([(None, True)], "mean", True, ("missing_data", None)),
     ([(None, True)], "mean", False, ("zero_denominator", None)), ([(None, True)], "sum", False, ("ok", 0.0)), ([(1.0, True), (None, True)], "mean", False, ("ok", 1.0)),
@@ -46,6 +47,7 @@ def test_rewards_with_a_missing_term(spark, policy, want):
     assert (r.reward, r.n_missing_terms) == (want, 1)
 
 
+# Published expectations of Holm's procedure.
 @pytest.mark.parametrize("p, want", [((0.02, 0.005, 0.04, 0.011), (0.04, 0.02, 0.04, 0.033)), ((0.01, 0.02, 0.021), (0.03, 0.04, 0.04))])
 def test_holm(spark, p, want):
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(p)], "family string, id long, p double")
@@ -53,6 +55,7 @@ def test_holm(spark, p, want):
     assert [round(got[i], 9) for i in range(len(p))] == list(want)
 
 
+# Published expectations of detectable differences.
 @pytest.mark.parametrize("interaction, repeats, tasks, want", [
     (0.05, 3, 220, 0.0879), (0.10, 3, 220, 0.0975), (0.15, 3, 220, 0.1063), (0.05, 5, 220, 0.0732), (0.05, 3, 440, 0.0622), (0.10, 3, 440, 0.0690), (0.05, 3, 132, 0.1135), (0.05, 3, 48, 0.1882),
 ])
