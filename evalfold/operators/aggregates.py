@@ -80,14 +80,16 @@ def finite(x: Column) -> Column:
 
 
 def reward(aggregates: DataFrame, terms: DataFrame, policy: str, worst: float = 0.0) -> DataFrame:
-    """Each candidate's sum of weight * sign * value over the reward terms (metric, weight, sign).
+    """Each candidate's sum of weight * sign * value over the reward terms (metric, weight, sign), of which there are few.
 
-    A missing value: `fail` makes the reward null, `worst_value` counts as `worst`, `skip` as 0.
+    A missing value: `fail` makes the reward null, `worst_value` counts as `worst`, `skip` as 0. Only terms that a candidate
+    has are joined to it; what its missing ones would add follows from the sums over all terms.
     """
-    value = finite(F.col("value"))
-    joined = aggregates.select("candidate_id").distinct().crossJoin(F.broadcast(terms)).join(aggregates, ["candidate_id", "metric"], "left")
-    filled = {"fail": value, "worst_value": F.coalesce(value, F.lit(worst)), "skip": F.coalesce(value, F.lit(0.0))}[policy]
-    return joined.groupBy("candidate_id").agg(
-        F.when(F.count(filled) == F.count(F.lit(1)), F.round(F.sum(F.col("weight") * F.col("sign") * filled), 9)).alias("reward"),
-        count_if(value.isNull()).alias("n_missing_terms"),
+    n, total = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("weight") * F.col("sign")), F.lit(0.0))).first()
+    own = F.col("weight") * F.col("sign")
+    value = F.when(own.isNotNull(), finite(F.col("value")))
+    by = aggregates.select("candidate_id", "metric", "value").join(terms, "metric", "left").groupBy("candidate_id").agg(
+        F.coalesce(F.sum(own * value), F.lit(0.0)).alias("_sum"), F.count(value).alias("_n"), F.coalesce(F.sum(F.when(value.isNotNull(), own)), F.lit(0.0)).alias("_held"),
     )
+    filled = {"fail": F.when(F.col("_n") == n, F.col("_sum")), "worst_value": F.col("_sum") + (F.lit(float(total)) - F.col("_held")) * worst, "skip": F.col("_sum")}[policy]
+    return by.select("candidate_id", F.round(filled, 9).alias("reward"), (F.lit(n) - F.col("_n")).cast("long").alias("n_missing_terms"))

@@ -51,7 +51,7 @@ def best_full_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaderboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaderboards of full and of minibatch evaluations."""
     by = study(spark, sf_dir).groupBy("combination", "is_full").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean"), F.min("trial_number").alias("_first"))
-    return R.ranked(by, [F.col("mean").desc(), "_first"], within=["is_full"]).drop("_first")
+    return numbered(by, ["is_full"], None, [F.col("mean").desc(), "_first"], "rank").drop("_first")
 
 
 @query("SELECT n AS trial, (n + 1) % 6 = 0 OR n = 59 AS due, n // 6 AS full_so_far FROM range(0, 61) AS r(n)")
