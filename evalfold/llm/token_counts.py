@@ -28,6 +28,8 @@ from evalfold.llm.common import read, small_batches, staged
 
 #: Entries of the sparse matrix after which a block ends (with the document that reaches it).
 BLOCK_ENTRIES = 4_000_000
+#: Vocabulary entries of a task that counts pieces, and blocks of one that sums them.
+TASK_ENTRIES, TASK_BLOCKS = 300_000, 4
 #: Tokens over which a document is reported as over the limit.
 LIMIT = 1024
 
@@ -183,10 +185,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
     blocks = small_batches(docs).select("doc_id", "text").mapInArrow(made, "ids array<long>, n_bytes array<long>, sizes array<int>, words array<string>, cells binary")
     # The number is fixed once it is written; a task that is run again before that may number its blocks anew.
     blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks", "zstd")
-    entries = blocks.select("block", F.posexplode("words").alias("entry", "word")).repartition("word").sortWithinPartitions("word")
-    counts = entries.mapInArrow(count, "block long, entries array<int>, pieces array<int>")
+    n_blocks, n_entries = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    entries = blocks.select("block", F.posexplode("words").alias("entry", "word")).repartition(n_entries // TASK_ENTRIES + 1, "word").sortWithinPartitions("word")
+    counts = entries.mapInArrow(count, "block long, entries array<int>, pieces array<int>").repartition(n_blocks // TASK_BLOCKS + 1, "block")
     counts = counts.groupBy("block").agg(F.collect_list("entries").alias("entries"), F.collect_list("pieces").alias("pieces"))
-    sums = blocks.drop("words").join(counts, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    sums = blocks.drop("words").repartition(n_blocks // TASK_BLOCKS + 1, "block").join(counts, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
