@@ -13,7 +13,8 @@ the space. Decoding joins the pieces' bytes and drops the space put before the t
 A piece's log weight is -theta * log(2 + rank): the vocabulary file of a BPE model holds ranks, not probabilities. Large
 theta leads towards few, frequent pieces.
 
-Everything is one scan; nothing is shuffled and memory is bounded by a block of texts (or one longer text).
+Everything is one scan; nothing is shuffled and memory is bounded by a block of texts, or by a run of a longer text's chunks
+and the pieces that it becomes.
 """
 
 from __future__ import annotations
@@ -265,6 +266,28 @@ def encode(texts: list[str], seeds: np.ndarray, pieces: Pieces, theta: float = T
     return found, np.searchsorted(doc[owner], np.arange(len(texts) + 1))
 
 
+def encode_long(text: str, seed: np.ndarray, pieces: Pieces, theta: float = THETA, limit: int = BLOCK_CHARS) -> np.ndarray:
+    """The piece ids that `encode` gives one text (seed: its one seed), in runs of chunks of about `limit` characters, so that memory
+    follows a run and not the text. Only a single longer chunk is taken whole."""
+    out, run, size, done = [np.zeros(0, np.int64)], [], 0, 0
+
+    def sampled() -> np.ndarray:
+        numbers = Numbers()
+        flat = np.fromiter(map(numbers.__getitem__, run), np.int32, len(run))
+        nth = np.arange(done, done + len(run), dtype=np.uint64)
+        return _expand(pieces, *Lattice([*numbers], pieces, theta).sample(flat, mix(seed + nth * np.uint64(0xC2B2AE3D27D4EB4F))))[1]
+
+    for m in pieces.chunk.finditer(" " + text if text else ""):
+        run.append(m[0])
+        size += len(m[0])
+        if size >= limit:
+            out.append(sampled())
+            done, run, size = done + len(run), [], 0
+    if run:
+        out.append(sampled())
+    return np.concatenate(out)
+
+
 def seeds_of(ids: pa.Array, seed: int) -> np.ndarray:
     """A 64-bit seed of each row's key; a null key is 0."""
     return mix(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _K + np.uint64(seed))
@@ -290,7 +313,11 @@ def sample_pieces(docs: DataFrame, path: str, theta: float = THETA, seed: int =
                 while last < len(texts) and (last == first or size + len(texts[last]) <= BLOCK_CHARS):
                     size += len(texts[last])
                     last += 1
-                ids, bounds = encode(texts[first:last], seeds[first:last], pieces, theta)
+                if size > BLOCK_CHARS:
+                    ids = encode_long(texts[first], seeds[first : first + 1], pieces, theta)
+                    bounds = np.array([0, len(ids)])
+                else:
+                    ids, bounds = encode(texts[first:last], seeds[first:last], pieces, theta)
                 decoded, offsets = pieces.decode(ids, bounds)
                 text = pa.LargeStringArray.from_buffers(last - first, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(decoded)).cast(pa.string())
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from evalfold.llm.sentence_pieces import Pieces, encode, sample_pieces
+from evalfold.llm.sentence_pieces import Pieces, encode, encode_long, sample_pieces
 from evalfold.llm.token_counts import PreTokens, _packed, _unpacked, token_counts
 from evalfold.llm.words import mix
 
@@ -94,6 +94,16 @@ def test_library_decodes_what_is_sampled():
     assert own.decode(*encode(literal, np.arange(3, dtype=np.uint64), own))[0].tobytes().decode() == "".join(literal)
 
 
+def test_long_texts_in_runs_have_the_same_pieces():
+    own, r = Pieces.of(PIECES), random.Random(5)
+    text = "".join(r.choice([*"ab cdefé日\n\t  😀", "the ", " words", "▁"]) for _ in range(4000))
+    seed = mix(np.array([7], dtype=np.uint64))
+    want, _ = encode([text], seed, own)
+    for limit in (1, 50, 10**6):
+        assert (encode_long(text, seed, own, limit=limit) == want).all()
+    assert not len(encode_long("", seed, own))
+
+
 @pytest.mark.parametrize("word", ["hello", "naïves"])
 def test_samples_follow_the_lattice(word):
     import sentencepiece
