@@ -2,50 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators.logs import numbered
 from evalfold.sources.staging import staged
 
 
-def walk(steps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(step, depth, root) of every step (step, prior; a root has no prior), and the tables (step, up) of 1, 2, 4, ... steps up.
+def walk(steps: DataFrame) -> DataFrame:
+    """(step, depth, root) of every step (step, prior: longs; a root has no prior).
 
-    As many rounds as the longest chain's logarithm; each is written before the next. A chain that comes back to itself
-    fails. A prior that isn't a step is an error of the input too: its chain has no root.
+    As many rounds as the longest chain's logarithm; each is written before the next. A chain that comes back to itself, or that
+    leads to a step that isn't there, fails.
     """
-    jump = staged(steps.filter("prior IS NOT NULL").select("step", F.col("prior").alias("up")), "jumps")
-    jumps = [jump]
     known = staged(steps.select("step", F.coalesce("prior", "step").alias("at"), F.col("prior").isNotNull().cast("long").alias("depth")), "walk")
-    most = known.count()
-    while True:
+    roots = staged(steps.filter("prior IS NULL").select(F.col("step").alias("at")), "roots")
+    most, walked = known.count(), 1
+    while not (open_ := known.join(roots, "at", "left_anti")).isEmpty():
+        lost = open_.filter("at IS NULL").limit(1).collect()
+        if lost:
+            raise ValueError(f"the chain of step {lost[0]['step']} leads to a step that isn't there")
+        if walked > most:
+            raise ValueError("a chain of steps comes back to itself")
         on = known.select(F.col("step").alias("at"), F.col("at").alias("_next"), F.col("depth").alias("_more"))
         known = staged(known.join(on, "at", "left").select("step", F.col("_next").alias("at"), (F.col("depth") + F.col("_more")).alias("depth")), "walk")
-        up = jump.select(F.col("step").alias("up"), F.col("up").alias("_up"))
-        jump = staged(jump.join(up, "up").select("step", F.col("_up").alias("up")), "jumps")
-        if jump.isEmpty():
-            break
-        if 1 << len(jumps) > most:
-            raise ValueError("a chain of steps comes back to itself")
-        jumps.append(jump)
-    lost = known.filter("at IS NULL").limit(1).collect()
-    if lost:
-        raise ValueError(f"the chain of step {lost[0]['step']} leads to a step that isn't there")
-    return known.select("step", "depth", F.col("at").alias("root")), jumps
+        walked *= 2
+    return known.select("step", "depth", F.col("at").alias("root"))
+
+
+def spans(steps: DataFrame) -> DataFrame:
+    """(step, enter, leave) in a walk around each tree of steps: what follows from a step lies between its two numbers.
+
+    The walk enters a step, its followers in order, and leaves it. Each of the two stops knows the next; the distance to the end
+    comes by doubling, as many rounds as the logarithm of a tree's size.
+    """
+    w = Window.partitionBy("prior").orderBy("step")
+    first = steps.filter("prior IS NOT NULL").groupBy(F.col("prior").alias("step")).agg(F.min("step").alias("_first"))
+    sibling = F.when(F.col("prior").isNotNull(), F.lead("step").over(w))
+    s = steps.withColumn("_sibling", sibling).join(first, "step", "left")
+    enter = F.struct((F.col("step") * 2).alias("stop"), F.coalesce(F.col("_first") * 2, F.col("step") * 2 + 1).alias("next"))
+    leave = F.struct((F.col("step") * 2 + 1).alias("stop"), F.coalesce(F.col("_sibling") * 2, F.col("prior") * 2 + 1).alias("next"))
+    stops = staged(s.select(F.inline(F.array(enter, leave))).withColumn("left", F.col("next").isNotNull().cast("long")), "stops")
+    while not stops.filter("next IS NOT NULL").isEmpty():
+        on = stops.select(F.col("stop").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"))
+        stops = staged(stops.join(on, "next", "left").select("stop", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")), "stops")
+    place = lambda k: F.max(F.when(F.pmod("stop", F.lit(2)) == k, -F.col("left")))
+    return stops.groupBy(F.floor(F.col("stop") / 2).alias("step")).agg(place(0).alias("enter"), place(1).alias("leave"))
 
 
 def owed(steps: DataFrame, evidence: DataFrame) -> DataFrame:
     """(step, evidence), once each, that no step before it in its chain has recorded.
 
-    Only the nearest candidates are tried: pairs of steps of one chain's root that cite the same evidence. The later one walks up by
-    the difference of their depths, bit by bit; where it meets the earlier one, it owes nothing.
+    Of the steps of a tree that cite one evidence, in order of entering, one that lies inside another leaves before the furthest
+    one so far: a running maximum over ranges, so evidence that very many steps cite is no pair of each two of them.
     """
-    placed, jumps = walk(steps)
-    own = staged(evidence.select("step", "evidence").distinct().join(placed, "step"), "evidence")
-    earlier = own.select("evidence", "root", F.col("step").alias("other"), F.col("depth").alias("_depth"))
-    pairs = own.join(earlier, ["evidence", "root"]).filter("_depth < depth").select("step", "evidence", "other", (F.col("depth") - F.col("_depth")).alias("left"), F.col("step").alias("at"))
-    for i, jump in enumerate(jumps):
-        to = jump.select(F.col("step").alias("at"), "up")
-        pairs = staged(pairs.join(to, "at", "left").withColumn("at", F.when(F.col("left").bitwiseAND(F.lit(1 << i)) != 0, F.col("up")).otherwise(F.col("at"))).drop("up"), "pairs")
-    paid = pairs.filter(F.col("at") == F.col("other")).select("step", "evidence").distinct()
-    return own.select("step", "evidence").join(paid, ["step", "evidence"], "left_anti")
+    own = evidence.select("step", "evidence").distinct().join(walk(steps).select("step", "root"), "step").join(spans(steps), "step")
+    furthest = numbered(own, ["evidence", "root"], None, ["enter"], "furthest", "leave", F.max)
+    return furthest.filter(F.col("furthest") == F.col("leave")).select("step", "evidence")

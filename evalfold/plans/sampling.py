@@ -135,7 +135,7 @@ _CHAIN = """WITH RECURSIVE c AS (SELECT p_partkey AS step, p_partkey // 2 AS pri
 @query(_CHAIN + " SELECT leaf, max(depth)::BIGINT AS depth, min(step) AS root FROM w GROUP BY leaf")
 def step_chain_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each step's chain of prior steps to its root."""
-    return chains.walk(_steps(spark, sf_dir))[0].select(F.col("step").alias("leaf"), "depth", "root")
+    return chains.walk(_steps(spark, sf_dir)).select(F.col("step").alias("leaf"), "depth", "root")
 
 
 @query(_CHAIN + """, e AS (SELECT p_partkey AS step, 'e' || (p_partkey % 7) AS evidence FROM part UNION ALL SELECT p_partkey, 'f' || (p_size % 5) FROM part UNION ALL SELECT p_partkey, 'f' || (p_size % 5) FROM part WHERE p_partkey % 2 = 0)

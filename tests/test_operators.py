@@ -162,7 +162,7 @@ def test_labels_narrow_from_component_to_component(spark):
 
 def test_long_chains_and_cycles(spark):
     steps = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)] + [(1000 + i, 1000 + i // 3 if i else None) for i in range(40)], "step long, prior long")
-    got = {r.step: (r.depth, r.root) for r in chains.walk(steps)[0].collect()}
+    got = {r.step: (r.depth, r.root) for r in chains.walk(steps).collect()}
     assert all(got[i] == (i, 0) for i in range(200)) and all(got[1000 + i][1] == 1000 for i in range(40))
     evidence = spark.createDataFrame([(i, f"e{i // 3}") for i in range(200)] + [(1000 + i, f"x{i % 4}") for i in range(40)], "step long, evidence string")
     up = lambda s: (s - 1 if 0 < s < 1000 else 1000 + (s - 1000) // 3 if s > 1000 else None)
