@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalfold.llm.common import read
+from evalfold.llm.bloom import without
+from evalfold.llm.common import read, staged
 from evalfold.llm.decontaminate import find_contamination
 from evalfold.llm.line_dedup import dedup_lines
 from evalfold.llm.near_dedup import near_duplicates
@@ -31,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the one of least doc_id) of each group of near duplicates: five-word shingles, similarity 0.8."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = staged(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return without(docs, gone, "doc_id").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

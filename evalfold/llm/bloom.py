@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalfold.llm.common import free_name
+
 # The primes of xxHash64.
 _PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
@@ -43,6 +46,34 @@ class Bloom:
         return out
 
 
+#: Numbers up to which `without` broadcasts them themselves (some 32 bytes each); bits of its filter for each, and at most.
+BROADCAST_NUMBERS, EACH, MOST = 1_000_000, 16, 1 << 28
+
+
+def may_hold(filter_: Bloom, df: DataFrame, column: str) -> Column:
+    """Whether the filter may hold the long `column` of `df`; a null is taken for one that it may."""
+    sent = df.sparkSession.sparkContext.broadcast(filter_)
+
+    @F.pandas_udf("boolean")
+    def held(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.holds(x.fillna(0).to_numpy(np.int64)))
+
+    return F.col(column).isNull() | held(column)
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """The rows whose long `column` isn't in `gone` (a written table of that column); rows without it stay.
+
+    Wide rows aren't shuffled for this: up to `broadcast_numbers` numbers are broadcast; beyond, a filter of them is, and only
+    the rows that it lets through are joined.
+    """
+    if gone.count() <= broadcast_numbers:
+        return rows.join(F.broadcast(gone), column, "left_anti").select(*rows.columns)
+    may = free_name(rows, "may_go")
+    marked = rows.withColumn(may, may_hold(Bloom.of(gone.filter(F.col(column).isNotNull()), column, EACH, MOST), rows, column))
+    return marked.filter(~F.col(may)).unionByName(marked.filter(may).join(gone, column, "left_anti")).select(*rows.columns)
+
+
 def _long(value: np.ndarray, seed: np.ndarray, bytes_: int) -> np.ndarray:
     """xxHash64 of one number of 4 or 8 bytes with this seed."""
     u = np.uint64

@@ -20,14 +20,13 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.llm.arrow import texts, with_columns
-from evalfold.llm.bloom import Bloom
+from evalfold.llm.bloom import Bloom, may_hold
 from evalfold.llm.common import free_name, read, small_batches, staged
 
 WHITE = b"\t\n\x0b\x0c\r "
@@ -207,11 +206,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     own, gone, may = (free_name(docs, x) for x in ("own_id", "gone", "may_lose"))
     drops = found.join(lines, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     drops = staged(drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("digest").alias(gone)), "line-drops")
-    ids = spark.sparkContext.broadcast(Bloom.of(drops.filter(F.col(own).isNotNull()), own, TWICE_BITS, max_bits))
-
-    @F.pandas_udf("boolean")
-    def may_lose(x: pd.Series) -> pd.Series:
-        return pd.Series(ids.value.holds(x.fillna(0).to_numpy(np.int64)))
+    held = may_hold(Bloom.of(drops.filter(F.col(own).isNotNull()), own, TWICE_BITS, max_bits), docs, "doc_id")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +214,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             rows = [_rewrite(t, s.__contains__, min_chars) for s, t in zip(sets, texts(batch.column("text")))]
             yield _out(batch.drop_columns([gone]), rows)
 
-    marked = docs.withColumn(may, F.col("doc_id").isNull() | may_lose("doc_id"))
+    marked = docs.withColumn(may, held)
     joined = marked.filter(may).drop(may).join(drops, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
     others = marked.filter(~F.col(may)).drop(may).withColumn(gone, F.lit(None).cast("array<binary>"))
     return joined.unionByName(others).mapInArrow(run_joined, schema)

@@ -71,6 +71,17 @@ def test_filter_holds_what_it_was_made_of(spark):
     assert not Bloom.of(spark.createDataFrame([], "x long"), "x", 16, 1 << 20).holds(others).any()
 
 
+@pytest.mark.parametrize("broadcast_numbers", [100, 0])
+def test_rows_without_what_is_gone(spark, docs, broadcast_numbers):
+    from evalfold.llm.bloom import without
+
+    left = without(docs, spark.createDataFrame([(6,), (9,), (10**12,)], "doc_id long"), "doc_id", broadcast_numbers)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == sorted(i for i, *_ in rows() if i not in (6, 9))
+    nulls = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
+    assert [r.text for r in without(nulls, spark.createDataFrame([(1,), (None,)], "doc_id long"), "doc_id", broadcast_numbers).collect()] == ["a"]
+
+
 def test_line_keys():
     assert line_key("é".encode() * 39) is None and line_key("é".encode() * 40) == "é".encode() * 40
     assert line_key(b"\x0b " + b"AbC" * 20 + b"\t\r") == b"abc" * 20 and line_key("É".encode() * 40) == "É".encode() * 40
