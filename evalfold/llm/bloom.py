@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +54,10 @@ def may_hold(filter_: Bloom, df: DataFrame, column: str) -> Column:
     """Whether the filter may hold the long `column` of `df`; a null is taken for one that it may."""
     sent = df.sparkSession.sparkContext.broadcast(filter_)
 
-    @F.pandas_udf("boolean")
-    def held(x: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.holds(x.fillna(0).to_numpy(np.int64)))
+    def held(x: pa.Array) -> pa.Array:
+        return pa.array(sent.value.holds(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
 
-    return F.col(column).isNull() | held(column)
+    return F.col(column).isNull() | F.arrow_udf(held, "boolean")(column)
 
 
 def without(rows: DataFrame, gone: DataFrame, column: str, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
