@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: texts are long, so Spark's usual 10,000 would hold much of a task's input in several copies at once.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -35,7 +35,7 @@ WINDOW = 10
 #: Bytes of the pieces that one broadcast part is to hold, and words of a piece.
 PART_BYTES, PIECE_WORDS = 16 << 20, 4096
 #: Bytes searched at once, end positions of a stretch, slots of a shift table.
-BLOCK_BYTES, STRETCH, SLOTS = 2 << 20, 256, 1 << 20
+BLOCK_BYTES, STRETCH, SLOTS = 1 << 20, 256, 1 << 20
 
 _A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _S = np.uint64(29)

@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 4
 SHINGLE, PERCENT = 5, 80
 #: A word is a run of anything but a space, \t, \n, \v, \f and \r.
 WORD = word_bytes(lambda c: c != 32 and not 9 <= c <= 13)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Members up to which a bucket's pairs between groups are all listed; nodes of a block in larger ones.
 SMALL, BLOCK_NODES = 16, 128
 #: Bits of the Bloom filter of candidate ids, for each and at most.

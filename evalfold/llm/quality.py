@@ -38,7 +38,7 @@ LENGTH = 100.0
 #: What a wrongly rejected good document weighs against a wrongly kept bad one when the cutoff is fitted.
 GOOD_WEIGHT = 4.0
 BINS = 4096
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Kinds of bytes: 1 letters, digits and all beyond ASCII; 2 punctuation; 0 white space and controls.
 KINDS = word_bytes(lambda c: 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128).astype(np.uint8) + 2 * word_bytes(lambda c: 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127).astype(np.uint8)
 

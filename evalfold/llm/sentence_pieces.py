@@ -33,7 +33,7 @@ from evalfold.llm.words import mix
 
 THETA = 1.0
 #: Characters of texts sampled together.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Code that stands for a literal U+2581 inside the lattice; rank that weighs a byte piece.
 _LITERAL, _SPACE = 0x110000, 0x2581
 _K = np.uint64(0x9E3779B97F4A7C15)

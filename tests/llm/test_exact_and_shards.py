@@ -139,7 +139,7 @@ def test_workspace_restores_the_session(spark):
     spark.conf.set(name, "10000")
     with workspace(spark):
         staged(small_batches(spark.range(3)), "numbers").count()
-        assert spark.conf.get(name) == "2000"
+        assert spark.conf.get(name) == "1000"
     assert spark.conf.get(name) == "10000" and not os.path.exists(own_dir(spark).removeprefix("file://"))
     spark.conf.set(name, was)
 
