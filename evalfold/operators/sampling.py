@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalfold.operators.logs import numbered
+from evalfold.operators.logs import join_null_safe, numbered
 from evalfold.sources.staging import staged
 
 
@@ -20,10 +20,13 @@ def sample_within(rows: DataFrame, keys: list[str], order: Column, n: int) -> Da
 
 
 def tail_split(rows: DataFrame, keys: list[str], order: str, share: float, most: int) -> DataFrame:
-    """`rows` with `part`: the last `share` of each group (one row to `most`) validates, the others train."""
+    """`rows` with `part`: the last `share` of each group (one row to `most`) validates, the others train.
+
+    Null keys are a group; rows without an order come first in theirs.
+    """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
-    placed = numbered(rows, keys, F.floor(F.col(order) / 10_000), [order], "_place").join(sizes, keys)
+    placed = join_null_safe(numbered(rows, keys, F.floor(F.col(order) / 10_000), [order], "_place"), sizes, keys)
     return placed.withColumn("part", F.when(F.col("_place") > F.col("_n") - size, "val").otherwise("train")).drop("_n", "_place")
 
 

@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalfold.operators.logs import numbered
+from evalfold.operators.logs import join_null_safe, numbered
 from evalfold.sources.staging import free_name, staged
 
 
@@ -35,7 +35,7 @@ def holm(rows: DataFrame, p: str, order: str, within: list[str]) -> DataFrame:
     known = F.when(F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.concat(F.lit("not a p-value: "), F.coalesce(F.col(p).cast("string"), F.lit("null")))).cast("double"))
     ranked = numbered(rows.withColumn(p, known), within, None, [p, order], "rank")
     sizes = ranked.groupBy(*within).agg(F.count(F.lit(1)).alias(m))
-    ranked = ranked.join(sizes, within).withColumn(scaled, F.least(F.lit(1.0), F.col(p) * (F.col(m) - F.col("rank") + 1)))
+    ranked = join_null_safe(ranked, sizes, within).withColumn(scaled, F.least(F.lit(1.0), F.col(p) * (F.col(m) - F.col("rank") + 1)))
     return numbered(ranked, within, F.floor(F.col("rank") / 10_000), ["rank"], "adjusted", scaled, F.max).drop(m, scaled)
 
 

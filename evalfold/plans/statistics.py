@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import statistics as S
-from evalfold.operators.logs import numbered
+from evalfold.operators.logs import join_null_safe, numbered
 from evalfold.plans.registry import query
 from evalfold.sources.tables import ctes, documents_text, read, trials
 
@@ -38,7 +38,7 @@ def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """`rows` with their place from 0 by task_id within the keys, and the keys' number n of rows."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     placed = numbered(rows, keys, F.floor(F.col("task_id") / 10_000), ["task_id"], "place")
-    return placed.withColumn("place", F.col("place") - 1).join(sizes, keys)
+    return join_null_safe(placed.withColumn("place", F.col("place") - 1), sizes, keys)
 
 
 def _ci(rows: DataFrame, key: str) -> DataFrame:
