@@ -1,4 +1,4 @@
-"""Rankings with stable ties, Pareto fronts and study history.
+"""Rankings with stable ties, and study history.
 
 Ties are always broken by the first occurrence, as a stable sort would; every order by is total.
 """
@@ -68,18 +68,6 @@ def round_stats(attempts: DataFrame, best: int) -> DataFrame:
     return batch.drop("first").join(best_rows.groupBy("round_index").agg(F.count(F.lit(1)).alias("n_best"), *summary("best_")), "round_index")
 
 
-def pareto_front(rows: DataFrame) -> DataFrame:
-    """Rows (group_id, id, quality, price) that no other row of the group dominates: quality is maximised, price minimised.
-
-    Exact ties of both stay. A row survives if it has the least price of its quality and that lies below all prices of higher
-    quality; so only the least price of each quality is compared, and rows are joined to it.
-    """
-    by_quality = rows.groupBy("group_id", "quality").agg(F.min("price").alias("best"))
-    w = Window.partitionBy("group_id").orderBy(F.col("quality").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bars = by_quality.select("group_id", "quality", "best", F.min("best").over(w).alias("bar"))
-    return rows.join(bars, ["group_id", "quality"]).filter((F.col("price") == F.col("best")) & (F.col("bar").isNull() | (F.col("price") < F.col("bar")))).drop("best", "bar")
-
-
 def promotion(scores: DataFrame) -> DataFrame:
     """Combinations by mean minibatch score, with which is next to promote.
 

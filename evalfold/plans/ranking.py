@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators import aggregates as A
+from evalfold.operators import pareto as PF
 from evalfold.operators import ranking as R
 from evalfold.operators.logs import numbered
 from evalfold.plans.registry import query
@@ -61,16 +62,42 @@ def promotion_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(0, 61).withColumnRenamed("id", "trial").select("trial", (((n + 1) % 6 == 0) | (n == 59)).alias("due"), F.floor(n / 6).cast("long").alias("full_so_far"))
 
 
-@query("SELECT p_brand AS group_id, p_partkey AS id, p_size AS quality, p_retailprice AS price FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))")
+def _front(table: str, key: str | None, objectives: dict[str, str]) -> str:
+    """SQL: the rows that no other row of their group beats, by comparing all of them."""
+    worse = " AND ".join(f"b.{c} {'>=' if d == 'max' else '<='} a.{c}" for c, d in objectives.items())
+    better = " OR ".join(f"b.{c} {'>' if d == 'max' else '<'} a.{c}" for c, d in objectives.items())
+    return f"SELECT * FROM {table} a WHERE NOT EXISTS (SELECT 1 FROM {table} b WHERE {f'b.{key} = a.{key} AND ' if key else ''}{worse} AND ({better}))"
+
+
+_PARTS = "WITH p AS (SELECT {} AS group_id, p_partkey AS id, p_size AS quality, p_retailprice AS price FROM part) "
+_SIZE_AND_PRICE = {"quality": "max", "price": "min"}
+
+
+def _parts(spark: SparkSession, sf_dir: str, group) -> DataFrame:
+    return read(spark, sf_dir, "part").select(group.alias("group_id"), F.col("p_partkey").alias("id"), F.col("p_size").alias("quality"), F.col("p_retailprice").alias("price"))
+
+
+@query(_PARTS.format("p_brand") + _front("p", "group_id", _SIZE_AND_PRICE))
 def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each brand that no other beats in size and price."""
-    return R.pareto_front(read(spark, sf_dir, "part").select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("id"), F.col("p_size").alias("quality"), F.col("p_retailprice").alias("price")))
+    return PF.pareto_front(_parts(spark, sf_dir, F.col("p_brand")), _SIZE_AND_PRICE, ["group_id"])
 
 
-@query("SELECT 'all' AS group_id, p_partkey AS id, p_size AS quality, p_retailprice AS price FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))")
+@query(_PARTS.format("'all'") + _front("p", None, _SIZE_AND_PRICE))
 def pareto_front_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that no other beats in size and price."""
-    return R.pareto_front(read(spark, sf_dir, "part").select(F.lit("all").alias("group_id"), F.col("p_partkey").alias("id"), F.col("p_size").alias("quality"), F.col("p_retailprice").alias("price")))
+    return PF.pareto_front(_parts(spark, sf_dir, F.lit("all")), _SIZE_AND_PRICE, [])
+
+
+_FOUR = {"quantity": "max", "price": "min", "discount": "max", "tax": "min"}
+
+
+@query("WITH l AS (SELECT l_linenumber AS line, l_orderkey AS id, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax FROM lineitem) " + _front("l", "line", _FOUR))
+def pareto_front_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of each line number that no other beats in quantity, price, discount and tax; objectives come as vectors."""
+    kinds = [F.struct(F.lit(n).alias("name"), F.lit(d).alias("direction"), F.col(f"l_{'extendedprice' if n == 'price' else n}").cast("double").alias("value")) for n, d in _FOUR.items()]
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("id"), F.array(*kinds).alias("vector"))
+    return PF.pareto_front(PF.objective_columns(rows, "vector", _FOUR).drop("vector"), _FOUR, ["line"])
 
 
 @query(ctes("trials") + ", s AS (SELECT task_id, candidate_id, round(avg(score), 9) AS score FROM trials WHERE state = 'scored' GROUP BY ALL) SELECT task_id, candidate_id, score FROM s QUALIFY score = max(score) OVER (PARTITION BY task_id)")

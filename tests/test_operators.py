@@ -90,15 +90,6 @@ def test_variance_split(spark):
     assert (r.within, r.interaction) == (0.25, 0.0) and abs(r.between - (1 / 15 - 0.20 / 4)) < 1e-6
 
 
-def test_pareto_keeps_ties_and_equals_brute_force(spark):
-    r = random.Random(1)
-    rows = [(r.choice("ab"), i, r.randrange(12), float(r.randrange(12))) for i in range(300)]
-    got = {x.id for x in ranking.pareto_front(spark.createDataFrame(rows, "group_id string, id long, quality int, price double").repartition(5)).collect()}
-    beats = lambda b, a: b[0] == a[0] and b[2] >= a[2] and b[3] <= a[3] and (b[2] > a[2] or b[3] < a[3])
-    assert got == {a[1] for a in rows if not any(beats(b, a) for b in rows)}
-    assert ranking.pareto_front(spark.createDataFrame([], "group_id string, id long, quality int, price double")).count() == 0
-
-
 def test_unknown_cost_is_not_zero(spark):
     schema = "run string, prompt_tokens long, completion_tokens long, provider_cost double, cache_hit boolean, missing boolean, failed boolean, response_rejected boolean"
     rows = [("a", 1, 2, 0.5, False, False, False, False), ("a", 1, None, None, False, False, False, False), ("a", None, None, None, False, True, False, False), ("b", 3, 4, 1.0, False, False, False, False), ("b", 3, 4, 1.0, True, False, False, False), ("c", None, None, None, False, False, True, True)]
