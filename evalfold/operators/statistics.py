@@ -1,8 +1,6 @@
 """Bootstrap intervals, multiple comparisons, variance split and power, by column arithmetic.
 
-Random draws are portable: the draw of (seed, resample, place) is a hash, so every engine and partitioning agrees. A
-resample's mean needs only counts of draws for each value; resamples are rows, spread over the cluster, and no matrix of
-draws meets in one task.
+Random draws are hashes of their keys, so every engine and partitioning agrees; resampling itself is in `resampling`.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators.logs import join_null_safe, numbered
-from evalfold.sources.staging import free_name, staged
+from evalfold.sources.staging import free_name
 
 
 def hex_number(hash_: Column, digits: int = 8) -> Column:
@@ -39,25 +37,6 @@ def holm(rows: DataFrame, p: str, order: str, within: list[str]) -> DataFrame:
     return numbered(ranked, within, F.floor(F.col("rank") / 10_000), ["rank"], "adjusted", scaled, F.max).drop(m, scaled)
 
 
-#: Values up to which resampling looks drawn places up in a broadcast table (some 50 bytes each).
-BROADCAST_VALUES = 500_000
-
-
-def resampled_means(values: DataFrame, keys: list[str], resamples: int, seed: int, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """(keys, resample, mean) of `resamples` draws with replacement from each group's values (place 0..n-1, n, value).
-
-    Each value's row makes its draws, one for each resample, and looks the drawn value up: in a broadcast table up to `broadcast_values`
-    rows, so that only sums of resamples are shuffled; by a join of the draws beyond.
-    """
-    values = staged(values.select(*keys, "place", "n", "value"), "values")
-    spread = values.select(*keys, "n", F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    drawn = spread.withColumn("place", draw(F.col("n"), F.lit(seed), F.col("resample"), F.col("i")))
-    table = values.select(*keys, "place", "value")
-    if values.count() <= broadcast_values:
-        table = F.broadcast(table)
-    return drawn.join(table, [*keys, "place"]).groupBy(*keys, "resample").agg((F.sum("value") / F.max("n")).alias("mean"))
-
-
 def interval(means: DataFrame, points: DataFrame, keys: list[str], resamples: int, level: float = 0.95) -> DataFrame:
     """keys, point, low, high, p, excludes_zero: order statistics without interpolation; one value alone is degenerate (p = 1)."""
     tail = (1 - level) / 2

@@ -9,8 +9,9 @@ from evalfold.operators import chains
 from evalfold.operators import sampling as P
 from evalfold.operators import statistics as S
 from evalfold.operators.logs import numbered
+from evalfold.operators.resampling import DEFAULT_RESAMPLES, resampled_means, resampled_sql
 from evalfold.plans.registry import query
-from evalfold.plans.statistics import placed, task_scores
+from evalfold.plans.statistics import task_scores
 from evalfold.sources.tables import ctes, outputs, read, traces
 
 
@@ -75,13 +76,11 @@ def demo_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ctes("trials") + """, ts AS (SELECT candidate_id, task_id, avg(score) AS value FROM trials WHERE state = 'scored' GROUP BY ALL),
-vals AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY task_id) - 1 AS place, count(*) OVER (PARTITION BY candidate_id) AS n FROM ts),
-dr AS (SELECT candidate_id, r, ('0x' || substr(md5(concat_ws('|', '9', r::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT % n AS place FROM (SELECT candidate_id, n, place AS i FROM vals), range(0, 100) AS x(r))
-SELECT candidate_id AS group_id, r AS resample, round(avg(value), 9) AS mean FROM dr JOIN vals USING (candidate_id, place) GROUP BY ALL""")
+vals AS (SELECT candidate_id, value FROM ts),
+""" + resampled_sql("candidate_id", DEFAULT_RESAMPLES, 9) + "\nSELECT candidate_id AS group_id, r AS resample, mean FROM me")
 def bootstrap_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate's resampled means, one row for each resample."""
-    values = placed(task_scores(spark, sf_dir), ["candidate_id"])
-    means = S.resampled_means(values, ["candidate_id"], 100, 9)
+    means = resampled_means(task_scores(spark, sf_dir), ["candidate_id"], seed=9)
     return means.select(F.col("candidate_id").alias("group_id"), F.col("resample").cast("long").alias("resample"), F.round("mean", 9).alias("mean"))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import statistics as S
-from evalfold.operators.logs import join_null_safe, numbered
+from evalfold.operators.resampling import DEFAULT_RESAMPLES, resampled_means, resampled_sql
 from evalfold.plans.registry import query
 from evalfold.sources.tables import ctes, documents_text, read, trials
 
-RESAMPLES, SEED = 200, 9
+RESAMPLES, SEED = DEFAULT_RESAMPLES, 9
 _MULTIPLIER = S.multiplier()
 
 
@@ -20,34 +20,24 @@ def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORES = ctes("trials") + ", ts AS (SELECT candidate_id, task_id, avg(score) AS value FROM trials WHERE state = 'scored' GROUP BY ALL)"
-_DRAW = "('0x' || substr(md5(concat_ws('|', {seed}, r::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT % n"
 
 
 def _interval(values: str, key: str) -> str:
     low, high = int((1 - 0.95) / 2 * RESAMPLES), min(RESAMPLES - 1, int((1 - (1 - 0.95) / 2) * RESAMPLES))
     return f"""{values},
-dr AS (SELECT {key}, r, {_DRAW.format(seed=f"'{SEED}'")} AS place FROM (SELECT {key}, n, place AS i FROM vals), range(0, {RESAMPLES}) AS x(r)),
-me AS (SELECT {key}, r, round(avg(value), 9) AS mean FROM dr JOIN vals USING ({key}, place) GROUP BY ALL),
+{resampled_sql(key, RESAMPLES, SEED)},
 so AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY mean, r) - 1 AS pos FROM me),
 ag AS (SELECT {key}, max(mean) FILTER (WHERE pos = {low}) AS lo, max(mean) FILTER (WHERE pos = {high}) AS hi, 2 * least(count(*) FILTER (WHERE mean <= 0) / {RESAMPLES}, count(*) FILTER (WHERE mean >= 0) / {RESAMPLES}) AS p2 FROM so GROUP BY {key}),
 po AS (SELECT {key}, count(*) AS n, avg(value) AS point FROM vals GROUP BY {key})
 SELECT {key}, n, round(point, 9) AS point, round(CASE WHEN n = 1 THEN point ELSE lo END, 9) AS low, round(CASE WHEN n = 1 THEN point ELSE hi END, 9) AS high, CASE WHEN n = 1 THEN 1.0 ELSE round(least(1.0, greatest({1.0 / RESAMPLES}, p2)), 9) END::DOUBLE AS p, low > 0 OR high < 0 AS excludes_zero FROM ag JOIN po USING ({key})"""
 
 
-def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with their place from 0 by task_id within the keys, and the keys' number n of rows."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    placed = numbered(rows, keys, F.floor(F.col("task_id") / 10_000), ["task_id"], "place")
-    return join_null_safe(placed.withColumn("place", F.col("place") - 1), sizes, keys)
-
-
-def _ci(rows: DataFrame, key: str) -> DataFrame:
-    values = placed(rows, [key])
+def _ci(values: DataFrame, key: str) -> DataFrame:
     points = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("point"))
-    return S.interval(S.resampled_means(values, [key], RESAMPLES, SEED), points, [key], RESAMPLES)
+    return S.interval(resampled_means(values, [key], RESAMPLES, SEED), points, [key], RESAMPLES)
 
 
-@query(_interval(_SCORES + ", vals AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY task_id) - 1 AS place, count(*) OVER (PARTITION BY candidate_id) AS n FROM ts)", "candidate_id"))
+@query(_interval(_SCORES + ", vals AS (SELECT * FROM ts)", "candidate_id"))
 def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of each candidate's mean over tasks."""
     return _ci(task_scores(spark, sf_dir), "candidate_id")
@@ -61,7 +51,7 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DELTAS = _SCORES + ", de AS (SELECT a.candidate_id, task_id, b.value AS base, a.value AS arm, a.value - b.value AS value FROM ts a JOIN (SELECT task_id, value FROM ts WHERE candidate_id = 'click') b USING (task_id) WHERE a.candidate_id <> 'click')"
-_DELTA_VALUES = _DELTAS + ", vals AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY task_id) - 1 AS place, count(*) OVER (PARTITION BY candidate_id) AS n FROM de)"
+_DELTA_VALUES = _DELTAS + ", vals AS (SELECT * FROM de)"
 
 
 @query(_interval(_DELTA_VALUES, "candidate_id"))

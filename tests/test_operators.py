@@ -68,21 +68,6 @@ def test_multipliers():
     assert abs(S.multiplier() - 2.801585218112968) < 1e-12
 
 
-def test_interval_of_one_value_is_degenerate(spark):
-    values = spark.createDataFrame([("c", 0, 1, 0.4)], "k string, place long, n long, value double")
-    r = S.interval(S.resampled_means(values, ["k"], 50, 1), spark.createDataFrame([("c", 1, 0.4)], "k string, n long, point double"), ["k"], 50).first()
-    assert (r.low, r.high, r.p) == (0.4, 0.4, 1.0)
-
-
-def test_bootstrap_covers(spark):
-    r = random.Random(2)
-    rows = [(f"t{t}", i, 40, r.gauss(0.3, 1)) for t in range(60) for i in range(40)]
-    values = spark.createDataFrame(rows, "k string, place long, n long, value double")
-    points = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("point"))
-    got = S.interval(S.resampled_means(values, ["k"], 200, 5), points, ["k"], 200).collect()
-    assert sum(x.low <= 0.3 <= x.high for x in got) / 60 >= 0.85
-
-
 def test_variance_split(spark):
     rates = [0.2, 0.4, 0.6, 0.8]
     df = spark.createDataFrame([("c", x, x) for x in rates], "k string, naive double, ceiling double")
@@ -188,12 +173,6 @@ def test_holm_refuses_what_is_no_p_value(spark):
             S.holm(spark.createDataFrame([("f", 1, 0.5), ("f", 2, bad)], "family string, id long, p double"), "p", "id", ["family"]).collect()
 
 
-def test_resampling_by_broadcast_and_by_join_agree(spark):
-    values = spark.createDataFrame([("g", i, 7, float(i)) for i in range(7)], "k string, place long, n long, value double")
-    one, two = (sorted(map(tuple, S.resampled_means(values, ["k"], 30, 4, n).collect())) for n in (100, 0))
-    assert one == two and len(one) == 30
-
-
 def test_records(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"version": 1, "pools": {"p": {"train": ["a", "b"], "val": ["c"], "test": ["b"]}}, "historical_pass_rates": {"a": 0.5}}')
     members = records.read_manifest(spark, str(tmp_path / "m.json"))
