@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _folder(spark: SparkSession):
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def own_dir(spark: SparkSession) -> str:
     """This application's folder in the shared one."""
     return f"{shared_dir(spark)}/evalfold-{spark.sparkContext.applicationId}"
@@ -31,17 +36,23 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back.
 
     This cuts the lineage at a place that outlives any executor, keeps the columns compressed and prunable, and lets
-    later joins shuffle both of their sides (so that adaptive execution can split a hot key).
+    later joins shuffle both of their sides (so that adaptive execution can split a hot key). The table stays until
+    `clear_staged`, or until the application ends.
     """
-    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if getattr(spark, "_evalfold_clears", None) != spark.sparkContext.applicationId:
+        folder, files = _folder(spark)
+        files.deleteOnExit(folder)
+        spark._evalfold_clears = spark.sparkContext.applicationId
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Deletes the tables that this application's `staged` left in the shared folder; results not yet written need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folder, files = _folder(spark)
+    files.delete(folder, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
