@@ -13,27 +13,6 @@ def latest(log: DataFrame, keys: list[str], order: str, columns: list[str]) -> D
     return log.groupBy(*keys).agg(F.max(F.struct(order, *columns)).alias("l")).select(*keys, "l.*")
 
 
-def _before(*columns: str):
-    w = Window.partitionBy("intent").orderBy("event_ordinal")
-    return [F.lag(c).over(w).alias(f"_{c}") for c in columns]
-
-
-def transitions(claims: DataFrame) -> DataFrame:
-    """Claim events with `kind`: the first; a renewal (same owner and generation, next heartbeat); a takeover (next generation,
-    heartbeat 0); anything else is invalid."""
-    c = claims.select("*", *_before("owner", "generation", "heartbeat"))
-    same = (F.col("owner") == F.col("_owner")) & (F.col("generation") == F.col("_generation")) & (F.col("heartbeat") == F.col("_heartbeat") + 1)
-    new = (F.col("owner") != F.col("_owner")) & (F.col("generation") == F.col("_generation") + 1) & (F.col("heartbeat") == 0)
-    return c.withColumn("kind", F.when(F.col("_owner").isNull(), "first").when(same, "renewal").when(new, "takeover").otherwise("invalid"))
-
-
-def lease_outcomes(claims: DataFrame, succeeded: float, expired: float) -> DataFrame:
-    """Claim events with `outcome`, by the event before: none, the same owner, a success, an expired lease, or a live one."""
-    c = claims.select("*", *_before("owner", "value"))
-    out = F.when(F.col("_owner").isNull(), "acquired").when(F.col("owner") == F.col("_owner"), "renewed").when(F.col("_value") >= succeeded, "succeeded").when(F.col("_value") < expired, "recovery-required")
-    return c.withColumn("outcome", out.otherwise("busy"))
-
-
 def admitted(ledger: DataFrame, capacity: int) -> DataFrame:
     """Calls with `accepted` and, if so, their one-based `capacity_ordinal` within the scope."""
     ok = F.col("arrival") <= capacity

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators.logs import numbered
+from evalfold.operators.scan import best_before
 from evalfold.sources.staging import staged
 
 
@@ -31,41 +32,46 @@ def ranked(rows: DataFrame, by: list, name: str = "rank", within: list[str] | No
 HISTORY_RUN = 4096
 
 
-def round_stats(attempts: DataFrame, best: int) -> DataFrame:
+def round_stats(attempts: DataFrame, best: int, breadth: int | None = None, history_run: int = HISTORY_RUN) -> DataFrame:
     """Each round's batch (max, mean, min, population deviation) and the same of the `best` unique instructions so far.
 
     The history (round_index, ordinal, instruction, reward; rounds are ranges of ordinals) is cut into runs of whole
-    rounds. A run starts from the best of the runs before it, which are merged from each run's own best, and is followed with no
-    more than `best` instructions in hand: one that falls out can only come back by a higher reward of its own.
+    rounds. A run starts from the best of the runs before it, which a tree of merged states brings, and is followed with no
+    more than `best` instructions in hand: one that falls out can only come back by a higher reward of its own. With `breadth`, a
+    round of another number of attempts fails.
     """
     def summary(prefix: str) -> list:
         return [F.max("reward").alias(f"{prefix}max"), F.round(F.avg("reward"), 9).alias(f"{prefix}mean"), F.min("reward").alias(f"{prefix}min"), F.round(F.stddev_pop("reward"), 9).alias(f"{prefix}std")]
 
-    batch = attempts.groupBy("round_index").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), *summary("batch_"))
-    runs = batch.select("round_index", F.floor(F.col("first") / HISTORY_RUN).alias("run"))
-    seen = attempts.groupBy("instruction").agg(F.min("ordinal").alias("first_ordinal"))
+    n = F.count(F.lit(1))
+    whole = n if breadth is None else F.when(n == breadth, n).otherwise(F.raise_error(F.concat(F.lit("a partial round: "), F.first("round_index").cast("string"))).cast("long"))
+    batch = attempts.groupBy("round_index").agg(whole.alias("n"), F.min("ordinal").alias("first"), *summary("batch_"))
+    runs = batch.select("round_index", F.floor(F.col("first") / history_run).alias("run"))
+    seen = attempts.groupBy("instruction").agg((-F.min("ordinal")).alias("first"))
     rows = staged(attempts.select("round_index", "ordinal", "instruction", "reward").join(runs, "round_index").join(seen, "instruction"), "history")
-    top = lambda x, at: ranked(x, [F.col("reward").desc(), "first_ordinal"], within=[at]).filter(F.col("rank") <= best).drop("rank")
-    own = staged(top(rows.groupBy("run", "instruction", "first_ordinal").agg(F.max("reward").alias("reward")), "run"), "run-best")
-    # Of each run, `best` rows go to every later run: runs are few (one for HISTORY_RUN attempts).
-    later = own.withColumnRenamed("run", "_of").join(own.select("run").distinct(), F.col("run") > F.col("_of"))
-    start = top(later.groupBy("run", "instruction", "first_ordinal").agg(F.max("reward").alias("reward")), "run")
-    start = start.select("run", F.lit(None).cast("long").alias("round_index"), F.lit(None).cast("long").alias("ordinal"), "instruction", "first_ordinal", "reward")
+    own = rows.groupBy("run", "instruction", "first").agg(F.max("reward").alias("reward"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("run").orderBy(F.col("reward").desc(), F.col("first").desc()))).filter(F.col("nth") <= best)
+    start = best_before(own.select("run", F.col("instruction").alias("item"), "reward", "first"), "run", ["reward", "first"], best)
+    start = start.select("run", F.lit(None).cast("long").alias("round_index"), F.lit(None).cast("long").alias("ordinal"), F.col("item").alias("instruction"), "first", "reward")
     every = rows.select(*start.columns).unionByName(start)
 
     def follow(run: pd.DataFrame) -> pd.DataFrame:
-        held = {r.instruction: (r.reward, -r.first_ordinal) for r in run[run.ordinal.isna()].itertuples()}
-        out = []
-        for at, attempts_ in run[run.ordinal.notna()].sort_values("ordinal").groupby("round_index", sort=False):
-            for r in attempts_.itertuples():
-                held[r.instruction] = max(held.get(r.instruction, (float("-inf"), 0)), (r.reward, -r.first_ordinal))
+        entry, later = run[run.ordinal.isna()], run[run.ordinal.notna()].sort_values("ordinal")
+        held = dict(zip(entry.instruction, zip(entry.reward, entry["first"])))
+        rounds, rewards = [], []
+        at = later.round_index.astype("int64").tolist()
+        for k, (instruction, state) in enumerate(zip(later.instruction.tolist(), zip(later.reward.tolist(), later["first"].tolist()))):
+            if instruction in held or len(held) < best or state > min(held.values()):
+                held[instruction] = max(held.get(instruction, state), state)
                 if len(held) > best:
                     del held[min(held, key=held.get)]
-            out += [(int(at), v[0]) for v in held.values()]
-        return pd.DataFrame(out, columns=["round_index", "reward"])
+            if k + 1 == len(at) or at[k + 1] != at[k]:
+                rounds += [at[k]] * len(held)
+                rewards += [v for v, _ in held.values()]
+        return pd.DataFrame({"round_index": rounds, "reward": rewards}).astype({"round_index": "int64", "reward": "float64"})
 
     best_rows = every.groupBy("run").applyInPandas(follow, "round_index long, reward double")
-    return batch.drop("first").join(best_rows.groupBy("round_index").agg(F.count(F.lit(1)).alias("n_best"), *summary("best_")), "round_index")
+    return batch.drop("first").join(best_rows.groupBy("round_index").agg(n.alias("n_best"), *summary("best_")), "round_index")
 
 
 def promotion(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators.logs import join_null_safe, numbered
+from evalfold.operators.scan import scanned
 from evalfold.sources.staging import staged
 
 
@@ -34,11 +35,11 @@ def fold_attempts(rows: DataFrame, cap: int, errors: int) -> DataFrame:
     """Bootstrap folds: (group_id, n_used, n_accepted, n_errors, status) of each group's outcomes in order.
 
     A fold ends when `cap` outcomes were accepted (full) or `errors` failed (aborted); what comes later isn't used. The
-    end is a running count, so a fold of any length needs no state outside its window.
+    end is a running count, passed on from range to range of a group.
     """
-    w = Window.partitionBy("group_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda kind: F.coalesce(F.sum((F.col("outcome") == kind).cast("long")).over(w), F.lit(0))
-    live = rows.withColumn("_a", before("accept")).withColumn("_e", before("error")).filter((F.col("_a") < cap) & (F.col("_e") < errors))
+    of = lambda kind: (F.col("outcome") == kind).cast("long")
+    counted = scanned(rows, ["group_id"], ["ordinal"], sums={"_a": of("accept"), "_e": of("error")})
+    live = counted.filter((F.col("_a") - of("accept") < cap) & (F.col("_e") - of("error") < errors))
     accepted, failed = F.count_if(F.col("outcome") == "accept"), F.count_if(F.col("outcome") == "error")
     return live.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_used"), accepted.alias("n_accepted"), failed.alias("n_errors"), F.when(accepted >= cap, "full").when(failed >= errors, "aborted").otherwise("open").alias("status"))
 
@@ -50,9 +51,10 @@ def fold_summaries(rows: DataFrame, most: int) -> DataFrame:
     accepted. stage is what follows: without a first summary the proposals go on unaware of the data.
     """
     skip = (F.col("call") > 1) & ~F.col("failed") & F.col("complete")
-    w = Window.partitionBy("group_id").orderBy("call").rowsBetween(Window.unboundedPreceding, -1)
-    r = rows.withColumn("_skips", F.coalesce(F.sum(skip.cast("long")).over(w), F.lit(0))).withColumn("_over", F.coalesce(F.max("failed").over(w), F.lit(False)))
-    live = r.filter((F.col("_skips") < most) & ~F.col("_over"))
+    failed = F.col("failed").cast("long")
+    r = scanned(rows, ["group_id"], ["call"], sums={"_skips": skip.cast("long"), "_fails": failed}, chunk=F.floor(F.col("call") / 10_000))
+    r = r.withColumn("_skips", F.col("_skips") - skip.cast("long"))
+    live = r.filter((F.col("_skips") < most) & (F.col("_fails") - failed == 0))
     outcome = F.when(F.col("failed"), "failed").when(skip, "skipped").otherwise("accepted")
     stage = F.when(F.col("failed") & (F.col("call") == 1), "proposal_select").when(F.col("failed") | (skip & (F.col("_skips") == most - 1)), "dataset_final").otherwise("dataset_followup")
     return live.select("group_id", "ordinal", "call", outcome.alias("outcome"), stage.alias("stage"))

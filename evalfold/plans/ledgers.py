@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalfold.operators import claims as C
 from evalfold.operators import logs
 from evalfold.operators.aggregates import count_if
+from evalfold.operators.scan import scanned
 from evalfold.operators.statistics import hex_number
 from evalfold.plans.registry import query
+from evalfold.sources.staging import staged
 from evalfold.sources.tables import claims, ctes, ledger, outputs, read, study, trials
 
 #: Calls that a scope of the ledger accepts.
@@ -25,7 +28,7 @@ def claim_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, count(*) AS n FROM (SELECT CASE WHEN po IS NULL THEN 'first' WHEN owner = po AND generation = pg AND heartbeat = ph + 1 THEN 'renewal' WHEN owner <> po AND generation = pg + 1 AND heartbeat = 0 THEN 'takeover' ELSE 'invalid' END AS kind FROM p) GROUP BY kind""")
 def claim_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim events by kind: first, renewal, takeover, or invalid."""
-    return logs.transitions(claims(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return C.transitions(claims(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(ctes("claims") + "SELECT intent, arg_min(owner, event_ordinal) AS winner, min(event_ordinal) AS at, count(DISTINCT owner) AS n_results, count(DISTINCT owner) > 1 AS conflict FROM claims WHERE value >= 60 GROUP BY intent")
@@ -39,7 +42,7 @@ def claim_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN po IS NULL THEN 'acquired' WHEN owner = po THEN 'renewed' WHEN pv >= 60 THEN 'succeeded' WHEN pv < 5 THEN 'recovery-required' ELSE 'busy' END AS outcome FROM p""")
 def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each event that asks for a lease is told, from the event before it."""
-    return logs.lease_outcomes(claims(spark, sf_dir), succeeded=60, expired=5).select("event_id", "outcome")
+    return C.lease_outcomes(claims(spark, sf_dir), succeeded=60, expired=5).select("event_id", "outcome")
 
 
 @query(ctes("ledger") + f"SELECT scope, call_id, arrival, CASE WHEN arrival <= {CAPACITY} THEN arrival END AS capacity_ordinal, arrival <= {CAPACITY} AS accepted FROM ledger")
@@ -217,9 +220,9 @@ c AS (SELECT *, sum(paid::INT) OVER (PARTITION BY run ORDER BY step)::BIGINT AS
 SELECT run, step, effect, paid, consumed, consumed >= 4 AS terminal FROM c WHERE consumed - paid::INT < 4""")
 def incremental_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of each run until its budget of four paid effects is used: an effect that an earlier step recorded is replayed."""
-    w = Window.partitionBy("run").orderBy("step")
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", F.floor(F.col("value") / 20).alias("effect"))
-    e = e.withColumn("step", F.row_number().over(Window.partitionBy("run").orderBy("event_id")).cast("long") - 1)
-    e = e.withColumn("paid", F.row_number().over(Window.partitionBy("run", "effect").orderBy("step")) == 1)
-    e = e.withColumn("consumed", F.sum(F.col("paid").cast("long")).over(w))
+    e = staged(scanned(e, ["run"], ["event_id"], number="step").withColumn("step", F.col("step") - 1), "steps")
+    first = e.groupBy("run", "effect").agg(F.min("step").alias("first"))
+    e = logs.join_null_safe(e, first, ["run", "effect"]).withColumn("paid", F.col("step") == F.col("first"))
+    e = scanned(e, ["run"], ["step"], sums={"consumed": F.col("paid").cast("long")}, chunk=F.floor(F.col("step") / 10_000))
     return e.filter(F.col("consumed") - F.col("paid").cast("long") < 4).select("run", "step", "effect", "paid", "consumed", (F.col("consumed") >= 4).alias("terminal"))

@@ -27,7 +27,7 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY round_index ORDER
 SELECT * FROM b JOIN (SELECT round_index, count(*) AS n_best, max(reward) AS best_max, round(avg(reward), 9) AS best_mean, min(reward) AS best_min, round(stddev_pop(reward), 9) AS best_std FROM t GROUP BY round_index) USING (round_index)""")
 def round_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewards of every round and of the ten best instructions so far."""
-    return R.round_stats(proposals(spark, sf_dir), 10)
+    return R.round_stats(proposals(spark, sf_dir), 10, breadth=10)
 
 
 _PROMOTE = ctes("study") + """, c AS (SELECT combination, round(avg(score) FILTER (WHERE NOT is_full), 9) AS mean, min(trial_number) AS first_trial, bool_or(is_full) AS promoted FROM study GROUP BY combination),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import chains
 from evalfold.operators import sampling as P
 from evalfold.operators import statistics as S
 from evalfold.operators.logs import numbered
+from evalfold.operators.scan import scanned
 from evalfold.operators.resampling import DEFAULT_RESAMPLES, resampled_means, resampled_sql
 from evalfold.plans.registry import query
 from evalfold.plans.statistics import task_scores
@@ -109,8 +110,8 @@ CASE WHEN failed AND nth = 1 THEN 'proposal_select' WHEN failed OR (nth > 1 AND
 def summary_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of each dataset summary in order, up to the one that ends it, each with its outcome and the stage after it."""
     e = read(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = e.select(F.col("user_id").alias("group_id"), F.col("event_id").alias("ordinal"), F.row_number().over(w).cast("long").alias("call"), (F.col("event_id") % 29 == 0).alias("failed"), (F.col("event_id") % 3 == 0).alias("complete"))
+    rows = e.select(F.col("user_id").alias("group_id"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 29 == 0).alias("failed"), (F.col("event_id") % 3 == 0).alias("complete"))
+    rows = scanned(rows, ["group_id"], ["ordinal"], number="call")
     return P.fold_summaries(rows, 5)
 
 

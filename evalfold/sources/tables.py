@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalfold.operators.claims import claim_events
 from evalfold.operators.logs import numbered
 
 
@@ -81,11 +82,8 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim events in order for each intent: owner, generation (one more at each change of owner), heartbeat within it."""
     e = read(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = e.select(F.col("user_id").alias("intent"), F.row_number().over(w).cast("long").alias("event_ordinal"), F.col("event_type").alias("owner"), F.coalesce((F.col("event_type") != F.lag("event_type").over(w)), F.lit(False)).cast("long").alias("_new"), "value", "event_id")
-    o = Window.partitionBy("intent").orderBy("event_ordinal")
-    rows = rows.withColumn("generation", F.sum("_new").over(o)).drop("_new")
-    return rows.withColumn("heartbeat", (F.row_number().over(Window.partitionBy("intent", "generation").orderBy("event_ordinal")) - 1).cast("long"))
+    rows = e.select(F.col("user_id").alias("intent"), F.col("event_type").alias("owner"), "value", "event_id", "ts")
+    return claim_events(rows, "intent", ["ts", "event_id"], "owner").drop("ts")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
