@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalfold.operators import aggregates as A
+from evalfold.operators import lineage as LI
 from evalfold.operators import pareto as PF
 from evalfold.operators import ranking as R
 from evalfold.operators.logs import numbered
+from evalfold.operators.scan import scanned
 from evalfold.plans.registry import query
 from evalfold.sources import records
+from evalfold.sources.staging import staged
 from evalfold.sources.tables import ctes, manifest, pass_rates, proposals, read, splits, study, trials
 
 
@@ -225,3 +228,59 @@ def terminal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = k.join(F.broadcast(wanted), F.col("rank") <= F.col("wanted")).groupBy("wanted").agg(F.count(F.lit(1)).alias("found"), F.min("reward").alias("least"))
     few = F.col("found") < F.col("wanted")
     return by.select("wanted", "found", F.when(few, "too few candidates").alias("problem"), F.when(~few, F.col("least")).alias("least_reward"))
+
+
+_OBJECTIVES = {"quantity": "max", "price": "min", "discount": "max"}
+_LINEAGE = """ro AS (SELECT l_partkey AS candidate, l_suppkey AS task, l_quantity::BIGINT AS quantity, round(l_extendedprice * 100)::BIGINT AS price, round(l_discount * 100)::BIGINT AS discount FROM lineitem),
+ev AS (SELECT candidate, task, sum(quantity)::DOUBLE / count(*) AS score FROM ro GROUP BY ALL),
+ca AS (SELECT candidate, sum(quantity)::DOUBLE / count(*) AS quantity, sum(price)::DOUBLE / count(*) AS price, sum(discount)::DOUBLE / count(*) AS discount, count(*) AS n FROM ro GROUP BY candidate),
+ed AS (SELECT p_partkey AS item, unnest(CASE WHEN p_size % 7 = 0 THEN [p_partkey // 3, p_partkey // 5] ELSE [p_partkey // 3] END) AS parent FROM part WHERE p_partkey > 0),
+an AS (WITH RECURSIVE w AS (SELECT item, parent AS ancestor, 1::BIGINT AS distance FROM ed UNION SELECT w.item, ed.parent, w.distance + 1 FROM w JOIN ed ON w.ancestor = ed.item) SELECT item, ancestor, max(distance) AS distance FROM w GROUP BY ALL),
+li AS (SELECT item AS candidate, count(*) AS n_ancestors, max(distance) AS depth FROM an GROUP BY item)"""
+_COVER = """me AS (SELECT task AS s, candidate, ca.quantity AS score FROM (SELECT * FROM ev QUALIFY score = max(score) OVER (PARTITION BY task)) JOIN ca USING (candidate)),
+la AS (SELECT s, last(candidate ORDER BY score, candidate) AS c FROM me GROUP BY s),
+od AS (SELECT c, row_number() OVER (ORDER BY score, c) AS i FROM (SELECT DISTINCT c, score FROM la JOIN me ON me.s = la.s AND me.candidate = la.c)),
+st AS (SELECT od.i, od.c, list((SELECT list(me.candidate) FROM me WHERE me.s = la.s AND me.candidate <> la.c)) AS others FROM od JOIN la USING (c) GROUP BY ALL),
+ke AS (WITH RECURSIVE g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT st.i, CASE WHEN len(list_filter(st.others, lambda o: NOT list_has_any(coalesce(o, []), g.kept))) > 0 THEN list_append(g.kept, st.c) ELSE g.kept END FROM g JOIN st ON st.i = g.i + 1)
+  SELECT unnest(kept) AS candidate FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))"""
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, parent): a search in which a candidate comes from one, or from two that were merged."""
+    p = read(spark, sf_dir, "part").filter("p_partkey > 0")
+    parents = F.when(F.col("p_size") % 7 == 0, F.expr("array(p_partkey div 3, p_partkey div 5)")).otherwise(F.expr("array(p_partkey div 3)"))
+    return p.select(F.col("p_partkey").alias("item"), F.explode(parents).alias("parent"))
+
+
+@query("WITH " + _LINEAGE + "SELECT * FROM an")
+def search_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of each candidate of the search, at the longest distance."""
+    return LI.ancestors(lineage(spark, sf_dir))
+
+
+@query("WITH " + _LINEAGE + ", " + _COVER + """, fr AS (SELECT candidate FROM ca a WHERE NOT EXISTS (SELECT 1 FROM ca b WHERE b.quantity >= a.quantity AND b.price <= a.price AND b.discount >= a.discount AND (b.quantity > a.quantity OR b.price < a.price OR b.discount > a.discount)))
+SELECT candidate, quantity, price, discount, coalesce(n_ancestors, 0) AS n_ancestors, coalesce(depth, 0) AS depth, (sum(n) OVER (ORDER BY candidate))::BIGINT AS discovered_at, coalesce(b.n_best, 0) AS n_best,
+ quantity = max(quantity) OVER () AS best_quantity, price = min(price) OVER () AS best_price, discount = max(discount) OVER () AS best_discount, candidate IN (SELECT candidate FROM fr) AS on_front, candidate IN (SELECT candidate FROM ke) AS kept
+FROM ca LEFT JOIN li USING (candidate) LEFT JOIN (SELECT candidate, count(*) AS n_best FROM me GROUP BY candidate) b USING (candidate)""")
+def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of a search: each candidate's mean objectives, lineage, evaluations until its discovery, the tasks and objectives that it
+    is best at (ties included), whether it is on the objectives' front, and whether it stays when covered candidates go."""
+    whole = {"quantity": F.col("l_quantity").cast("long"), "price": F.round(F.col("l_extendedprice") * 100).cast("long"), "discount": F.round(F.col("l_discount") * 100).cast("long")}
+    sums = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("candidate"), F.col("l_suppkey").alias("task"))
+    sums = staged(sums.agg(*(F.sum(x).alias(n) for n, x in whole.items()), F.count(F.lit(1)).alias("n")), "evaluations")
+    evaluations = sums.select("candidate", "task", (F.col("quantity") / F.col("n")).alias("score"))
+    by = sums.groupBy("candidate").agg(*((F.sum(n) / F.sum("n")).alias(n) for n in _OBJECTIVES), F.sum("n").alias("n"))
+    by = staged(scanned(by, [], ["candidate"], sums={"discovered_at": F.col("n")}), "candidates")
+    most = evaluations.groupBy("task").agg(F.max("score").alias("most"))
+    best = staged(evaluations.join(most, "task").filter("score = most").select("task", "candidate"), "task-best")
+    sets = best.join(by.select("candidate", "quantity"), "candidate").select(F.col("task").alias("set"), F.col("candidate").alias("item"), F.col("quantity").alias("score"))
+    kept = LI.uncovered(sets).select(F.col("item").alias("candidate"), F.lit(True).alias("kept"))
+    front = PF.pareto_front(by, _OBJECTIVES, []).select("candidate", F.lit(True).alias("on_front"))
+    ends = by.agg(*((F.max(n) if d == "max" else F.min(n)).alias(f"end_{n}") for n, d in _OBJECTIVES.items()))
+    lines = LI.ancestors(lineage(spark, sf_dir)).groupBy(F.col("item").alias("candidate")).agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("distance").alias("depth"))
+    out = by.crossJoin(F.broadcast(ends))  # one row
+    for more in (lines, best.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_best")), front, kept):
+        out = out.join(more, "candidate", "left")
+    known = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return out.select("candidate", *_OBJECTIVES, known("n_ancestors", 0), known("depth", 0), "discovered_at", known("n_best", 0), *((F.col(n) == F.col(f"end_{n}")).alias(f"best_{n}") for n in _OBJECTIVES), known("on_front", False), known("kept", False))
