@@ -53,20 +53,20 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], number: str | No
     return out.withColumns(new).drop(part, starts_, lagged, *renamed.values(), *held.values(), *amounts.values())
 
 
-def best_before(states: DataFrame, node: str, by: list[str], most: int, fan: int = 8) -> DataFrame:
-    """For each node (a number from 0), the `most` best of all nodes before it: rows (node, item, *by), by the highest `by`.
+def best_before(states: DataFrame, node: str, by: list[str], most: int, fan: int = 8, keys: list[str] | None = None) -> DataFrame:
+    """For each node (a number from 0, within `keys`), the `most` best of all nodes before it: rows (*keys, node, item, *by), by the highest `by`.
 
-    states: node, item and by, the best of each node itself, one row for an item; a node of no rows is simply not there. An item's
+    states: keys, node, item and by, the best of each node itself, one row for an item; a node of no rows is simply not there. An item's
     best row counts. Up a tree of `fan` nodes to one, states are merged; down it, a node gets its parent's entry state and those of
     its elder siblings. So a state goes to `fan` nodes a level, whatever the number of nodes.
     """
-    order = [F.col(c).desc() for c in by]
-    columns = [node, "item", *by]
+    at, order = [*(keys or []), node], [F.col(c).desc() for c in by]
+    columns = [*at, "item", *by]
 
     def top(rows: DataFrame) -> DataFrame:
-        best = rows.groupBy(node, "item").agg(F.max(F.struct(*by)).alias("b")).select(node, "item", "b.*")
+        best = rows.groupBy(*at, "item").agg(F.max(F.struct(*by)).alias("b")).select(*at, "item", "b.*")
         nth = free_name(rows, "nth")
-        return best.withColumn(nth, F.row_number().over(Window.partitionBy(node).orderBy(*order, "item"))).filter(F.col(nth) <= most).select(*columns)
+        return best.withColumn(nth, F.row_number().over(Window.partitionBy(*at).orderBy(*order, "item"))).filter(F.col(nth) <= most).select(*columns)
 
     levels = [staged(states.select(*columns), "states")]
     nodes = levels[0].agg(F.max(node)).first()[0]
@@ -75,10 +75,10 @@ def best_before(states: DataFrame, node: str, by: list[str], most: int, fan: int
         nodes //= fan
     entry = None
     for own in reversed(levels[:-1]):
-        at, x = F.col(node), free_name(own, "to")
-        later = own.withColumn(x, F.explode_outer(F.expr(f"filter(sequence({node}, {node} - {node} % {fan} + {fan - 1}), t -> t > {node})")))
-        rows = later.filter(F.col(x).isNotNull()).select(F.col(x).alias(node), "item", *by)
+        to = free_name(own, "to")
+        moved = lambda rows: rows.withColumn(node, F.col(to)).select(*columns)
+        later = moved(own.withColumn(to, F.explode(F.expr(f"filter(sequence({node}, {node} - {node} % {fan} + {fan - 1}), t -> t > {node})"))))
         if entry is not None:
-            rows = rows.unionByName(entry.withColumn(x, F.explode(F.sequence(at * fan, at * fan + fan - 1))).select(F.col(x).alias(node), "item", *by))
-        entry = staged(top(rows), "entry")
+            later = later.unionByName(moved(entry.withColumn(to, F.explode(F.expr(f"sequence({node} * {fan}, {node} * {fan} + {fan - 1})")))))
+        entry = staged(top(later), "entry")
     return entry if entry is not None else levels[0].limit(0)

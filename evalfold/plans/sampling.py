@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import chains
+from evalfold.operators import parzen as PZ
 from evalfold.operators import sampling as P
 from evalfold.operators import statistics as S
 from evalfold.operators.logs import numbered
@@ -177,3 +178,21 @@ def proposal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered(p, ["component"], F.floor(F.col("p_partkey") / 10_000), ["p_partkey"], "proposal").withColumn("proposal", F.col("proposal") - 1)
     own = lambda n, what: S.draw(F.lit(n), F.lit(9), F.lit(what), F.col("component"), F.col("proposal"))
     return rows.select("component", "proposal", F.get(F.array(*map(F.lit, TIPS)), own(6, "tip").cast("int")).alias("tip"), own(1_000_000_001, "id").alias("generation_id"))
+
+
+#: Parameters of the studies below: instructions and demo sets.
+_PARAMETERS = {"instruction": 12, "demos": 5}
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS study, o_orderkey AS trial_number, o_custkey % 12 AS a, (o_custkey // 12) % 5 AS b, floor(o_totalprice / 10 + 0.5) / 100 AS score, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS nth FROM orders),
+h AS (SELECT t.study, t.nth, p.a, p.b, row_number() OVER (PARTITION BY t.study, t.nth ORDER BY p.score DESC, p.nth) <= least(25, (t.nth + 8) // 10) AS good FROM t JOIN t p ON p.study = t.study AND p.nth < t.nth WHERE t.nth > 10),
+c AS (SELECT study, nth, a, b, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS m FROM h GROUP BY ALL),
+s AS (SELECT study, nth, (x * 5 + y)::BIGINT AS z, (4 + sum(n * CASE WHEN x = a THEN 13 ELSE 1 END * CASE WHEN y = b THEN 6 ELSE 1 END))::DOUBLE / (4 + sum(m * CASE WHEN x = a THEN 13 ELSE 1 END * CASE WHEN y = b THEN 6 ELSE 1 END))::DOUBLE AS q FROM c, range(0, 12) AS u(x), range(0, 5) AS v(y) GROUP BY ALL),
+k AS (SELECT study, nth, z FROM s QUALIFY row_number() OVER (PARTITION BY study, nth ORDER BY q DESC, z) = 1)
+SELECT study, trial_number, nth, CASE WHEN nth <= 10 THEN ('0x' || substr(md5(concat_ws('|', '9', study, nth::VARCHAR)), 1, 8))::BIGINT % 60 ELSE z END AS proposed, (a * 5 + b)::BIGINT AS recorded, proposed = recorded AS replayed FROM t LEFT JOIN k USING (study, nth)""")
+def parzen_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a Parzen estimator proposes before each trial of each study, beside what was tried."""
+    o = read(spark, sf_dir, "orders")
+    score = F.floor(F.col("o_totalprice") / 10 + 0.5) / 100
+    trials = o.select(F.col("o_orderpriority").alias("study"), F.col("o_orderkey").alias("trial_number"), (F.col("o_custkey") % 12).alias("instruction"), F.expr("(o_custkey div 12) % 5").alias("demos"), score.alias("score"))
+    return PZ.proposals(trials, _PARAMETERS, seed=9)
