@@ -5,13 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points of a bounded text, and what ends one that was cut.
+# Code points of a bounded text, what ends one that was cut, and what stands for a blank one (in `bounded`).
 TEXT_LIMIT, CUT = 1024, "...[truncated]"
 
 
+# JSON's own tokens: strings, numbers, names, marks, white space.
+_STRING, _NUMBER = r'"(?:[^"\\\x00-\x1f]|\\.)*"', r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_TOKEN = rf"{_STRING}|{_NUMBER}|true|false|null|[\[\]{{}},:]|[ \t\n\r]+"
+
+
+def exact_number(token: Column) -> Column:
+    """The one text of a JSON number's value: its digits without zeros at either end, and a power of ten; whole numbers of up to 40
+    digits are written out. 100, 1e2 and 100.0 are one number, so are 0 and -0; digits are never rounded. Null if the power has over
+    18 digits."""
+    mantissa = F.regexp_replace(token, r"^-|[eE].*$", "")
+    fraction = F.regexp_extract(mantissa, r"\.([0-9]*)$", 1)
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    power = F.coalesce(F.nullif(F.regexp_extract(token, r"[eE]\+?(-?[0-9]+)$", 1), F.lit("")), F.lit("0")).try_cast("long")
+    power = power - F.length(fraction) + F.length(digits) - F.length(short)
+    written = F.when(power == 0, short).when((power > 0) & (F.length(short) + power <= 40), F.concat(short, F.repeat(F.lit("0"), power.cast("int")))).otherwise(F.concat(short, F.lit("e"), power.cast("string")))
+    return F.when(short == "", "0").otherwise(F.concat(F.when(token.startswith("-"), "-").otherwise(""), written))
+
+
 def canonical(json: Column) -> Column:
-    """JSON text with sorted keys and no spaces; null for what isn't JSON (NaN and infinities aren't). Numbers are equal by value."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON text with sorted keys and no spaces; null for what isn't JSON, to the letter of its grammar (NaN, infinities, leading zeros and keys
+    that repeat in an object aren't). Numbers of equal value have equal texts (`exact_number`), whatever their size.
+
+    The parser would round large numbers, so each goes through it as a marked string.
+    """
+    tokens = F.regexp_extract_all(json, F.lit(f"({_TOKEN})"), F.lit(1))
+    marked = F.transform(tokens, lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substring(t, 2, 2**31 - 1))).when(t.rlike("^[-0-9]"), F.concat(F.lit('["n'), F.when(t.rlike("^-?[1-9][0-9]{0,39}$"), t).otherwise(exact_number(t)), F.lit('"]'))).otherwise(t))
+    whole = F.length(F.array_join(tokens, "")) == F.length(json)  # nothing lies between the tokens
+    # The parser stops after one value, so it gets an object that has to end as it does here; keys of the text start with s, before t.
+    parsed = F.to_json(F.try_parse_json(F.when(whole, F.concat(F.lit('{"t":'), F.array_join(marked, ""), F.lit(',"u":"end"}')))))
+    value = F.nullif(F.regexp_extract(parsed, r'(?s)^\{"t":(.*),"u":"end"\}$', 1), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(value, r'\["n([^"]*)"\]', "$1"), r'"s((?:[^"\\]|\\.)*)"', '"$1"')
 
 
 def json_problem(json: Column) -> Column:

@@ -16,16 +16,38 @@ RETRYABLE = ("transient", "rate_limited", "resource_exhaustion")
 TELEMETRY = ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "latency_s", "finish_reason", "provider_error", "provider_cost")
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false END AS equal, CASE WHEN event_id % 5 = 4 THEN CASE WHEN event_id % 2 = 0 THEN 'not JSON' ELSE 'not an object' END END AS problem FROM events""")
+_PAIRS = """x AS (SELECT event_id, event_id % 7 AS p, event_id % 3 AS q, event_type AS t, user_id::VARCHAR AS u, (event_id % 1000)::VARCHAR AS n FROM events),
+y AS (SELECT *, '{"type":"' || t || '","user":' || u || ',"tags":[' || n || ',{"a":1,"b":null}]}' AS a, CASE p
+  WHEN 0 THEN '{ "tags": [' || n || ', {"b": null, "a": 1}],' || chr(10) || '"user": ' || u || ', "type": "' || t || '" }'
+  WHEN 1 THEN '{"type":"' || t || '","user":' || u || CASE q WHEN 0 THEN '.0' WHEN 1 THEN 'e0' ELSE '.00e0' END || ',"tags":[' || n || '.00,{"a":1.0,"b":null}]}'
+  WHEN 2 THEN '{"type":"' || t || '","user":1' || u || ',"tags":[' || n || ',{"a":1,"b":null}]}'
+  WHEN 3 THEN '{"type":"' || t || '","user":' || u || ',"tags":[{"a":1,"b":null},' || n || ']}'
+  WHEN 4 THEN '{"type":"' || t || '","user":"' || u || '","tags":[' || n || ',{"a":1,"b":null}]}'
+  WHEN 5 THEN CASE q WHEN 0 THEN '{"user": NaN}' WHEN 1 THEN '{"user": 01}' ELSE '["a", 1]' END
+  ELSE '{"type":"' || t || '","user":' || u || CASE q WHEN 0 THEN '.5' ELSE 'e1' END || ',"tags":[' || n || ',{"a":1,"b":null}]}' END AS b FROM x)"""
+
+
+def _leaves(json: str) -> str:
+    """SQL: the paths of a document with what stands there, numbers as decimals."""
+    return f"(SELECT list(fullkey || ' ' || CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number ' || coalesce(TRY_CAST(atom AS DECIMAL(30, 6))::VARCHAR, 'none') WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE type || ' ' || coalesce(atom::VARCHAR, '') END ORDER BY fullkey) FROM json_tree(CASE WHEN json_valid({json}) THEN {json} ELSE '{{}}' END))"
+
+
+@query("WITH " + _PAIRS + """, z AS (SELECT *, CASE WHEN NOT json_valid(b) OR list_contains((SELECT list(lower(atom::VARCHAR)) FROM json_tree(CASE WHEN json_valid(b) THEN b ELSE '{}' END) WHERE type = 'DOUBLE'), 'nan') THEN 'not JSON' WHEN json_type(b) <> 'OBJECT' THEN 'not an object' END AS problem FROM y)
+""" + f"SELECT event_id, CASE WHEN problem IS NULL THEN {_leaves('a')} = {_leaves('b')} END AS equal, problem FROM z")
 def canonical_json_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of JSON documents that are equal whatever the order of their keys, and what can't be a record."""
-    p, user = F.col("event_id") % 5, F.col("user_id").cast("string")
-    text = lambda fmt, *x: F.format_string(fmt, *x)
-    left = text('{"type":"%s","user":%s,"tags":[1,{"a":1,"b":null}]}', F.col("event_type"), user)
-    same = text('{ "tags": [1, {"b": null, "a": 1}],\n"user": %s, "type": "%s" }', user, F.col("event_type"))
-    other = text('{"type":"%s","user":1%s,"tags":[1,{"a":1,"b":null}]}', F.col("event_type"), user)
-    turned = text('{"type":"%s","user":%s,"tags":[{"a":1,"b":null},1]}', F.col("event_type"), user)
-    right = F.when(p == 0, same).when(p == 1, left).when(p == 2, other).when(p == 3, turned).when(F.col("event_id") % 2 == 0, '{"user": NaN}').otherwise('["a", 1]')
+    """Pairs of JSON documents that are equal whatever the order of their keys and the spelling of their numbers, and what can't be a record."""
+    p, q = F.col("event_id") % 7, F.col("event_id") % 3
+    t, u, n = F.col("event_type"), F.col("user_id").cast("string"), (F.col("event_id") % 1000).cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    document = lambda user, tags: text('{"type":"', t, '","user":', user, ',"tags":[', tags, "]}")
+    pair = '{"a":1,"b":null}'
+    left = document(u, text(n, ",", pair))
+    spelt = text(u, F.when(q == 0, ".0").when(q == 1, "e0").otherwise(".00e0"))
+    right = (
+        F.when(p == 0, text('{ "tags": [', n, ', {"b": null, "a": 1}],\n"user": ', u, ', "type": "', t, '" }')).when(p == 1, document(spelt, text(n, '.00,{"a":1.0,"b":null}')))
+        .when(p == 2, document(text("1", u), text(n, ",", pair))).when(p == 3, document(u, text(pair, ",", n))).when(p == 4, document(text('"', u, '"'), text(n, ",", pair)))
+        .when(p == 5, F.when(q == 0, '{"user": NaN}').when(q == 1, '{"user": 01}').otherwise('["a", 1]')).otherwise(document(text(u, F.when(q == 0, ".5").otherwise("e1")), text(n, ",", pair)))
+    )
     e = read(spark, sf_dir, "events").select("event_id", left.alias("a"), right.alias("b"))
     problem = D.json_problem(F.col("b"))
     return e.select("event_id", F.when(problem.isNull(), D.canonical(F.col("a")) == D.canonical(F.col("b"))).alias("equal"), problem.alias("problem"))
