@@ -5,6 +5,8 @@ import os
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from evalfold.llm import exact_dedup as E
 from evalfold.llm import sharding as S
 
@@ -169,3 +171,18 @@ def test_staged_tables_can_be_cleared(spark):
     assert os.path.isdir(folder)
     clear_staged(spark)
     assert not os.path.exists(folder)
+
+
+def test_a_look_up_joins_two_exchanged_sides(spark):
+    """Whatever the index was made of, so that adaptive execution can split a hot digest."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.sha2(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")), 256).alias("digest"))
+    docs = docs.withColumn("digest", F.unhex("digest"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = E.lookup(docs, *E.build_index(docs))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(bucket") == 2
+        assert found.filter("hit IS NULL").count() == 0 and found.select("slot").distinct().count() == 2001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
