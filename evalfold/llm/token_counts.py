@@ -186,7 +186,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_entries:
     # The number is fixed once it is written; a task that is run again before that may number its blocks anew.
     blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks", "zstd")
     n_blocks, n_entries = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    entries = blocks.select("block", F.posexplode("words").alias("entry", "word")).repartition(n_entries // TASK_ENTRIES + 1, "word").sortWithinPartitions("word")
+    entries = blocks.select("block", F.posexplode("words").alias("entry", "word"))
+    # Equal pre-tokens come together so that they are counted once; where one is in very many blocks, adaptive execution may part it.
+    entries = entries.hint("rebalance", n_entries // TASK_ENTRIES + 1, "word").sortWithinPartitions("word")
     counts = entries.mapInArrow(count, "block long, entries array<int>, pieces array<int>").repartition(n_blocks // TASK_BLOCKS + 1, "block")
     counts = counts.groupBy("block").agg(F.collect_list("entries").alias("entries"), F.collect_list("pieces").alias("pieces"))
     sums = blocks.drop("words").repartition(n_blocks // TASK_BLOCKS + 1, "block").join(counts, "block", "left").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
