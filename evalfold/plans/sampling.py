@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalfold.operators import chains
+from evalfold.operators import generators as G
 from evalfold.operators import parzen as PZ
 from evalfold.operators import sampling as P
 from evalfold.operators import statistics as S
@@ -14,6 +18,7 @@ from evalfold.operators.scan import scanned
 from evalfold.operators.resampling import DEFAULT_RESAMPLES, resampled_means, resampled_sql
 from evalfold.plans.registry import query
 from evalfold.plans.statistics import task_scores
+from evalfold.sources.staging import staged
 from evalfold.sources.tables import ctes, outputs, read, traces
 
 
@@ -196,3 +201,35 @@ def parzen_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.floor(F.col("o_totalprice") / 10 + 0.5) / 100
     trials = o.select(F.col("o_orderpriority").alias("study"), F.col("o_orderkey").alias("trial_number"), (F.col("o_custkey") % 12).alias("instruction"), F.expr("(o_custkey div 12) % 5").alias("demos"), score.alias("score"))
     return PZ.proposals(trials, _PARAMETERS, seed=9)
+
+
+#: Draws after which a stream's state is stored.
+_EVERY = 8
+
+
+def _recorded(rows: pd.DataFrame) -> pd.DataFrame:
+    """The draws of one stream by the standard library's generator, and its state after every _EVERY of them and the last."""
+    rows = rows.sort_values("key")
+    r, out = random.Random(int(rows.stream.iloc[0]) * 7919), []
+    for i, key in enumerate(rows.key.tolist()):
+        operation = ("randint", "choice", "sample", "shuffle")[key % 4]
+        a, b = {"randint": (1, 1 + key % 1000), "choice": (1 + key % 50, None), "sample": (key % 90, min(5, key % 90)), "shuffle": (key % 10, None)}[operation]
+        items = [*range(a)]
+        result = [r.randint(a, b)] if operation == "randint" else [r.choice(items)] if operation == "choice" else r.sample(items, b) if operation == "sample" else items
+        if operation == "shuffle":
+            r.shuffle(result)
+        ends = (i + 1) % _EVERY == 0 or i + 1 == len(rows)
+        out.append((rows.stream.iloc[0], i, operation, a, b, [-1] if key % 97 == 7 else result, [*r.getstate()[1]] if ends else None, i + 1 == len(rows)))
+    return pd.DataFrame(out, columns=["stream", "ordinal", "operation", "a", "b", "result", "state", "last"]).astype({"b": "Int64"})
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS stream, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+s AS (SELECT stream, ordinal // {_EVERY} AS segment, min(ordinal) FILTER (WHERE k % 97 = 7) AS first, stream % 53 = 0 AND max(ordinal) = max(n) - 1 AS changed FROM o GROUP BY stream, ordinal // {_EVERY})
+SELECT stream, segment, CASE WHEN first IS NOT NULL THEN 'result' ELSE 'state' END AS problem, first AS ordinal FROM s WHERE first IS NOT NULL OR changed""")
+def rng_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of logged draws that a replay of their generators doesn't confirm: some results and states were changed."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("key"))
+    log = staged(o.groupBy("stream").applyInPandas(_recorded, "stream long, ordinal long, operation string, a long, b long, result array<long>, state array<long>, last boolean"), "draws")
+    changed = F.when((F.col("stream") % 53 == 0) & F.col("last"), F.transform("state", lambda x, i: F.when(i == 17, x.bitwiseXOR(F.lit(1))).otherwise(x))).otherwise(F.col("state"))
+    states = log.filter("state IS NOT NULL").select("stream", (F.col("stream") * 7919).alias("seed"), F.floor(F.col("ordinal") / _EVERY).alias("segment"), changed.alias("state"))
+    return G.check_streams(log.drop("state", "last"), states, _EVERY)
