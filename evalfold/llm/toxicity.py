@@ -31,13 +31,13 @@ from evalfold.llm.suffixes import expand
 from evalfold.llm.words import mix
 
 #: Labelled documents of each class that are learnt from, and bytes of the longest of them (documented bounds).
-TOXIC, CLEAN, MAX_BYTES = 2500, 5000, 1 << 15
+TOXIC, CLEAN, MAX_BYTES = 2000, 4000, 1 << 15
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST, WORD_SHARE = 1 << 18, 16, 3, 6, 0.1
 STRONGEST, PASSES, BATCH, RATE, SEED = 8, 8, 32, 0.5, 7
 #: Documents of the first pass, over whole texts.
 WHOLE = 1500
 THRESHOLD = 0.3
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, WORD_BLOCK = 1 << 20, 1 << 13
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -51,8 +51,13 @@ def split_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False).astype(np.int64), first
 
 
-def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of each word's n-grams, the whole word's last, and where each word's start (and the end)."""
+def ngrams(words: list[str], block: int = WORD_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each word's n-grams, the whole word's last, and where each word's start (and the end); made for `block` words at a time."""
+    parts = [_ngrams(words[k : k + block]) for k in range(0, max(1, len(words)), block)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+
+
+def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -130,7 +135,9 @@ def train(column: pa.Array, labels: np.ndarray, weights: np.ndarray) -> Toxicity
         return Toxicity(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     draw = np.random.default_rng(SEED)
     words, at, first = split_words(column)
+    at = at.astype(np.int32)
     buckets, grams = ngrams(words)
+    del words
     share, sizes = shares(grams), np.diff(grams)
     table = draw.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) * np.float32(0.01 / DIMENSIONS)
     softmax, bias = draw.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -165,8 +172,9 @@ def train(column: pa.Array, labels: np.ndarray, weights: np.ndarray) -> Toxicity
             chosen, lengths = np.arange(len(at)), np.diff(first)
         start = np.cumsum(lengths) - lengths
         order = draw.permutation(rows)[: None if n else WHOLE]
-        for k in range(0, len(order), BATCH):
-            q = order[k : k + BATCH]
+        batch = BATCH if n else BATCH // 4  # whole texts are long
+        for k in range(0, len(order), batch):
+            q = order[k : k + batch]
             step(chosen[expand(start[q], lengths[q])[0]], lengths[q], labels[q], weights[q], RATE * (1.01 - n / PASSES))
     return Toxicity((table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
