@@ -10,7 +10,9 @@ kinds cost nothing; R resamples of d distinct values cost R d binomials, whateve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from evalfold.operators.logs import join_null_safe, numbered
 from evalfold.sources.staging import staged
 
 DEFAULT_RESAMPLES = 10_000
-#: Depth of a subtree that one row holds (2**SUBTREE leaves), draws that one inversion takes, numbers of a block of resamples.
-SUBTREE, PIECE, NUMBERS = 12, 1 << 16, 1 << 21
+#: Depth of a subtree that one row holds (2**SUBTREE leaves), draws that one inversion takes.
+SUBTREE, PIECE = 12, (1 << 16) - 1
 # The multipliers of the hash.
 SPREAD, NODES, RESAMPLE, MASK = 0x45D9F3B, 0x9E3779B1, 1000003, (1 << 32) - 1
 
@@ -33,27 +35,29 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return (x >> 16) ^ x
 
 
-def uniform(seed: int, resamples: np.ndarray, node: int) -> np.ndarray:
-    """A number between 0 and 1 (of 32 bits) for each resample at a node."""
-    h = _spread((seed * RESAMPLE + resamples) & MASK)
-    return (_spread((h + (node * NODES & MASK)) & MASK) + 0.5) / 2.0**32
+@lru_cache(maxsize=8)
+def _hashed(seed: int, first: int, n: int) -> np.ndarray:
+    return _spread((seed * RESAMPLE + np.arange(first, first + n)) & MASK)
 
 
-_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+def uniform(seed: int, resamples: np.ndarray, node: int) -> np.ndarray:
+    """A number between 0 and 1 (of 32 bits) for each of a run of resamples at a node."""
+    h = _hashed(seed, int(resamples[0]), len(resamples))
+    return (_spread((h + (node * NODES & MASK)) & MASK) + 0.5) / 2.0**32
 
 
-def _log_factorial(k: np.ndarray) -> np.ndarray:
-    x = np.maximum(k, 1).astype(float)
-    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return np.where(k < 256, _SMALL[np.minimum(k, 255)], series)
+@lru_cache(maxsize=1)
+def _log_factorials() -> np.ndarray:
+    return np.array([math.lgamma(k + 1) for k in range(PIECE + 1)])
 
 
 def _inverse(m: int, p: float, u: np.ndarray) -> np.ndarray:
-    """The least k whose binomial distribution function (m, p) exceeds u."""
-    far = 14 * np.sqrt(m * p * (1 - p)) + 14
-    k = np.arange(max(0, int(m * p - far)), min(m, int(m * p + far)) + 1)
-    log = _log_factorial(np.array([m])) - _log_factorial(k) - _log_factorial(m - k) + k * np.log(p) + (m - k) * np.log1p(-p)
-    return np.minimum(k[0] + np.searchsorted(np.cumsum(np.exp(log)), u, side="right"), m)
+    """The least k whose binomial distribution function (m up to PIECE, p) exceeds u."""
+    far, table = 14 * math.sqrt(m * p * (1 - p)) + 14, _log_factorials()
+    low, high = max(0, int(m * p - far)), min(m, int(m * p + far))
+    k = np.arange(low, high + 1)
+    log = table[m] - table[low : high + 1] - table[m - high : m - low + 1][::-1] + k * math.log(p) + (m - k) * math.log1p(-p)
+    return np.minimum(low + np.searchsorted(np.cumsum(np.exp(log)), u, side="right"), m)
 
 
 def binomial(m: np.ndarray, p: float, seed: int, resamples: np.ndarray, node: int) -> np.ndarray:
@@ -65,7 +69,7 @@ def binomial(m: np.ndarray, p: float, seed: int, resamples: np.ndarray, node: in
     while left.any():
         now = np.minimum(left, PIECE)
         u = uniform(seed + piece, resamples, node)
-        order = np.argsort(now, kind="stable")
+        order = np.argsort(now.astype(np.uint16), kind="stable")
         sizes, first = np.unique(now[order], return_index=True)
         for size, at in zip(sizes.tolist(), np.split(order, first[1:])):
             if size:
@@ -75,21 +79,23 @@ def binomial(m: np.ndarray, p: float, seed: int, resamples: np.ndarray, node: in
     return out
 
 
-def _below(m: np.ndarray, root: int, depth: int, counts: np.ndarray, seed: int, resamples: np.ndarray) -> np.ndarray:
-    """The draws (resample x leaf) of a subtree's leaves, from those that reach its root."""
+def _below(m: np.ndarray, root: int, depth: int, counts: np.ndarray, seed: int, resamples: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each leaf of a subtree with its draws of each resample, from those that reach the root; one path is held at a time."""
     totals = [np.zeros(1 << depth, np.int64)]
     totals[0][: len(counts)] = counts
     while len(totals[-1]) > 1:
         totals.append(totals[-1].reshape(-1, 2).sum(1))
     totals.reverse()
-    at = m[:, None]
-    for d in range(depth):
-        below = np.zeros((len(m), 2 << d), np.int64)
-        for j in np.flatnonzero(totals[d]).tolist():
-            below[:, 2 * j] = binomial(at[:, j], totals[d + 1][2 * j] / totals[d][j], seed, resamples, (root << d) + j)
-            below[:, 2 * j + 1] = at[:, j] - below[:, 2 * j]
-        at = below
-    return at[:, : len(counts)]
+    open_ = [(0, 0, m)]
+    while open_:
+        d, j, at = open_.pop()
+        if not totals[d][j] or not at.any():
+            continue
+        if d == depth:
+            yield j, at
+            continue
+        left = binomial(at, totals[d + 1][2 * j] / totals[d][j], seed, resamples, (root << d) + j)
+        open_ += [(d + 1, 2 * j + 1, at - left), (d + 1, 2 * j, left)]
 
 
 def _sums(keys: list[str], resamples: int, seed: int, subtree: int):
@@ -118,9 +124,8 @@ def _sums(keys: list[str], resamples: int, seed: int, subtree: int):
                 path = above  # the next subtree shares most of it
                 leaves = sorted(row["leaves"], key=lambda x: x["place"])
                 values, counts = np.array([x["value"] for x in leaves]), np.array([x["count"] for x in leaves], np.int64)
-                block = max(16, NUMBERS >> depth)
-                for a in range(0, resamples, block):
-                    sums[a : a + block] += _below(m[a : a + block], root, depth, counts, seed, every[a : a + block]) @ values
+                for leaf, times in _below(m, root, depth, counts, seed, every):
+                    sums += times * values[leaf]
         if held is not None:
             yield out()
 

@@ -67,7 +67,7 @@ def test_binomials_follow_their_distribution():
 
 
 def test_counts_are_multinomial():
-    at = R._below(np.full(4000, 30), 1, 2, np.array([1, 2, 3]), 5, np.arange(4000))
+    at = np.stack([m for _, m in R._below(np.full(4000, 30), 1, 2, np.array([1, 2, 3]), 5, np.arange(4000))], axis=1)
     assert (at.sum(1) == 30).all()
     assert at.mean(0) == pytest.approx([5, 10, 15], abs=0.15)
     assert np.cov(at.T)[0, 2] == pytest.approx(-30 * 1 / 6 * 1 / 2, abs=0.3)
