@@ -23,8 +23,8 @@ from evalfold.operators.logs import join_null_safe, numbered
 from evalfold.sources.staging import staged
 
 DEFAULT_RESAMPLES = 10_000
-#: Depth of a subtree that one row holds (2**SUBTREE leaves), draws that one inversion takes.
-SUBTREE, PIECE = 12, (1 << 16) - 1
+#: Depth of a subtree that one row holds (2**SUBTREE leaves), draws that one inversion takes, tasks at most.
+SUBTREE, PIECE, TASKS = 12, (1 << 16) - 1, 10_000
 # The multipliers of the hash.
 SPREAD, NODES, RESAMPLE, MASK = 0x45D9F3B, 0x9E3779B1, 1000003, (1 << 32) - 1
 
@@ -156,7 +156,9 @@ def resampled_means(values: DataFrame, keys: list[str], resamples: int = DEFAULT
     steps = join_null_safe(join_null_safe(steps, totals, [*keys, "node"]), totals.select(*keys, F.col("node").alias("first"), F.col("total").alias("left")), [*keys, "first"])
     paths = steps.groupBy(*keys, "chunk").agg(F.collect_list(F.struct("d", "total", "left")).alias("path"))
     without = chunks.filter(high == 0).withColumn("path", F.lit(None).cast(paths.schema["path"].dataType))
-    rows = without.unionByName(join_null_safe(chunks.filter(high > 0), paths, [*keys, "chunk"])).drop("total").repartition(*keys, "chunk").sortWithinPartitions(*keys, "chunk")
+    # Subtrees are few rows of much work, so their tasks are counted by rows and not by bytes.
+    tasks = min(TASKS, 4 * max(1, chunks.count()))
+    rows = without.unionByName(join_null_safe(chunks.filter(high > 0), paths, [*keys, "chunk"])).drop("total").repartition(tasks, *keys, "chunk").sortWithinPartitions(*keys, "chunk")
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*keys).schema]
     sums = rows.mapInArrow(_sums(keys, resamples, seed, subtree), ", ".join([*names, "resample long", "sum double"]))
     means = sums.groupBy(*keys, "resample").agg(F.sum("sum").alias("sum"))
