@@ -1,15 +1,17 @@
 """Line dedup with two Bloom filters, for hashes seen once and seen twice.
 
-1. The filter of hashes seen once is one bit for each hash value below a bound of at least BITS_A_ROW times the rows, so about
+1. Texts are split once. The long lines' digests are written with the bit that each sets in the filter of hashes seen once, sorted by
+   it inside a task, and aren't shuffled.
+2. The filter of hashes seen once is one bit for each hash value below a bound of at least BITS_A_ROW times the rows, so about
    one line in BITS_A_ROW / (long lines of a row) meets another's bit. It is never whole in one place: each task sends its set bits, sorted, as packed
    steps (some two bytes a line), to the CHUNKS or more ranges that the bits lie in. Where a range meets a bit again, the bit was
    seen twice. There are few such bits: those of repeated lines, and of the few that met by chance.
-2. They go into the filter of bits seen twice: two hashes, TWICE_BITS bits for each, at most MAX_BITS, which is small enough to be
-   broadcast. Held against all lines again, it leaves the suspected repeats. They alone are shuffled, as 128-bit digests
-   with their doc_id, to count each line's documents exactly and to choose the one that keeps it; counts are
-   pre-aggregated, so a line in a third of all rows is no hot key. A filter filled beyond its bound lets more lines
-   through; they cost 24 bytes each to confirm, and the results stay the same.
-3. Documents are rewritten. Repeated lines up to BROADCAST_BYTES are broadcast as digests; beyond, only the documents
+3. They go into filters of bits seen twice: two hashes, TWICE_BITS bits for each. One filter takes as many ranges as fit into `max_bits`, so
+   it is small enough to be broadcast however many bits there are: the ranges are swept in turn, and as the written lines are sorted
+   by their bits, a sweep reads its own ranges' pages of them. What a filter holds are the suspected repeats. They alone are
+   shuffled, as 128-bit digests with their doc_id, to count each line's documents exactly and to choose the one that keeps it; counts are
+   pre-aggregated, so a line in a third of all rows is no hot key.
+4. Documents are rewritten. Repeated lines up to BROADCAST_BYTES are broadcast as digests; beyond, only the documents
    that lose lines (found by a filter of their ids) are joined with what they lose, and the others pass by.
 """
 
@@ -18,10 +20,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of the once filter for each row of the input; least ranges that it is cut into, and rows of the input for each; hashes
 #: that a task holds before it sends them, and that a range holds before it merges them.
 BITS_A_ROW, CHUNKS, CHUNK_ROWS, FLUSH = 1 << 13, 32, 1 << 14, 2_000_000
-#: Bits of the twice filter for each bit seen twice, and at most.
+#: Bits of a twice filter for each bit seen twice, and at most (beyond that there are more filters).
 TWICE_BITS, MAX_BITS = 16, 1 << 28
 BROADCAST_BYTES = 64 << 20
 
@@ -58,9 +60,22 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _places(keys: list[bytes], bits: int) -> np.ndarray:
-    """The bit of each line in the once filter."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)).astype(np.int64) & (bits - 1)
+def long_lines(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(place, digest, doc_id) of every distinct long line of each row, sorted by place inside a task; place is the line's bit in the
+    once filter of `bits` (a power of two)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, digests = [], []
+            for i, t in enumerate(texts(batch.column("text"))):
+                own = _keys(t, min_chars)
+                rows += [i] * len(own)
+                digests += map(_digest, own)
+            places = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)[:, 0] & (bits - 1)
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(digests, pa.binary()), ids], names=["place", "digest", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "place long, digest binary, doc_id long").sortWithinPartitions("place")
 
 
 def _pack(places: np.ndarray) -> bytes:
@@ -72,8 +87,8 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8")[:, 0])
 
 
-def _once(bits: int, chunks: int, min_chars: int) -> Callable:
-    """Rows (chunk, once, twice) of a task: the bits that its documents' lines set once and more than once."""
+def _once(bits: int, chunks: int) -> Callable:
+    """Rows (chunk, once, twice) of a task: the bits that its lines set once and more than once."""
     width = bits // chunks
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -87,9 +102,8 @@ def _once(bits: int, chunks: int, min_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            got = _places([k for t in texts(batch.column("text")) for k in _keys(t, min_chars)], bits)
-            held.append(got)
-            count += len(got)
+            held.append(batch.column("place").to_numpy())
+            count += batch.num_rows
             if count >= FLUSH:
                 yield flush(held)
                 held, count = [], 0
@@ -130,30 +144,33 @@ def _merge(width: int) -> Callable:
     return run
 
 
-def twice_filter(docs: DataFrame, bits: int, chunks: int, min_chars: int = MIN_CHARS, max_bits: int = MAX_BITS) -> Bloom:
-    """The filter of the once filter's bits (of `bits`) that lines of two documents, or two documents' lines, set."""
-    sent = docs.select("text").mapInArrow(_once(bits, chunks, min_chars), "chunk long, once binary, twice binary")
-    places = staged(sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge(bits // chunks), "place long"), "seen-twice")
-    return Bloom.of(places, "place", TWICE_BITS, max_bits)
+def seen_twice(lines: DataFrame, bits: int, chunks: int) -> DataFrame:
+    """(place) of the once filter's bits (of `bits`) that lines of two rows set."""
+    sent = lines.select("place").mapInArrow(_once(bits, chunks), "chunk long, once binary, twice binary")
+    return sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge(bits // chunks), "place long")
 
 
-def suspects(docs: DataFrame, twice: Bloom, bits: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(digest, doc_id) of every distinct long line of a document whose bit may have been seen twice."""
-    sent = docs.sparkSession.sparkContext.broadcast(twice)
+def sweeps(n: int, bits: int, max_bits: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of places, of `n` of which one's share takes a filter of at most `max_bits` bits; hashes spread evenly."""
+    groups = min(bits, 1 << max(0, -(-2 * n * TWICE_BITS // max_bits) - 1).bit_length())
+    return [(i * (bits // groups), (i + 1) * (bits // groups) - 1) for i in range(groups)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, keys = [], []
-            for i, t in enumerate(texts(batch.column("text"))):
-                own = _keys(t, min_chars)
-                rows += [i] * len(own)
-                keys += own
-            at = np.flatnonzero(sent.value.holds(_places(keys, bits)))
-            if len(at):
-                ids = batch.column("doc_id").take(pa.array(np.array(rows, dtype=np.int64)[at]))
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(keys[j]) for j in at], pa.binary()), ids], names=["digest", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "digest binary, doc_id long")
+def suspects(lines: DataFrame, twice: DataFrame, bits: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """(digest, doc_id) of the lines (of a written table) whose bit may be in `twice`, one filter of a range of bits after another."""
+    found = []
+    for first, last in sweeps(twice.count(), bits, max_bits):
+        here = F.col("place").between(first, last)
+        sent = lines.sparkSession.sparkContext.broadcast(Bloom.of(twice.filter(here), "place", TWICE_BITS, max_bits))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = batch.filter(pa.array(sent.value.holds(batch.column("place").to_numpy())))
+                yield held.select(["digest", "doc_id"])
+
+        found.append(staged(lines.filter(here).mapInArrow(run, "digest binary, doc_id long"), "line-suspects"))
+        sent.unpersist()
+    return reduce(DataFrame.unionAll, found)
 
 
 def repeated_lines(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -188,7 +205,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     n = docs.count()
     bits = 1 << min(62, max(20, (n * BITS_A_ROW).bit_length()))
     chunks = 1 << max(CHUNKS, n // CHUNK_ROWS).bit_length() - 1
-    found = staged(suspects(docs, twice_filter(docs, bits, chunks, min_chars, max_bits), bits, min_chars), "line-suspects")
+    every = staged(long_lines(docs, bits, min_chars), "long-lines")
+    found = suspects(every, staged(seen_twice(every, bits, chunks), "seen-twice"), bits, max_bits)
     lines = staged(repeated_lines(found, min_docs), "repeated-lines")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, n_dropped long, kept_sha256 string"])
     if lines.count() * 96 <= broadcast_bytes:

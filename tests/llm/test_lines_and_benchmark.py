@@ -52,11 +52,30 @@ def test_only_repeats_are_suspects(spark):
     n = 20_000
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws("\n", *(F.concat(F.lit(f"line {k} of the document of number "), F.lpad(F.col("id").cast("string"), 12, "0")) for k in range(4)), F.when(F.col("id") % 100 == 0, "a line that one document in a hundred holds")).alias("text"))
     bits = 1 << (n * D.BITS_A_ROW).bit_length()
-    found = D.suspects(docs, D.twice_filter(docs, bits, 32), bits)
+    lines = D.long_lines(docs, bits)
+    found = D.suspects(lines, D.seen_twice(lines, bits, 32), bits)
     repeats, every = n // 100, 4 * n + n // 100
     assert repeats <= found.count() < repeats + 0.01 * every
 
 
+def test_many_repeats_take_more_filters_not_fuller_ones(spark):
+    from pyspark.sql import functions as F
+
+    from evalfold.llm import line_dedup as D
+
+    n = 12_000  # 6,000 lines that two rows hold, 36,000 that one holds, and filters of 2**15 bits
+    text = F.concat_ws("\n", F.concat(F.lit("this line is held by two documents of the table "), (F.col("id") / 2).cast("long")), *(F.concat(F.lit(f"line {k} that only one document of the table holds "), "id") for k in range(3)))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    bits = 1 << (n * D.BITS_A_ROW).bit_length()
+    lines = D.staged(D.long_lines(docs, bits), "lines")
+    twice = D.staged(D.seen_twice(lines, bits, 32), "twice")
+    ranges = D.sweeps(twice.count(), bits, 1 << 15)
+    assert len(ranges) == 8 and ranges[0][0] == 0 and ranges[-1][1] == bits - 1 and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))
+    found = D.suspects(lines, twice, bits, 1 << 15)
+    assert n <= found.count() < n + 0.1 * 3 * n
+    assert D.repeated_lines(found, 2).count() == n // 2
+
+
 def test_filter_holds_what_it_was_made_of(spark):
     import numpy as np
     from pyspark.sql import functions as F
