@@ -195,12 +195,13 @@ def trial_running_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.running_total(rows, "trial_number", "calls").select("trial_number", (F.col("total") + 4).alias("calls_so_far"))
 
 
-@query(ctes("ledger") + f""", t AS (SELECT l_orderkey AS call_id, min(l_returnflag) AS outcome FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
+@query(ctes("ledger") + f""", t AS (SELECT l_orderkey AS call_id, arg_max(l_returnflag, l_linenumber * 1000 + ascii(l_returnflag)) AS outcome FROM lineitem GROUP BY ALL)
 SELECT scope, arrival AS slot, call_id, outcome, arrival <= 5 AS replayed, CASE WHEN outcome IS NULL THEN CASE WHEN arrival <= 5 THEN 'replay not consumed' ELSE 'no terminal' END END AS problem FROM ledger LEFT JOIN t USING (call_id) WHERE arrival <= {CAPACITY}""")
 def issued_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issued calls in order of slot with their terminals; the first five of a scope are replayed and must be consumed."""
+    """Issued calls in order of slot with their terminals (of a call's lines the last); the first five of a scope are replayed and must be consumed."""
     issued = logs.admitted(ledger(spark, sf_dir), CAPACITY).filter("accepted")
-    t = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.min("l_returnflag").alias("outcome"))
+    last = F.max_by("l_returnflag", F.col("l_linenumber") * 1000 + F.ascii("l_returnflag"))
+    t = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(last.alias("outcome"))
     replayed = F.col("arrival") <= 5
     problem = F.when(F.col("outcome").isNull(), F.when(replayed, "replay not consumed").otherwise("no terminal"))
     return issued.join(t, "call_id", "left").select("scope", F.col("arrival").alias("slot"), "call_id", "outcome", replayed.alias("replayed"), problem.alias("problem"))

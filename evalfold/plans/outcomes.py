@@ -124,18 +124,20 @@ def tool_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("run_id", outcome.alias("outcome"))
 
 
-@query(ctes("trials") + """, q AS (SELECT candidate_id, task_id FROM (SELECT DISTINCT candidate_id FROM trials), (SELECT DISTINCT task_id FROM trials WHERE task_id % 2 = 0)),
-o AS (SELECT candidate_id, task_id, min(state) AS state, avg(score) AS score FROM trials WHERE seed_index = 0 GROUP BY ALL)
+@query(ctes("trials") + """, q AS (SELECT candidate_id, task_id FROM (SELECT DISTINCT candidate_id FROM trials), (SELECT task_id FROM trials UNION SELECT c_custkey FROM customer)),
+o AS (SELECT candidate_id, task_id, min(state) AS state, round(avg(score), 9) AS score FROM trials GROUP BY ALL)
 SELECT candidate_id, task_id, CASE WHEN candidate_id = 'error' THEN 0.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score, CASE WHEN candidate_id = 'error' THEN 'failure:error' END AS failure_ref, candidate_id <> 'error' AND state IS NULL AS missing FROM q LEFT JOIN o USING (candidate_id, task_id)""")
 def aligned_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores aligned with the batch that was asked for: a failed evaluation gives zero for every row with its failure, a row that
-    isn't there or has no score is zero too."""
+    """Scores (means of a task's trials) aligned with the batch that was asked for, every task and customer: a failed evaluation gives zero for every
+    row with its failure, a row that isn't there or has no score is zero too."""
     t = trials(spark, sf_dir)
-    asked = A.plan_expand(t.select("candidate_id").distinct(), t.filter("task_id % 2 = 0").select("task_id").distinct(), 1).drop("seed_index")
-    seen = t.filter("seed_index = 0").groupBy("candidate_id", "task_id").agg(F.min("state").alias("state"), F.avg("score").alias("score"))
+    key = ["candidate_id", "task_id"]
+    tasks = t.select("task_id").union(read(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    asked = A.plan_expand(t.select("candidate_id").distinct(), tasks, 1).drop("seed_index")
+    seen = t.groupBy(key).agg(F.min("state").alias("state"), F.round(F.avg("score"), 9).alias("score"))
     failed = F.col("candidate_id") == "error"
-    j = asked.join(seen, ["candidate_id", "task_id"], "left")
-    return j.select("candidate_id", "task_id", F.when(failed, 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"), F.when(failed, "failure:error").alias("failure_ref"), (~failed & F.col("state").isNull()).alias("missing"))
+    j = asked.join(seen, key, "left")
+    return j.select(*key, F.when(failed, 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"), F.when(failed, "failure:error").alias("failure_ref"), (~failed & F.col("state").isNull()).alias("missing"))
 
 
 def _overlap(output: pd.Series, gold: pd.Series) -> pd.Series:

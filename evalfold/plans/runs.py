@@ -97,11 +97,11 @@ def artifact_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.groupBy("context").agg(F.max("bound").alias("artifact"), F.count(F.lit(1)).alias("n"), (F.count_if(F.col("outcome") == "conflict") > 0).alias("conflict"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS step, l_returnflag || '-' || l_linestatus AS code FROM lineitem WHERE l_linenumber > 2)
+@query("""WITH f AS (SELECT l_orderkey AS step, l_returnflag || '-' || l_linestatus AS code FROM lineitem)
 SELECT step, CASE WHEN count(DISTINCT code) = 1 THEN min(code) ELSE 'superseded' END AS code, CASE WHEN count(DISTINCT code) > 1 THEN string_agg(code, ',' ORDER BY code) END AS superseded FROM f GROUP BY step""")
 def superseded_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failure that each step carries for those of its calls."""
-    f = read(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("step"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("code"))
+    f = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("step"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("code"))
     return B.superseded(f, "step")
 
 
