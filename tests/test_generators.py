@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from evalfold.operators.generators import Twisters, check_streams
+from evalfold.operators.generators import Twisters, check_log, check_streams
 
 
 def test_ten_thousand_streams_equal_the_standard_generator():
@@ -85,3 +85,39 @@ def test_changes_are_found(spark, log):
     assert got.pop(("g", 0))[0] == "result"
     got.pop(("e", 2), None)  # it started from the changed state
     assert got == {}
+
+
+def test_a_log_is_checked_over_its_blocks_in_one_exchange(spark):
+    every, n = 8, 700  # a stream of 88 segments, in blocks of 32
+    draws, states = record(3, 77, n, every)
+    packed = {s[2]: np.array(s[3], dtype="<u4") for s in states}
+    packed[40][5] ^= 1
+    packed[60] = packed[60][:-1]
+    draws[8 * 63 + 2][5] = [-1]
+    draws[8 * 64 + 7][5] = None
+    ends = lambda i: (i + 1) % every == 0 or i + 1 == n
+    log = [(s, 77, *d[1:], bytearray(packed[d[1] // every].tobytes()) if ends(d[1]) and d[1] // every != 31 else None) for d in draws for s in [d[0]]]
+    df = spark.createDataFrame(log, "stream long, seed long, ordinal long, operation string, a long, b long, result array<long>, state binary").repartition(5)
+    checked = check_log(df, every, 6)
+    got = {r.segment: (r.problem, r.ordinal) for r in checked.collect()}
+    assert got.pop(41)[0] in ("result", "state")  # it started from a changed state
+    assert got == {31: ("state", None), 32: ("no state to start from", None), 40: ("state", None), 60: ("state", None), 61: ("no state to start from", None), 63: ("result", 506), 64: ("result", 519)}
+    plan = checked.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hash") == 1
+
+
+def test_states_out_of_bounds_are_none(spark, log):
+    draws, states = log[0], [[*s] for s in log[1]]
+    at = {(s[0], s[2]): s for s in states}
+    at["a", 0][3] = [2**40, *at["a", 0][3][1:]]
+    at["b", 0][3] = [*at["b", 0][3][:-1], 700]
+    at["c", 0][3] = None
+    got = found(spark, draws, states)
+    assert got == {(x, s): ("state", None) if s == 0 else ("no state to start from", None) for x in "abc" for s in (0, 1)}
+
+
+def test_the_query_records_many_streams_in_a_task(spark):
+    from evalfold.plans.sampling import rng_checkpoints
+
+    plan = rng_checkpoints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Window" not in plan and plan.count("MapInArrow") >= 2
