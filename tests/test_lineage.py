@@ -30,6 +30,25 @@ def test_a_chain_a_cycle_and_nothing(spark):
     assert lineage.ancestors(chain.limit(0)).count() == 0
 
 
+def test_hot_ancestors_are_dealt_to_several_tasks(spark, monkeypatch):
+    # 300 items below one that ends a chain of six; a task takes fifty rows of a key.
+    edges = [(i, i - 1) for i in range(1, 6)] + [(100 + i, 5) for i in range(300)] + [(1000 + i, 100 + i) for i in range(300)]
+    seen = []
+    met = lineage._met
+    monkeypatch.setattr(lineage, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    got = lineage.ancestors(spark.createDataFrame(edges, "item long, parent long"), rows=50).collect()
+    up = {i: i - 1 for i in range(1, 6)} | {100 + i: 5 for i in range(300)} | {1000 + i: 100 + i for i in range(300)}
+    want = set()
+    for i in up:
+        a, d = i, 0
+        while a in up:
+            a, d = up[a], d + 1
+            want.add((i, a, d))
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    parts = seen[1].select("middle", "part", "item").distinct().groupBy("middle", "part").count().filter("count > 90").count()  # 300 items continue at one middle
+    assert len(seen) == 3 and "part" in seen[1].columns and parts == 0
+
+
 def plain(members):
     """Items left, taken one by one."""
     sets, score = {}, {}
