@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,43 +11,61 @@ from pyspark.sql import functions as F
 TEXT_LIMIT, CUT = 1024, "...[truncated]"
 
 
-# JSON's own tokens: strings, numbers, names, marks, white space.
-_STRING, _NUMBER = r'"(?:[^"\\\x00-\x1f]|\\.)*"', r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_TOKEN = rf"{_STRING}|{_NUMBER}|true|false|null|[\[\]{{}},:]|[ \t\n\r]+"
+# JSON's strings and numbers. Possessive, so that long texts neither backtrack nor recurse.
+_STRING, _NUMBER = r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"', r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_BARE = r"-?[1-9][0-9]{0,39}|0"  # numbers that are written as they stay
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: the optimizer writes a column out at each use, and within a
+    condition it computes it at each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def exact_number(token: Column) -> Column:
     """The one text of a JSON number's value: its digits without zeros at either end, and a power of ten; whole numbers of up to 40
     digits are written out. 100, 1e2 and 100.0 are one number, so are 0 and -0; digits are never rounded. Null if the power has over
     18 digits."""
-    mantissa = F.regexp_replace(token, r"^-|[eE].*$", "")
-    fraction = F.regexp_extract(mantissa, r"\.([0-9]*)$", 1)
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
-    short = F.regexp_replace(digits, "0+$", "")
+    parts = F.split(F.regexp_replace(token, "^-", ""), "[eE]")
     power = F.coalesce(F.nullif(F.regexp_extract(token, r"[eE]\+?(-?[0-9]+)$", 1), F.lit("")), F.lit("0")).try_cast("long")
-    power = power - F.length(fraction) + F.length(digits) - F.length(short)
-    written = F.when(power == 0, short).when((power > 0) & (F.length(short) + power <= 40), F.concat(short, F.repeat(F.lit("0"), power.cast("int")))).otherwise(F.concat(short, F.lit("e"), power.cast("string")))
-    return F.when(short == "", "0").otherwise(F.concat(F.when(token.startswith("-"), "-").otherwise(""), written))
+
+    def of_mantissa(mantissa: Column) -> Column:
+        fraction = F.when(F.contains(mantissa, F.lit(".")), F.length(F.substring_index(mantissa, ".", -1))).otherwise(0)
+        return let(F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0")), lambda digits: let(F.rtrim(digits, F.lit("0")), lambda short: F.when(short == "", "0").otherwise(
+            let(power - fraction + F.length(digits) - F.length(short), lambda p: F.concat(F.when(token.startswith("-"), "-").otherwise(""), written(short, p))))))
+
+    def written(short: Column, p: Column) -> Column:
+        return F.when(p == 0, short).when((p > 0) & (F.length(short) + p <= 40), F.concat(short, F.repeat(F.lit("0"), p.cast("int")))).otherwise(F.concat(short, F.lit("e"), p.cast("string")))
+
+    return let(F.get(parts, F.lit(0)), of_mantissa)
 
 
 def canonical(json: Column) -> Column:
     """JSON text with sorted keys and no spaces; null for what isn't JSON, to the letter of its grammar (NaN, infinities, leading zeros and keys
     that repeat in an object aren't). Numbers of equal value have equal texts (`exact_number`), whatever their size.
 
-    The parser would round large numbers, so each goes through it as a marked string.
+    The parser would round large numbers, so each goes through it as a marked string. Each step is computed once.
     """
-    tokens = F.regexp_extract_all(json, F.lit(f"({_TOKEN})"), F.lit(1))
-    marked = F.transform(tokens, lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substring(t, 2, 2**31 - 1))).when(t.rlike("^[-0-9]"), F.concat(F.lit('["n'), F.when(t.rlike("^-?[1-9][0-9]{0,39}$"), t).otherwise(exact_number(t)), F.lit('"]'))).otherwise(t))
-    whole = F.length(F.array_join(tokens, "")) == F.length(json)  # nothing lies between the tokens
+    strings = F.regexp_replace(json, _STRING[:1] + "(" + _STRING[1:-1] + ")" + _STRING[-1:], '"s$1"')
+    # What lies between two numbers: strings, and all that begins neither.
+    numbers = F.regexp_replace(strings, rf'\G((?:[^"0-9-]++|{_STRING})*+)({_NUMBER})', '$1["n$2"]')
+    exact = lambda x: F.concat(let(F.substring_index(x, '"', 1), lambda n: F.when(n.rlike(f"^(?:{_BARE})$"), n).otherwise(exact_number(n))), F.substring(x, F.length(F.substring_index(x, '"', 1)) + 1, F.lit(2**31 - 1)))
+    spelt = lambda m: let(F.split(m, r'\["n'), lambda parts: let(F.transform(F.slice(parts, F.lit(2), F.size(parts)), exact), lambda own: F.when(~F.exists(own, lambda x: x.isNull()), F.concat_ws('["n', F.slice(parts, 1, 1), own))))
+    marked = let(numbers, lambda m: F.when(m.rlike(rf'\["n(?!(?:{_BARE})")'), spelt(m)).otherwise(m))
     # The parser stops after one value, so it gets an object that has to end as it does here; keys of the text start with s, before t.
-    parsed = F.to_json(F.try_parse_json(F.when(whole, F.concat(F.lit('{"t":'), F.array_join(marked, ""), F.lit(',"u":"end"}')))))
-    value = F.nullif(F.regexp_extract(parsed, r'(?s)^\{"t":(.*),"u":"end"\}$', 1), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(value, r'\["n([^"]*)"\]', "$1"), r'"s((?:[^"\\]|\\.)*)"', '"$1"')
+    first, last = '{"t":', ',"u":"end"}'
+    inside = lambda p: F.when(p.startswith(first) & p.endswith(last), F.nullif(F.substring(p, F.lit(len(first) + 1), F.length(p) - len(first) - len(last)), F.lit("")))
+    value = let(F.to_json(F.try_parse_json(F.concat(F.lit(first), marked, F.lit(last)))), inside)
+    return F.regexp_replace(F.regexp_replace(value, r'\["n([^"]*+)"\]', "$1"), r'"s([^"\\]*+(?:\\.[^"\\]*+)*+)"', '"$1"')
 
 
 def json_problem(json: Column) -> Column:
     """Why a text can't be a record: null, not JSON, or not an object; null if it can."""
-    c = canonical(json)
+    return let(canonical(json), lambda c: canonical_problem(json, c))
+
+
+def canonical_problem(json: Column, c: Column) -> Column:
+    """`json_problem` of a text whose canonical form is known."""
     return F.when(json.isNull(), "null").when(c.isNull(), "not JSON").when(~c.startswith("{"), "not an object")
 
 

@@ -15,6 +15,8 @@ ROLES = {"internal_eval": "internal", "official": "official", "held_out": "held_
 RETRYABLE = ("transient", "rate_limited", "resource_exhaustion")
 TELEMETRY = ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "latency_s", "finish_reason", "provider_error", "provider_cost")
 
+#: Pairs that one task compares.
+_COMPARED = 50_000
 
 _PAIRS = """x AS (SELECT event_id, event_id % 7 AS p, event_id % 3 AS q, event_type AS t, user_id::VARCHAR AS u, (event_id % 1000)::VARCHAR AS n FROM events),
 y AS (SELECT *, '{"type":"' || t || '","user":' || u || ',"tags":[' || n || ',{"a":1,"b":null}]}' AS a, CASE p
@@ -48,9 +50,13 @@ def canonical_json_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(p == 2, document(text("1", u), text(n, ",", pair))).when(p == 3, document(u, text(pair, ",", n))).when(p == 4, document(text('"', u, '"'), text(n, ",", pair)))
         .when(p == 5, F.when(q == 0, '{"user": NaN}').when(q == 1, '{"user": 01}').otherwise('["a", 1]')).otherwise(document(text(u, F.when(q == 0, ".5").otherwise("e1")), text(n, ",", pair)))
     )
-    e = read(spark, sf_dir, "events").select("event_id", left.alias("a"), right.alias("b"))
-    problem = D.json_problem(F.col("b"))
-    return e.select("event_id", F.when(problem.isNull(), D.canonical(F.col("a")) == D.canonical(F.col("b"))).alias("equal"), problem.alias("problem"))
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    # Rows are few bytes and much work: the number of tasks is their count's, not that of bytes.
+    events = events.repartition(max(8, -(-events.count() // _COMPARED)), "event_id")
+    e = events.select("event_id", left.alias("a"), right.alias("b"))
+    one = F.transform(F.array("b"), lambda b: F.struct(b.alias("b"), D.canonical(b).alias("c")))  # b's form is used several times
+    problem = D.canonical_problem
+    return e.select("event_id", "a", F.get(one, F.lit(0)).alias("x")).select("event_id", F.when(problem(F.col("x.b"), F.col("x.c")).isNull(), D.canonical(F.col("a")) == F.col("x.c")).alias("equal"), problem(F.col("x.b"), F.col("x.c")).alias("problem"))
 
 
 @query(ctes("attempts") + """, c AS (SELECT logical_call_id, attempt_number, CASE outcome WHEN 'timeout' THEN 'transient' WHEN 'rate-limit' THEN 'rate_limited' WHEN 'rejected' THEN 'permanent' END AS class FROM attempts)

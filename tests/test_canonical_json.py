@@ -60,3 +60,18 @@ def test_nested_values_against_a_parser(spark, seed):
         assert json.loads(a, parse_int=Decimal, parse_float=Decimal) == json.loads(json.dumps(v), parse_int=Decimal, parse_float=Decimal)
         for b, w in zip(one, values):
             assert (a == b) == (json.dumps(v, sort_keys=True).replace(".0,", ",") == json.dumps(w, sort_keys=True).replace(".0,", ",") or v == w and type(v) is type(w) or a == b and v == w)
+
+
+def test_long_texts_neither_recurse_nor_lose_numbers(spark):
+    long = "\\n" + "x\\\\" * 20_000
+    many = "[" + ",".join(f'{{"k":"{i}","v":{i}.50}}' for i in range(5000)) + "]"
+    a, b, c, d = texts(spark, [f'{{"a":"{long}","b":2.0}}', many, '{"a":1e99999999999999999999,"b":2}', '{"a":"1.0,[\\"n2.0\\"]","b":[-0.0,-7.10]}'])
+    assert json.loads(a) == json.loads(f'{{"a":"{long}","b":2}}') and json.loads(b) == json.loads(many)
+    assert c is None and d == '{"a":"1.0,[\\"n2.0\\"]","b":[0,-71e-1]}'
+
+
+def test_each_form_is_computed_once(spark):
+    from evalfold.plans.contracts import canonical_json_equal
+
+    plan = canonical_json_equal(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parseJson") + plan.count("StaticInvoke(VariantExpressionEvalUtils") <= 3
