@@ -1,5 +1,7 @@
 """Pareto fronts of any number of objectives: a skyline in cells of a grid, without a window over a group.
 
+0. As rows are read, each task drops what a strong vector that it has seen before dominates; it keeps KEPT of them for a group, of up to
+   GROUPS groups, so that few rows are exchanged.
 1. Equal vectors are one; each group's objectives are cut into bands at approximate quantiles, and the bands make cells, at most CELLS
    of a group.
 2. Of two cells, one whose bands are all lower than the other's dominates it whole, so cells are compared first and whole cells go.
@@ -8,7 +10,7 @@
    corner. A cell's candidates are dealt to blocks of about BLOCK, what they meet is dealt to streams of about STREAM; a task holds one block while a
    stream passes, and gives the vectors that something dominates.
 
-Steps 2 and 3 only save work; step 4 alone decides, so a cell may be split over tasks and the filter may stop at WINDOW vectors.
+Steps 0, 2 and 3 only save work; step 4 alone decides, so a cell may be split over tasks and the filter may stop at WINDOW vectors.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from evalfold.operators.logs import join_null_safe
 from evalfold.sources.staging import free_name, staged
 
 CELLS, BLOCK, STREAM, WINDOW = 1024, 4096, 200_000, 8192
+KEPT, GROUPS = 128, 64
+#: Rows of a front up to which it is broadcast to the rows.
+SENT = 200_000
 DIRECTIONS = ("max", "min")
 
 
@@ -61,6 +66,39 @@ def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
 
 
+def _thinned(group: list[str], costs: list[str]):
+    """Drops rows that a strong vector dominates which the task has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            codes = np.zeros(batch.num_rows, dtype=np.int64)
+            for c in group:
+                own = batch.column(c).dictionary_encode(null_encoding="encode")
+                codes = np.unique(codes * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            first, of = np.unique(codes, return_index=True, return_inverse=True)[1:]
+            if not batch.num_rows or len(first) > GROUPS:
+                yield batch
+                continue
+            x, keep = _matrix(batch, costs), np.ones(batch.num_rows, dtype=bool)
+            for g, i in enumerate(first.tolist()):
+                key = tuple(batch.column(c)[i].as_py() for c in group)
+                if key not in windows and len(windows) >= GROUPS:
+                    continue
+                mine = np.flatnonzero(of == g)
+                left = mine[~dominated(x[mine], windows.get(key, x[:0]))]
+                # The strongest by the sum of their costs, each on its own scale.
+                known = np.unique(np.concatenate([windows.get(key, x[:0]), x[left]]), axis=0)
+                scale = x[mine].std(axis=0)
+                known = known[np.argsort((known / np.where(scale > 0, scale, 1)).sum(axis=1), kind="stable")[:KEPT]]
+                windows[key] = known[~dominated(known, known)]
+                keep[mine] = False
+                keep[left[~dominated(x[left], windows[key])]] = True
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _local(at: list[str], costs: list[str]):
     """Filters sorted rows: what an earlier one of the same cell dominates goes."""
 
@@ -142,7 +180,8 @@ def pareto_front(rows: DataFrame, objectives: dict[str, str], keys: list[str], c
     finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(F.raise_error(F.lit(f"{c}: not a finite value")).cast("double"))
     cost = lambda c, direction: (finite(c) * (-1.0 if direction == "max" else 1.0) + F.lit(0.0))
     named = [*((F.col(k) if keys else F.lit(0)).alias(g) for k, g in zip(keys or [""], group)), *(cost(c, o).alias(n) for n, (c, o) in zip(costs, objectives.items()))]
-    vectors = staged(rows.select(*named).distinct(), "vectors")
+    read = rows.select(*named)
+    vectors = staged(read.mapInArrow(_thinned(group, costs), _schema(read)).distinct(), "vectors")
 
     each = max(2, int(cells ** (1 / d) + 1e-9))
     cuts = [k / each for k in range(1, each)]
@@ -178,6 +217,8 @@ def pareto_front(rows: DataFrame, objectives: dict[str, str], keys: list[str], c
     both = both.repartition(*at).sortWithinPartitions(*at, F.col("_target").desc())
     gone = both.mapInArrow(_merge(at, costs), _schema(both)).select(*group, *costs).distinct()
     front = found.alias("f").join(gone.alias("g"), _all(*same("f", "g", [*group, *costs])), "left_anti").select(*group, *costs)
+    front = staged(front, "front")
+    front = F.broadcast(front) if front.count() <= SENT else front
 
     mine = rows
     for c, n in zip(named, [*group, *costs]):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,23 @@ def test_no_window_in_the_plan(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("q"), (F.col("id") % 5).alias("p"))
     plan = pareto.pareto_front(df, {"q": "max", "p": "min"}, [])._jdf.queryExecution().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("groups", [2, 64])
+def test_tasks_thin_their_rows_and_pass_the_front(groups, monkeypatch):
+    monkeypatch.setattr(pareto, "GROUPS", groups)
+    r = np.random.default_rng(5)
+    x, g = np.round(r.random((6000, 3)), 2), [[None, "a", "b"][i % 3] for i in range(6000)]
+    table = pa.table({"_k0": pa.array(g), **{f"_c{i}": x[:, i] for i in range(3)}})
+    out = pa.Table.from_batches(pareto._thinned(["_k0"], ["_c0", "_c1", "_c2"])(iter(table.to_batches(max_chunksize=1000))))
+    rows = lambda t: [tuple(v.values()) for v in t.to_pylist()]
+    alone = {(k, *x[i]) for k in (None, "a", "b") for own in [np.array([j for j in range(6000) if g[j] == k])] for i in own[~pareto.dominated(x[own], x[own])]}
+    got = rows(out)
+    assert alone <= set(got) and all(got.count(v) == rows(table).count(v) for v in list(alone)[:20])
+    assert len(got) < 1500 if groups == 64 else len(got) == 6000
+
+
+def test_a_small_front_is_sent_to_the_rows(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("q"), (F.col("id") % 5).alias("p"))
+    out = pareto.pareto_front(df, {"q": "max", "p": "min"}, [])
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 85 + (3000 - 85 * 35 > 20)
